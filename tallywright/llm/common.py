@@ -35,7 +35,9 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def words(text: Column) -> Column:
     """The words of a text as an array; none for null or blank text."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")
+    text = F.coalesce(text, F.lit(""))
+    # a literal space splits without a regular expression
+    return F.filter(F.when(text.rlike("[\\x09-\\x0D]"), F.split(text, SPACES)).otherwise(F.split(text, " ")), lambda w: w != "")
 
 
 def bind(value: Column, use) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_partitions, words
+from .common import materialize, words
 
 ID = ["doc_id", "line"]
 
@@ -53,38 +53,39 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     earlier if it is equal in (doc_id, line), so neither copy is dropped for the other. An empty table gives
     an empty result; further columns are ignored.
 
-    Steps: (1) exact copies meet by digest, first within runs, then across; (2) distinct lines that share an
+    Steps: (1) exact copies meet by digest, summed up before the shuffle; (2) distinct lines that share an
     untouched half with another go on; (3) these emit all deletions within the other half as hashed keys,
     kept in linear space by XOR prefix hashes; (4) equal keys are joined to the earliest line of the key, so
     k lines with one key give k rows and not their pairs; (5) the words of the two lines are compared.
+
+    The joins that bring the verdict back to the lines are left sort-merge joins, whose large partitions Spark
+    splits, so one line may be a third of all; what is known to have at most broadcast_rows rows is broadcast.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    runs = shuffle_partitions(docs.sparkSession)
     split = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(text, "\n")).alias("line", "body")).withColumn("w", words(F.col("body"))).where(F.size("w") > 0)
     lines = materialize(
         split.select(
             *ID,
             F.unhex(F.md5(F.col("body").cast("binary"))).alias("digest"),
             F.length("body").alias("chars"),
-            F.pmod(F.spark_partition_id(), F.lit(runs)).alias("run"),
             F.when(F.size("w") >= near_words, F.transform(halves(F.col("w")), lambda h: F.struct(h["role"], h["outside"]))).alias("halves"),
         ),
         "lines",
     )
-    at = F.struct(*ID)
-    local = lines.groupBy("run", "digest").agg(F.min(F.struct(*ID, "halves")).alias("v"))
-    first = local.groupBy("digest").agg(F.min("v").alias("v"))
-    by_run = local.select("run", "digest").join(first.select("digest", F.struct("v.doc_id", "v.line").alias("first")).hint("merge"), "digest")
-    marked = lines.select(*ID, "run", "digest", "chars").join(by_run.hint("merge"), ["run", "digest"]).withColumn("copy", ~at.eqNullSafe(F.col("first")))
-    near = near_links(docs, first.select("v.*"), id_col, text_col, broadcast_rows)
-    early = near.select(F.col("late.doc_id").alias("d2"), F.col("late.line").alias("l2"), F.col("early"))
-    joined = marked.join(early.hint("merge"), F.col("first.doc_id").eqNullSafe(F.col("d2")) & (F.col("first.line") == F.col("l2")) & ~F.col("copy"), "left")
+    first = materialize(lines.groupBy("digest").agg(F.min(F.struct(*ID, "halves")).alias("v"), F.count(F.lit(1)).alias("n")), "first-lines")
+    small = lambda df: df.hint("broadcast" if df.count() <= broadcast_rows else "merge")
+    copied = small(first.where("n > 1").select("digest", F.struct("v.doc_id", "v.line").alias("first")))
+    marked = lines.select(*ID, "digest", "chars").join(copied, "digest", "left").withColumn("first", F.coalesce("first", F.struct(*ID)))
+    near = materialize(near_links(docs, first.select("v.*"), id_col, text_col, broadcast_rows), "near")
+    early = small(near.select(F.col("late.doc_id").alias("d2"), F.col("late.line").alias("l2"), "early"))
+    copy = ~F.struct(*ID).eqNullSafe(F.col("first"))
+    joined = marked.join(early, F.col("first.doc_id").eqNullSafe(F.col("d2")) & (F.col("first.line") == F.col("l2")), "left")
     return joined.select(
         *ID,
         "chars",
-        F.when(F.col("copy"), F.lit("exact")).when(F.col("early").isNotNull(), F.lit("near")).alias("dropped"),
-        F.when(F.col("copy"), F.col("first.doc_id")).otherwise(F.col("early.doc_id")).alias("earlier_doc"),
-        F.when(F.col("copy"), F.col("first.line")).otherwise(F.col("early.line")).alias("earlier_line"),
+        F.when(copy, F.lit("exact")).when(F.col("early").isNotNull(), F.lit("near")).alias("dropped"),
+        F.when(copy, F.col("first.doc_id")).otherwise(F.col("early.doc_id")).alias("earlier_doc"),
+        F.when(copy, F.col("first.line")).otherwise(F.col("early.line")).alias("earlier_line"),
     )
 
 
