@@ -1,0 +1,6 @@
+"""All registered queries, by the table they are about."""
+
+from . import estimation, packages  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
