@@ -93,7 +93,7 @@ def fit_chain(columns: list[np.ndarray], ys: np.ndarray, fold: np.ndarray, width
 CATEGORIES = {"low_quality": "1 - quality", "toxic": "toxic", "toxic_low_quality": "toxic * (1 - quality)"}
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None = None, reject: str = "toxic", id_col: str = "doc_id", text_col: str = "text", most: int = 20_000, folds: int = 3, least_docs: int = 5, least_chi2: float = 40.0, most_features: int = 2000, ridge: float = 0.2, steps: int = 400, cut: float = 0.5) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None = None, reject: str = "toxic", id_col: str = "doc_id", text_col: str = "text", most: int = 8_000, folds: int = 3, least_docs: int = 5, least_chi2: float = 40.0, most_features: int = 400, ridge: float = 0.2, steps: int = 250, cut: float = 0.5) -> DataFrame:
     """One row per input row: doc_id, p_<category> for each category of the chain, rejected.
 
     rejected: the probability of the category reject is at least cut. Learning uses at most `most` labelled rows, whatever
