@@ -33,9 +33,9 @@ def passages_in(texts: DataFrame, passages: DataFrame, words: int = 5) -> DataFr
     Where a passage is in a text, its words but the first and last stand there whole: windows of the text meet by hash
     the passages' second to (words + 1)th word, and contains() decides.
     """
-    w = F.split("text", " ")
-    hashes = F.transform(F.sequence(F.lit(1), F.size("w") - words + 1), lambda i: F.xxhash64(F.slice("w", i, words)))
-    windows = texts.select("id", w.alias("w")).select("id", F.when(F.size("w") >= words, F.array_distinct(hashes)).alias("hs")).select("id", F.explode("hs").alias("h"))
+    hashes = lambda w: F.when(F.size(w) >= words, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - words + 1), lambda i: F.xxhash64(F.slice(w, i, words)))))
+    # the outer transform splits a text once; a plain column would be split anew for each window
+    windows = texts.select("id", F.explode(F.transform(F.array(F.split("text", " ")), hashes)).alias("hs")).select("id", F.explode("hs").alias("h"))
     keys = passages.where(F.size(F.split("passage", " ")) >= words + 2).select("passage_id", F.xxhash64(F.slice(F.split("passage", " "), 2, words)).alias("h"))
     pairs = windows.join(keys.hint("merge"), "h").select("id", "passage_id").distinct()
     return pairs.join(passages.hint("merge"), "passage_id").join(texts.hint("merge"), "id").where(F.contains("text", "passage")).select("id", "passage_id")
