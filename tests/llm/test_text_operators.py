@@ -268,3 +268,9 @@ def test_toxicity(spark, docs, empty):
     got = {r.doc_id: r.rejected for r in toxicity.toxicity(d, labels).collect()}
     assert all(got[i] == b for i, _, b in rows if i >= 200)
     assert toxicity.toxicity(docs, labels.limit(0)).where("rejected").count() == 0 and toxicity.toxicity(empty, labels).count() == 0
+
+
+def test_address_of_many_zeros():
+    from tallywright.llm import pii
+
+    assert pii.detect("x " + "0" * 5000 + ".0.0.1") == [(1, 2, 5008)]
