@@ -71,3 +71,20 @@ def mantel_haenszel(strata: DataFrame) -> DataFrame:
     se = F.sqrt(F.col("pr") / (2 * F.col("r") ** 2) + F.col("ps") / (2 * F.col("r") * F.col("s")) + F.col("qs") / (2 * F.col("s") ** 2))
     odds = F.col("r") / F.col("s")
     return one.select("strata", "dropped", odds.alias("odds_ratio"), F.exp(F.ln(odds) - Z * se).alias("lo"), F.exp(F.ln(odds) + Z * se).alias("hi"), (F.col("a") * F.col("d") / (F.col("b") * F.col("c"))).alias("crude"))
+
+
+def breslow_day(strata: DataFrame) -> DataFrame:
+    """(strata, statistic, df): whether the odds ratios of 2x2 strata (a, b, c, d) are equal.
+
+    Each stratum's first cell is expected from its margins and the pooled odds ratio. Strata with an empty margin or under ten respondents are left out.
+    """
+    a, b, c, d = map(F.col, "abcd")
+    n = a + b + c + d
+    used = strata.where((n >= 10) & (a + b > 0) & (c + d > 0) & (a + c > 0) & (b + d > 0))
+    pooled = used.agg((F.sum(a * d / n) / F.sum(b * c / n)).alias("r"))
+    r, row, col = F.col("r"), a + b, a + c
+    mid = d - a + r * (row + col)
+    root = F.when(r == 1, row * col / n).otherwise((-mid + F.sqrt(mid * mid + 4 * (1 - r) * r * row * col)) / (2 * (1 - r)))
+    e = F.col("e")
+    each = used.crossJoin(F.broadcast(pooled)).withColumn("e", root)  # one row
+    return each.agg(F.count(F.lit(1)).alias("strata"), F.sum((a - e) ** 2 * (1 / e + 1 / (row - e) + 1 / (col - e) + 1 / (d - a + e))).alias("statistic")).withColumn("df", F.col("strata") - 1)

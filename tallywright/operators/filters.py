@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallywright.functions.stats import REFUSAL
@@ -79,3 +79,8 @@ class Study:
         if len(taken) != len(set(taken)) or len(mapping) < 2:
             raise ValueError("GroupsOverlap: groups need two labels or more and different values")
         return {label: self.where(v, xs) for label, xs in mapping.items()}
+
+    def subset(self, df: DataFrame, key: str, variables: list[str]) -> DataFrame:
+        """The chosen variables and every sibling of a chosen checkbox, so that no base changes."""
+        blocks = {self.block_of[v] for v in variables if v in self.block_of}
+        return df.select(key, *[c for c in df.columns if c != key and (c in variables or self.block_of.get(c) in blocks)])

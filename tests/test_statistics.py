@@ -79,3 +79,37 @@ def test_trend_equals_row_level(spark):
     df = spark.createDataFrame([(int(a), float(c)) for a, c in zip(x, y, strict=True)], "position int, y double")
     r = contrasts.trend(df.groupBy("position").agg(F.count("y").alias("n"), F.sum("y").alias("s"), F.sum(F.col("y") ** 2).alias("ss"))).first()
     assert (r.slope, r.se) == (pytest.approx(b[1]), pytest.approx(se))
+
+
+def test_rank_tests(spark):
+    from tallywright.operators.resampling import rank_tests
+
+    cells = [("a", 1, 1, 30), ("a", 1, 2, 10), ("a", 2, 1, 10), ("a", 2, 2, 30), ("flat", 1, 1, 10), ("flat", 1, 2, 10), ("none", 1, 1, 5), ("none", 1, 2, 5), ("none", 2, 1, 5), ("none", 2, 2, 5)]
+    out = {r.grp: r for r in rank_tests(spark.createDataFrame(cells, "grp string, x int, y int, k long")).collect()}
+    assert out["a"].rho == pytest.approx(0.5) and out["a"].lo < 0.5 < out["a"].hi and out["a"].p < 0.001
+    assert out["flat"].rho is None and out["flat"].n == 20 and out["none"].rho == pytest.approx(0) and out["none"].p == 1.0
+
+
+def test_random_tables_and_independence(spark):
+    import numpy as np
+
+    from tallywright.operators.resampling import independence_tests, random_tables
+
+    t = random_tables(np.array([3, 5, 2]), np.array([4, 6]), 4000, np.random.default_rng(1))
+    assert (t.sum(2) == [3, 5, 2]).all() and (t.sum(1) == [4, 6]).all() and t.min() >= 0
+    assert t.mean(0) == pytest.approx(np.outer([3, 5, 2], [4, 6]) / 10, abs=0.06)
+    cells = [("small", "a", "x", 3), ("small", "a", "y", 1), ("small", "b", "x", 1), ("small", "b", "y", 3), ("odd", "a", "x", 4), ("odd", "b", "y", 4), ("odd", "c", "y", 4), ("flat", "a", "x", 9)]
+    out = {r.grp: r for r in independence_tests(spark.createDataFrame(cells, "grp string, x string, y string, k long")).collect()}
+    assert out["small"].method == "fisher" and out["small"].p == pytest.approx(0.4857142857)
+    assert out["odd"].method == "random" and out["odd"].p < 0.01 and out["flat"].p is None
+
+
+def test_breslow_day(spark):
+    equal = spark.createDataFrame([(20, 10, 10, 20), (40, 20, 20, 40)], "a int, b int, c int, d int")
+    apart = spark.createDataFrame([(20, 10, 10, 20), (20, 40, 40, 20)], "a int, b int, c int, d int")
+    assert contrasts.breslow_day(equal).first().statistic == pytest.approx(0, abs=1e-9)
+    assert contrasts.breslow_day(apart).first().statistic > 10
+
+
+def test_subset_keeps_siblings(spark):
+    assert TOY.subset(toy(spark), "respondent_id", ["x"]).columns == ["respondent_id", "x", "y"]
