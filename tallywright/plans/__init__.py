@@ -1,6 +1,6 @@
 """All registered queries, by the table they are about."""
 
-from . import claims, estimation, packages  # noqa: F401
+from . import catalogues, claims, estimation, packages, reviews  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

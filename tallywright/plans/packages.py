@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallywright.operators import answers, audits, families
+from tallywright.operators.numbering import numbered
 from tallywright.sources import files
 from tallywright.streaming import results
 
@@ -233,7 +234,7 @@ def paired_runs(spark, sf_dir):
 @query("k28_blinded_jobs", REC + "SELECT v AS variant, record_id, sha256('[\"' || v || '\", \"' || record_id || '\"]') AS request_id, row_number() OVER (ORDER BY sha256('7' || sha256('[\"' || v || '\", \"' || record_id || '\"]'))) AS place FROM rec, (VALUES ('base'),('adapted')) x(v)")
 def blinded_jobs(spark, sf_dir):
     jobs = records(spark, sf_dir).select("record_id", F.explode(F.array(F.lit("base"), F.lit("adapted"))).alias("variant")).withColumn("request_id", families.digest(F.col("variant"), F.col("record_id")))
-    return jobs.withColumn("place", F.row_number().over(W.orderBy(F.sha2(F.concat(F.lit("7"), "request_id"), 256))))
+    return numbered(jobs.withColumn("key", F.sha2(F.concat(F.lit("7"), "request_id"), 256)), "key", name="place").drop("key")
 
 
 @query("k32_end_to_end_rates", "SELECT coalesce(lang, 'all') AS lang, count(*) AS submitted, count(*) FILTER (quality = 1) AS passed, round(count(*) FILTER (quality = 1) / count(*)::DOUBLE, 8) AS rate FROM documents LEFT JOIN labels USING (doc_id) GROUP BY ROLLUP (lang)")
@@ -259,7 +260,7 @@ def split_leaks(spark, sf_dir):
 def union_in_order(spark, sf_dir):
     r = records(spark, sf_dir)
     both = r.withColumn("variant", F.lit(0)).unionByName(r.where("split = 'train'").withColumn("variant", F.lit(1)))
-    return both.select("record_id", "variant", F.row_number().over(W.orderBy("conv_id", "turn", "variant")).alias("pos"))
+    return numbered(both, "conv_id", "turn", "variant").select("record_id", "variant", "pos")
 
 
 @query("j04_resume", REC + "SELECT split, count(*) AS pending FROM sp WHERE record_id NOT IN (SELECT record_id FROM rec WHERE conv_id % 3 = 0) GROUP BY 1")
@@ -333,7 +334,8 @@ def subset(spark, sf_dir):
 
 @query("m01_update_windows", REC + ", n AS (SELECT record_id, row_number() OVER (ORDER BY conv_id, turn) - 1 AS pos, count(*) OVER () AS total FROM rec) SELECT record_id, (pos * 4 // total)::BIGINT AS quarter, (pos // 16)::BIGINT AS batch FROM n")
 def update_windows(spark, sf_dir):
-    n = records(spark, sf_dir).withColumns({"pos": F.row_number().over(W.orderBy("conv_id", "turn")) - 1, "total": F.count(F.lit(1)).over(W.partitionBy(F.lit(1)))})
+    r = numbered(records(spark, sf_dir), "conv_id", "turn", start=0)
+    n = r.crossJoin(F.broadcast(r.agg(F.count(F.lit(1)).alias("total"))))  # one row
     return n.select("record_id", F.floor(F.col("pos") * 4 / F.col("total")).alias("quarter"), F.floor(F.col("pos") / 16).alias("batch"))
 
 

@@ -1,6 +1,8 @@
 from pyspark.sql import functions as F
 
 from tallywright.operators import answers, audits, families
+from tallywright.operators.numbering import numbered
+from tallywright.plans import QUERIES
 from tallywright.sources import files
 
 
@@ -51,3 +53,15 @@ def test_files(spark, tmp_path):
     torn.write_text('{"id": 1}\n\n{"id": 2}\n{"id": 3')
     assert sorted(r.id for r in files.read_torn(spark, str(torn), "id int").collect()) == [1, 2]
     assert files.publish(df, str(tmp_path / "p"), df.limit(0)) and not files.publish(df, str(tmp_path / "p"), df.limit(0)) and not files.publish(df, str(tmp_path / "q"), df)
+
+
+def test_numbering(spark):
+    rows = numbered(spark.range(1000).selectExpr("(id * 37) % 1000 as k", "id"), "k").collect()
+    assert all(r.pos == r.k + 1 for r in rows) and len(rows) == 1000
+    assert numbered(spark.range(0), "id").isEmpty()
+    assert [r.at for r in numbered(spark.createDataFrame([(1,), (1,), (None,)], "k int"), "k", name="at", start=0).orderBy("at").collect()] == [0, 1, 2]
+
+
+def test_normal_text(spark, tmp_path):
+    spark.createDataFrame([(1, "Ｆull ﬁt, STRASSE ß"), (2, None), (3, "")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.doc_id: r.text for r in QUERIES["c10_normal_text"](spark, str(tmp_path)).collect()} == {1: "full fit strasse ss", 2: "", 3: ""}
