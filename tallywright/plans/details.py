@@ -11,9 +11,9 @@ from tallywright.operators.specs import run_specs
 from tallywright.sources import files
 
 from .catalogues import _LONG, answers_long
-from .claims import numeric_evidence
+from .claims import REFS, numeric_evidence
 from .estimation import _BB, _RB, _SCORE, SHARES, WHI, WLO, evidence_pack, rounded
-from .packages import REC, owners, packs, records
+from .packages import REC, numeric_references, owners, packs, records
 from .registry import ORACLES, query, table
 from .reviews import _OWNED
 from .study import ORDERS, SQL, respondents
@@ -325,3 +325,55 @@ def request_ledgers(spark, sf_dir):
     table(spark, sf_dir, "events").select("event_type", "props").write.partitionBy("event_type").json(at)
     usage = F.from_json("props", "map<string,long>")
     return spark.read.schema("props string, event_type string").json(at).groupBy(F.col("event_type").alias("role")).agg(F.count(F.lit(1)).alias("calls"), F.sum(F.element_at(usage, "k")).alias("tokens"))
+
+
+@query("io07_case_files", "SELECT c_nationkey AS nation, count(*) AS n, max(c_custkey) AS last FROM customer GROUP BY 1")
+def case_files(spark, sf_dir):
+    """Files of cases in folders, read by a glob; which folder a case is from comes from its path."""
+    at = files.shared_folder(spark, "cases")
+    table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey").write.partitionBy("c_nationkey").json(at)
+    rows = spark.read.schema("c_custkey long").json(f"{at}/c_nationkey=*/part-*.json").select("c_custkey", F.regexp_extract(F.col("_metadata.file_path"), "c_nationkey=([0-9]+)/", 1).cast("int").alias("nation"))
+    return rows.groupBy("nation").agg(F.count(F.lit(1)).alias("n"), F.max("c_custkey").alias("last"))
+
+
+# specs and plans
+@query("v14_impossible_policies", "SELECT p_brand AS axis, sum(least_n)::BIGINT AS least_n, sum(n)::BIGINT AS size FROM (SELECT p_brand, p_type, count(*) AS n, ceil(count(*) / 2.0) + 1 AS least_n FROM part GROUP BY 1, 2) GROUP BY 1 HAVING sum(least_n) > 0.6 * sum(n)")
+def impossible_policies(spark, sf_dir):
+    """Axes whose minima sum up to more than the size of the selection."""
+    each = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("axis"), "p_type").agg(F.count(F.lit(1)).alias("n"), (F.ceil(F.count(F.lit(1)) / 2) + 1).alias("m"))
+    return each.groupBy("axis").agg(F.sum("m").alias("least_n"), F.sum("n").alias("size")).where("least_n > 0.6 * size")
+
+
+@query("t25_share_minus_half", f"SELECT nation, CASE WHEN n >= 10 THEN round(k / n::DOUBLE - 0.5, 8) END AS value, CASE WHEN n >= 10 THEN round({WLO('k', 'n')} - 0.5, 8) END AS lo, CASE WHEN n >= 10 THEN round({WHI('k', 'n')} - 0.5, 8) END AS hi FROM ({_DEBT})")
+def share_minus_half(spark, sf_dir):
+    lo, hi = stats.wilson(F.col("k"), F.col("n"))
+    shown = lambda c: F.when(F.col("n") >= stats.SUPPRESS, c - 0.5)
+    return rounded(debts(spark, sf_dir).select("nation", shown(F.col("k") / F.col("n")).alias("value"), shown(lo).alias("lo"), shown(hi).alias("hi")))
+
+
+@query("l08_unmodified_estimates", f"SELECT nation, nation % 5 <> 0 AS accepted FROM ({_DEBT})")
+def unmodified_estimates(spark, sf_dir):
+    """Estimates handed in are accepted if this session made them and no value has changed; every fifth one was changed."""
+    made = debts(spark, sf_dir).withColumn("seal", families.digest(F.col("nation"), F.col("n"), F.col("k")))
+    given = made.select("nation", families.digest(F.col("nation"), F.col("n"), F.when(F.col("nation") % 5 == 0, F.col("k") + 1).otherwise(F.col("k"))).alias("seal"))
+    return given.join(made.select("nation", "seal", F.lit(True).alias("ok")), ["nation", "seal"], "left").select("nation", F.coalesce("ok", F.lit(False)).alias("accepted"))
+
+
+@query("g03_canonical_measures", "SELECT DISTINCT sha256('[\"' || CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 'share' ELSE 'top_box' END || '\", \"' || o_orderpriority || '\", \"' || o_orderstatus || '\"]') AS measure FROM orders")
+def canonical_measures(spark, sf_dir):
+    """One hash for each measure: its kind, its answer and its group."""
+    kind = F.when(F.col("o_orderpriority") == "4-NOT SPECIFIED", "share").otherwise("top_box")
+    return table(spark, sf_dir, "orders").select(kind.alias("kind"), "o_orderpriority", "o_orderstatus").distinct().select(families.digest(F.col("kind"), F.col("o_orderpriority"), F.col("o_orderstatus")).alias("measure"))
+
+
+@query("g08_study_seeds", "SELECT c_custkey, ('0x' || substr(sha256('[\"seed\", \"' || c_custkey || '\"]'), 1, 8))::BIGINT AS seed FROM customer")
+def study_seeds(spark, sf_dir):
+    h = families.digest(F.lit("seed"), F.col("c_custkey"))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.conv(F.substring(h, 1, 8), 16, 10).cast("long").alias("seed"))
+
+
+@query("u03_aliases", REFS + "SELECT p_partkey, id AS variable, CASE WHEN id IS NULL THEN 'UnknownAlias' ELSE '' END AS error FROM part LEFT JOIN ref ON p_size = reference")
+def aliases(spark, sf_dir):
+    """Integer aliases become variables; one that stands for none is a row with its error."""
+    refs = numeric_references(spark, sf_dir).select(F.col("reference").alias("p_size"), F.col("id").alias("variable"))
+    return table(spark, sf_dir, "part").select("p_partkey", "p_size").join(refs.hint("merge"), "p_size", "left").select("p_partkey", "variable", F.when(F.col("variable").isNull(), "UnknownAlias").otherwise("").alias("error"))
