@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -45,9 +46,10 @@ def write_jsonl(df: DataFrame, path: str, by: list[str] | None = None) -> None:
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(name, sha256) of all data files below a folder."""
+    """(name, sha256) of all data files below a folder; the name is the path from there, as files of different folders may be named alike."""
+    root = re.sub("^[a-z0-9]+:(//[^/]*)?", "", path).rstrip("/") + "/"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
-    return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.sha2("content", 256).alias("sha256"))
+    return files.select(F.element_at(F.split("path", re.escape(root), 2), -1).alias("name"), F.sha2("content", 256).alias("sha256"))
 
 
 def verify(spark: SparkSession, path: str, expected: DataFrame) -> DataFrame:

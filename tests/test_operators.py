@@ -49,6 +49,11 @@ def test_files(spark, tmp_path):
     assert files.read_jsonl(spark, str(tmp_path / "none"), "id int").count() == 0
     listed = files.manifest(spark, path)
     assert files.verify(spark, path, listed).isEmpty() and not files.verify(spark, path, listed.withColumn("sha256", F.lit("x"))).isEmpty()
+    parted = str(tmp_path / "parted")
+    df.coalesce(1).write.partitionBy("id").json(parted)  # both folders have a file of the same name
+    both = files.manifest(spark, parted).collect()
+    assert len({r.name for r in both}) == 2 and all(r.name.startswith("id=") for r in both)
+    assert files.verify(spark, parted, files.manifest(spark, parted)).isEmpty()
     torn = tmp_path / "torn.jsonl"
     torn.write_text('{"id": 1}\n\n{"id": 2}\n{"id": 3')
     assert sorted(r.id for r in files.read_torn(spark, str(torn), "id int").collect()) == [1, 2]
