@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywright.llm import exact_dedup, mixing, packing, simhash_dedup, toxicity
+from tallywright.llm import exact_dedup, mixing, near_copies, packing, toxicity
 from tallywright.llm.common import materialize
 from tallywright.llm.queries import tokenizer
 
@@ -31,10 +31,9 @@ def no_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least identifier of each group of near copies.
 
-    Fingerprints are of the distinct words, which an edit changes less than word shingles, within 5 bits; a
-    link counts if the texts share 0.8 or more of their five-word shingles.
+    Near copies share 0.8 or more of their five-word shingles (Jaccard); a prefix filter finds all such pairs.
     """
-    found = simhash_dedup.simhash_dedup(docs, word_set=True, radius=5, shingle=5, similarity=0.8)
+    found = near_copies.near_copies(docs, shingle=5, similarity=0.8)
     return only(docs, found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 

@@ -1,0 +1,151 @@
+"""Near copies by Jaccard similarity of word shingles: prefix filtering finds every pair, and each pair is checked."""
+
+from __future__ import annotations
+
+import hashlib
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from .common import materialize
+from .components import connected_components
+
+#: Slots of the table of shingle counts, and about how many texts are counted. Both change the order of keys only, never the result.
+SLOTS, COUNTED = 1 << 19, 10_000
+
+
+def shingles(text: str, shingle: int) -> np.ndarray:
+    """The sorted distinct hashes (XXH64, seed 42) of a text's word shingles; a shorter text is one shingle."""
+    import xxhash
+
+    found = text.encode().lower().split()  # bytes: only A-Z are lowered, only space and 0x09-0x0D split
+    joined, k, h = b" ".join(found), min(shingle, len(found)), xxhash.xxh64_intdigest
+    if not k:
+        return np.array([h(b"", 42)], dtype="uint64")
+    ends = np.cumsum(np.fromiter(map(len, found), "int64", len(found)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    return np.unique(np.array([h(joined[a:b], 42) for a, b in zip(starts.tolist(), ends[k - 1 :].tolist(), strict=False)], dtype="uint64"))
+
+
+def node_of(found: np.ndarray) -> int:
+    """The number of a set of shingles: the first 64 bits of its SHA-256, signed."""
+    return int.from_bytes(hashlib.sha256(found.astype("<u8").tobytes()).digest()[:8], "little", signed=True)
+
+
+def prefix(found: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
+    """The keys of a set: its rarest shingles, so many that any set of that similarity shares one of them among its own."""
+    n = len(found)
+    order = np.lexsort((found, counts[found % np.uint64(len(counts))]))  # any fixed order of all shingles would do
+    return found[order[: n - int(np.ceil(least * n - 1e-9)) + 1]].view("int64")
+
+
+def shingle_counts(texts: DataFrame, shingle: int) -> np.ndarray:
+    """About how common shingles are, by slot: in all texts, or in about COUNTED of them, chosen by hash."""
+    share = max(1, texts.count() // COUNTED)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        slots = np.zeros(SLOTS, dtype="int64")
+        for batch in batches:
+            for text in batch["text"]:
+                np.add.at(slots, (shingles(text, shingle) % np.uint64(SLOTS)).astype("int64"), 1)
+        at = np.flatnonzero(slots)
+        yield pd.DataFrame({"slot": at, "n": slots[at]})
+
+    each = texts.where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).select("text").mapInPandas(count, "slot long, n long")
+    found = each.groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # at most SLOTS rows
+    counts = np.zeros(SLOTS, dtype="int32")
+    counts[found["slot"].to_numpy(dtype="int64")] = found["n"].to_numpy(dtype="int64")
+    return counts
+
+
+def similar(pairs: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """The pairs (u, v) of nodes whose sets of shingles have a Jaccard similarity of at least so much."""
+    pairs = materialize(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u < v").distinct(), "pairs")
+    ends = materialize(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "ends")
+    ids = classes.join(ends.hint("merge"), "node", "left_semi").select(F.col("rep").alias("_id")).distinct()
+
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [shingles(t, shingle) for t in batch["text"]]
+            yield pd.DataFrame({"node": np.array([node_of(s) for s in found], dtype="int64"), "s": [s.view("int64") for s in found]})
+
+    made = texts.join(ids.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text").mapInPandas(sets, "node long, s array<long>")
+    made = materialize(made.join(ends.hint("merge"), "node", "left_semi").dropDuplicates(["node"]), "shingles")
+    both = pairs.join(made.select(F.col("node").alias("u"), F.col("s").alias("a")).hint("merge"), "u").join(made.select(F.col("node").alias("v"), F.col("s").alias("b")).hint("merge"), "v")
+    # sets are distinct and sorted
+
+    @F.pandas_udf("boolean")
+    def near(a: pd.Series, b: pd.Series) -> pd.Series:
+        def one(x: np.ndarray, y: np.ndarray) -> bool:
+            common = len(np.intersect1d(x, y, assume_unique=True))
+            return common + 1e-9 >= least * (len(x) + len(y) - common)
+
+        return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
+
+    return materialize(both.where(near("a", "b")).select("u", "v"), "similar")
+
+
+def block_pairs(shared: DataFrame, least: float, block: int = 1024) -> DataFrame:
+    """All pairs (u, v) of rows (key, node, n, component) that share a key but no component, and whose sizes allow the similarity.
+
+    A key of more than a block of rows is dealt into blocks, and each pair of blocks is a key of its own.
+    """
+    open_ = shared.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    rows = shared.join(open_.select("key", F.ceil(F.col("k") / F.lit(block)).cast("int").alias("g")).hint("merge"), "key").withColumn("i", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
+    # the block pair (i, j), i <= j, has the rows of both blocks
+    dealt = materialize(rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).select("key", "node", "n", "component", "i", F.least("i", "o").alias("p"), F.greatest("i", "o").alias("q")), "blocks")
+    a, b = (dealt.select("key", "p", "q", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "component", "i")]) for x in "ab")
+    both = a.join(b.hint("merge"), ["key", "p", "q"]).where("node_a < node_b and component_a != component_b and (p = q or i_a != i_b)")
+    return both.where(F.least("n_a", "n_b") + F.lit(1e-9) >= F.lit(least) * F.greatest("n_a", "n_b")).select(F.col("node_a").alias("u"), F.col("node_b").alias("v"))
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, fingerprint: Callable[[str], int] | None = None) -> DataFrame:
+    """Groups near copies; one row per input row: doc_id, component_id, and fp if a fingerprint is given.
+
+    Two documents are linked if their sets of word shingles have at least that Jaccard similarity, and
+    component_id is the least identifier that links reach. No such pair is missed: two sets that similar share
+    one of their first n - ceil(similarity * n) + 1 shingles in any order of all shingles (prefix filter), so each text
+    gives these keys, and texts of a common key are compared. The rarest come first, so that passages of many texts
+    make few keys. Null, empty and blank text is one set. A null identifier takes its class's component, which is null
+    if no identifier is reached. An empty table gives an empty result; other columns are ignored.
+
+    Equal sets are one class. Neighbours in size of each key are compared first; what they join isn't compared
+    pair by pair, as its component is known, so a large group of near copies costs few comparisons.
+    """
+    spark = docs.sparkSession
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    counts = spark.sparkContext.broadcast(shingle_counts(texts, shingle))
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()  # of one partition, whose size Spark bounds
+        for batch in batches:
+            nodes, sizes, ks = [], [], []
+            for text in batch["text"]:
+                found = shingles(text, shingle)
+                nodes.append(node := node_of(found))
+                sizes.append(len(found))
+                ks.append(None if node in seen else prefix(found, counts.value, similarity))
+                seen.add(node)
+            out = pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "node": nodes, "n": sizes, "ks": ks, "run": 0})
+            yield out.assign(fp=[fingerprint(t) for t in batch["text"]] if fingerprint else 0)
+
+    rows = materialize(texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(keys, "doc_id long, node long, n int, ks array<long>, run int, fp long").withColumn("run", F.spark_partition_id()), "prefixes")
+    local = rows.groupBy("run", "node").agg(F.min("doc_id").alias("rep"))
+    classes = materialize(local.groupBy("node").agg(F.min("rep").alias("rep")), "classes")
+    by = W.partitionBy("key").orderBy("n", "node")
+    each = rows.where("ks is not null").select("node", "n", F.explode("ks").alias("key"))
+    beside = each.withColumn("before", F.lag("node").over(by)).withColumn("after", F.lead("node").over(by))
+    shared = materialize(beside.where("before is not null or after is not null"), "shared")
+    edges = similar(shared.where("before is not null and before != node").select(F.col("before").alias("u"), F.col("node").alias("v")), classes, texts, shingle, similarity)
+    known = materialize(connected_components(edges), "known")
+    placed = shared.select("key", "node", "n").distinct().join(known.hint("merge"), "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
+    more = similar(block_pairs(materialize(placed, "placed"), similarity), classes, texts, shingle, similarity)
+    found = classes.join(connected_components(edges.unionByName(more)).hint("merge"), "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
+    found = materialize(found, "found")
+    named = found.join(found.groupBy("component").agg(F.min("rep").alias("component_id")).hint("merge"), "component").select("node", "component_id")
+    by_run = local.select("run", "node").join(named.hint("merge"), "node")
+    return rows.join(by_run.hint("merge"), ["run", "node"]).select("doc_id", "component_id", *["fp"] * bool(fingerprint))

@@ -7,7 +7,7 @@ from collections import defaultdict
 
 import pytest
 
-from tallywright.llm import exact_dedup, line_dedup, lm_score, mixing, packing, pii, quality_rules, simhash_dedup, token_counts, toxicity
+from tallywright.llm import exact_dedup, line_dedup, lm_score, mixing, near_copies, packing, pii, quality_rules, simhash_dedup, token_counts, toxicity
 
 P = pytest.importorskip("public_tokenizers")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, fp long, run int, node int, component long"
@@ -133,6 +133,42 @@ def test_near_dedup_by_words(docs):
     assert got[n - 1] == got[n] == got[n - 2] == n - 2
 
 
+def jaccard_groups(texts, least):
+    """Brute force: the least index of each text's component."""
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    group = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 5 * least * len(sets[i] | sets[j]) - 1e-9 and group[i] != group[j]:
+                a, b = sorted((group[i], group[j]))
+                group = [a if g == b else g for g in group]
+    return group
+
+
+def test_near_copies_are_all_found(spark, docs, empty):
+    rng = random.Random(8)
+    vocab = [f"w{i}" for i in range(200)]
+    texts = [t or "" for i, t, *_ in make() if i is not None][:-1]
+    for n in (5, 9, 20, 60, 110, 150, 200):
+        for _ in range(12):
+            base = rng.choices(vocab, k=n)
+            texts.append(" ".join(base))
+            for edits in (1, 2, 3, 4):
+                new = list(base)
+                for _ in range(edits * n // 60 + 1):
+                    new[rng.randrange(n)] = rng.choice(vocab)
+                texts.append(" ".join(new))
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    group = jaccard_groups(texts, 0.8)
+    apart = sum(1 for i, g in enumerate(group) if g != i and ((simhash_dedup.fingerprint(texts[i], 5, True) ^ simhash_dedup.fingerprint(texts[g], 5, True)) & ((1 << 64) - 1)).bit_count() > 5)
+    assert apart  # links that fingerprints within 5 bits don't show
+    assert {r.doc_id: r.component_id for r in near_copies.near_copies(d).collect()} == dict(enumerate(group))
+    assert near_copies.near_copies(docs).count() == len(make()) and near_copies.near_copies(empty).count() == 0
+
+
 def test_line_dedup(docs, empty):
     lines = sorted({((-1 if r[0] is None else r[0]), i, x) for r in make() for i, x in enumerate((r[1] or "").split("\n")) if x.encode().split()})
     words = lambda x: [w.decode() for w in x.encode().split()]
