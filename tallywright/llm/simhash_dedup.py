@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, shuffle_partitions
 from .components import connected_components
+from .near_copies import near_copies
 
 #: Shingle hashes whose bits are counted at once.
 CHUNK = 1 << 14
@@ -141,46 +142,25 @@ def links(classes: DataFrame, radius: int, bucket: int = 4096) -> DataFrame:
     return edges.unionByName(pairs.groupBy("key", "i", "j").applyInPandas(pair, "u long, v long"))
 
 
-def verified(edges: DataFrame, docs: DataFrame, shingle: int, least: float, id_col: str, text_col: str) -> DataFrame:
-    """The edges whose texts have a Jaccard similarity of word shingles of at least so much."""
-    ends = edges.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-
-    @F.pandas_udf("array<long>")
-    def shingles(texts: pd.Series) -> pd.Series:
-        import xxhash
-
-        def of(text: str) -> list[int]:
-            w = text.encode().lower().split()
-            return [x - (1 << 64) if x >> 63 else x for x in {xxhash.xxh64_intdigest(b" ".join(w[i : i + shingle]), 42) for i in range(max(1, len(w) - shingle + 1))}]
-
-        return texts.map(of)
-
-    sets = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(ends.hint("merge"), "id", "left_semi").select("id", shingles("t").alias("s"))
-    sets = materialize(sets.dropDuplicates(["id"]), "shingles")
-    both = edges.distinct().join(sets.select(F.col("id").alias("u"), F.col("s").alias("a")).hint("merge"), "u").join(sets.select(F.col("id").alias("v"), F.col("s").alias("b")).hint("merge"), "v")
-    common = F.size(F.array_intersect("a", "b"))
-    return both.where(common >= F.lit(least) * (F.size("a") + F.size("b") - common)).select("u", "v")
-
-
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, word_set: bool = False, similarity: float | None = None) -> DataFrame:
     """Groups near copies; one row per input row: doc_id, fingerprint (16 hex digits), component_id.
 
     Two documents are linked if their fingerprints differ in at most radius bits, and component_id is the least
-    identifier that links reach. With similarity, a link between different fingerprints must also have
-    that Jaccard similarity of word shingles. Null, empty and blank text has fingerprint zero and is linked like any
+    identifier that links reach. With similarity, a link is instead a Jaccard similarity of word shingles of at
+    least so much, whatever the fingerprints and the radius. Null, empty and blank text has fingerprint zero and is linked like any
     other. A null identifier takes its class's component, which is null if the class has no identifier at all.
     Repeated rows share a component. An empty table gives an empty result; other columns are ignored.
 
     Equal fingerprints are one class, found by run and then across runs, so a class with a third of all rows
     is spread over many tasks in either direction.
     """
+    if similarity is not None:
+        found = near_copies(docs, id_col, text_col, shingle, similarity, lambda t: fingerprint(t, shingle, word_set))
+        return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
     rows = materialize(fingerprints(docs, shingle, word_set, shuffle_partitions(docs.sparkSession), id_col, text_col), "fingerprints")
     local = rows.groupBy("run", "fp").agg(F.min("doc_id").alias("rep"))
     classes = materialize(local.groupBy("fp").agg(F.min("rep").alias("rep")), "classes")
-    edges = links(classes, radius)
-    if similarity is not None:
-        edges = verified(edges, docs, shingle, similarity, id_col, text_col)
-    found = connected_components(edges)
+    found = connected_components(links(classes, radius))
     named = classes.join(found.hint("merge"), F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     by_run = local.select("run", "fp").join(named.hint("merge"), "fp")
     return rows.join(by_run.hint("merge"), ["run", "fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -169,6 +169,16 @@ def test_near_copies_are_all_found(spark, docs, empty):
     assert near_copies.near_copies(docs).count() == len(make()) and near_copies.near_copies(empty).count() == 0
 
 
+def test_links_are_checked_before_they_are_thinned(spark):
+    base = [f"w{i}" for i in range(100)]
+    mixed = random.Random(1).sample(base, 100)
+    texts = [mixed, base, [*base[:50], "changed", *base[51:]], mixed[::-1]]
+    assert len({simhash_dedup.fingerprint(" ".join(texts[i]), 5, True) for i in (0, 1, 3)}) == 1
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = simhash_dedup.simhash_dedup(d, word_set=True, radius=5, shingle=5, similarity=0.8)
+    assert {r.doc_id: r.component_id for r in found.collect()} == {0: 0, 1: 1, 2: 1, 3: 3}  # equal fingerprints aren't links, and the least of a class doesn't stand for it
+
+
 def test_line_dedup(docs, empty):
     lines = sorted({((-1 if r[0] is None else r[0]), i, x) for r in make() for i, x in enumerate((r[1] or "").split("\n")) if x.encode().split()})
     words = lambda x: [w.decode() for w in x.encode().split()]
