@@ -50,11 +50,12 @@ def take_by_hash(df: DataFrame, stratum: str, key: str, seed: int, limit: Column
     return df.withColumn("place", place).where(F.col("place") <= limit).drop("place")
 
 
-def select_disjoint(candidates: DataFrame, rounds: int = 4) -> DataFrame:
+def select_disjoint(candidates: DataFrame, most_rounds: int = 1000) -> DataFrame:
     """(id) of candidates (id, score, core) such that no two share a core.
 
     Each round takes every candidate that is the best of all that share one of its cores, and drops those that
-    share a core with a taken one. The same guarantees as a greedy pass, without its order. Every round is
+    share a core with a taken one, until no candidate is left: what isn't taken shares a core with a taken one.
+    Every round takes one or more; most_rounds only guards against an error and raises. Every round is
     written to the shared folder, so the next one doesn't repeat it.
     """
     spark = candidates.sparkSession
@@ -64,12 +65,16 @@ def select_disjoint(candidates: DataFrame, rounds: int = 4) -> DataFrame:
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 
-    left, taken = written(candidates), None
-    for _ in range(rounds):
+    left, taken = written(candidates.where("id is not null and core is not null")), None
+    for _ in range(most_rounds):
+        if taken is not None and left.isEmpty():
+            break
         best = left.groupBy("core").agg(F.min_by("id", F.struct(-F.col("score"), F.col("id"))).alias("best"))
         mine = left.join(best.hint("merge"), "core").groupBy("id").agg(F.bool_and(F.col("best") == F.col("id")).alias("won")).where("won").select("id")
         won = written(left.join(mine.hint("merge"), "id"))
         taken = won if taken is None else taken.unionByName(won)
         hit = left.join(won.select("core").distinct().hint("merge"), "core", "left_semi").select("id").distinct()
         left = written(left.join(hit.hint("merge"), "id", "left_anti"))
+    else:
+        raise RuntimeError(f"candidates are left after {most_rounds} rounds")
     return taken.select("id").distinct()

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from tallywright.operators import answers, audits, families
@@ -41,6 +42,15 @@ def test_quotas_and_selection(spark):
     assert {r.id for r in families.select_disjoint(c).collect()} == {"x", "z"}
 
 
+def test_selection_goes_on_until_no_candidate_is_left(spark):
+    n = 14  # a chain: each round takes one
+    c = spark.createDataFrame([(i, float(n - i), k) for i in range(n) for k in (i, i + 1)], "id long, score double, core int")
+    assert {r.id for r in families.select_disjoint(c).collect()} == set(range(0, n, 2))
+    with pytest.raises(RuntimeError):
+        families.select_disjoint(c, most_rounds=3)
+    assert families.select_disjoint(c.limit(0)).count() == 0
+
+
 def test_files(spark, tmp_path):
     path = str(tmp_path / "out")
     df = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
