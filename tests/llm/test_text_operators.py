@@ -288,6 +288,25 @@ def test_disguises(text, kind):
     assert text[a] not in " \n" and text[b - 1] not in " \n"
 
 
+@pytest.mark.parametrize(
+    "number",
+    [
+        "Plus Four Nine One Five One Two Three Four Five Six",
+        "PLUS FOUR NINE ONE FIVE ONE TWO THREE FOUR FIVE SIX",
+        "plus-four-nine-one-five-one-two-three-four-five-six",
+        "plus, one, two, six, one, two, six, one, two, six",
+        "plus\none\ntwo\nsix\none\ntwo\nsix\none\ntwo\nsix",
+        "plus neun acht sechs fünf acht neun sechs fünf acht neun",
+        "plus cinq huit neuf cinq huit neuf un deux cinq huit",
+        "plus cinco ocho nueve cinco ocho nueve uno dos cinco ocho",
+    ],
+)
+def test_spelled_numbers_in_any_form(number):
+    text = f"call {number} today"
+    base, added = pii.spans(text)
+    assert not base and [(pii.KINDS[k], text[a:b]) for k, a, b in added] == [("phone", number)]
+
+
 def test_pii_base(docs, empty, spark):
     import re
 
