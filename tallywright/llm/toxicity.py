@@ -20,9 +20,10 @@ def features(text: str) -> set[str]:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, categories: dict[str, str], most: int, id_col: str, text_col: str) -> DataFrame:
-    """The labelled documents to learn from: at most so many, those with the least hash of the identifier."""
+    """The labelled documents to learn from: at most so many of those in docs, those with the least hash of the identifier."""
     ys = [F.expr(e).cast("int").alias(c) for c, e in categories.items()]
-    chosen = labels.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id"), *ys).dropna().dropDuplicates(["_id"]).orderBy(F.xxhash64("_id"), "_id").limit(most)
+    known = labels.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id"), *ys).dropna().dropDuplicates(["_id"])
+    chosen = known.join(docs.select(F.col(id_col).alias("_id")).hint("merge"), "_id", "left_semi").orderBy(F.xxhash64("_id"), "_id").limit(most)
     return docs.join(F.broadcast(chosen), F.col(id_col) == F.col("_id")).select("_id", F.coalesce(F.col(text_col), F.lit("")).alias("text"), *categories)  # at most `most` rows
 
 
@@ -93,7 +94,7 @@ def fit_chain(columns: list[np.ndarray], ys: np.ndarray, fold: np.ndarray, width
 CATEGORIES = {"low_quality": "1 - quality", "toxic": "toxic", "toxic_low_quality": "toxic * (1 - quality)"}
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None = None, reject: str = "toxic", id_col: str = "doc_id", text_col: str = "text", most: int = 8_000, folds: int = 3, least_docs: int = 5, least_chi2: float = 40.0, most_features: int = 400, ridge: float = 0.2, steps: int = 250, cut: float = 0.5) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None = None, reject: str = "toxic", id_col: str = "doc_id", text_col: str = "text", most: int = 8_000, folds: int = 3, least_docs: int = 3, least_chi2: float = 10.8, most_features: int = 400, ridge: float = 0.2, steps: int = 250, cut: float = 0.5) -> DataFrame:
     """One row per input row: doc_id, p_<category> for each category of the chain, rejected.
 
     rejected: the probability of the category reject is at least cut. Learning uses at most `most` labelled rows, whatever

@@ -335,6 +335,18 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.toxicity(docs, labels.limit(0)).where("rejected").count() == 0 and toxicity.toxicity(empty, labels).count() == 0
 
 
+def test_toxic_words_of_a_small_sample(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(160):
+        bad = i % 8 == 0
+        rows.append((i, " ".join([*(f"w{rng.randrange(3000)}" for _ in range(40)), *([["idiot", "scum", "moron"][i // 8 % 3]] if bad else [])]), bad))
+    d = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(b)) for i, _, b in rows if i < 80] + [(10_000 + i, 1, 0) for i in range(400)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.rejected for r in toxicity.toxicity(d, labels, most=100).collect()}
+    assert all(got[i] == b for i, _, b in rows)  # each word is in three or four of ten toxic texts, and most labels have no text
+
+
 def test_address_of_many_zeros():
     from tallywright.llm import pii
 
