@@ -14,6 +14,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -249,8 +250,10 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, id_col: str = "doc_i
     """
     rows = materialize(pieces(docs, tokenizer, size, id_col, text_col), "pieces")
     order = F.struct("doc_id", "piece", "ids_crc32", "length")
-    # rows that repeat a document get a number, as items must differ
+    # pieces of one name and length get a number, as items must differ: rows that repeat a document, or texts without an identifier
     twins = rows.groupBy("doc_id", "piece", "start", "length", "ids_crc32").agg(F.count(F.lit(1)).alias("n")).withColumn("dup", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int")))).drop("n")
+    by = W.partitionBy("doc_id", "piece", "length").orderBy("start", "ids_crc32", "dup")
+    twins = twins.withColumn("dup", F.row_number().over(by) - 1)
     twins = materialize(twins, "items")
     n = twins.where(F.col("length") < size).count()
 
@@ -271,8 +274,6 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, id_col: str = "doc_i
 
 def place(twins: DataFrame, placed: DataFrame, size: int) -> DataFrame:
     """Joins items to their sequences and lays the items of a sequence end to end."""
-    from pyspark.sql import Window as W
-
     alone = twins.where(F.col("length") >= size).select("doc_id", "piece", "start", "length", "ids_crc32", (F.xxhash64("doc_id", "piece", "dup", "ids_crc32").bitwiseAND(F.lit((1 << 61) - 1)) * 4 + 2).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("doc_id", "piece", "dup", "length")]
     joined = twins.where(F.col("length") < size).alias("a").join(placed.hint("merge").alias("b"), same[0] & same[1] & same[2] & same[3]).select("a.*", "b.sequence_id")

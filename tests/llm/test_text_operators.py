@@ -84,6 +84,12 @@ def test_packing(docs, empty):
     assert packing.pack(empty, P.path("byte_bpe_50k.json")).count() == 0
 
 
+def test_packing_of_null_identifiers(spark):
+    d = spark.createDataFrame([(None, "one two three"), (None, "two three one"), (None, "three one two"), (7, "one two three"), (7, "three two one")], "doc_id long, text string")
+    got = packing.pack(d, P.path("byte_bpe_50k.json")).collect()
+    assert len(got) == 5 and len({(r.sequence_id, r.offset) for r in got}) == 5 and len({(r.doc_id, r.ids_crc32) for r in got}) == 5
+
+
 @pytest.mark.parametrize("radius", [4])
 def test_simhash(docs, empty, radius):
     fp = {r[0]: simhash_dedup.fingerprint(r[1] or "", 4) for r in make() if r[0] is not None}
