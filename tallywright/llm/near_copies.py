@@ -16,6 +16,8 @@ from .components import connected_components
 
 #: Slots of the table of shingle counts, and about how many texts are counted. Both change the order of keys only, never the result.
 SLOTS, COUNTED = 1 << 19, 10_000
+#: Bits of a set's parities.
+BITS = 512
 
 
 def shingles(text: str, shingle: int) -> np.ndarray:
@@ -43,6 +45,11 @@ def prefix(found: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
     return found[order[: n - int(np.ceil(least * n - 1e-9)) + 1]].view("int64")
 
 
+def parity(found: np.ndarray) -> bytes:
+    """BITS bits: each is the parity of the shingles that fall on it, so two sets differ in at least as many shingles as bits."""
+    return np.packbits(np.bincount(((found >> np.uint64(24)) % np.uint64(BITS)).astype("int64"), minlength=BITS) & 1).tobytes()
+
+
 def shingle_counts(texts: DataFrame, shingle: int) -> np.ndarray:
     """About how common shingles are, by slot: in all texts, or in about COUNTED of them, chosen by hash."""
     share = max(1, texts.count() // COUNTED)
@@ -62,9 +69,22 @@ def shingle_counts(texts: DataFrame, shingle: int) -> np.ndarray:
     return counts
 
 
-def similar(pairs: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
-    """The pairs (u, v) of nodes whose sets of shingles have a Jaccard similarity of at least so much."""
-    pairs = materialize(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u < v").distinct(), "pairs")
+def similar(pairs: DataFrame, marks: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """The pairs (u, v) of nodes whose sets of shingles have a Jaccard similarity of at least so much.
+
+    Sets of that similarity differ in at most (1 - least) / (1 + least) of their joint size, so pairs whose parities differ
+    in more bits are out before the sets are joined to them.
+    """
+    once = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u < v").distinct()
+
+    @F.pandas_udf("boolean")
+    def maybe(a: pd.Series, b: pd.Series, size: pd.Series) -> pd.Series:
+        x, y = (np.frombuffer(b"".join(c), dtype="<u8").reshape(len(c), -1) for c in (a, b))
+        return pd.Series(np.bitwise_count(x ^ y).sum(axis=1) <= size.to_numpy() * (1 - least) / (1 + least) + 1e-9)
+
+    mark = lambda x, node: marks.select(F.col("node").alias(node), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")).hint("merge")
+    pairs = once.join(mark("a", "u"), "u").join(mark("b", "v"), "v").where(maybe("bits_a", "bits_b", F.col("n_a") + F.col("n_b")))
+    pairs = materialize(pairs.select("u", "v").distinct(), "pairs")
     ends = materialize(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "ends")
     ids = classes.join(ends.hint("merge"), "node", "left_semi").select(F.col("rep").alias("_id")).distinct()
 
@@ -90,17 +110,21 @@ def similar(pairs: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int
 
 
 def block_pairs(shared: DataFrame, least: float, block: int = 1024) -> DataFrame:
-    """All pairs (u, v) of rows (key, node, n, component) that share a key but no component, and whose sizes allow the similarity.
+    """All pairs (u, v) of rows (key, node, n, at, component) that share a key but no component, and whose sizes allow the similarity.
+
+    at is the key's place in the order of the set. What the key and the rest behind it could have in common must be
+    enough; this holds for the first common key of every pair that is similar.
 
     A key of more than a block of rows is dealt into blocks, and each pair of blocks is a key of its own.
     """
     open_ = shared.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
     rows = shared.join(open_.select("key", F.ceil(F.col("k") / F.lit(block)).cast("int").alias("g")).hint("merge"), "key").withColumn("i", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
     # the block pair (i, j), i <= j, has the rows of both blocks
-    dealt = materialize(rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).select("key", "node", "n", "component", "i", F.least("i", "o").alias("p"), F.greatest("i", "o").alias("q")), "blocks")
-    a, b = (dealt.select("key", "p", "q", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "component", "i")]) for x in "ab")
+    dealt = materialize(rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).select("key", "node", "n", "at", "component", "i", F.least("i", "o").alias("p"), F.greatest("i", "o").alias("q")), "blocks")
+    a, b = (dealt.select("key", "p", "q", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "at", "component", "i")]) for x in "ab")
     both = a.join(b.hint("merge"), ["key", "p", "q"]).where("node_a < node_b and component_a != component_b and (p = q or i_a != i_b)")
-    return both.where(F.least("n_a", "n_b") + F.lit(1e-9) >= F.lit(least) * F.greatest("n_a", "n_b")).select(F.col("node_a").alias("u"), F.col("node_b").alias("v"))
+    enough = F.least(F.expr("n_a - at_a"), F.expr("n_b - at_b")) + F.lit(1e-9) >= F.lit(least / (1 + least)) * F.expr("n_a + n_b")
+    return both.where(enough).where(F.least("n_a", "n_b") + F.lit(1e-9) >= F.lit(least) * F.greatest("n_a", "n_b")).select(F.col("node_a").alias("u"), F.col("node_b").alias("v"))
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, fingerprint: Callable[[str], int] | None = None) -> DataFrame:
@@ -123,27 +147,29 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()  # of one partition, whose size Spark bounds
         for batch in batches:
-            nodes, sizes, ks = [], [], []
+            nodes, sizes, ks, bits = [], [], [], []
             for text in batch["text"]:
                 found = shingles(text, shingle)
                 nodes.append(node := node_of(found))
                 sizes.append(len(found))
                 ks.append(None if node in seen else prefix(found, counts.value, similarity))
+                bits.append(None if node in seen else parity(found))
                 seen.add(node)
-            out = pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "node": nodes, "n": sizes, "ks": ks, "run": 0})
+            out = pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "node": nodes, "n": sizes, "ks": ks, "bits": bits, "run": 0})
             yield out.assign(fp=[fingerprint(t) for t in batch["text"]] if fingerprint else 0)
 
-    rows = materialize(texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(keys, "doc_id long, node long, n int, ks array<long>, run int, fp long").withColumn("run", F.spark_partition_id()), "prefixes")
+    rows = materialize(texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(keys, "doc_id long, node long, n int, ks array<long>, bits binary, run int, fp long").withColumn("run", F.spark_partition_id()), "prefixes")
     local = rows.groupBy("run", "node").agg(F.min("doc_id").alias("rep"))
     classes = materialize(local.groupBy("node").agg(F.min("rep").alias("rep")), "classes")
+    marks = rows.where("ks is not null").select("node", "n", "bits")
     by = W.partitionBy("key").orderBy("n", "node")
-    each = rows.where("ks is not null").select("node", "n", F.explode("ks").alias("key"))
+    each = rows.where("ks is not null").select("node", "n", F.posexplode("ks").alias("at", "key"))
     beside = each.withColumn("before", F.lag("node").over(by)).withColumn("after", F.lead("node").over(by))
     shared = materialize(beside.where("before is not null or after is not null"), "shared")
-    edges = similar(shared.where("before is not null and before != node").select(F.col("before").alias("u"), F.col("node").alias("v")), classes, texts, shingle, similarity)
+    edges = similar(shared.where("before is not null and before != node").select(F.col("before").alias("u"), F.col("node").alias("v")), marks, classes, texts, shingle, similarity)
     known = materialize(connected_components(edges), "known")
-    placed = shared.select("key", "node", "n").distinct().join(known.hint("merge"), "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
-    more = similar(block_pairs(materialize(placed, "placed"), similarity), classes, texts, shingle, similarity)
+    placed = shared.select("key", "node", "n", "at").distinct().join(known.hint("merge"), "node", "left").select("key", "node", "n", "at", F.coalesce("component", "node").alias("component"))
+    more = similar(block_pairs(materialize(placed, "placed"), similarity), marks, classes, texts, shingle, similarity)
     found = classes.join(connected_components(edges.unionByName(more)).hint("merge"), "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
     found = materialize(found, "found")
     named = found.join(found.groupBy("component").agg(F.min("rep").alias("component_id")).hint("merge"), "component").select("node", "component_id")
