@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,22 +14,32 @@ SPACES = "[ \\x09-\\x0D]+"
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: spark.checkpoint.dir, or a new local one where it is unset (tests)."""
+    """The shared folder for intermediate tables: spark.checkpoint.dir. On one machine (tests) a new local one where it is unset.
+
+    Tables stay there until whoever set the folder clears it, as lost executors may need them while the result is read.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         found = spark.sparkContext.getCheckpointDir()
     return found
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Writes df to the scratch folder and reads it back: the lineage ends there, and Spark knows its real size."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, column: str, name: str) -> DataFrame:
+    """df with a column of distinct numbers, one for each row; written out, so that a row keeps its number."""
+    return materialize(df.withColumn(column, F.monotonically_increasing_id()), name)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
