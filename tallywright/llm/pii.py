@@ -152,9 +152,11 @@ def disguised(text: str) -> list[tuple[int, int, int]]:
 def spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """The base spans of a text, and those that the transducers add; an added span overlaps no base span of its kind."""
     base = detect(text)
+    ends = [[(b, a) for k2, a, b in base if k2 == k] for k in range(len(KINDS))]  # in order, as spans of a kind don't overlap
     added: list[tuple[int, int, int]] = []
     for k, a, b in disguised(text):
-        if not any(k == k2 and a < b2 and a2 < b for k2, a2, b2 in base):
+        at = bisect_right(ends[k], (a, len(text)))  # the first that ends behind a
+        if at == len(ends[k]) or ends[k][at][1] >= b:
             added.append((k, a, b))
     return base, added
 
