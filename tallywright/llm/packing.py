@@ -17,9 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, numbered
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: Kinds of sequences, in the last bits of a sequence_id: packed in the first deal, packed in the second, one full piece.
+FIRST, SECOND, FULL = 0, 1, 2
 #: Words whose identifiers a Python worker remembers; the memory is emptied when full.
 REMEMBERED = 600_000
 #: Characters that are surely not white space for any library.
@@ -196,19 +198,18 @@ def evolve(lengths: list[int], elites: list[list[list[int]]], size: int, populat
 
 
 def islands(items: DataFrame, size: int, seed: int, n_islands: int, rounds: int, population: int, generations: int) -> DataFrame:
-    """Packs each shard of items (shard, doc_id, piece, length, dup): the best of its islands, with a bin number.
+    """Packs each shard of items (shard, item, length): the best of its islands, with a bin number.
 
     An island is one group of a shard's items. After each round its elite packing stays and also migrates to
     the next island of the shard, where the next round crosses the two.
     """
-    key = ["doc_id", "piece", "dup"]
-    schema = "shard long, island int, doc_id long, piece int, dup int, length long, bin int, worth0 long, worth1 long"
+    schema = "shard long, island int, item long, length long, bin int, worth0 long, worth1 long"
 
     def live(at: int):
         def one(keys: tuple, rows: pd.DataFrame) -> pd.DataFrame:
             shard, island = int(keys[0]), int(keys[1])
             rng = random.Random(f"{seed}/{shard}/{island}/{at}")
-            rows = rows.sort_values(["length", *key], ascending=[False, True, True, True])
+            rows = rows.sort_values(["length", "item"], ascending=[False, True])
             own = rows[rows["origin"] == island] if at else rows
             own = own.reset_index(drop=True)
             lengths = own["length"].tolist()
@@ -222,7 +223,7 @@ def islands(items: DataFrame, size: int, seed: int, n_islands: int, rounds: int,
             of = np.empty(len(lengths), dtype="int32")
             for b, x in enumerate(best.bins):
                 of[x] = b
-            return own[[*key, "length"]].assign(shard=shard, island=island, bin=of, worth0=best.worth()[0], worth1=best.worth()[1])[[c.split()[0] for c in schema.split(", ")]]
+            return own[["item", "length"]].assign(shard=shard, island=island, bin=of, worth0=best.worth()[0], worth1=best.worth()[1])[[c.split()[0] for c in schema.split(", ")]]
 
         return one
 
@@ -233,7 +234,7 @@ def islands(items: DataFrame, size: int, seed: int, n_islands: int, rounds: int,
         state = moved.groupBy("shard", "island").applyInPandas(live(at), schema)
     state = materialize(state, "islands")
     best = state.groupBy("shard").agg(F.min(F.struct("worth0", "worth1", "island")).alias("b")).select("shard", F.col("b.island").alias("island"))
-    return state.join(best.hint("merge"), ["shard", "island"]).select("shard", *key, "length", "bin")
+    return state.join(best.hint("merge"), ["shard", "island"]).select("shard", "item", "length", "bin")
 
 
 def pack(docs: DataFrame, tokenizer: str, size: int = 2048, id_col: str = "doc_id", text_col: str = "text", shard_items: int = 1024, n_islands: int = 2, rounds: int = 2, population: int = 4, generations: int = 8, well_filled: float = 0.97, seed: int = 7) -> DataFrame:
@@ -242,40 +243,27 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, id_col: str = "doc_i
     One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. Null text is empty and
     still has its closing identifier, so every row gives a piece; null identifiers stay null. Repeated rows are
     packed each. Only documents longer than size are cut. Other columns are ignored, and an empty table gives
-    an empty result. The result depends on the rows and seed alone, not on their partitioning.
+    an empty result. Pieces are told apart by a number of their own, so rows may share an identifier, a text or both;
+    which sequence a piece gets depends on these numbers, the rows and the seed.
 
     Items are dealt by hash into shards of about shard_items, so a task's memory doesn't grow with the input.
     What lies in bins under well_filled goes through a second deal across shards, so that the loss at the
     rim of a shard is made good; full pieces have a sequence of their own.
     """
-    rows = materialize(pieces(docs, tokenizer, size, id_col, text_col), "pieces")
-    order = F.struct("doc_id", "piece", "ids_crc32", "length")
-    # pieces of one name and length get a number, as items must differ: rows that repeat a document, or texts without an identifier
-    twins = rows.groupBy("doc_id", "piece", "start", "length", "ids_crc32").agg(F.count(F.lit(1)).alias("n")).withColumn("dup", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int")))).drop("n")
-    by = W.partitionBy("doc_id", "piece", "length").orderBy("start", "ids_crc32", "dup")
-    twins = twins.withColumn("dup", F.row_number().over(by) - 1)
-    twins = materialize(twins, "items")
-    n = twins.where(F.col("length") < size).count()
-
-    def deal(items: DataFrame, count: int, salt: int) -> DataFrame:
-        shards = max(1, -(-count // shard_items))
-        return items.withColumn("shard", F.pmod(F.xxhash64(order, "dup", F.lit(salt)), F.lit(shards)))
-
-    cols = ["doc_id", "piece", "dup", "length"]
-    first = islands(deal(twins.where(F.col("length") < size), n, 1).select("shard", *cols, "ids_crc32"), size, seed, n_islands, rounds, population, generations)
+    rows = numbered(pieces(docs, tokenizer, size, id_col, text_col), "item", "pieces")
+    short = rows.where(F.col("length") < size)
+
+    def deal(items: DataFrame, salt: int) -> DataFrame:
+        shards = max(1, -(-items.count() // shard_items))
+        return items.select(F.pmod(F.xxhash64("item", F.lit(salt)), F.lit(shards)).alias("shard"), "item", "length")
+
+    first = islands(deal(short, 1), size, seed, n_islands, rounds, population, generations)
     fill = first.groupBy("shard", "bin").agg(F.sum("length").alias("fill"))
     first = materialize(first.join(fill.hint("merge"), ["shard", "bin"]), "packed")
-    loose = first.where(F.col("fill") < well_filled * size).select(*cols, F.lit(0).cast("long").alias("ids_crc32"))
-    second = islands(deal(loose, loose.count(), 2).select("shard", *cols), size, seed + 1, n_islands, rounds, population, generations)
-    where = lambda kind: (F.col("shard") * F.lit(1 << 20) + F.col("bin")) * F.lit(4) + F.lit(kind)
-    placed = first.where(F.col("fill") >= well_filled * size).select(*cols, where(0).alias("sequence_id")).unionByName(second.select(*cols, where(1).alias("sequence_id")))
-    return place(twins, placed, size)
-
-
-def place(twins: DataFrame, placed: DataFrame, size: int) -> DataFrame:
-    """Joins items to their sequences and lays the items of a sequence end to end."""
-    alone = twins.where(F.col("length") >= size).select("doc_id", "piece", "start", "length", "ids_crc32", (F.xxhash64("doc_id", "piece", "dup", "ids_crc32").bitwiseAND(F.lit((1 << 61) - 1)) * 4 + 2).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("doc_id", "piece", "dup", "length")]
-    joined = twins.where(F.col("length") < size).alias("a").join(placed.hint("merge").alias("b"), same[0] & same[1] & same[2] & same[3]).select("a.*", "b.sequence_id")
-    by = W.partitionBy("sequence_id").orderBy("doc_id", "piece", "dup").rowsBetween(W.unboundedPreceding, -1)  # a sequence has few items
-    return joined.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", F.coalesce(F.sum("length").over(by), F.lit(0)).cast("long").alias("offset")).unionByName(alone)
+    second = islands(deal(first.where(F.col("fill") < well_filled * size), 2), size, seed + 1, n_islands, rounds, population, generations)
+    where = lambda kind: ((F.col("shard") * F.lit(1 << 20) + F.col("bin")) * F.lit(4) + F.lit(kind)).alias("sequence_id")
+    placed = first.where(F.col("fill") >= well_filled * size).select("item", where(FIRST)).unionByName(second.select("item", where(SECOND)))
+    alone = rows.where(F.col("length") >= size).select("*", (F.col("item") * F.lit(4) + F.lit(FULL)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    by = W.partitionBy("sequence_id").orderBy("item").rowsBetween(W.unboundedPreceding, -1)  # a sequence has at most size pieces
+    joined = short.join(placed.hint("merge"), "item").withColumn("offset", F.coalesce(F.sum("length").over(by), F.lit(0)).cast("long"))
+    return joined.unionByName(alone).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
