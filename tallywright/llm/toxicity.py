@@ -19,27 +19,44 @@ def features(text: str) -> set[str]:
     return set(WORD.findall(text.lower()))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, categories: dict[str, str], most: int, id_col: str, text_col: str) -> DataFrame:
-    """The labelled documents to learn from: at most so many of those in docs, those with the least hash of the identifier."""
+def labelled(docs: DataFrame, labels: DataFrame, categories: dict[str, str], most: int, folds: int, id_col: str, text_col: str) -> DataFrame:
+    """(key, categories, text, fold): the labelled documents to learn from.
+
+    At most so many of those in docs, those with the least hash of the identifier. Of rows that repeat an identifier the
+    least text is taken. Equal texts are in one fold.
+    """
     ys = [F.expr(e).cast("int").alias(c) for c, e in categories.items()]
-    known = labels.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id"), *ys).dropna().dropDuplicates(["_id"])
-    chosen = known.join(docs.select(F.col(id_col).alias("_id")).hint("merge"), "_id", "left_semi").orderBy(F.xxhash64("_id"), "_id").limit(most)
-    return docs.join(F.broadcast(chosen), F.col(id_col) == F.col("_id")).select("_id", F.coalesce(F.col(text_col), F.lit("")).alias("text"), *categories)  # at most `most` rows
-
-
-def vocabulary(sample: DataFrame, categories: list[str], least_docs: int, least_chi2: float, most: int) -> list[str]:
-    """The features whose presence and a category are most dependent (chi-square), at most so many for each."""
-    n, *ones = sample.agg(F.count(F.lit(1)), *[F.sum(c) for c in categories]).first()
-    if not n:
-        return []
-    counts = materialize(sample.select(F.explode("f").alias("f"), *categories).groupBy("f").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in categories]).where(F.col("n") >= least_docs), "features")
-    out: set[str] = set()
-    for c, y in zip(categories, ones, strict=True):
-        if 0 < (y or 0) < n:
-            gap = F.col(c) * F.lit(float(n)) - F.col("n") * F.lit(float(y))
-            chi2 = gap * gap / (F.col("n") * (F.lit(float(n)) - F.col("n") + 0.5) * F.lit(float(y) * (n - y) / n))
-            out |= {r[0] for r in counts.select("f", chi2.alias("x")).where(F.col("x") >= least_chi2).orderBy(F.desc("x"), "f").limit(most).collect()}
-    return sorted(out)
+    known = labels.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("key"), *ys).dropna().dropDuplicates(["key"])
+    texts = docs.select(F.col(id_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    chosen = materialize(known.join(texts.select("key").hint("merge"), "key", "left_semi").orderBy(F.xxhash64("key"), "key").limit(most), "chosen")
+    found = texts.join(F.broadcast(chosen), "key").groupBy("key", *categories).agg(F.min("text").alias("text"))  # at most `most` rows are broadcast
+    return found.withColumn("fold", F.pmod(F.xxhash64("text", F.lit(5)), F.lit(folds)).cast("int"))
+
+
+def vocabularies(sample: DataFrame, categories: list[str], folds: int, least_docs: int, least_chi2: float, most: int) -> list[list[str]]:
+    """The features whose presence and a category are most dependent (chi-square), at most so many for each.
+
+    One list for the rows outside each fold, and the last for all rows.
+    """
+    parts = range(folds)
+    sums = [F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in categories]]
+    sums += [F.count_if(F.col("fold") == k).alias(f"n_{k}") for k in parts] + [F.sum(F.when(F.col("fold") == k, F.col(c)).otherwise(0)).alias(f"{c}_{k}") for k in parts for c in categories]
+    all_ = sample.agg(*sums).first()
+    if not all_["n"]:
+        return [[] for _ in range(folds + 1)]
+    counts = materialize(sample.select(F.explode("f").alias("f"), "fold", *categories).groupBy("f").agg(*sums).where(F.col("n") >= least_docs), "features")
+    out: list[list[str]] = []
+    for k in [*parts, None]:
+        less = lambda c, k=k: F.col(c) if k is None else F.col(c) - F.col(f"{c}_{k}")
+        n, found = all_["n"] - (0 if k is None else all_[f"n_{k}"]), set()
+        for c in categories:
+            y = all_[c] - (0 if k is None else all_[f"{c}_{k}"])
+            if 0 < y < n:
+                gap = less(c) * F.lit(float(n)) - less("n") * F.lit(float(y))
+                chi2 = gap * gap / (less("n") * (F.lit(float(n)) - less("n") + 0.5) * F.lit(float(y) * (n - y) / n))
+                found |= {r[0] for r in counts.where(less("n") >= least_docs).select("f", chi2.alias("x")).where(F.col("x") >= least_chi2).orderBy(F.desc("x"), "f").limit(most).collect()}
+        out.append(sorted(found))
+    return out
 
 
 class Sparse:
@@ -50,10 +67,13 @@ class Sparse:
         self.row = np.repeat(np.arange(len(columns)), [len(c) for c in columns])
         self.n, self.width = len(columns), width
 
-    def fit(self, y: np.ndarray, extra: np.ndarray, use: np.ndarray, ridge: float, steps: int) -> np.ndarray:
-        """Weights of a ridge logistic regression on features, extra columns and a constant, by accelerated gradient steps."""
+    def fit(self, y: np.ndarray, extra: np.ndarray, use: np.ndarray, among: np.ndarray, ridge: float, steps: int) -> np.ndarray:
+        """Weights of a ridge logistic regression on features, extra columns and a constant, by accelerated gradient steps.
+
+        use: the rows to learn from; among: the features that may have a weight.
+        """
         w = v = np.zeros(self.width + extra.shape[1] + 1)
-        mine = use[self.row]
+        mine = use[self.row] & among[self.col]
         col, row = self.col[mine], self.row[mine]
         size = float(np.bincount(row, minlength=self.n).max(initial=0) + extra.shape[1] + 1)
         rate, m = 1.0 / (0.25 * size * max(1, use.sum()) / 4 + ridge), use.astype(float)
@@ -72,20 +92,21 @@ class Sparse:
         return np.bincount(row, weights=w[col], minlength=self.n) + extra @ w[self.width : -1] + w[-1]
 
 
-def fit_chain(columns: list[np.ndarray], ys: np.ndarray, fold: np.ndarray, width: int, ridge: float, steps: int) -> list[np.ndarray]:
+def fit_chain(columns: list[np.ndarray], ys: np.ndarray, fold: np.ndarray, among: list[np.ndarray], ridge: float, steps: int) -> list[np.ndarray]:
     """A weight vector for each category in order.
 
-    What a later category sees of the training rows are out-of-fold predictions: those of models fitted without the row.
-    The model kept for scoring is fitted on all rows.
+    What a later category sees of the training rows are out-of-fold predictions: those of models whose features were chosen
+    and whose weights were fitted without the row's fold. The model kept for scoring is fitted on all rows.
+    among: which features each fold's model may use, and last those of the model of all rows.
     """
-    x, n = Sparse(columns, width), len(columns)
+    x, n = Sparse(columns, len(among[-1])), len(columns)
     extra, chain = np.zeros((n, 0)), []
     for k in range(ys.shape[1]):
         y, out = ys[:, k].astype(float), np.zeros(n)
         for f in np.unique(fold):
-            w = x.fit(y, extra, fold != f, ridge, steps)
+            w = x.fit(y, extra, fold != f, among[f], ridge, steps)
             out[fold == f] = (1 / (1 + np.exp(-x.score(w, extra))))[fold == f]
-        chain.append(x.fit(y, extra, np.ones(n, dtype=bool), ridge, steps))
+        chain.append(x.fit(y, extra, np.ones(n, dtype=bool), among[-1], ridge, steps))
         extra = np.column_stack((extra, out))
     return chain
 
@@ -94,25 +115,31 @@ def fit_chain(columns: list[np.ndarray], ys: np.ndarray, fold: np.ndarray, width
 CATEGORIES = {"low_quality": "1 - quality", "toxic": "toxic", "toxic_low_quality": "toxic * (1 - quality)"}
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None = None, reject: str = "toxic", id_col: str = "doc_id", text_col: str = "text", most: int = 8_000, folds: int = 3, least_docs: int = 3, least_chi2: float = 10.8, most_features: int = 400, ridge: float = 0.2, steps: int = 250, cut: float = 0.5) -> DataFrame:
-    """One row per input row: doc_id, p_<category> for each category of the chain, rejected.
+def toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None = None, reject: tuple[str, ...] = ("toxic", "toxic_low_quality"), id_col: str = "doc_id", text_col: str = "text", most: int = 8_000, folds: int = 3, least_docs: int = 3, least_chi2: float = 10.8, most_features: int = 400, ridge: float = 0.2, steps: int = 250, cut: float = 0.5, row_col: str | None = None) -> DataFrame:
+    """One row per input row: doc_id, p_<category> for each category of the chain, rejected, and row_col if it is given.
 
-    rejected: the probability of the category reject is at least cut. Learning uses at most `most` labelled rows, whatever
-    the input; scoring reads every whole text. Null text counts as empty; labels that are null or of no document are
-    left out; without labels of both kinds a category has the probability of its share (0 without any). Repeated rows
-    are scored each; other columns are ignored; an empty table gives an empty result.
+    rejected: the probability of a category in reject is at least cut. Learning uses at most `most` labelled rows, whatever
+    the input: a linear model needs no more for its features, the words of at least least_docs of these rows whose chi-square with a
+    category is at least least_chi2 (0.1 % at one degree of freedom, which doesn't depend on the number of rows), the
+    strongest most_features for each category. Scoring reads every whole text. Null text counts as empty; labels that are
+    null or of no document are left out; without labels of both kinds a category has the probability of its share (0 without
+    any). Of rows that repeat an identifier the least text is learnt from; all are scored. Other columns are ignored; an
+    empty table gives an empty result.
     """
     spark, categories = docs.sparkSession, categories or CATEGORIES
     names = list(categories)
+    reject = tuple(c for c in reject if c in names)
     found = F.pandas_udf(lambda t: t.map(lambda x: sorted(features(x))), "array<string>")
-    sample = materialize(labelled(docs, labels, categories, most, id_col, text_col).select("_id", *names, found("text").alias("f")), "labelled")
-    vocab = vocabulary(sample, names, least_docs, least_chi2, most_features)
+    sample = materialize(labelled(docs, labels, categories, most, folds, id_col, text_col).select("key", "fold", *names, found("text").alias("f")), "labelled")
+    lists = vocabularies(sample, names, folds, least_docs, least_chi2, most_features)
+    vocab = sorted(set().union(*lists))
     known = F.array_intersect("f", F.array(*map(F.lit, vocab))) if vocab else F.array().cast("array<string>")
-    rows = sample.select("_id", *names, known.alias("f")).orderBy("_id").toPandas()  # at most `most` rows of chosen features
+    rows = sample.select("key", "fold", *names, known.alias("f")).orderBy("key").toPandas()  # at most `most` rows of chosen features
     place = {f: i for i, f in enumerate(vocab)}
     columns = [np.array(sorted(place[f] for f in fs), dtype="int64") for fs in rows["f"]]
     ys = rows[names].to_numpy(dtype=float).reshape(-1, len(names))
-    chain = fit_chain(columns, ys, np.arange(len(rows)) % folds, len(vocab), ridge, steps) if len(rows) else None
+    among = [np.isin(np.arange(len(vocab)), [place[f] for f in fs]) for fs in lists]
+    chain = fit_chain(columns, ys, rows["fold"].to_numpy(dtype="int64"), among, ridge, steps) if len(rows) else None
     shared = spark.sparkContext.broadcast((place, chain))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -123,8 +150,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | No
             for k in range(len(names)):
                 p = 1 / (1 + np.exp(-x.score(chain[k], extra))) if chain else np.zeros(len(columns))
                 extra = np.column_stack((extra, p))
-            yield pd.DataFrame(extra, columns=[f"p_{c}" for c in names]).assign(doc_id=pd.array(batch["doc_id"], dtype="Int64"), rejected=extra[:, names.index(reject)] >= cut)
+            bad = (extra[:, [names.index(c) for c in reject]] >= cut).any(axis=1)
+            yield pd.DataFrame(extra, columns=[f"p_{c}" for c in names]).assign(doc_id=pd.array(batch["doc_id"], dtype="Int64"), row=batch["row"], rejected=bad)
 
-    schema = ", ".join([*[f"p_{c} double" for c in names], "doc_id long", "rejected boolean"])
-    scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(score, schema)
-    return scored.select("doc_id", *[f"p_{c}" for c in names], "rejected")
+    schema = ", ".join([*[f"p_{c} double" for c in names], "doc_id long", "row long", "rejected boolean"])
+    row = F.col(row_col) if row_col else F.lit(0)
+    scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), row.cast("long").alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(score, schema)
+    return scored.select("doc_id", *[f"p_{c}" for c in names], "rejected", *([F.col("row").alias(row_col)] if row_col else []))
