@@ -41,16 +41,24 @@ def edit_at_most_one(a: Column, b: Column) -> Column:
     return F.when(at == 0, n == m).when(n == m, tail(longer, at + 1, n) == tail(shorter, at + 1, m)).when(n == m + 1, tail(longer, at + 1, n) == tail(shorter, at, m)).otherwise(F.lit(False))
 
 
+def split_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, line, body, digest) of every line; digest is the MD5 of the line."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    each = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(text, "\n")).alias("line", "body"))
+    return each.withColumn("digest", F.unhex(F.md5(F.col("body").cast("binary"))))
+
+
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near_words: int = 5, broadcast_rows: int = 100_000) -> DataFrame:
     """Finds every line that an earlier line repeats, exactly or within an edit of one word.
 
     Lines are what \\n separates; a line without a word is never dropped. Lines are ordered by (doc_id,
-    line number). A line is dropped as "exact" if an earlier one is identical, else as "near" if it has
+    line number, MD5 of the line), so lines of rows that share an identifier, or have none, have an order too, and the
+    result doesn't depend on how the rows are dealt. A line is dropped as "exact" if an earlier one is identical, else as "near" if it has
     near_words words or more and an earlier distinct line, of near_words or more too, is at most one
     substituted, inserted or deleted word away. Near links don't chain: what is compared is the text.
     One row per line with a word: doc_id, line, chars, dropped (null, exact or near), earlier_doc, earlier_line.
-    Null text has no lines; null identifiers sort first; of rows that repeat an identifier, a line counts as
-    earlier if it is equal in (doc_id, line), so neither copy is dropped for the other. An empty table gives
+    Null text has no lines; null identifiers sort first; of rows that repeat an identifier, equal lines at one
+    line number are both kept or dropped for the same earlier line. An empty table gives
     an empty result; further columns are ignored.
 
     Steps: (1) exact copies meet by digest, summed up before the shuffle; (2) distinct lines that share an
@@ -61,26 +69,24 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     The joins that bring the verdict back to the lines are left sort-merge joins, whose large partitions Spark
     splits, so one line may be a third of all; what is known to have at most broadcast_rows rows is broadcast.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    split = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(text, "\n")).alias("line", "body")).withColumn("w", words(F.col("body"))).where(F.size("w") > 0)
+    split = split_lines(docs, id_col, text_col).withColumn("w", words(F.col("body"))).where(F.size("w") > 0)
     lines = materialize(
         split.select(
             *ID,
-            F.unhex(F.md5(F.col("body").cast("binary"))).alias("digest"),
+            "digest",
             F.length("body").alias("chars"),
             F.when(F.size("w") >= near_words, F.transform(halves(F.col("w")), lambda h: F.struct(h["role"], h["outside"]))).alias("halves"),
         ),
         "lines",
     )
     first = materialize(lines.groupBy("digest").agg(F.min(F.struct(*ID, "halves")).alias("v"), F.count(F.lit(1)).alias("n")), "first-lines")
-    small = lambda df: df.hint("broadcast" if df.count() <= broadcast_rows else "merge")
-    copied = small(first.where("n > 1").select("digest", F.struct("v.doc_id", "v.line").alias("first")))
-    marked = lines.select(*ID, "digest", "chars").join(copied, "digest", "left").withColumn("first", F.coalesce("first", F.struct(*ID)))
-    near = materialize(near_links(docs, first.select("v.*"), id_col, text_col, broadcast_rows), "near")
-    early = small(near.select(F.col("late.doc_id").alias("d2"), F.col("late.line").alias("l2"), "early"))
-    copy = ~F.struct(*ID).eqNullSafe(F.col("first"))
-    joined = marked.join(early, F.col("first.doc_id").eqNullSafe(F.col("d2")) & (F.col("first.line") == F.col("l2")), "left")
-    return joined.select(
+    near = materialize(near_links(docs, first.select("v.*", "digest"), id_col, text_col, broadcast_rows), "near")
+    # a line that is the first of its kind and is near none needs no verdict
+    copies = first.where("n > 1").select("digest", F.struct("v.doc_id", "v.line").alias("first"))
+    known = materialize(copies.join(near.select(F.col("late.digest").alias("digest"), "early").hint("merge"), "digest", "full"), "verdicts")
+    marked = lines.select(*ID, "digest", "chars").join(known.hint("broadcast" if known.count() <= broadcast_rows else "merge"), "digest", "left")
+    copy = F.col("first").isNotNull() & ~F.struct(*ID).eqNullSafe(F.col("first"))
+    return marked.select(
         *ID,
         "chars",
         F.when(copy, F.lit("exact")).when(F.col("early").isNotNull(), F.lit("near")).alias("dropped"),
@@ -90,26 +96,25 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def near_links(docs: DataFrame, first: DataFrame, id_col: str, text_col: str, broadcast_rows: int) -> DataFrame:
-    """(late, early): for each distinct line the earliest one that is one word away, if it is earlier."""
-    at = F.struct(*ID)
-    parts = first.where(F.col("halves").isNotNull()).select(*ID, F.inline("halves"))
+    """(late, early): for each distinct line the earliest one that is one word away, if it is earlier; first: (doc_id, line, digest, halves)."""
+    key = [*ID, "digest"]
+    at = F.struct(*key)
+    parts = first.where(F.col("halves").isNotNull()).select(*key, F.inline("halves"))
     shared = parts.groupBy("outside").agg(F.count_if(F.col("role") == "own").alias("own"), F.count(F.lit(1)).alias("all")).where((F.col("own") >= 1) & (F.col("all") >= 2)).select("outside")
-    wanted = materialize(parts.join(shared.hint("merge"), "outside", "left_semi").select(*ID, "outside").distinct(), "halves")
-    per_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line", "outside")).alias("wanted"))  # bounded by the lines of the document
-    per_doc = per_doc.hint("broadcast" if wanted.count() <= broadcast_rows else "merge")
-    bodies = (
-        docs.select(F.col(id_col).alias("doc_id"), F.split(F.coalesce(F.col(text_col), F.lit("")), "\n").alias("lines"))
-        .join(per_doc.withColumnRenamed("doc_id", "d2"), F.col("doc_id").eqNullSafe(F.col("d2")))
-        .select("doc_id", "lines", F.inline("wanted"))
-        .select(*ID, "outside", words(F.get("lines", F.col("line"))).alias("w"))
-    )
-    bodies = materialize(bodies.groupBy(*ID).agg(F.first("w").alias("w"), F.collect_set("outside").alias("outsides")), "near-lines")  # at most four
-    cut = bodies.select(*ID, "w", "outsides", F.inline(halves(F.col("w")))).where(F.array_contains("outsides", F.col("outside"))).select(*ID, "role", "side", "outside", F.slice("w", F.col("start"), F.col("size")).alias("part"))
+    wanted = materialize(parts.join(shared.hint("merge"), "outside", "left_semi").groupBy(*key).agg(F.collect_set("outside").alias("outsides")), "halves")  # at most four
+    how = "broadcast" if wanted.count() <= broadcast_rows else "merge"
+    ids = wanted.select(F.col("doc_id").alias("d2")).distinct().hint(how)
+    # a line's words are read again from its document; the digest tells lines of rows that share an identifier apart
+    bodies = split_lines(docs.join(ids, F.col(id_col).eqNullSafe(F.col("d2")), "left_semi"), id_col, text_col)
+    again = wanted.select(F.col("doc_id").alias("d3"), F.col("line").alias("l3"), F.col("digest").alias("g3"), "outsides").hint(how)
+    same = F.col("doc_id").eqNullSafe(F.col("d3")) & (F.col("line") == F.col("l3")) & (F.col("digest") == F.col("g3"))
+    bodies = materialize(bodies.join(again, same).select(*key, "outsides", words(F.col("body")).alias("w")).dropDuplicates(key), "near-lines")
+    cut = bodies.select(*key, "w", "outsides", F.inline(halves(F.col("w")))).where(F.array_contains("outsides", F.col("outside"))).select(*key, "role", "side", "outside", F.slice("w", F.col("start"), F.col("size")).alias("part"))
     whole = F.aggregate(F.transform("part", lambda x, i: F.xxhash64(x, i)), F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
     short = cut.where("role = 'short'").select(at.alias("id"), F.xxhash64("outside", whole).alias("key"))
-    line = W.partitionBy(*ID, "side")
+    line = W.partitionBy(*key, "side")
     upto = line.orderBy("i").rowsBetween(W.unboundedPreceding, 0)
-    word = cut.where("role = 'own'").select(*ID, "side", "outside", F.posexplode("part").alias("i", "x")).select(*ID, "side", "outside", "i", F.xxhash64("x", "i").alias("stays"), F.xxhash64("x", F.col("i") - 1).alias("moves"))
+    word = cut.where("role = 'own'").select(*key, "side", "outside", F.posexplode("part").alias("i", "x")).select(*key, "side", "outside", "i", F.xxhash64("x", "i").alias("stays"), F.xxhash64("x", F.col("i") - 1).alias("moves"))
     left = F.bit_xor("moves").over(line).bitwiseXOR(F.bit_xor("moves").over(upto)).bitwiseXOR(F.bit_xor("stays").over(upto)).bitwiseXOR(F.col("stays"))
     own = materialize(word.select(at.alias("id"), "i", "outside", left.alias("left")).select("id", "i", F.xxhash64("outside", "left").alias("key")), "deletions")
     swapped = own.groupBy("key", "i").agg(F.min("id").alias("early"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
@@ -128,10 +133,12 @@ def near_links(docs: DataFrame, first: DataFrame, id_col: str, text_col: str, br
 
 
 def rebuild(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the dropped lines of line_dedup taken out of their texts."""
-    drops = found.where(F.col("dropped").isNotNull()).groupBy(F.col("doc_id").alias("_d")).agg(F.collect_set("line").alias("_drops"))
-    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains("_drops", i)), "\n")
-    return docs.join(drops.hint("merge"), F.col(id_col).eqNullSafe(F.col("_d")), "left").withColumn(text_col, F.when(F.col("_drops").isNull(), F.col(text_col)).otherwise(kept)).drop("_d", "_drops")
+    """docs with the dropped lines of line_dedup taken out of their texts. Rows that share an identifier lose the same line numbers."""
+    drops = found.where(F.col("dropped").isNotNull()).groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
+    kept = F.array_join(F.filter(F.split(F.col(f"d.{text_col}"), "\n"), lambda x, i: ~F.array_contains("x.lines", i)), "\n")
+    new = F.when(F.col("x.lines").isNull(), F.col(f"d.{text_col}")).otherwise(kept).alias(text_col)
+    joined = docs.alias("d").join(drops.alias("x").hint("merge"), F.col(f"d.{id_col}").eqNullSafe(F.col("x.doc_id")), "left")
+    return joined.select(*[new if c == text_col else F.col(f"d.{c}") for c in docs.columns])
 
 
 def by_document(found: DataFrame) -> DataFrame:
