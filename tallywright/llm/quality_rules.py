@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,9 +12,12 @@ from .common import bind, materialize, words
 
 #: Characters counted as symbols, and the window of the repetition rule. Fixed values of the query contract.
 SYMBOLS, WINDOW = "[#*$%&|<>]", 8
-#: metric -> (bins per unit, largest bin, least half-width of the accepted range). A sketch is the histogram of a metric:
-#: its size is bounded by the largest bin, sketches merge by adding counts, and a quantile is right to one bin.
-METRICS = {"symbol_ratio": (1000, 1000, 0.02), "dup_line_ratio": (1000, 1000, 0.1), "repeat_ratio": (1000, 1000, 0.1), "mean_word_chars": (10, 1000, 2.0)}
+#: metric -> (low quantile, high quantile, fence): what lies beyond the quantile by more than fence times its distance from the
+#: median fails. The quantiles are those of the document's own language and source; no threshold is a constant.
+METRICS = {"symbol_ratio": (None, 0.95, 0.0), "dup_line_ratio": (None, 0.98, 0.0), "repeat_ratio": (None, 0.98, 0.0), "mean_word_chars": (0.05, 0.95, 1.0)}
+#: Relative error of a sketched quantile, and the bin of zero.
+ERROR, ZERO = 0.01, -(1 << 30)
+GAMMA = (1 + ERROR) / (1 - ERROR)
 
 
 def repeated_words(array: Column, window: int = WINDOW) -> Column:
@@ -62,45 +67,51 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def sketches(measured: DataFrame) -> DataFrame:
-    """(lang, source, metric, bin, n): one mergeable histogram for each language, source and metric."""
-    bins = F.array(*[F.struct(F.lit(m).alias("metric"), F.least(F.lit(most), F.floor(F.col(m) * F.lit(unit))).cast("int").alias("bin")) for m, (unit, most, _) in METRICS.items()])
+    """(lang, source, metric, bin, n): a quantile sketch with relative error ERROR for each language, source and metric.
+
+    Bin i > ZERO counts the values in (GAMMA^(i-1), GAMMA^i], so a sketch has at most a few thousand bins whatever it has seen,
+    and sketches merge by adding the counts of equal bins.
+    """
+    at = lambda m: F.when(F.col(m) > 0, F.ceil(F.log(F.col(m)) / F.lit(math.log(GAMMA)) - F.lit(1e-9))).otherwise(F.lit(ZERO)).cast("int")
+    bins = F.array(*[F.struct(F.lit(m).alias("metric"), at(m).alias("bin")) for m in METRICS])
     return measured.where(~F.col("base_failed")).select("lang", "source", F.inline(bins)).groupBy("lang", "source", "metric", "bin").agg(F.count(F.lit(1)).alias("n"))
 
 
-def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, metric, total, q1, q3) of sketches merged to the keys; a quartile is the lower edge of its bin."""
+def quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, metric, total, lo, mid, hi) of sketches merged to the keys: the least bins that reach the low quantile, the median and the high one."""
     by = W.partitionBy(*keys, "metric")
     merged = sketch.groupBy(*keys, "metric", "bin").agg(F.sum("n").alias("n"))
     ranked = merged.withColumns({"upto": F.sum("n").over(by.orderBy("bin").rowsBetween(W.unboundedPreceding, 0)), "total": F.sum("n").over(by)})
-    at = lambda q: F.min(F.when(F.col("upto") * 4 >= F.col("total") * q, F.col("bin")))
-    unit = F.create_map(*[F.lit(x) for m, (u, _, _) in METRICS.items() for x in (m, float(u))])
-    return ranked.groupBy(*keys, "metric").agg(F.max("total").alias("total"), (at(1) / F.element_at(unit, F.col("metric"))).alias("q1"), (at(3) / F.element_at(unit, F.col("metric"))).alias("q3"))
+    level = lambda i: F.element_at(F.create_map(*[F.lit(x) for m, q in METRICS.items() for x in (m, float(q[i] or 0.0))]), F.col("metric"))
+    at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("total"), F.col("bin")))
+    return ranked.groupBy(*keys, "metric").agg(F.max("total").alias("total"), at(level(0)).alias("lo"), at(F.lit(0.5)).alias("mid"), at(level(1)).alias("hi"))
 
 
-def thresholds(sketch: DataFrame, fence: float, least_group: int) -> DataFrame:
+def thresholds(sketch: DataFrame, least_group: int) -> DataFrame:
     """One row for each language and source: low and high of every metric.
 
-    The range is the quartiles widened by fence times their distance, or by the metric's least half-width if
-    that is more. A source with fewer than least_group documents takes its language's merged sketch, and a
-    language with fewer takes that of all.
+    A source with fewer than least_group documents takes its language's merged sketch, and a language with fewer
+    takes that of all. A threshold is the outer edge of its bin, so what lies in the bin of the quantile passes.
     """
-    own = quartiles(sketch, ["lang", "source"])
-    lang = quartiles(sketch, ["lang"]).select(F.col("lang").alias("l2"), F.col("metric").alias("m2"), *[F.col(c).alias(f"{c}_2") for c in ("total", "q1", "q3")])
-    all_ = quartiles(sketch.withColumn("any", F.lit(1)), ["any"]).select(F.col("metric").alias("m3"), F.col("q1").alias("q1_3"), F.col("q3").alias("q3_3"))
+    own = quantiles(sketch, ["lang", "source"])
+    lang = quantiles(sketch, ["lang"]).select(F.col("lang").alias("l2"), F.col("metric").alias("m2"), *[F.col(c).alias(f"{c}_2") for c in ("total", "lo", "mid", "hi")])
+    all_ = quantiles(sketch.withColumn("any", F.lit(1)), ["any"]).select(F.col("metric").alias("m3"), *[F.col(c).alias(f"{c}_3") for c in ("lo", "mid", "hi")])
     joined = own.join(lang.hint("merge"), F.col("lang").eqNullSafe(F.col("l2")) & (F.col("metric") == F.col("m2"))).join(F.broadcast(all_), F.col("metric") == F.col("m3"))  # all_: a row for each metric
     pick = lambda q: F.when(F.col("total") >= least_group, F.col(q)).when(F.col("total_2") >= least_group, F.col(f"{q}_2")).otherwise(F.col(f"{q}_3"))
-    wide = F.create_map(*[F.lit(x) for m, (_, _, w) in METRICS.items() for x in (m, w)])
-    slack = F.greatest((F.col("b") - F.col("a")) * F.lit(fence), F.element_at(wide, F.col("metric")))
-    ranges = joined.select("lang", "source", "metric", pick("q1").alias("a"), pick("q3").alias("b")).select("lang", "source", "metric", (F.col("a") - slack).alias("low"), (F.col("b") + slack).alias("high"))
+    value = lambda b, down=0: F.when(b > ZERO, F.pow(F.lit(GAMMA), b - down)).otherwise(F.lit(0.0))
+    fence = F.element_at(F.create_map(*[F.lit(x) for m, q in METRICS.items() for x in (m, q[2])]), F.col("metric"))
+    edges = joined.select("lang", "source", "metric", value(pick("lo"), 1).alias("lo"), value(pick("mid")).alias("mid"), value(pick("hi")).alias("hi"))
+    ranges = edges.select("lang", "source", "metric", (F.col("lo") - fence * (F.col("mid") - F.col("lo"))).alias("low"), (F.col("hi") + fence * (F.col("hi") - F.col("mid"))).alias("high"))
     one = lambda m, c: F.max(F.when(F.col("metric") == m, F.col(c))).alias(f"{m}_{c}")
     return ranges.groupBy("lang", "source").agg(*[one(m, c) for m in METRICS for c in ("low", "high")])
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fence: float = 3.0, least_group: int = 50, salts: int = 16) -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_group: int = 50, salts: int = 16) -> DataFrame:
     """Keeps documents whose metrics lie in the range learnt for their language and source.
 
     One row per input row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    kept, failed_rules. Null or blank text has no words and fails the base rules. Null languages and sources
+    kept, failed_rules. The thresholds are quantiles of the documents of that language and source that pass the base
+    rules (see METRICS). Null or blank text has no words and fails the base rules. Null languages and sources
     are groups of their own. Repeated rows count as often as they occur and get the same verdict. An empty
     table gives an empty result; further columns are ignored.
 
@@ -108,10 +119,10 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     salt, so a source with a third of all rows is joined by many tasks.
     """
     measured = materialize(measure(docs, id_col, text_col), "quality")
-    limits = thresholds(sketches(measured), fence, least_group).select(F.col("lang").alias("l2"), F.col("source").alias("s2"), *[f"{m}_{c}" for m in METRICS for c in ("low", "high")], F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt2"))
+    limits = thresholds(sketches(measured), least_group).select(F.col("lang").alias("l2"), F.col("source").alias("s2"), *[f"{m}_{c}" for m in METRICS for c in ("low", "high")], F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt2"))
     salted = measured.withColumn("salt", F.pmod(F.xxhash64("doc_id", "word_chars"), F.lit(salts)).cast("int"))
     joined = salted.join(limits.hint("merge"), F.col("lang").eqNullSafe(F.col("l2")) & F.col("source").eqNullSafe(F.col("s2")) & (F.col("salt") == F.col("salt2")), "left")
-    beyond = lambda m: (F.col(m) > F.col(f"{m}_high")) | ((F.col(m) < F.col(f"{m}_low")) if m == "mean_word_chars" else F.lit(False))
+    beyond = lambda m: (F.col(m) > F.col(f"{m}_high")) | ((F.col(m) < F.col(f"{m}_low")) if METRICS[m][0] else F.lit(False))
     failed = F.filter(F.array(*[F.when(beyond(m), F.lit(m)) for m in METRICS]), lambda x: x.isNotNull())
     return joined.withColumn("failed_rules", F.when(F.col("base_failed"), F.array().cast("array<string>")).otherwise(failed)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.size("failed_rules") == 0)).alias("kept"), F.array_join("failed_rules", ",").alias("failed_rules")
