@@ -7,47 +7,47 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_partitions
+from .common import materialize, numbered, shuffle_partitions
 from .components import connected_components
-from .near_copies import near_copies
+from .jaccard import digest_of, parity, shingles, similar
 
 #: Shingle hashes whose bits are counted at once.
 CHUNK = 1 << 14
+#: Members of a bucket that are compared in one task: a larger bucket is dealt into blocks and done block by block.
+BUCKET = 4096
 
 
-def fingerprint(text: str, shingle: int, word_set: bool = False) -> int:
-    """The 64-bit SimHash of a text's word shingles (XXH64, seed 42) as a signed integer; 0 for no word.
+def simhash(hashes: np.ndarray) -> int:
+    """The 64-bit SimHash of 64-bit hashes as a signed integer: a bit is set if it is in over half of them; 0 for none."""
+    ones = np.zeros(64, dtype="int64")
+    for at in range(0, len(hashes), CHUNK):
+        ones += np.unpackbits(hashes[at : at + CHUNK].view("uint8").reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype="int64")
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<i8")[0])
 
-    word_set: the features are the distinct words instead, which change less when a word is edited.
-    """
-    import xxhash
 
-    found = text.encode().lower().split()  # bytes: only A-Z are lowered, only space and 0x09-0x0D split
-    if not found:
-        return 0
-    h = xxhash.xxh64_intdigest
-    if word_set:
-        hashes = [h(w, 42) for w in set(found)]
-    else:
-        joined, k = b" ".join(found), min(shingle, len(found))
-        ends = np.cumsum(np.fromiter(map(len, found), "int64", len(found)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        hashes = [h(joined[a:b], 42) for a, b in zip(starts.tolist(), ends[k - 1 :].tolist(), strict=False)]
-    all_ = np.array(hashes, dtype="<u8")
-    ones = np.zeros(64, dtype="int64")
-    for at in range(0, len(all_), CHUNK):
-        ones += np.unpackbits(all_[at : at + CHUNK].view("uint8").reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype="int64")
-    return int(np.packbits(ones * 2 > len(all_), bitorder="little").view("<i8")[0])
+def fingerprint(text: str, shingle: int) -> int:
+    """The SimHash of a text's word shingles, repeats included (XXH64, seed 42); 0 for no word."""
+    return simhash(shingles(text, shingle, distinct=False)) if text.strip(" \t\n\v\f\r") else 0
 
 
-def fingerprints(docs: DataFrame, shingle: int, word_set: bool, runs: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    @F.pandas_udf("long")
-    def of(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: fingerprint(t, shingle, word_set)).astype("int64")
+def families(text: str, n: int) -> list[int]:
+    """n SimHashes of the text's distinct words, which change less than those of shingles when a word is edited.
 
-    return docs.select(F.col(id_col).alias("doc_id"), of(F.coalesce(F.col(text_col), F.lit(""))).alias("fp"), F.pmod(F.spark_partition_id(), F.lit(runs)).alias("run"))
+    Each is of the same word hashes, mixed with another odd constant (the finaliser of SplitMix64), so their errors are independent.
+    """
+    import xxhash
+
+    words = np.array([xxhash.xxh64_intdigest(w, 42) for w in set(text.encode().lower().split())], dtype="<u8")
+    out = []
+    for k in range(n):
+        x = words + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out.append(simhash(x ^ (x >> np.uint64(31))))
+    return out
 
 
 def masks(radius: int, bits: int = 64) -> list[int]:
@@ -62,7 +62,7 @@ def masks(radius: int, bits: int = 64) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in out]
 
 
-def forest(fps: np.ndarray, reps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """The edges of a minimum spanning forest over all pairs at radius or fewer bits, in linear space (Prim)."""
     n = len(fps)
     near, link, left = np.full(n, 65, dtype="int64"), np.zeros(n, dtype="int64"), np.ones(n, dtype=bool)
@@ -78,23 +78,22 @@ def forest(fps: np.ndarray, reps: np.ndarray, radius: int) -> tuple[np.ndarray,
         if near[at] <= radius:
             u.append(at)
             v.append(link[at])
-    return reps[u], reps[v]
+    return fps[u], fps[v]
 
 
-def links(classes: DataFrame, radius: int, bucket: int = 4096) -> DataFrame:
-    """Edges (u, v) between representatives that join all fingerprints within the radius; classes: (rep, fp).
+def links(fps: DataFrame, radius: int, bucket: int = BUCKET) -> DataFrame:
+    """Edges (u, v) that join all fingerprints within the radius; fps: distinct (fp).
 
     Every fingerprint goes into a bucket of each table. A bucket gives the edges of its spanning forest, so it
-    loses no connection and gives fewer edges than members. A bucket of more than so many
-    fingerprints is done in another way with the same result: it is dealt into blocks, and each pair
-    of blocks gives a forest.
+    loses no connection and gives fewer edges than members. A task compares at most bucket fingerprints at once: a
+    larger bucket is dealt into blocks, and each pair of blocks gives a forest, with the same components.
     """
     keys = F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m))) for t, m in enumerate(masks(radius))])
-    rows = classes.where("rep is not null").select("rep", "fp", F.explode(keys).alias("key"))
+    rows = fps.select("fp", F.explode(keys).alias("key"))
 
     def small(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Sorted rows: finds the runs of equal keys, also across batches."""
-        held: list[tuple[np.ndarray, np.ndarray]] = []  # the run that isn't over
+        held: list[np.ndarray] = []  # the run that isn't over
         last, n = None, 0
 
         def done() -> pd.DataFrame | None:
@@ -102,12 +101,11 @@ def links(classes: DataFrame, radius: int, bucket: int = 4096) -> DataFrame:
                 return None
             if n > bucket:
                 return pd.DataFrame({"u": [None], "v": [None], "hot": [last]}).astype("Int64")
-            fps, reps = (np.concatenate(x) for x in zip(*held, strict=True))
-            u, v = forest(fps, reps, radius)
+            u, v = forest(np.concatenate(held), radius)
             return pd.DataFrame({"u": u, "v": v, "hot": pd.array([None] * len(u), dtype="Int64")})
 
         for batch in batches:
-            key, fps, reps = batch["key"].to_numpy(), batch["fp"].to_numpy(), batch["rep"].to_numpy()
+            key, fps = batch["key"].to_numpy(), batch["fp"].to_numpy()
             ends = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))
             starts = np.append(0, ends[:-1])
             first = len(key) and last == key[0]
@@ -119,7 +117,7 @@ def links(classes: DataFrame, radius: int, bucket: int = 4096) -> DataFrame:
                     held, last, n = [], int(key[a]), 0
                 n += b - a
                 if n <= bucket:
-                    held.append((fps[a:b], reps[a:b]))
+                    held.append(fps[a:b])
             if out := [x for x in out if x is not None]:
                 yield pd.concat(out)
         if (x := done()) is not None:
@@ -132,35 +130,112 @@ def links(classes: DataFrame, radius: int, bucket: int = 4096) -> DataFrame:
         return edges
     many = rows.join(hot.hint("merge"), "key")
     blocks = many.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(bucket // 2)).cast("int").alias("g"))
-    dealt = many.join(blocks.hint("merge"), "key").withColumn("i", F.pmod(F.xxhash64("rep"), F.col("g")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    pairs = dealt.select("key", "fp", "rep", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
+    dealt = many.join(blocks.hint("merge"), "key").withColumn("i", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("g")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    pairs = dealt.select("key", "fp", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
 
     def pair(rows: pd.DataFrame) -> pd.DataFrame:
-        u, v = forest(rows["fp"].to_numpy(), rows["rep"].to_numpy(), radius)
+        u, v = forest(rows["fp"].to_numpy(), radius)
         return pd.DataFrame({"u": u, "v": v})
 
     return edges.unionByName(pairs.groupBy("key", "i", "j").applyInPandas(pair, "u long, v long"))
 
 
-def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, word_set: bool = False, similarity: float | None = None) -> DataFrame:
-    """Groups near copies; one row per input row: doc_id, fingerprint (16 hex digits), component_id.
+def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
+    """Groups documents by SimHash; one row per input row: doc_id, fingerprint (16 hex digits), component_id.
 
     Two documents are linked if their fingerprints differ in at most radius bits, and component_id is the least
-    identifier that links reach. With similarity, a link is instead a Jaccard similarity of word shingles of at
-    least so much, whatever the fingerprints and the radius. Null, empty and blank text has fingerprint zero and is linked like any
-    other. A null identifier takes its class's component, which is null if the class has no identifier at all.
-    Repeated rows share a component. An empty table gives an empty result; other columns are ignored.
+    identifier that links reach; it is null if they reach none. Null, empty and blank text has fingerprint zero and is
+    linked like any other. Repeated rows share a component. An empty table gives an empty result; other columns are ignored.
 
     Equal fingerprints are one class, found by run and then across runs, so a class with a third of all rows
     is spread over many tasks in either direction.
     """
-    if similarity is not None:
-        found = near_copies(docs, id_col, text_col, shingle, similarity, lambda t: fingerprint(t, shingle, word_set))
-        return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-    rows = materialize(fingerprints(docs, shingle, word_set, shuffle_partitions(docs.sparkSession), id_col, text_col), "fingerprints")
-    local = rows.groupBy("run", "fp").agg(F.min("doc_id").alias("rep"))
-    classes = materialize(local.groupBy("fp").agg(F.min("rep").alias("rep")), "classes")
-    found = connected_components(links(classes, radius))
-    named = classes.join(found.hint("merge"), F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    by_run = local.select("run", "fp").join(named.hint("merge"), "fp")
+
+    @F.pandas_udf("long")
+    def of(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: fingerprint(t, shingle)).astype("int64")
+
+    run = F.pmod(F.spark_partition_id(), F.lit(shuffle_partitions(docs.sparkSession)))
+    rows = materialize(docs.select(F.col(id_col).alias("doc_id"), of(F.coalesce(F.col(text_col), F.lit(""))).alias("fp"), run.alias("run")), "fingerprints")
+    local = rows.groupBy("run", "fp").agg(F.min("doc_id").alias("least"))
+    classes = materialize(local.groupBy("fp").agg(F.min("least").alias("least")), "classes")
+    found = connected_components(links(classes.select("fp"), radius))
+    named = materialize(classes.join(found.hint("merge"), F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component")), "named")
+    reached = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    by_run = local.select("run", "fp").join(named.join(reached.hint("merge"), "component").select("fp", "component_id").hint("merge"), "fp")
     return rows.join(by_run.hint("merge"), ["run", "fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def buckets(classes: DataFrame, radius: int, n: int, bucket: int = BUCKET) -> DataFrame:
+    """(key, node, fp, block): what shares a bucket with another node, in any table of any family.
+
+    A bucket that is surely large, by a count of one node in 64, is dealt into blocks, so no task has to sort it all.
+    This changes which task does the work, never the pairs that are compared.
+    """
+    ms = masks(radius)
+    keys = F.array(*[F.struct(F.xxhash64(F.lit(f * len(ms) + t), F.col("fps")[f].bitwiseAND(F.lit(m))).alias("key"), F.col("fps")[f].alias("fp")) for f in range(n) for t, m in enumerate(ms)])
+    rows = classes.select("node", F.inline(keys))
+    large = materialize(rows.where(F.pmod(F.xxhash64("node"), F.lit(64)) == 0).groupBy("key").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") * 64 >= bucket).select("key", F.ceil(F.col("k") * 64 * 2 / bucket).cast("int").alias("g")), "large-buckets")
+    if 0 < large.count() <= 100_000:
+        rows = rows.join(large.hint("broadcast"), "key", "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("node", F.lit(1)), F.col("g")).cast("int"), F.lit(-1))).drop("g")
+    else:
+        rows = rows.withColumn("block", F.lit(-1))
+    by = W.partitionBy("key", "block").orderBy("node")
+    return rows.withColumn("before", F.lag("node").over(by)).withColumn("after", F.lead("node").over(by)).where("before is not null or after is not null or block >= 0")
+
+
+def block_pairs(shared: DataFrame, radius: int, block: int = BUCKET // 4) -> DataFrame:
+    """All pairs (u, v) of rows (key, node, fp, component) of one bucket but two components, with fingerprints within the radius.
+
+    A bucket of more than a block of nodes is dealt into blocks, and each pair of blocks is a key of its own.
+    """
+    open_ = shared.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    salts = shared.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(4)).cast("int"))
+    groups = open_.select("key", F.ceil(F.col("k") / F.lit(block)).cast("int").alias("g"), F.explode(F.array(*map(F.lit, range(4)))).alias("salt"))
+    rows = salts.join(groups.hint("merge"), ["key", "salt"]).withColumn("i", F.pmod(F.xxhash64("node", F.lit(2)), F.col("g")).cast("int"))
+    # the block pair (i, j), i <= j, has the rows of both blocks
+    dealt = materialize(rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).select("key", "node", "fp", "component", "i", F.least("i", "o").alias("p"), F.greatest("i", "o").alias("q")), "blocks")
+    a, b = (dealt.select("key", "p", "q", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "fp", "component", "i")]) for x in "ab")
+    both = a.join(b.hint("merge"), ["key", "p", "q"]).where("node_a < node_b and component_a != component_b and (p = q or i_a != i_b)")
+    return both.where(F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= radius).select(F.col("node_a").alias("u"), F.col("node_b").alias("v"))
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 4, n: int = 6, row_col: str | None = None) -> DataFrame:
+    """Groups near copies; one row per input row: doc_id, component_id, kept, and row_col if it is given.
+
+    Candidates are the pairs whose SimHashes of distinct words differ in at most radius bits in one of n families;
+    covering masks find every one of them. A candidate is a link if the sets of word shingles have at least that
+    Jaccard similarity, checked on the sets. component_id is the least identifier that links reach, and one row of each
+    component is kept: that with the least identifier, null ones last, and the least row number. row_col names distinct numbers of
+    rows; without it rows are numbered here. Null, empty and blank text is one set. Repeated rows are copies of one
+    another, so one of them is kept. An empty table gives an empty result; other columns are ignored.
+
+    Equal sets are one class. Neighbours in each bucket are compared first; what they join isn't compared
+    pair by pair, as its component is known, so a large group of near copies costs few comparisons.
+    """
+    rows = docs.select(*([F.col(row_col).alias("row")] if row_col else []), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows if row_col else numbered(rows, "row", "rows")
+
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = [shingles(t, shingle) for t in batch["text"]]
+            found = {"digest": [digest_of(s) for s in sets], "n": [len(s) for s in sets], "bits": [parity(s) for s in sets], "fps": [families(t, n) for t in batch["text"]]}
+            yield pd.DataFrame({"row": batch["row"], "doc_id": batch["doc_id"].astype("Int64"), **found})
+
+    marked = rows.mapInPandas(mark, "row long, doc_id long, digest binary, n int, bits binary, fps array<long>").withColumn("run", F.spark_partition_id())
+    marked = materialize(marked, "marked")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    local = marked.groupBy("run", "digest").agg(F.min(first).alias("first"), F.min_by(F.struct("row", "n", "bits", "fps"), "row").alias("m"))
+    classes = materialize(local.groupBy("digest").agg(F.min("first").alias("first"), F.min_by("m", "m.row").alias("m")).select("digest", "first", F.col("m.row").alias("node"), "m.n", "m.bits", "m.fps"), "classes")
+    shared = materialize(buckets(classes, radius, n), "shared")
+    beside = shared.where("before is not null").select(F.col("before").alias("u"), F.col("node").alias("v"))
+    edges = similar(beside, classes, rows, shingle, similarity)
+    known = materialize(connected_components(edges), "known")
+    placed = shared.select("key", "node", "fp").join(known.hint("merge"), "node", "left").select("key", "node", "fp", F.coalesce("component", "node").alias("component"))
+    more = similar(block_pairs(materialize(placed, "placed"), radius), classes, rows, shingle, similarity)
+    found = classes.join(connected_components(edges.unionByName(more)).hint("merge"), "node", "left").select("digest", "first", F.coalesce("component", "node").alias("component"))
+    found = materialize(found, "found")
+    named = found.join(found.groupBy("component").agg(F.min("first").alias("stays")).hint("merge"), "component").select("digest", "stays")
+    by_run = local.select("run", "digest").join(named.hint("merge"), "digest")
+    out = marked.select("run", "digest", "row", "doc_id").join(by_run.hint("merge"), ["run", "digest"])
+    return out.select("doc_id", F.col("stays.doc_id").alias("component_id"), (F.col("row") == F.col("stays.row")).alias("kept"), *([F.col("row").alias(row_col)] if row_col else []))
