@@ -5,45 +5,73 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywright.llm import exact_dedup, mixing, near_copies, packing, toxicity
-from tallywright.llm.common import materialize
+from tallywright.llm import exact_dedup, mixing, packing, simhash_dedup, toxicity
+from tallywright.llm.common import materialize, numbered
 from tallywright.llm.queries import tokenizer
 
 #: Classifiers have no form in SQL; the stages are tested against brute-force versions.
 ORACLE_SQL = None
 
+#: The column by which a stage tells rows apart, whatever their identifiers; it isn't a column of documents.
+ROW = "row_of_stage"
 
-def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose identifier is in ids; a null identifier stays if ids has one."""
-    return docs.join(ids.select(F.col("doc_id").alias("_id")).distinct().hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+
+def rows_of(docs: DataFrame) -> DataFrame:
+    """docs with a number for each row, so that rows that share an identifier or have none get a verdict each."""
+    return numbered(docs, ROW, "stage")
+
+
+def only(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of docs (with ROW) whose numbers are in rows, without the number."""
+    return docs.join(rows.select(ROW).hint("merge"), ROW, "left_semi").drop(ROW)
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the chain doesn't reject."""
-    return docs.join(toxicity.toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("rejected").select(F.col("doc_id").alias("_id")).distinct().hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    """Documents that the chain doesn't reject; each row is judged by its own text.
+
+    Null and empty texts are judged as texts without a word, rows that repeat one get the same verdict, and an empty table
+    stays empty. Other columns pass through.
+    """
+    docs = rows_of(docs)
+    found = toxicity.toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), row_col=ROW)
+    return only(docs, found.where("not rejected"))
 
 
 def no_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the largest identifier of each group of equal texts."""
-    return only(docs, exact_dedup.exact_dedup(docs).where("kept"))
+    """One row of each group of equal texts: that with the largest identifier, and of rows that share it any one.
+
+    Null text counts as empty; a null identifier loses to any other. Other columns pass through; an empty table stays empty.
+    """
+    docs = rows_of(docs).withColumn("key_of_stage", F.struct("doc_id", ROW))
+    found = exact_dedup.exact_dedup(docs, id_col="key_of_stage").where("kept")
+    return only(docs, found.select(F.col(f"doc_id.{ROW}").alias(ROW))).drop("key_of_stage")
 
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least identifier of each group of near copies.
+    """One row of each group of near copies: that with the least identifier, null ones last, and of rows that share it any one.
 
-    Near copies share 0.8 or more of their five-word shingles (Jaccard); a prefix filter finds all such pairs.
+    Near copies share 0.8 or more of their five-word shingles (Jaccard); covering SimHash tables give the candidates.
+    Texts without a word are copies of one another. Other columns pass through; an empty table stays empty.
     """
-    found = near_copies.near_copies(docs, shingle=5, similarity=0.8)
-    return only(docs, found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    docs = rows_of(docs)
+    found = simhash_dedup.near_copies(docs, shingle=5, similarity=0.8, row_col=ROW)
+    return only(docs, found.where("kept"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that bring the sources to their target weights, each once."""
-    return only(docs, mixing.mix(docs, share=0.8, epochs=1))
+    """The documents that bring the sources to their target weights, each once.
+
+    Rows that repeat identifier, text and leaf are taken or left together; a null identifier or text counts as empty in the
+    order, and null languages and sources are leaves of their own. Other columns pass through; an empty table stays empty.
+    """
+    taken = mixing.mix(docs, share=0.8, epochs=1).select(F.col("doc_id").alias("taken_id"), F.col("lang").alias("taken_lang"), F.col("source").alias("taken_source"), F.col("text_hash").alias("taken_hash"))
+    name = lambda c: F.coalesce(F.col(c), F.lit("?"))
+    same = F.col("doc_id").eqNullSafe(F.col("taken_id")) & (name("lang") == F.col("taken_lang")) & (name("source") == F.col("taken_source")) & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col("taken_hash"))
+    return docs.join(taken.hint("merge"), same, "left_semi")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents and their places in sequences of 2048 tokens."""
+    """The pieces of the documents and their places in sequences of 2048 tokens; a null text is its closing identifier alone."""
     return packing.pack(docs, tokenizer("byte_bpe_50k.json"))
 
 
