@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Bits of a set's parities, and numbers of rows that may be broadcast (8 bytes each).
-BITS, BROADCAST_ROWS = 512, 1_000_000
+#: Bits of a set's parities, and how many digests of 32 bytes may be broadcast.
+BITS, BROADCAST_ROWS = 512, 200_000
 
 
 def shingles(text: str, shingle: int, distinct: bool = True) -> np.ndarray:
@@ -40,11 +40,10 @@ def parity(found: np.ndarray) -> bytes:
     return np.packbits(np.bincount(((found >> np.uint64(24)) % np.uint64(BITS)).astype("int64"), minlength=BITS) & 1).tobytes()
 
 
-def similar(pairs: DataFrame, classes: DataFrame, rows: DataFrame, shingle: int, least: float) -> DataFrame:
+def similar(pairs: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
     """The pairs (u, v) of nodes whose sets of shingles have a Jaccard similarity of at least so much.
 
-    classes: (node, n, bits), the size and the parities of each set; rows: (row, text), where a node is the row of its
-    text. Sets of that similarity differ in at most (1 - least) / (1 + least) of their joint size, so pairs whose parities differ
+    classes: (node, key, n, bits), the digest of a text of each node, the size and the parities of its set; texts: (key, text). Sets of that similarity differ in at most (1 - least) / (1 + least) of their joint size, so pairs whose parities differ
     in more bits are out before the sets are made.
     """
     once = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u < v").distinct()
@@ -57,15 +56,16 @@ def similar(pairs: DataFrame, classes: DataFrame, rows: DataFrame, shingle: int,
     mark = lambda x, node: classes.select(F.col("node").alias(node), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")).hint("merge")
     sized = once.join(mark("a", "u"), "u").join(mark("b", "v"), "v").where(F.least("n_a", "n_b") + F.lit(1e-9) >= F.lit(least) * F.greatest("n_a", "n_b"))
     pairs = materialize(sized.where(maybe("bits_a", "bits_b", F.col("n_a") + F.col("n_b"))).select("u", "v"), "pairs")
-    ends = materialize(pairs.select(F.explode(F.array("u", "v")).alias("row")).distinct(), "ends")
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(classes.select("node", "key").hint("merge"), "node")
+    ends = materialize(ends, "ends")
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"node": batch["row"], "s": [shingles(t, shingle).view("int64") for t in batch["text"]]})
+            yield pd.DataFrame({"node": batch["node"], "s": [shingles(t, shingle).view("int64") for t in batch["text"]]})
 
     few = ends.count() <= BROADCAST_ROWS
-    made = rows.join(ends.hint("broadcast" if few else "merge"), "row", "left_semi").select("row", "text").mapInPandas(sets, "node long, s array<long>")
-    made = materialize(made, "shingles")
+    held = texts.join(ends.hint("broadcast" if few else "merge"), "key").select("node", "text")
+    made = materialize(held.mapInPandas(sets, "node long, s array<long>").dropDuplicates(["node"]), "shingles")  # several rows may have the text
     both = pairs.join(made.select(F.col("node").alias("u"), F.col("s").alias("a")).hint("merge"), "u").join(made.select(F.col("node").alias("v"), F.col("s").alias("b")).hint("merge"), "v")
 
     @F.pandas_udf("boolean")

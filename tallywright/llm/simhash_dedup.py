@@ -166,15 +166,16 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return rows.join(by_run.hint("merge"), ["run", "fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def buckets(classes: DataFrame, radius: int, n: int, bucket: int = BUCKET) -> DataFrame:
+def buckets(classes: DataFrame, radius: int, bucket: int = BUCKET) -> DataFrame:
     """(key, node, fp, block): what shares a bucket with another node, in any table of any family.
 
     A bucket that is surely large, by a count of one node in 64, is dealt into blocks, so no task has to sort it all.
     This changes which task does the work, never the pairs that are compared.
     """
     ms = masks(radius)
-    keys = F.array(*[F.struct(F.xxhash64(F.lit(f * len(ms) + t), F.col("fps")[f].bitwiseAND(F.lit(m))).alias("key"), F.col("fps")[f].alias("fp")) for f in range(n) for t, m in enumerate(ms)])
-    rows = classes.select("node", F.inline(keys))
+    each = classes.select("node", F.posexplode("fps").alias("family", "fp"))
+    keys = F.transform(F.array(*map(F.lit, ms)), lambda m, t: F.xxhash64(F.col("family") * len(ms) + t, F.col("fp").bitwiseAND(m)))
+    rows = each.select("node", "fp", F.explode(keys).alias("key"))
     large = materialize(rows.where(F.pmod(F.xxhash64("node"), F.lit(64)) == 0).groupBy("key").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") * 64 >= bucket).select("key", F.ceil(F.col("k") * 64 * 2 / bucket).cast("int").alias("g")), "large-buckets")
     if 0 < large.count() <= 100_000:
         rows = rows.join(large.hint("broadcast"), "key", "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("node", F.lit(1)), F.col("g")).cast("int"), F.lit(-1))).drop("g")
@@ -200,42 +201,41 @@ def block_pairs(shared: DataFrame, radius: int, block: int = BUCKET // 4) -> Dat
     return both.where(F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= radius).select(F.col("node_a").alias("u"), F.col("node_b").alias("v"))
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 4, n: int = 6, row_col: str | None = None) -> DataFrame:
-    """Groups near copies; one row per input row: doc_id, component_id, kept, and row_col if it is given.
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 4, n: int = 6) -> DataFrame:
+    """Groups near copies; one row per input row: doc_id, text_sha256, component_id, kept.
 
     Candidates are the pairs whose SimHashes of distinct words differ in at most radius bits in one of n families;
     covering masks find every one of them. A candidate is a link if the sets of word shingles have at least that
-    Jaccard similarity, checked on the sets. component_id is the least identifier that links reach, and one row of each
-    component is kept: that with the least identifier, null ones last, and the least row number. row_col names distinct numbers of
-    rows; without it rows are numbered here. Null, empty and blank text is one set. Repeated rows are copies of one
-    another, so one of them is kept. An empty table gives an empty result; other columns are ignored.
+    Jaccard similarity, checked on the sets. component_id is the least identifier that links reach, and one document of each
+    component is kept: that with the least identifier, null ones last, and the least digest of its text. Rows that repeat
+    identifier and text are one document. Null, empty and blank text is one set. An empty table gives an empty result; other
+    columns are ignored.
 
     Equal sets are one class. Neighbours in each bucket are compared first; what they join isn't compared
     pair by pair, as its component is known, so a large group of near copies costs few comparisons.
     """
-    rows = docs.select(*([F.col(row_col).alias("row")] if row_col else []), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows if row_col else numbered(rows, "row", "rows")
 
-    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sets = [shingles(t, shingle) for t in batch["text"]]
-            found = {"digest": [digest_of(s) for s in sets], "n": [len(s) for s in sets], "bits": [parity(s) for s in sets], "fps": [families(t, n) for t in batch["text"]]}
-            yield pd.DataFrame({"row": batch["row"], "doc_id": batch["doc_id"].astype("Int64"), **found})
-
-    marked = rows.mapInPandas(mark, "row long, doc_id long, digest binary, n int, bits binary, fps array<long>").withColumn("run", F.spark_partition_id())
-    marked = materialize(marked, "marked")
-    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    local = marked.groupBy("run", "digest").agg(F.min(first).alias("first"), F.min_by(F.struct("row", "n", "bits", "fps"), "row").alias("m"))
-    classes = materialize(local.groupBy("digest").agg(F.min("first").alias("first"), F.min_by("m", "m.row").alias("m")).select("digest", "first", F.col("m.row").alias("node"), "m.n", "m.bits", "m.fps"), "classes")
-    shared = materialize(buckets(classes, radius, n), "shared")
+    @F.pandas_udf("digest binary, n int, bits binary, fps array<long>")
+    def mark(texts: pd.Series) -> pd.DataFrame:
+        sets = [shingles(t, shingle) for t in texts]
+        return pd.DataFrame({"digest": [digest_of(s) for s in sets], "n": [len(s) for s in sets], "bits": [parity(s) for s in sets], "fps": [families(t, n) for t in texts]})
+
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", F.unhex(F.sha2("text", 256)))
+    marked = materialize(texts.select("doc_id", "key", mark("text").alias("m"), F.spark_partition_id().alias("run")).select("doc_id", "key", "run", "m.*"), "marked")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    local = marked.groupBy("run", "digest").agg(F.min(first).alias("first"), F.first(F.struct("n", "bits", "fps")).alias("m"))
+    classes = local.groupBy("digest").agg(F.min("first").alias("first"), F.first("m").alias("m"))
+    classes = numbered(classes.select("digest", "first", F.col("first.key").alias("key"), "m.*"), "node", "classes")
+    shared = materialize(buckets(classes, radius), "shared")
     beside = shared.where("before is not null").select(F.col("before").alias("u"), F.col("node").alias("v"))
-    edges = similar(beside, classes, rows, shingle, similarity)
+    edges = similar(beside, classes, texts, shingle, similarity)
     known = materialize(connected_components(edges), "known")
     placed = shared.select("key", "node", "fp").join(known.hint("merge"), "node", "left").select("key", "node", "fp", F.coalesce("component", "node").alias("component"))
-    more = similar(block_pairs(materialize(placed, "placed"), radius), classes, rows, shingle, similarity)
+    more = similar(block_pairs(materialize(placed, "placed"), radius), classes, texts, shingle, similarity)
     found = classes.join(connected_components(edges.unionByName(more)).hint("merge"), "node", "left").select("digest", "first", F.coalesce("component", "node").alias("component"))
     found = materialize(found, "found")
     named = found.join(found.groupBy("component").agg(F.min("first").alias("stays")).hint("merge"), "component").select("digest", "stays")
     by_run = local.select("run", "digest").join(named.hint("merge"), "digest")
-    out = marked.select("run", "digest", "row", "doc_id").join(by_run.hint("merge"), ["run", "digest"])
-    return out.select("doc_id", F.col("stays.doc_id").alias("component_id"), (F.col("row") == F.col("stays.row")).alias("kept"), *([F.col("row").alias(row_col)] if row_col else []))
+    out = marked.select("run", "digest", "key", "doc_id").join(by_run.hint("merge"), ["run", "digest"])
+    kept = F.col("doc_id").eqNullSafe(F.col("stays.doc_id")) & (F.col("key") == F.col("stays.key"))
+    return out.select("doc_id", F.lower(F.hex("key")).alias("text_sha256"), F.col("stays.doc_id").alias("component_id"), kept.alias("kept"))

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -115,16 +115,14 @@ def fit_chain(columns: list[np.ndarray], ys: np.ndarray, fold: np.ndarray, among
 CATEGORIES = {"low_quality": "1 - quality", "toxic": "toxic", "toxic_low_quality": "toxic * (1 - quality)"}
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None = None, reject: tuple[str, ...] = ("toxic", "toxic_low_quality"), id_col: str = "doc_id", text_col: str = "text", most: int = 8_000, folds: int = 3, least_docs: int = 3, least_chi2: float = 10.8, most_features: int = 400, ridge: float = 0.2, steps: int = 250, cut: float = 0.5, row_col: str | None = None) -> DataFrame:
-    """One row per input row: doc_id, p_<category> for each category of the chain, rejected, and row_col if it is given.
+def judge(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None = None, reject: tuple[str, ...] = ("toxic", "toxic_low_quality"), id_col: str = "doc_id", text_col: str = "text", most: int = 8_000, folds: int = 3, least_docs: int = 3, least_chi2: float = 10.8, most_features: int = 400, ridge: float = 0.2, steps: int = 250, cut: float = 0.5) -> Callable[[Column], Column]:
+    """Fits the chain, and gives a function from a text column to a struct of p_<category> for each category, and rejected.
 
     rejected: the probability of a category in reject is at least cut. Learning uses at most `most` labelled rows, whatever
     the input: a linear model needs no more for its features, the words of at least least_docs of these rows whose chi-square with a
     category is at least least_chi2 (0.1 % at one degree of freedom, which doesn't depend on the number of rows), the
-    strongest most_features for each category. Scoring reads every whole text. Null text counts as empty; labels that are
-    null or of no document are left out; without labels of both kinds a category has the probability of its share (0 without
-    any). Of rows that repeat an identifier the least text is learnt from; all are scored. Other columns are ignored; an
-    empty table gives an empty result.
+    strongest most_features for each category. Labels that are null or of no document are left out; without labels of both
+    kinds a category has the probability of its share (0 without any). Of rows that repeat an identifier the least text is learnt from.
     """
     spark, categories = docs.sparkSession, categories or CATEGORIES
     names = list(categories)
@@ -142,18 +140,24 @@ def toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | No
     chain = fit_chain(columns, ys, rows["fold"].to_numpy(dtype="int64"), among, ridge, steps) if len(rows) else None
     shared = spark.sparkContext.broadcast((place, chain))
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf(", ".join([*[f"p_{c} double" for c in names], "rejected boolean"]))
+    def score(texts: pd.Series) -> pd.DataFrame:
         place, chain = shared.value
-        for batch in batches:
-            columns = [np.array(sorted(place[f] for f in features(t) & place.keys()), dtype="int64") for t in batch["text"]]
-            x, extra = Sparse(columns, len(place)), np.zeros((len(columns), 0))
-            for k in range(len(names)):
-                p = 1 / (1 + np.exp(-x.score(chain[k], extra))) if chain else np.zeros(len(columns))
-                extra = np.column_stack((extra, p))
-            bad = (extra[:, [names.index(c) for c in reject]] >= cut).any(axis=1)
-            yield pd.DataFrame(extra, columns=[f"p_{c}" for c in names]).assign(doc_id=pd.array(batch["doc_id"], dtype="Int64"), row=batch["row"], rejected=bad)
-
-    schema = ", ".join([*[f"p_{c} double" for c in names], "doc_id long", "row long", "rejected boolean"])
-    row = F.col(row_col) if row_col else F.lit(0)
-    scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), row.cast("long").alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(score, schema)
-    return scored.select("doc_id", *[f"p_{c}" for c in names], "rejected", *([F.col("row").alias(row_col)] if row_col else []))
+        columns = [np.array(sorted(place[f] for f in features(t) & place.keys()), dtype="int64") for t in texts]
+        x, extra = Sparse(columns, len(place)), np.zeros((len(columns), 0))
+        for k in range(len(names)):
+            p = 1 / (1 + np.exp(-x.score(chain[k], extra))) if chain else np.zeros(len(columns))
+            extra = np.column_stack((extra, p))
+        return pd.DataFrame(extra, columns=[f"p_{c}" for c in names]).assign(rejected=(extra[:, [names.index(c) for c in reject]] >= cut).any(axis=1))
+
+    return lambda text: score(F.coalesce(text, F.lit("")))
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """One row per input row: doc_id, p_<category> for each category of the chain, rejected; settings are those of judge.
+
+    Scoring reads every whole text, and each row is judged by its own text, so repeated rows and those without an identifier have
+    their verdicts too. Null text counts as empty. Other columns are ignored; an empty table gives an empty result.
+    """
+    verdict = judge(docs, labels, id_col=id_col, text_col=text_col, **settings)
+    return docs.select(F.col(id_col).alias("doc_id"), verdict(F.col(text_col)).alias("v")).select("doc_id", "v.*")
