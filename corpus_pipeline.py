@@ -6,35 +6,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywright.llm import exact_dedup, mixing, packing, simhash_dedup, toxicity
-from tallywright.llm.common import materialize, numbered
+from tallywright.llm.common import materialize
 from tallywright.llm.queries import tokenizer
 
 #: Classifiers have no form in SQL; the stages are tested against brute-force versions.
 ORACLE_SQL = None
 
-#: The column by which a stage tells rows apart, whatever their identifiers; it isn't a column of documents.
-ROW = "row_of_stage"
+def only(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """One row of docs for each (doc_id, text_sha256) in found; rows that share both are one document.
 
-
-def rows_of(docs: DataFrame) -> DataFrame:
-    """docs with a number for each row, so that rows that share an identifier or have none get a verdict each."""
-    return numbered(docs, ROW, "stage")
-
-
-def only(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The rows of docs (with ROW) whose numbers are in rows, without the number."""
-    return docs.join(rows.select(ROW).hint("merge"), ROW, "left_semi").drop(ROW)
+    Repeated rows go before the shuffle, so a document that a third of all rows repeat is no hot key.
+    """
+    named = docs.withColumn("sha_of_stage", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)).dropDuplicates(["doc_id", "sha_of_stage"])
+    stay = found.select(F.col("doc_id").alias("id_that_stays"), F.col("text_sha256").alias("sha_that_stays"))
+    same = F.col("doc_id").eqNullSafe(F.col("id_that_stays")) & (F.col("sha_of_stage") == F.col("sha_that_stays"))
+    return named.join(stay.hint("merge"), same, "left_semi").select(*docs.columns)
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the chain doesn't reject; each row is judged by its own text.
+    """Documents that the chain doesn't reject; each row is judged by its own text, in one pass.
 
     Null and empty texts are judged as texts without a word, rows that repeat one get the same verdict, and an empty table
     stays empty. Other columns pass through.
     """
-    docs = rows_of(docs)
-    found = toxicity.toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), row_col=ROW)
-    return only(docs, found.where("not rejected"))
+    verdict = toxicity.judge(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return docs.withColumn("verdict_of_stage", verdict(F.col("text"))).where("not verdict_of_stage.rejected").select(*docs.columns)
 
 
 def no_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,20 +38,16 @@ def no_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null text counts as empty; a null identifier loses to any other. Other columns pass through; an empty table stays empty.
     """
-    docs = rows_of(docs).withColumn("key_of_stage", F.struct("doc_id", ROW))
-    found = exact_dedup.exact_dedup(docs, id_col="key_of_stage").where("kept")
-    return only(docs, found.select(F.col(f"doc_id.{ROW}").alias(ROW))).drop("key_of_stage")
+    return only(docs, exact_dedup.exact_dedup(docs).where("kept"))
 
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies: that with the least identifier, null ones last, and of rows that share it any one.
+    """One row of each group of near copies: that with the least identifier, null ones last, then the least digest of its text.
 
     Near copies share 0.8 or more of their five-word shingles (Jaccard); covering SimHash tables give the candidates.
     Texts without a word are copies of one another. Other columns pass through; an empty table stays empty.
     """
-    docs = rows_of(docs)
-    found = simhash_dedup.near_copies(docs, shingle=5, similarity=0.8, row_col=ROW)
-    return only(docs, found.where("kept"))
+    return only(docs, simhash_dedup.near_copies(docs, shingle=5, similarity=0.8).where("kept"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
