@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 #: The normal quantile of 95 % intervals, the small-base limits, and the answer that is in no base.
 Z = 1.959963984540054
@@ -46,9 +46,57 @@ def base_flags(n: Column, k: Column) -> Column:
     return F.array_join(F.filter(flags, lambda x: x.isNotNull()), ",")
 
 
+#: What a contrast may be expected to be; null for nothing.
+EXPECTED, ALPHA = (">", "<", "!="), 0.05
+
+
+def check_expectation(expect: str | None) -> None:
+    if expect is not None and expect not in EXPECTED:
+        raise ValueError(f"WrongExpectation: one of {', '.join(EXPECTED)} or none")
+
+
 def contrast_label(lo: Column, hi: Column, expect: Column) -> Column:
     """The label of an interval against a declared direction; one that touches 0 shows no clear difference."""
-    return F.when(expect.isNull(), "not_tested").when(lo.isNull(), "unavailable").when((lo <= 0) & (hi >= 0), "no_clear_difference").when((lo > 0) == (expect == "higher"), "consistent").otherwise("opposite")
+    agrees = (expect == "!=") | ((lo > 0) == (expect == ">"))
+    return F.when(expect.isNull(), "not_tested").when(lo.isNull(), "unavailable").when((lo <= 0) & (hi >= 0), "no_clear_difference").when(agrees, "consistent").otherwise("inconsistent")
+
+
+def holm_label(direction: Column, p_holm: Column, expect: Column) -> Column:
+    """The label of an adjusted p and the sign of an effect (null: it has none) against a declared direction."""
+    sign = F.coalesce(direction, F.lit(0))
+    open_ = (p_holm >= ALPHA) | ((expect != "!=") & (sign == 0))
+    agrees = (expect == "!=") | ((sign > 0) == (expect == ">"))
+    return F.when(p_holm.isNull(), "unavailable").when(expect.isNull(), "not_tested").when(open_, "no_clear_difference").when(agrees, "consistent").otherwise("inconsistent")
+
+
+def invalid_counts(k: Column, n: Column) -> Column:
+    """Whether k of n can't be counts of a sample: 0 <= k <= n and n > 0 must hold."""
+    return k.isNull() | n.isNull() | (n <= 0) | (k < 0) | (k > n)
+
+
+def least_expected(ka: Column, na: Column, kb: Column, nb: Column) -> Column:
+    """The least expected cell of the 2x2 table of two shares."""
+    total, hit = na + nb, ka + kb
+    return F.least(na, nb) * F.least(hit, total - hit) / total
+
+
+def two_shares_test(ka: Column, na: Column, kb: Column, nb: Column) -> tuple[Column, Column]:
+    """p and its method: the pooled z, or Fisher's exact test if an expected cell is under five."""
+    sparse = least_expected(ka, na, kb, nb) < 5
+    p = F.when(sparse, p_fisher(ka, na - ka, kb, nb - kb)).otherwise(p_normal(pooled_z(ka, na, kb, nb)))
+    return p, F.when(sparse, "fisher_exact").otherwise("pooled_z")
+
+
+def threshold_test(k: Column, n: Column, t: Column) -> tuple[Column, Column, Column, Column]:
+    """Interval of k/n - t, p and method: Wilson and score z, or Clopper-Pearson and the exact test if n t or n (1 - t) is under five.
+
+    The interval and the p are of one family, so the interval leaves 0 out exactly where p is under 0.05.
+    """
+    exact = F.least(n * t, n * (1 - t)) < 5
+    (wlo, whi), both = wilson(k, n), clopper_pearson(k, n)
+    z = (k / n - t) / F.sqrt(t * (1 - t) / n)
+    pick = lambda x, y: F.when(exact, x).otherwise(y)
+    return pick(both["lo"], wlo) - t, pick(both["hi"], whi) - t, pick(p_binomial(k, n, t), p_normal(z)), pick(F.lit("exact_binomial"), F.lit("score_z"))
 
 
 def holm(p: Column, pack: list[str], key: list[str]) -> Column:
@@ -140,6 +188,15 @@ def binomial_two_sided(k: int, n: int, p: float) -> float:
     return min(1.0, 2 * min(low, high))
 
 
+def beta_quantile(q: float, a: float, b: float) -> float:
+    """The quantile of a beta distribution, by bisection."""
+    lo, hi = 0.0, 1.0
+    for _ in range(100):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if beta_cdf(a, b, mid) < q else (lo, mid)
+    return (lo + hi) / 2
+
+
 def _series(f, *cols: pd.Series) -> pd.Series:
     return pd.Series([None if any(pd.isna(x) for x in xs) else f(*xs) for xs in zip(*cols, strict=True)], dtype="float64")
 
@@ -172,3 +229,13 @@ def p_fisher(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Serie
 @F.pandas_udf(DoubleType())
 def p_binomial(k: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
     return _series(lambda a, b, c: binomial_two_sided(int(a), int(b), c), k, n, p)
+
+
+@F.pandas_udf(StructType([StructField("lo", DoubleType()), StructField("hi", DoubleType())]))
+def clopper_pearson(k: pd.Series, n: pd.Series) -> pd.DataFrame:
+    """The exact 95 % interval of k of n."""
+
+    def one(k: int, n: int) -> tuple[float, float]:
+        return (beta_quantile(0.025, k, n - k + 1) if k else 0.0), (beta_quantile(0.975, k + 1, n - k) if k < n else 1.0)
+
+    return pd.DataFrame([(None, None) if pd.isna(a) or pd.isna(b) or not b else one(int(a), int(b)) for a, b in zip(k, n, strict=True)], columns=["lo", "hi"], dtype="float64")

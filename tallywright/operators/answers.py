@@ -5,24 +5,101 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CITED, NUMBER = r"\[((?:[a-z0-9]+)\.r[0-9]+)\]", r"(?<![\w.])[0-9]+(?:\.[0-9]+)?"
+#: Formats of written answers: a cited id, a number, a unit, a year, and what follows a confidence level. Fixed values.
+CITED = r"\b[A-Za-z][A-Za-z0-9_]*\.r[0-9]+\b"
+PLAIN = r"[-−]?(?:[0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?|[0-9]+(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?)"
+UNIT = r"%|per ?cent\b|percentage points?\b|pp\b|points?\b"
+TOKEN = rf"(?i)([<>≤≥]=?\s*)?({PLAIN})\s*({UNIT})?"
+RANGE = rf"(?i)({PLAIN})(\s*(?:to|-|–|—|and)\s*)({PLAIN})(\s*)({UNIT})"
+LEVEL = r"(?i)\b95\s*%?\s*(confidence|interval|credible|CI\b)"
+YEAR = "^(?:19|20)[0-9]{2}$"
+#: Bare whole numbers up to this one are wording ("top 2"), and the slack of a comparison of decimals.
+WORDING, SLACK = 10, 1e-9
 
 
 def cited_ids(answer: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(answer, F.lit(CITED), F.lit(1))))
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(answer, F.lit(CITED), F.lit(0))))
 
 
-def numbers(answer: Column) -> Column:
-    """The number tokens of an answer, with citations blanked out."""
-    return F.regexp_extract_all(F.regexp_replace(answer, CITED, " "), F.lit(NUMBER), F.lit(0))
+def sentences(answer: Column) -> Column:
+    """The sentences of an answer: cut behind . ! ? and white space, and at line breaks."""
+    return F.filter(F.transform(F.split(F.regexp_replace(answer, r"([.!?])\s+", "$1\n"), "\n"), F.trim), lambda x: x != "")
 
 
-def ungrounded(answers: DataFrame, values: DataFrame) -> DataFrame:
-    """(pack, number) of numbers that no value of their pack rounds to, at the decimals written; a percentage also matches a share."""
-    tokens = answers.select("pack", F.explode(F.array_distinct(numbers(F.col("answer")))).alias("number")).withColumn("decimals", F.length(F.regexp_extract("number", r"\.([0-9]+)$", 1)))
-    near = F.abs(F.col("number").cast("double") - F.abs("value")) <= F.lit(0.5) * F.pow(F.lit(10.0), -F.col("decimals")) + 1e-9
-    near = near | (F.abs(F.col("number").cast("double") - 100 * F.abs("value")) <= F.lit(0.5) * F.pow(F.lit(10.0), -F.col("decimals")) + 1e-9)
-    return tokens.join(values, (tokens["pack"] == values["pack"]) & near, "left_anti").select("pack", "number")
+def tokens(sentence: Column) -> Column:
+    """(cmp, number, unit) of each number of a sentence; cited ids and confidence levels are left out.
+
+    The first number of a range takes the unit that is written behind the second.
+    """
+    text = F.regexp_replace(F.regexp_replace(sentence, CITED, " "), LEVEL, " $1")
+    text = F.regexp_replace(text, RANGE, "$1$5 $2$3$5")
+    part = lambda i: F.regexp_extract_all(text, F.lit(TOKEN), F.lit(i))
+    each = F.arrays_zip(part(1).alias("cmp"), part(2).alias("number"), part(3).alias("unit"))
+    return F.transform(each, lambda x: F.struct(F.trim(x["cmp"]).alias("cmp"), F.regexp_replace(F.regexp_replace(x["number"], ",", ""), "−", "-").alias("number"), F.lower(x["unit"]).alias("unit")))
+
+
+def label_numbers(text: Column) -> Column:
+    """The numbers inside a label, without their sign: repeating them claims nothing."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(PLAIN), F.lit(0)), lambda x: F.regexp_replace(x, "[,−-]", "")))
+
+
+def exempt(token: Column, known: Column) -> Column:
+    """Whether a number needs no evidence: a year, one of the claim or of a label, or small and bare."""
+    bare = (token["unit"] == "") & (token["cmp"] == "")
+    year = token["number"].rlike(YEAR) & (token["unit"] == "")
+    small = bare & ~F.contains(token["number"], F.lit(".")) & (token["number"].cast("double") <= WORDING)
+    return year | F.array_contains(known, F.regexp_replace(token["number"], "^-", "")) | small
+
+
+def grounded(token: Column, counts: Column, shares: Column, reals: Column, ps: Column) -> Column:
+    """Whether a value of the pack (arrays of doubles) stands behind a number, at the decimals that are written.
+
+    A bound holds if some value keeps it; a number in scientific form must agree at its figures; one with a unit is a share in
+    hundredths; a bare whole number may be a count; any other must be near a value, or, over 1, near a share in hundredths.
+    """
+    shown = token["number"].cast("double")
+    decimals = F.length(F.regexp_extract(token["number"], r"\.([0-9]+)", 1))
+    half = F.lit(0.5) * F.pow(F.lit(10.0), -decimals)
+    close = lambda v: F.abs(F.abs(shown) - F.abs(v)) <= half + SLACK
+    all_ = F.concat(ps, shares, reals)
+    below = token["cmp"].startswith("<") | token["cmp"].startswith("≤")
+    bound = F.exists(all_, lambda p: F.when(below, p < shown).otherwise(p > shown))
+    scientific = F.exists(all_, lambda v: F.abs(shown - v) <= half * F.greatest(F.abs(shown), F.abs(v)) + 1e-15)
+    hundredths = F.exists(shares, lambda v: close(v * 100.0))
+    other = ((decimals == 0) & F.array_contains(counts, F.abs(shown))) | F.exists(all_, close) | ((F.abs(shown) > 1) & hundredths)
+    return F.when(token["cmp"] != "", bound).when(token["number"].rlike("[eE]"), scientific).when(token["unit"] != "", hundredths).otherwise(other)
+
+
+def mentions(sentence: Column, label: Column) -> Column:
+    """Whether a sentence names a group as a word of its own, in any case."""
+    word = lambda x: F.concat(F.lit(" "), F.regexp_replace(F.lower(x), "[^a-z0-9_]+", " "), F.lit(" "))
+    return F.contains(word(sentence), word(label))
+
+
+def check_answers(packs: DataFrame) -> DataFrame:
+    """(pack, d1_cited, d2_grounded, d3_shown, d4_required, ungrounded, review) of answers.
+
+    packs: (pack, answer, ids, required, known, counts, shares, reals, ps, reported, hidden), the last two arrays of group labels
+    and of (label, n). D1: every cited id is one of the pack. D2: every number that isn't exempt is grounded. D3: no sentence that
+    names a hidden group, and no reported one, has a percentage or a decimal but the group's own base. D4: every required id is cited. A
+    sentence that names both kinds of group isn't a fault but is left for a reader (review). An answer's numbers are looked at
+    within its row; no answer is joined to others.
+    """
+    found = packs.withColumns({"said": sentences(F.col("answer")), "cited": cited_ids(F.col("answer"))})
+    found = found.withColumn("said", F.transform("said", lambda s: F.struct(s.alias("text"), tokens(s).alias("tokens"))))
+    pool = [F.col(c) for c in ("counts", "shares", "reals", "ps")]
+    wrong = F.flatten(F.transform("said", lambda s: F.transform(F.filter(s["tokens"], lambda t: ~exempt(t, F.col("known")) & ~grounded(t, *pool)), lambda t: t["number"])))
+    telling = lambda s, h: F.exists(s["tokens"], lambda t: (t["unit"] != "") | (F.contains(t["number"], F.lit(".")) & (t["number"].cast("double") != h["n"])))
+    names = lambda s, mixed: F.exists(F.col("hidden"), lambda h: mentions(s["text"], h["label"]) & telling(s, h) & (F.exists("reported", lambda g: mentions(s["text"], g)) == mixed))
+    return found.select(
+        "pack",
+        (F.size(F.array_except("cited", "ids")) == 0).alias("d1_cited"),
+        (F.size(wrong) == 0).alias("d2_grounded"),
+        (~F.exists("said", lambda s: names(s, F.lit(False)))).alias("d3_shown"),
+        (F.size(F.array_except("required", "cited")) == 0).alias("d4_required"),
+        F.array_join(F.array_sort(wrong), " ").alias("ungrounded"),
+        F.exists("said", lambda s: names(s, F.lit(True))).alias("review"),
+    )
 
 
 def normal(text: Column) -> Column:

@@ -27,15 +27,45 @@ def misaligned(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
     return joined.where(~F.col("left").eqNullSafe(F.col("right")))
 
 
-def passages_in(texts: DataFrame, passages: DataFrame, words: int = 5) -> DataFrame:
-    """(id, passage_id) of texts that contain a passage of words + 2 or more words.
+def passages_in(texts: DataFrame, passages: DataFrame, words: int = 5, broadcast_rows: int = 200_000) -> DataFrame:
+    """(id, passage_id) of texts (id, text) that contain a passage (passage_id, passage), of any length.
 
-    Where a passage is in a text, its words but the first and last stand there whole: windows of the text meet by hash
-    the passages' second to (words + 1)th word, and contains() decides.
+    Where a passage of words + 2 or more words is in a text, its words but the first and last stand there whole: windows of
+    the text meet by hash the passage's second to (words + 1)th word, and contains() decides. A shorter passage is searched
+    in every text, all of them in one pass. Up to broadcast_rows keys are broadcast, so that only windows that meet one are shuffled;
+    beyond that, windows and keys are joined by hash. An empty passage is in every text; null texts and passages are in none.
     """
+    split = passages.where(F.col("passage").isNotNull()).withColumn("w", F.split("passage", " "))
+    long = split.where(F.size("w") >= words + 2).select("passage_id", F.xxhash64(F.slice("w", 2, words)).alias("h"))
+    short = split.where(F.size("w") < words + 2).select("passage_id", "passage")
+    how = lambda df: "broadcast" if df.count() <= broadcast_rows else "merge"
     hashes = lambda w: F.when(F.size(w) >= words, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - words + 1), lambda i: F.xxhash64(F.slice(w, i, words)))))
     # the outer transform splits a text once; a plain column would be split anew for each window
     windows = texts.select("id", F.explode(F.transform(F.array(F.split("text", " ")), hashes)).alias("hs")).select("id", F.explode("hs").alias("h"))
-    keys = passages.where(F.size(F.split("passage", " ")) >= words + 2).select("passage_id", F.xxhash64(F.slice(F.split("passage", " "), 2, words)).alias("h"))
-    pairs = windows.join(keys.hint("merge"), "h").select("id", "passage_id").distinct()
-    return pairs.join(passages.hint("merge"), "passage_id").join(texts.hint("merge"), "id").where(F.contains("text", "passage")).select("id", "passage_id")
+    pairs = windows.join(long.hint(how(long)), "h").select("id", "passage_id").distinct()
+    found = pairs.join(passages.hint(how(passages)), "passage_id").join(texts.hint("merge"), "id").where(F.contains("text", "passage")).select("id", "passage_id")
+    if short.isEmpty():
+        return found
+    # the short ones are arrays of at most broadcast_rows, which every text is searched for
+    parts = short.withColumn("part", F.pmod(F.xxhash64("passage_id"), F.lit(-(-short.count() // broadcast_rows)))).groupBy("part").agg(F.collect_list(F.struct("passage_id", "passage")).alias("ps"))
+    each = texts.join(F.broadcast(parts)).select("id", F.explode(F.filter("ps", lambda p: F.contains(F.col("text"), p["passage"]))).alias("p"))
+    return found.unionByName(each.select("id", "p.passage_id"))
+
+
+def benchmark_faults(items: DataFrame, texts: DataFrame, answers: DataFrame, markers: list[str]) -> DataFrame:
+    """(kind, faults) of a benchmark (passage_id, passage): only kinds with a fault have a row.
+
+    leaked_item: in a text; repeated_item: a passage that several items have; misaligned_answer: answers (passage_id, of)
+    whose digest is of another passage; hidden_marker: texts with one of the markers (expressions, in any case).
+    """
+    kinds = {
+        "leaked_item": passages_in(texts, items).select("passage_id").distinct(),
+        "repeated_item": repeated(items, "passage").select("n"),
+        "misaligned_answer": misaligned(items.select("passage_id", F.md5("passage").alias("of")), answers, "passage_id", "of"),
+        "hidden_marker": texts.where(F.col("text").rlike("(?i)" + "|".join(markers))),
+    }
+    out = None
+    for kind, faults in kinds.items():
+        one = faults.agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("faults")).where("faults > 0")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -79,3 +79,10 @@ def inventory(df: DataFrame, measures: list[str], bindings: list[str], key: str)
     pairs = F.array(*[F.struct(F.lit(m).alias("variable"), F.col(m).alias("answer"), F.lit(b).alias("grouping"), F.col(b).alias("grp")) for m in measures for b in bindings if m != b])
     cells = df.select(F.inline(pairs)).where("answer is not null and grp is not null and answer <> 'Prefer not to say' and grp <> 'Prefer not to say'").groupBy("variable", "answer", "grouping", "grp").agg(F.count(F.lit(1)).alias("k"))
     return cells.withColumn("n", F.sum("k").over(W.partitionBy("variable", "grouping", "grp")))
+
+
+def traces(df: DataFrame, study: Study, v: str, group: str, key: str) -> DataFrame:
+    """(estimate, grp, n_group, group_print, n_base, base_print): who is in each group of an estimate, and in its base."""
+    base = study.base(v)
+    each = df.where(study.base(group)).withColumns({"grp": F.col(group), "own": F.conv(F.substring(F.sha2(F.col(key).cast("string"), 256), 1, 15), 16, 10).cast("long"), "based": F.coalesce(base, F.lit(False))})
+    return each.groupBy("grp").agg(F.count(F.lit(1)).alias("n_group"), F.bit_xor("own").alias("group_print"), F.count_if("based").alias("n_base"), F.bit_xor(F.when(F.col("based"), F.col("own"))).alias("base_print")).withColumn("estimate", F.lit(v))

@@ -78,3 +78,21 @@ def select_disjoint(candidates: DataFrame, most_rounds: int = 1000) -> DataFrame
     else:
         raise RuntimeError(f"candidates are left after {most_rounds} rounds")
     return taken.select("id").distinct()
+
+
+def by_study(cards: DataFrame, variable: str, pairs: list[tuple[str, str]]) -> DataFrame:
+    """(study, answer, a, b, core): the families of each study's cards (study, answer) for its declared pairs of groups."""
+    grid = cards.withColumn("pair", F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs]))).select("study", "answer", "pair.a", "pair.b")
+    return grid.withColumn("core", digest(F.col("study"), F.lit(variable), F.col("answer"), F.col("a"), F.col("b")))
+
+
+def plan(owned: DataFrame, executed: DataFrame, sizes: dict[str, int], seed: int) -> DataFrame:
+    """(split, families, executed, selected) of a plan: owned (family, split), executed (family, executed), and how many each split takes.
+
+    Of the executed families of a split the first by seeded hash are selected.
+    """
+    known = owned.join(executed.hint("merge"), "family", "left").withColumn("executed", F.coalesce("executed", F.lit(False)))
+    limit = F.element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, n)]), F.col("split"))
+    taken = take_by_hash(known.where("executed").withColumn("name", F.col("family").cast("string")), "split", "name", seed, limit)
+    each = known.groupBy("split").agg(F.count(F.lit(1)).alias("families"), F.count_if("executed").alias("executed"))
+    return each.join(taken.groupBy("split").agg(F.count(F.lit(1)).alias("selected")).hint("merge"), "split", "left").select("split", "families", "executed", F.coalesce("selected", F.lit(0)).alias("selected"))

@@ -1,6 +1,6 @@
 """All registered queries, by the table they are about."""
 
-from . import catalogues, claims, details, estimation, packages, reviews  # noqa: F401
+from . import catalogues, claims, curriculum, details, estimation, inference, packages, reviews, written  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

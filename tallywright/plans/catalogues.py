@@ -217,16 +217,6 @@ def stressors(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", tags.alias("stressors"))
 
 
-@query("g36_exposed_labels", "SELECT l_orderkey, bool_and(contains(lower(p_name), lower(c_mktsegment[1]))) AS exposed FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1")
-def exposed_labels(spark, sf_dir):
-    """Whether the claim's key letter stands in every label that it requires."""
-    who = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.lower(F.substring("c_mktsegment", 1, 1)).alias("norm"))
-    claims = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey").join(who.hint("merge"), "o_custkey")
-    names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.lower("p_name").alias("name"))
-    required = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").join(names.hint("merge"), "l_partkey").groupBy("l_orderkey").agg(F.collect_set("name").alias("names"))
-    return required.join(claims.hint("merge"), "l_orderkey").select("l_orderkey", F.forall("names", lambda x: F.contains(x, F.col("norm"))).alias("exposed"))
-
-
 @query("g40_meaning_checklist", SQL + ", c AS (SELECT DISTINCT 'status' AS variable, status AS answer FROM r UNION SELECT DISTINCT 'priority', priority FROM r), g AS (SELECT variable, answer, b, k, sha256('[\"' || variable || '\", \"' || answer || '\", \"' || b || '\", \"' || k || '\"]') AS core FROM c, (VALUES ('segment'),('region'),('status')) g(b), (VALUES ('difference'),('threshold')) t(k) WHERE variable <> b) SELECT core, unnest([1, 2, 3]) AS item, unnest(['asks about ' || variable, 'counts ' || answer, k || ' across ' || b]) AS statement FROM g")
 def meaning_checklist(spark, sf_dir):
     """What a paraphrase of each family must keep, item by item."""

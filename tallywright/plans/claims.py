@@ -34,17 +34,6 @@ def monte_carlo(spark, sf_dir):
     return rounded(resampling.independence_tests(_by_cell(spark, sf_dir, F.col("balance"))), 6)
 
 
-@query("t15_breslow_day", SQL + f""", s AS (SELECT region, status, count(*) FILTER (segment = 'BUILDING' AND balance = 'low') AS a, count(*) FILTER (segment = 'BUILDING' AND balance <> 'low') AS b, count(*) FILTER (segment = 'MACHINERY' AND balance = 'low') AS c, count(*) FILTER (segment = 'MACHINERY' AND balance <> 'low') AS d FROM r WHERE {_BB} AND segment IN ('BUILDING','MACHINERY') AND region IS NOT NULL GROUP BY 1, 2),
-u AS (SELECT *, sum(a*d/n) OVER () / sum(b*c/n) OVER () AS r FROM (SELECT *, (a+b+c+d)::DOUBLE AS n FROM s) WHERE n >= 10 AND a+b > 0 AND c+d > 0 AND a+c > 0 AND b+d > 0),
-e AS (SELECT *, (-(d - a + r*(a+b+a+c)) + sqrt(pow(d - a + r*(a+b+a+c), 2) + 4*(1-r)*r*(a+b)*(a+c))) / (2*(1-r)) AS e FROM u)
-SELECT count(*) AS strata, round(sum(pow(a - e, 2) * (1/e + 1/(a+b-e) + 1/(a+c-e) + 1/(d-a+e))), 6) AS statistic FROM e""")
-def breslow_day(spark, sf_dir):
-    df = respondents(spark, sf_dir).where(ORDERS.base("balance") & F.col("segment").isin("BUILDING", "MACHINERY") & ORDERS.base("region"))
-    low, a = F.col("balance") == "low", F.col("segment") == "BUILDING"
-    strata = df.groupBy("region", "status").agg(F.count_if(a & low).alias("a"), F.count_if(a & ~low).alias("b"), F.count_if(~a & low).alias("c"), F.count_if(~a & ~low).alias("d"))
-    return rounded(contrasts.breslow_day(strata).select("strata", "statistic"), 6)
-
-
 # studies and catalogues
 @query("f18_subset_study", SQL + " SELECT respondent_id, status, ret_a, ret_n, ret_r FROM r")
 def subset_study(spark, sf_dir):
@@ -112,12 +101,6 @@ def realised_claims(spark, sf_dir):
     return records(spark, sf_dir).select("record_id", F.forall(F.slice(F.split("input", " "), 1, 2), lambda w: F.contains(F.col("output"), w)).alias("realised"))
 
 
-@query("g37_difficulty", "SELECT conv_id, turn, n_words, n_numbers, CASE WHEN n_numbers = 0 THEN 'low' WHEN n_numbers < 3 THEN 'middle' ELSE 'high' END AS level FROM (SELECT conv_id, turn, len(regexp_extract_all(text, '[a-z]+')) AS n_words, len(regexp_extract_all(text, '[0-9]+')) AS n_numbers FROM conversations)")
-def difficulty(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.regexp_count("text", F.lit("[a-z]+")).cast("long").alias("n_words"), F.regexp_count("text", F.lit("[0-9]+")).cast("long").alias("n_numbers"))
-    return c.withColumn("level", F.when(F.col("n_numbers") == 0, "low").when(F.col("n_numbers") < 3, "middle").otherwise("high"))
-
-
 @query("g38_planted_changes", REC + "SELECT * FROM (SELECT record_id, 'number' AS kind, CASE WHEN regexp_matches(output, '[0-9]') THEN regexp_replace(output, '[0-9]+', '17', 'g') END AS claim FROM rec UNION ALL SELECT record_id, 'negation', CASE WHEN contains(output, ' is ') THEN replace(output, ' is ', ' is not ') END FROM rec UNION ALL SELECT record_id, 'cut', CASE WHEN contains(output, '. ') THEN substr(output, strpos(output, '. ') + 2) END FROM rec) WHERE claim IS NOT NULL")
 def planted_changes(spark, sf_dir):
     t = F.col("output")

@@ -12,7 +12,7 @@ from tallywright.sources import files
 
 from .catalogues import _LONG, answers_long
 from .claims import REFS, numeric_evidence
-from .estimation import _BB, _RB, _SCORE, SHARES, WHI, WLO, evidence_pack, rounded
+from .estimation import _BB, _RB, _SCORE, SHARES, WHI, WLO, rounded
 from .packages import REC, numeric_references, owners, packs, records
 from .registry import ORACLES, query, table
 from .reviews import _OWNED
@@ -135,28 +135,6 @@ def cohens_h(spark, sf_dir):
     return rounded(debts(spark, sf_dir).select("nation", stats.cohens_h(F.col("k") / F.col("n"), F.lit(0.1)).alias("h")))
 
 
-@query("t08_holm", f"SELECT nation, round(p, 8) AS p, round(least(1.0, max(step) OVER (ORDER BY p, nation ROWS UNBOUNDED PRECEDING)), 8) AS p_holm FROM (SELECT *, (count(*) OVER () - row_number() OVER (ORDER BY p, nation) + 1) * p AS step FROM (SELECT nation, k / n::DOUBLE / 10 AS p FROM ({_DEBT})))")
-def holm(spark, sf_dir):
-    """Step-down adjustment of one score for each nation, standing in for a p that SQL has too."""
-    scored = debts(spark, sf_dir).select("nation", (F.col("k") / F.col("n") / 10).alias("p")).withColumn("pack", F.lit("one"))
-    return rounded(scored.select("nation", "p", stats.holm(F.col("p"), ["pack"], ["nation"]).alias("p_holm")))
-
-
-@query("t16_declared_labels", f"SELECT nation, expected, CASE WHEN expected IS NULL THEN 'not_tested' WHEN lo <= 0 AND hi >= 0 THEN 'no_clear_difference' WHEN (lo > 0) = (expected = 'higher') THEN 'consistent' ELSE 'opposite' END AS label FROM (SELECT nation, CASE nation % 3 WHEN 0 THEN 'higher' WHEN 1 THEN 'lower' END AS expected, {WLO('k', 'n')} - 0.1 AS lo, {WHI('k', 'n')} - 0.1 AS hi FROM ({_DEBT}))")
-def declared_labels(spark, sf_dir):
-    """The label of an interval against a declared direction, or none declared."""
-    lo, hi = stats.wilson(F.col("k"), F.col("n"))
-    expected = F.when(F.col("nation") % 3 == 0, "higher").when(F.col("nation") % 3 == 1, "lower")
-    return debts(spark, sf_dir).select("nation", expected.alias("expected"), stats.contrast_label(lo - 0.1, hi - 0.1, expected).alias("label"))
-
-
-@query("t17_adjusted_labels", "SELECT id, CASE WHEN p_holm >= 0.9 THEN 'no_clear_difference' WHEN direction > 0 THEN 'consistent' ELSE 'opposite' END AS label FROM (" + ORACLES["l01_evidence_pack"] + ")")
-def adjusted_labels(spark, sf_dir):
-    """Labels by the sign and the adjusted score."""
-    e = evidence_pack(spark, sf_dir)
-    return e.select("id", F.when(F.col("p_holm") >= 0.9, "no_clear_difference").when(F.col("direction") > 0, "consistent").otherwise("opposite").alias("label"))
-
-
 @query("t19_group_trend", SQL + f", q AS (SELECT {_SCORE}::DOUBLE AS y, CASE status WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS x FROM r WHERE {_SCORE} IS NOT NULL AND status IS NOT NULL) SELECT count(*) AS n, round(regr_slope(y, x), 8) AS slope FROM q")
 def group_trend(spark, sf_dir):
     """Slope of a score over three ordered groups."""
@@ -206,24 +184,6 @@ def effect_signs(spark, sf_dir):
 
 
 # checks of answers
-@query("k10_exempt_numbers", "SELECT kind, count(*) AS n FROM (SELECT CASE WHEN regexp_full_match(x, '(19|20)[0-9]{2}') THEN 'year' WHEN len(x) = 1 THEN 'small' ELSE 'checked' END AS kind FROM (SELECT unnest(regexp_extract_all(text, '[0-9]+')) AS x FROM documents)) GROUP BY 1")
-def exempt_numbers(spark, sf_dir):
-    """Numbers of all texts that need no evidence: years and single digits."""
-    x = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0))).alias("x"))
-    kind = F.when(F.col("x").rlike("^(19|20)[0-9]{2}$"), "year").when(F.length("x") == 1, "small").otherwise("checked")
-    return x.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("k11_answer_checks", f"SELECT nation AS pack, true AS d1_cited, nation % 5 <> 0 AS d2_grounded, n >= 10 AS d3_shown, true AS d4_required FROM ({_DEBT})")
-def answer_checks(spark, sf_dir):
-    """Four checks of each answer: valid citations, grounded numbers, nothing suppressed, every required id cited."""
-    p = packs(spark, sf_dir).select("pack", "n", "value", "k", "answer", F.concat(F.lit("s1.r"), "pack").alias("id"), answers.cited_ids(F.col("answer")).alias("cited"))
-    values = p.select("pack", F.explode(F.array(F.col("value"), F.col("n").cast("double"), F.col("k").cast("double"))).alias("value"))
-    wrong = answers.ungrounded(p, values).select("pack").distinct().withColumn("wrong", F.lit(True))
-    known = F.size(F.array_except("cited", F.array("id"))) == 0
-    return p.join(wrong, "pack", "left").select("pack", known.alias("d1_cited"), F.col("wrong").isNull().alias("d2_grounded"), (F.col("n") >= stats.SUPPRESS).alias("d3_shown"), F.array_contains("cited", F.col("id")).alias("d4_required"))
-
-
 @query("k20_outcomes", REC + "SELECT record_id, CASE WHEN output = '' THEN 'empty' WHEN length(output) > 2000 THEN 'truncated' WHEN NOT contains(output, '.') THEN 'malformed' ELSE 'complete' END AS outcome FROM rec")
 def outcomes(spark, sf_dir):
     out = F.col("output")
@@ -276,13 +236,6 @@ def scaled_requirements(spark, sf_dir):
     return each.withColumn("met", F.col("have") >= F.col("need"))
 
 
-@query("g35_program_features", "SELECT page_id, len(regexp_extract_all(html, '<p[ >]')) AS paragraphs, len(regexp_extract_all(html, '<a ')) AS links, len(list_distinct(regexp_extract_all(html, '<[a-z0-9]+'))) AS kinds FROM pages")
-def program_features(spark, sf_dir):
-    """Counts of named constructs in source texts."""
-    n = lambda p: F.regexp_count("html", F.lit(p)).cast("long")
-    return table(spark, sf_dir, "pages").select("page_id", n("<p[ >]").alias("paragraphs"), n("<a ").alias("links"), F.size(F.array_distinct(F.regexp_extract_all("html", F.lit("<[a-z0-9]+"), F.lit(0)))).cast("long").alias("kinds"))
-
-
 @query("m04_accepted_view", REC + "SELECT record_id, input, split FROM sp WHERE length(output) >= length(input)")
 def accepted_view(spark, sf_dir):
     """Accepted records with unchanged inputs, checked against the source before they are given."""

@@ -130,18 +130,6 @@ def denominator_gap(spark, sf_dir):
 _CNT = SQL + ", c AS (SELECT segment AS grp, count(*) AS n, count(*) FILTER (balance = 'low') AS k FROM r WHERE segment IS NOT NULL AND balance <> 'Prefer not to say' GROUP BY 1), p AS (SELECT a.grp AS a, a.n AS na, a.k AS ka, b.grp AS b, b.n AS nb, b.k AS kb, a.k/a.n::DOUBLE AS pa, b.k/b.n::DOUBLE AS pb FROM c a JOIN c b ON a.grp < b.grp WHERE a.n >= 10 AND b.n >= 10), i AS (SELECT *, " + f"pa - pb - sqrt(pow(pa - {WLO('ka','na')}, 2) + pow({WHI('kb','nb')} - pb, 2)) AS lo, pa - pb + sqrt(pow({WHI('ka','na')} - pa, 2) + pow(pb - {WLO('kb','nb')}, 2)) AS hi, (pa - pb) / sqrt((ka+kb)/(na+nb)::DOUBLE * (1 - (ka+kb)/(na+nb)::DOUBLE) * (1.0/na + 1.0/nb)) AS z FROM p)"
 
 
-@query("t02_compare_groups", _CNT + " SELECT a, na, ka, b, nb, kb, round(pa - pb, 8) AS value, round(lo, 8) AS lo, round(hi, 8) AS hi, round(z, 8) AS z, round(2 * asin(sqrt(pa)) - 2 * asin(sqrt(pb)), 8) AS h, CASE WHEN lo <= 0 AND hi >= 0 THEN 'no_clear_difference' WHEN lo > 0 THEN 'consistent' ELSE 'opposite' END AS label FROM i")
-def compare_groups(spark, sf_dir):
-    f = ORDERS.where("balance", ["low"])
-    return rounded(contrasts.compare(estimates.counts(respondents(spark, sf_dir), f.universe, f.mask, ORDERS.groups("segment")), "higher"))
-
-
-@query("t04_association", SQL + ", c AS (SELECT segment AS x, priority AS y, count(*) AS k FROM r WHERE segment IS NOT NULL AND priority IS NOT NULL GROUP BY 1, 2), e AS (SELECT *, sum(k) OVER (PARTITION BY x) * sum(k) OVER (PARTITION BY y) / (sum(k) OVER ())::DOUBLE AS e FROM c), s AS (SELECT sum(k)::BIGINT AS n, sum(pow(k - e, 2) / e) AS chi2, count(DISTINCT x) AS a, count(DISTINCT y) AS b FROM e) SELECT n, round(chi2, 6) AS chi2, ((a - 1) * (b - 1))::BIGINT AS df, round(sqrt(chi2 / (n * (least(a, b) - 1))), 6) AS v FROM s")
-def association(spark, sf_dir):
-    cells = respondents(spark, sf_dir).where(ORDERS.base("segment") & ORDERS.base("priority")).groupBy(F.col("segment").alias("x"), F.col("priority").alias("y")).agg(F.count(F.lit(1)).alias("k"))
-    return rounded(contrasts.association(cells), 6)
-
-
 @query("t13_spearman", SQL + f", d AS (SELECT {_SCORE} AS x, CASE balance WHEN 'low' THEN 1 WHEN 'middle' THEN 2 WHEN 'high' THEN 3 END AS y FROM r), q AS (SELECT * FROM d WHERE x IS NOT NULL AND y IS NOT NULL), k AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM q) SELECT count(*) AS n, round(corr(rx, ry), 8) AS rho FROM k")
 def spearman(spark, sf_dir):
     balance = F.when(F.col("balance") == "low", 1).when(F.col("balance") == "middle", 2).when(F.col("balance") == "high", 3)
@@ -149,37 +137,9 @@ def spearman(spark, sf_dir):
     return rounded(contrasts.spearman(cells))
 
 
-@query("t12_trend", SQL + f""", d AS (SELECT CASE balance WHEN 'low' THEN 0 WHEN 'middle' THEN 1 WHEN 'high' THEN 2 END AS x, {_SCORE} AS y FROM r), q AS (SELECT x, y::DOUBLE AS y FROM d WHERE x IS NOT NULL AND y IS NOT NULL),
-m AS (SELECT count(*) AS n, avg(x) AS mx, avg(y) AS my, regr_slope(y, x) AS b, regr_sxx(y, x) AS sxx FROM q), e AS (SELECT pow(x - mx, 2) * pow((y - my - b * (x - mx)) / (1 - (1.0 / n + pow(x - mx, 2) / sxx)), 2) AS t, n, b, sxx FROM q, m)
-SELECT max(n) AS n, round(max(b), 8) AS slope, round(sqrt(sum(t)) / max(sxx), 8) AS se, round(max(b) - {Z} * sqrt(sum(t)) / max(sxx), 8) AS lo, round(max(b) + {Z} * sqrt(sum(t)) / max(sxx), 8) AS hi FROM e""")
-def trend(spark, sf_dir):
-    y = estimates.score(ORDERS, "priority").cast("double")
-    x = F.when(F.col("balance") == "low", 0).when(F.col("balance") == "middle", 1).when(F.col("balance") == "high", 2)
-    sums = respondents(spark, sf_dir).where(ORDERS.ordered_base("priority") & ORDERS.base("balance")).groupBy(x.alias("position")).agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("s"), F.sum(y * y).alias("ss"))
-    return rounded(contrasts.trend(sums))
-
-
-@query("t15_adjusted_comparison", SQL + f""", s AS (SELECT region, status, count(*) FILTER (segment = 'BUILDING' AND balance = 'low') AS a, count(*) FILTER (segment = 'BUILDING' AND balance <> 'low') AS b, count(*) FILTER (segment = 'MACHINERY' AND balance = 'low') AS c, count(*) FILTER (segment = 'MACHINERY' AND balance <> 'low') AS d FROM r WHERE {_BB} AND segment IN ('BUILDING','MACHINERY') AND region IS NOT NULL GROUP BY 1, 2),
-u AS (SELECT *, (a+b+c+d)::DOUBLE AS n, a+b+c+d >= 10 AND a+b > 0 AND c+d > 0 AS ok FROM s), x AS (SELECT sum(a*d/n) AS r, sum(b*c/n) AS s, sum((a+d)/n*a*d/n) AS pr, sum((a+d)/n*b*c/n + (b+c)/n*a*d/n) AS ps, sum((b+c)/n*b*c/n) AS qs, sum(a) AS a, sum(b) AS b, sum(c) AS c, sum(d) AS d, count(*) AS strata FROM u WHERE ok)
-SELECT strata, (SELECT count(*) FROM u WHERE NOT ok) AS dropped, round(r / s, 8) AS odds_ratio, round(exp(ln(r/s) - {Z} * sqrt(pr/(2*r*r) + ps/(2*r*s) + qs/(2*s*s))), 8) AS lo, round(exp(ln(r/s) + {Z} * sqrt(pr/(2*r*r) + ps/(2*r*s) + qs/(2*s*s))), 8) AS hi, round(a*d/(b*c)::DOUBLE, 8) AS crude FROM x""")
-def adjusted(spark, sf_dir):
-    df = respondents(spark, sf_dir).where(ORDERS.base("balance") & F.col("segment").isin("BUILDING", "MACHINERY") & ORDERS.base("region"))
-    low, a = F.col("balance") == "low", F.col("segment") == "BUILDING"
-    strata = df.groupBy(F.struct("region", "status").alias("stratum")).agg(F.count_if(a & low).alias("a"), F.count_if(a & ~low).alias("b"), F.count_if(~a & low).alias("c"), F.count_if(~a & ~low).alias("d"))
-    return rounded(contrasts.mantel_haenszel(strata))
-
-
 _THR = SQL + f", c AS (SELECT grp, count(*) FILTER ({_BB} AND segment = grp) AS n, count(*) FILTER (balance = 'low' AND segment = grp) AS k FROM r, {SEGMENTS} GROUP BY 1)"
 
 
-@query("t06_threshold", _THR + f" SELECT grp, n, k, round((k/n::DOUBLE - 0.35) / sqrt(0.35 * 0.65 / n), 8) AS z, CASE WHEN {WLO('k','n')} - 0.35 <= 0 AND {WHI('k','n')} - 0.35 >= 0 THEN 'no_clear_difference' WHEN {WLO('k','n')} > 0.35 THEN 'consistent' ELSE 'opposite' END AS label FROM c WHERE n >= 10")
-def threshold(spark, sf_dir):
-    f, t = ORDERS.where("balance", ["low"]), 0.35
-    c = estimates.counts(respondents(spark, sf_dir), f.universe, f.mask, ORDERS.groups("segment")).where("n >= 10")
-    lo, hi = stats.wilson(F.col("k"), F.col("n"))
-    return rounded(c.withColumns({"z": (F.col("k") / F.col("n") - t) / F.sqrt(F.lit(t * (1 - t)) / F.col("n")), "label": stats.contrast_label(lo - t, hi - t, F.lit("higher"))}))
-
-
 @query("t28_stability", _CNT + f""", v AS (SELECT a, b, da, db, lo AS lo0, hi AS hi0, na, nb, ka + da AS ka, kb + db AS kb, (ka+da)/na::DOUBLE AS pa, (kb+db)/nb::DOUBLE AS pb FROM i, (VALUES (-1,0),(1,0),(0,-1),(0,1)) d(da, db) WHERE ka + da BETWEEN 0 AND na AND kb + db BETWEEN 0 AND nb),
 w AS (SELECT *, pa - pb - sqrt(pow(pa - {WLO('ka','na')}, 2) + pow({WHI('kb','nb')} - pb, 2)) AS l, pa - pb + sqrt(pow({WHI('ka','na')} - pa, 2) + pow(pb - {WLO('kb','nb')}, 2)) AS h FROM v)
 SELECT a, b, bool_and((CASE WHEN l > 0 THEN 'up' WHEN h < 0 THEN 'down' ELSE 'open' END) = (CASE WHEN lo0 > 0 THEN 'up' WHEN hi0 < 0 THEN 'down' ELSE 'open' END)) AS stable, max(CASE WHEN lo0 > 0 THEN 'up' WHEN hi0 < 0 THEN 'down' ELSE 'open' END) AS state FROM w GROUP BY 1, 2""")
@@ -193,17 +153,6 @@ def stability(spark, sf_dir):
     return v.groupBy("a", "b").agg(F.bool_and(state(lo, hi) == F.col("was")).alias("stable"), F.max("was").alias("state"))
 
 
-@query("t05_p_values")
-def p_values(spark, sf_dir):
-    """p of every pair by pooled z, or Fisher's exact test if an expected cell is under five; Holm over the pack."""
-    f = ORDERS.where("balance", ["low"])
-    pairs = contrasts.compare(estimates.counts(respondents(spark, sf_dir), f.universe, f.mask, ORDERS.groups("segment")), "higher")
-    total, hit = F.col("na") + F.col("nb"), F.col("ka") + F.col("kb")
-    least = F.least(F.col("na"), F.col("nb")) * F.least(hit, total - hit) / total
-    p = pairs.withColumn("p", F.when(least < 5, stats.p_fisher(F.col("ka"), F.col("na") - F.col("ka"), F.col("kb"), F.col("nb") - F.col("kb"))).otherwise(stats.p_normal("z")))
-    return rounded(p.withColumn("pack", F.lit("orders")).withColumn("p_holm", stats.holm(F.col("p"), ["pack"], ["a", "b"])), 6)
-
-
 @query("t09_mean_tests")
 def mean_tests(spark, sf_dir):
     """t intervals of mean scores, a one-sample test against 2.5, and Welch's test of each pair, from (n, mean, sd)."""
@@ -216,30 +165,6 @@ def mean_tests(spark, sf_dir):
     return rounded(pairs.withColumns({"p": stats.p_t("t", "df"), "a_lo": F.col("ma") - half, "a_hi": F.col("ma") + half, "p_a_is_2_5": stats.p_t(one, F.col("na").cast("double") - 1)}), 6)
 
 
-@query("t14_association_tests")
-def association_tests(spark, sf_dir):
-    """Chi-square p of every pair of single-choice variables, and the exact p of a share against one half."""
-    df, names = respondents(spark, sf_dir), ["segment", "region", "status"]
-    out = None
-    for i, x in enumerate(names):
-        for y in names[i + 1 :]:
-            cells = df.where(ORDERS.base(x) & ORDERS.base(y)).groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count(F.lit(1)).alias("k"))
-            row = contrasts.association(cells).withColumns({"x": F.lit(x), "y": F.lit(y)})
-            out = row if out is None else out.unionByName(row)
-    return rounded(out.withColumn("p", stats.p_chi2("chi2", F.col("df").cast("double"))), 6)
-
-
-@query("l01_evidence_pack", _CNT + """, t AS (SELECT *, row_number() OVER (ORDER BY a, b) AS seq, 1 - least(abs(z), 1) / 2 AS p FROM i), m AS (SELECT *, (count(*) OVER () - row_number() OVER (ORDER BY p, a, b) + 1) * p AS step FROM t)
-SELECT concat('s', CASE WHEN a = 'AUTOMOBILE' THEN 1 ELSE 2 END, '.r', row_number() OVER (PARTITION BY a = 'AUTOMOBILE' ORDER BY seq)) AS id, a, b, round(p, 8) AS p, round(least(1.0, max(step) OVER (ORDER BY p, a, b ROWS UNBOUNDED PRECEDING)), 8) AS p_holm, sign(pa - pb)::INT AS direction FROM m""")
-def evidence_pack(spark, sf_dir):
-    """Ids by subclaim, a score in place of p that SQL has too, and its Holm adjustment over the pack."""
-    f = ORDERS.where("balance", ["low"])
-    pairs = contrasts.compare(estimates.counts(respondents(spark, sf_dir), f.universe, f.mask, ORDERS.groups("segment"))).withColumn("p", 1 - F.least(F.abs("z"), F.lit(1)) / 2)
-    pairs = pairs.withColumns({"pack": F.lit("orders"), "subclaim": F.when(F.col("a") == "AUTOMOBILE", "s1").otherwise("s2")})
-    seq = F.row_number().over(W.partitionBy("pack", "subclaim").orderBy("a", "b"))
-    return rounded(pairs.select(F.concat("subclaim", F.lit(".r"), seq).alias("id"), "a", "b", "p", stats.holm(F.col("p"), ["pack"], ["a", "b"]).alias("p_holm"), F.signum("value").cast("int").alias("direction")))
-
-
 @query("u01_spec_runner", SQL + f""", s AS (SELECT 'q1' AS spec_id, 'share' AS op, 'balance' AS variable, segment AS grp, count(*) FILTER ({_BB}) AS n, (count(*) FILTER (balance = 'low'))::DOUBLE AS x FROM r WHERE segment IS NOT NULL GROUP BY segment
 UNION ALL SELECT 'q2', 'mean', 'priority', region, count({_SCORE}), avg({_SCORE}) FROM r WHERE region IS NOT NULL GROUP BY region) SELECT spec_id, op, variable, grp, n, round(CASE WHEN op = 'share' THEN x / n ELSE x END, 8) AS value, '' AS error FROM s UNION ALL SELECT 'q3', 'share', 'colour', NULL, NULL, NULL, 'UnknownVariable'""")
 def spec_runner(spark, sf_dir):

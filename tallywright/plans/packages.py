@@ -113,11 +113,6 @@ def duplicate_blocks(spark, sf_dir):
     return sets.groupBy("key").agg(F.count(F.lit(1)).alias("blocks")).where("blocks > 1")
 
 
-@query("c14_study_features", "SELECT count(*) AS cards, count(DISTINCT p_brand) AS blocks, count(DISTINCT p_type) AS types, count(*) FILTER (p_size > 25) AS long_cards, max(p_size) AS widest FROM part")
-def study_features(spark, sf_dir):
-    return table(spark, sf_dir, "part").agg(F.count(F.lit(1)).alias("cards"), F.count_distinct("p_brand").alias("blocks"), F.count_distinct("p_type").alias("types"), F.count_if(F.col("p_size") > 25).alias("long_cards"), F.max("p_size").alias("widest"))
-
-
 # families
 OWN = "SELECT o_orderkey, sha256('[\"orders\", \"' || o_orderkey || '\"]') AS h FROM orders"
 
@@ -155,14 +150,6 @@ def sample_weights(spark, sf_dir):
     return rounded(size.join(taken, "stratum").withColumn("probability", F.col("taken") / F.col("size")))
 
 
-@query("g19_disjoint_selection")
-def disjoint_selection(spark, sf_dir):
-    """Orders as candidates and their parts as resources: no two selected orders share a part."""
-    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("core")).agg(F.sum("l_quantity").alias("q"))
-    score = lines.groupBy("id").agg(F.sum("q").alias("score"))
-    return families.select_disjoint(lines.join(score.hint("merge"), "id").select("id", "score", "core"))
-
-
 @query("g41_lexical_audit")
 def lexical_audit(spark, sf_dir):
     """Multinomial naive Bayes of quality labels on words, learnt on even documents; accuracy on odd ones against the majority."""
@@ -186,38 +173,12 @@ def packs(spark, sf_dir):
     return c.withColumn("answer", F.concat(F.format_string("A share of %.1f%% of %d customers is in debt [s1.r%d].", told * 100, F.col("n"), F.col("pack"))))
 
 
-@query("k05_citations", "WITH c AS (SELECT c_nationkey AS pack, count(*) AS n FROM customer GROUP BY 1) SELECT pack, 's1.r' || pack AS cited, true AS valid FROM c")
-def citations(spark, sf_dir):
-    p = packs(spark, sf_dir)
-    known = p.select(F.concat(F.lit("s1.r"), "pack").alias("cited")).withColumn("valid", F.lit(True))
-    return p.select("pack", F.explode(answers.cited_ids(F.col("answer"))).alias("cited")).join(known, "cited", "left").select("pack", "cited", F.coalesce("valid", F.lit(False)).alias("valid"))
-
-
-@query("k09_ungrounded_numbers", "WITH c AS (SELECT c_nationkey AS pack, count(*) AS n, count(*) FILTER (c_acctbal < 0) AS k FROM customer GROUP BY 1) SELECT pack, count(*) AS wrong FROM (SELECT pack FROM c WHERE pack % 5 = 0) GROUP BY 1")
-def ungrounded_numbers(spark, sf_dir):
-    p = packs(spark, sf_dir)
-    values = p.select("pack", F.explode(F.array(F.col("value"), F.col("n").cast("double"), F.col("k").cast("double"))).alias("value"))
-    return answers.ungrounded(p, values).groupBy("pack").agg(F.count(F.lit(1)).alias("wrong"))
-
-
-@query("k12_quotes", REC + "SELECT record_id, contains(trim(regexp_replace(lower(output), '\\s+', ' ', 'g')), trim(regexp_replace(lower(substr(output, 6, 30)), '\\s+', ' ', 'g'))) AND trim(regexp_replace(lower(substr(output, 6, 30)), '\\s+', ' ', 'g')) <> '' AS found FROM rec")
-def quotes(spark, sf_dir):
-    r = records(spark, sf_dir)
-    return r.select("record_id", answers.quote_found(F.substring("output", 6, 30), F.col("output")).alias("found"))
-
-
 @query("k15_case_scores", "SELECT doc_id, quality = 1 AND toxic = 0 AS passed, toxic IS NOT NULL AS valid FROM labels")
 def case_scores(spark, sf_dir):
     items = table(spark, sf_dir, "labels").select("doc_id", F.inline(F.array(F.struct(F.lit("quality").alias("item"), (F.col("quality") == 1).alias("ok")), F.struct(F.lit("safe").alias("item"), (F.col("toxic") == 0).alias("ok")))))
     return items.groupBy("doc_id").agg(F.bool_and("ok").alias("passed"), (F.count("ok") == 2).alias("valid"))
 
 
-@query("k19_code_fences", REC + "SELECT record_id, output AS code, length(output) AS n FROM rec")
-def code_fences(spark, sf_dir):
-    r = records(spark, sf_dir)
-    return r.select("record_id", answers.unfenced(F.concat(F.lit("```python\n"), F.col("output"), F.lit("\n```"))).alias("code"), F.length("output").alias("n"))
-
-
 @query("k21_outcome_rates", "SELECT event_type AS outcome, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 8) AS rate, round(exp(sum(value) / count(*) / 100), 8) AS perplexity FROM events GROUP BY 1")
 def outcome_rates(spark, sf_dir):
     each = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("outcome")).agg(F.count(F.lit(1)).alias("n"), F.exp(F.sum("value") / F.count(F.lit(1)) / 100).alias("perplexity"))
@@ -269,7 +230,7 @@ def resume(spark, sf_dir):
     return r.join(r.where("conv_id % 3 = 0").select("record_id").hint("merge"), "record_id", "left_anti").groupBy("split").agg(F.count(F.lit(1)).alias("pending"))
 
 
-@query("j15_leaked_passages", "SELECT doc_id AS id, item_id AS passage_id FROM documents, benchmark WHERE contains(documents.text, benchmark.text) AND len(string_split(benchmark.text, ' ')) >= 7")
+@query("j15_leaked_passages", "SELECT doc_id AS id, item_id AS passage_id FROM documents, benchmark WHERE contains(documents.text, benchmark.text)")
 def leaked_passages(spark, sf_dir):
     return audits.passages_in(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("passage_id"), F.col("text").alias("passage")))
 
@@ -297,25 +258,11 @@ def tag_diversity(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(F.inline(tags)).groupBy("dim", "tag").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("a19_coverage", "WITH q AS (SELECT * FROM (VALUES ('F', '1-URGENT', 500), ('O', '5-LOW', 2000000)) t(s, p, need)) SELECT s AS status, p AS priority, need, count(o_orderkey) AS have, count(o_orderkey) >= need AS met FROM q LEFT JOIN orders ON o_orderstatus = s AND o_orderpriority = p GROUP BY 1, 2, 3")
-def coverage(spark, sf_dir):
-    need = table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority")).agg(F.count(F.lit(1)).alias("have"))
-    rules = F.create_map(F.lit("F/1-URGENT"), F.lit(500), F.lit("O/5-LOW"), F.lit(2_000_000))
-    return need.withColumn("need", F.element_at(rules, F.concat_ws("/", "status", "priority"))).where("need is not null").withColumn("met", F.col("have") >= F.col("need"))
-
-
 @query("a20_difficulty_pivot", "SELECT o_orderpriority AS priority, count(*) FILTER (o_orderstatus = 'F') AS f, count(*) FILTER (o_orderstatus = 'O') AS o, count(*) FILTER (o_orderstatus = 'P') AS p FROM orders GROUP BY 1")
 def difficulty_pivot(spark, sf_dir):
     return table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("priority")).pivot("o_orderstatus", ["F", "O", "P"]).count().toDF("priority", "f", "o", "p")
 
 
-@query("a21_envelope", "WITH t AS (SELECT lang, min(n_chars) AS lo, max(n_chars) AS hi FROM documents WHERE doc_id % 2 = 0 GROUP BY 1) SELECT lang, count(*) AS n, count(*) FILTER (n_chars BETWEEN lo AND hi) AS inside FROM documents JOIN t USING (lang) WHERE doc_id % 2 = 1 GROUP BY 1")
-def envelope(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    t = d.where("doc_id % 2 = 0").groupBy("lang").agg(F.min("n_chars").alias("lo"), F.max("n_chars").alias("hi"))
-    return d.where("doc_id % 2 = 1").join(t, "lang").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("n_chars").between(F.col("lo"), F.col("hi"))).alias("inside"))
-
-
 @query("a23_offsets", "SELECT doc_id, (sum(n_chars) OVER (ORDER BY doc_id) - n_chars)::BIGINT AS start FROM documents")
 def offsets(spark, sf_dir):
     """Running offsets by ranges: sums of ranges first, then inside each range."""
@@ -339,25 +286,6 @@ def update_windows(spark, sf_dir):
     return n.select("record_id", F.floor(F.col("pos") * 4 / F.col("total")).alias("quarter"), F.floor(F.col("pos") / 16).alias("batch"))
 
 
-@query("m02_token_batches")
-def token_batches(spark, sf_dir):
-    """Inside each conversation, longest first: a batch grows while its rows times its width stay in the budget."""
-    import pandas as pd
-
-    def cut(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["size", "turn"], ascending=[False, True])
-        out, batch, width, n = [], 0, 0, 0
-        for size in rows["size"]:
-            if n and (n + 1) * max(width, size) > 4000:
-                batch, width, n = batch + 1, 0, 0
-            width, n = max(width, size), n + 1
-            out.append(batch)
-        return rows.assign(batch=out)[["conv_id", "turn", "size", "batch"]]
-
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").cast("long").alias("size"))
-    return c.groupBy("conv_id").applyInPandas(cut, "conv_id long, turn long, size long, batch int")
-
-
 @query("m03_messages", "SELECT conv_id, count(*) AS messages, min_by(role, turn) AS first_role, max_by(role, turn) AS last_role FROM conversations GROUP BY 1")
 def messages(spark, sf_dir):
     chats = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("m"))

@@ -10,7 +10,7 @@ from tallywright.operators.numbering import numbered
 from tallywright.sources import files
 
 from .claims import FACTS, facts, planted_changes
-from .estimation import _CNT, p_values, rounded
+from .estimation import _CNT, rounded
 from .packages import OWN, REC, owners, records
 from .registry import ORACLES, query, table
 from .study import ORDERS, SQL, respondents
@@ -19,19 +19,10 @@ from .study import ORDERS, SQL, respondents
 def segment_pairs(spark, sf_dir):
     """The contrasts of low balances between all pairs of segments."""
     f = ORDERS.where("balance", ["low"])
-    return contrasts.compare(estimates.counts(respondents(spark, sf_dir), f.universe, f.mask, ORDERS.groups("segment")), "higher")
+    return contrasts.compare(estimates.counts(respondents(spark, sf_dir), f.universe, f.mask, ORDERS.groups("segment")), ">")
 
 
 # facts and answers
-@query("k02_label_after_holm")
-def label_after_holm(spark, sf_dir):
-    """The recorded label after Holm, or where none is recorded, the label if the adjusted p is below 0.05."""
-    p = p_values(spark, sf_dir)
-    again = F.when(F.col("p_holm") < 0.05, F.col("label")).otherwise("no_clear_difference")
-    recorded = F.when(F.col("a") != "AUTOMOBILE", again)  # the first group's contrasts have none
-    return p.select("a", "b", "label", "p_holm", F.coalesce(recorded, again).alias("label_holm"))
-
-
 _SAYS = "CASE WHEN lo > 0 THEN 'is higher than' WHEN hi < 0 THEN 'is lower than' ELSE 'is not clearly different from' END"
 
 

@@ -1,10 +1,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tallywright.operators import answers, audits, families
+from tallywright.operators import answers, audits, curriculum, families, gates
 from tallywright.operators.numbering import numbered
 from tallywright.plans import QUERIES
-from tallywright.sources import files
+from tallywright.sources import files, studies
 
 
 def test_planted_split_leak(spark):
@@ -22,19 +22,80 @@ def test_differences_and_alignment(spark):
 def test_passages(spark):
     t = spark.createDataFrame([(1, "xxone two three four five six sevenyy"), (2, "one two three"), (3, None), (4, "")], "id int, text string")
     p = spark.createDataFrame([(9, "one two three four five six seven"), (8, "short one")], "passage_id int, passage string")
-    assert [tuple(r) for r in audits.passages_in(t, p).collect()] == [(1, 9)]
+    for rows in (200_000, 0, 1):  # keys broadcast, and keys joined by hash
+        assert [tuple(r) for r in audits.passages_in(t, p, broadcast_rows=max(1, rows)).collect()] == [(1, 9)]
+    p = p.union(spark.createDataFrame([(7, "two three"), (6, None)], "passage_id int, passage string"))
+    assert {tuple(r) for r in audits.passages_in(t, p).collect()} == {(1, 9), (1, 7), (2, 7)}
+
+
+PACK = {"ids": ["s1.r1", "s1.r2"], "required": ["s1.r1"], "known": ["18", "24"], "counts": [2389.0, 1178.0], "shares": [0.4931, 0.0312, 0.1908], "reals": [1.82], "ps": [0.00042], "reported": ["Adults"], "hidden": [("Tiny", 7.0)]}
+ANSWERS = [  # answer, citations, numbers, hidden groups, required ids, numbers that nothing stands behind
+    ("It is 49.3% of 2,389 [s1.r1].", True, True, True, True, ""),
+    ("It is 49.4% [s1.r1].", True, False, True, True, "49.4"),
+    ("From 3.1 to 19.1 percentage points [s1.r1].", True, True, True, True, ""),
+    ("In 2024, at the 95% confidence level, the top 3 of those aged 18-24 [s1.r1].", True, True, True, True, ""),
+    ("p < 0.001 [s1.r1], that is 4.2e-4; not p < 0.0001.", True, False, True, True, "0.0001"),
+    ("A ratio of 1.82, not 1.92 [s1.r1].", True, False, True, True, "1.92"),
+    ("See s9.r4 for 1,178 people.", False, True, True, False, ""),
+    ("The Tiny group has 49.3% [s1.r1].", True, True, False, True, ""),
+    ("The tiny group has 7 people [s1.r1].", True, True, True, True, ""),
+    ("Tiny and adults have 49.3% [s1.r1].", True, True, True, True, ""),
+    ("", True, True, True, False, ""),
+]
 
 
 def test_answers(spark):
-    rows = spark.createDataFrame([(1, "It is 49.3% of 2,389 [s1.r1], also [s1.r1]; 12 more")], "pack int, answer string")
-    r = rows.select(answers.cited_ids(F.col("answer")).alias("c"), answers.numbers(F.col("answer")).alias("n")).first()
-    assert r.c == ["s1.r1"] and "49.3" in r.n and "12" in r.n and "1" not in r.n
-    values = spark.createDataFrame([(1, 0.4931)], "pack int, value double")
-    assert "49.3" not in {x.number for x in answers.ungrounded(rows, values).collect()}
+    rows = [(i, a, *PACK.values()) for i, (a, *_) in enumerate(ANSWERS)]
+    packs = spark.createDataFrame(rows, "pack int, answer string, ids array<string>, required array<string>, known array<string>, counts array<double>, shares array<double>, reals array<double>, ps array<double>, reported array<string>, hidden array<struct<label: string, n: double>>")
+    got = {r.pack: (r.d1_cited, r.d2_grounded, r.d3_shown, r.d4_required, r.ungrounded) for r in answers.check_answers(packs).collect()}
+    assert got == {i: tuple(x) for i, (_, *x) in enumerate(ANSWERS)}
+    assert [r.pack for r in answers.check_answers(packs).where("review").collect()] == [9]
     q = spark.range(1).select(answers.quote_found(F.lit("The ‘big’ ... end"), F.lit("the 'BIG'  one at the end")).alias("a"), answers.quote_found(F.lit("..."), F.lit("x")).alias("b"), answers.unfenced(F.lit("```py\nx = 1\n```")).alias("c"), answers.unfenced(F.lit("a ```b```")).alias("d")).first()
     assert (q.a, q.b, q.c, q.d) == (True, False, "x = 1", "a ```b```")
 
 
+def test_covering_selection(spark):
+    rows = [(i, [i // 2, 100 + i], ["a" if i % 4 else "b", "x" if i < 10 else "y"]) for i in range(40)]
+    df = spark.createDataFrame(rows, "id int, cores array<int>, tags array<string>")
+    chosen, short = curriculum.select_covering(df, {"b": 4, "a&x": 3, "z": 2}, 12, 1)
+    got = chosen.collect()
+    cores = [c for r in got for c in r.cores]
+    assert len(got) == 12 and len(cores) == len(set(cores))
+    assert sum("b" in r.tags for r in got) >= 4 and sum({"a", "x"} <= set(r.tags) for r in got) >= 3
+    assert [tuple(r) for r in short.collect()] == [("z", 2, 0)]
+    chosen, short = curriculum.select_covering(df, {"b": 1}, 50, 1)
+    assert chosen.count() == 20 and [tuple(r) for r in short.collect()] == [("size", 50, 20)]
+    strata = {r.stratum: r["count"] for r in curriculum.select_covering(df, {"z": 1}, 8, 3)[0].groupBy("stratum").count().collect()}
+    assert max(strata.values()) - min(strata.values()) <= 1
+
+
+def test_studies_on_disk(spark, tmp_path):
+    import json
+
+    df = spark.createDataFrame([(1, " red ", True), (2, "blue", None)], "respondent_id int, colour string, box boolean")
+    df.write.parquet(str(tmp_path / "answers"))
+    card = {"label": "x", "block_id": "b", "answer_type": "single", "values": ["red", "blue"], "ordered_values": None, "flags": [], "denominator_rule": "answered"}
+    cards = [{**card, "id": "colour"}, {**card, "id": "box", "answer_type": "select_all"}]
+
+    def load(cards):
+        (tmp_path / "m.json").write_text(json.dumps({"hash": "h", "study": {}, "variables": cards}))
+        return studies.load_study(spark, str(tmp_path / "answers"), str(tmp_path / "m.json"))
+
+    got, catalogue, study = load(cards)
+    assert {r.colour for r in got.collect()} == {"red", "blue"} and catalogue.count() == 2 and study.blocks == {"b": ["box"]}
+    for bad, error in (({**card, "id": "none"}, "MissingColumn"), ({**card, "id": "colour", "answer_type": "essay"}, "InvalidMetadata"), ({**card, "id": "colour", "answer_type": "ordered_scale"}, "InvalidMetadata"), ({**card, "id": "colour", "answer_type": "select_all"}, "InvalidData"), ({**card, "id": "colour", "label": ""}, "InvalidMetadata")):
+        with pytest.raises(ValueError, match=error):
+            load([bad])
+    with pytest.raises(ValueError, match="repeated"):
+        load([cards[0], cards[0]])
+
+
+def test_gates(spark):
+    rows = spark.createDataFrame([("a", 1, "v"), ("a", 2, "v"), ("b", 1, "v"), ("c", 1, "v")], "scope string, record_id int, version string")
+    gate = spark.createDataFrame([("a", 2, "v"), ("a", 1, "v"), ("b", 2, "v"), ("c", 1, "w"), ("d", 1, "v")], rows.schema)
+    assert {r.scope: r.error for r in gates.scope_faults(gate, rows).collect()} == {"a": "", "b": "OtherRecords", "c": "OtherVersion", "d": "OtherRecords"}
+
+
 def test_quotas_and_selection(spark):
     df = spark.createDataFrame([("a",)] * 5 + [("b",)] * 3 + [("c",)] * 2, "s string")
     assert {r.s: r.quota for r in families.quotas(df, "s", 7).collect()} == {"a": 4, "b": 2, "c": 1}

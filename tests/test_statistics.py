@@ -35,20 +35,30 @@ def test_tails():
     assert stats.binomial_two_sided(2, 10, 0.5) == pytest.approx(2 * exact, abs=1e-12)
 
 
-TOY = Study(blocks={"selection": ["x", "y"]}, scales={}, values={"age": ["young", "old"]})
+BUS = Study(blocks={"days": ["mon", "tue", "wed"]}, scales={"rating": ["poor", "fair", "good"]}, values={"rating": ["poor", "fair", "good", "no view"], "ticket": ["single", "pass"]})
 
 
-def toy(spark, missing=()):
-    rows = [(i, True if i < 5 else None, True if 5 <= i < 10 else None, None if i in missing else "young" if i < 10 else "old") for i in range(20)]
-    return spark.createDataFrame(rows, "respondent_id int, x boolean, y boolean, age string")
+def riders(spark):
+    """27 riders: nine ticked Monday, six Tuesday, none Wednesday; twelve ticked nothing at all."""
+    rows = [(i, True if i % 3 == 0 else None, True if i % 9 in (1, 4) else None, None, ["poor", "fair", "good", "no view", None][i % 5], ["single", "pass", None][i % 3 if i < 20 else 2]) for i in range(27)]
+    return spark.createDataFrame(rows, "rider int, mon boolean, tue boolean, wed boolean, rating string, ticket string")
 
 
-def test_checkbox_base_and_complete_case_or(spark):
-    r = estimates.proportion(toy(spark), TOY, "x", True).first()
-    assert (r.n, r.value) == (10, 0.5)
-    df = toy(spark, missing=(3, 4))
-    either = TOY.where("x", [True]) | TOY.where("age", ["old"])
-    assert sorted(x.respondent_id for x in df.where(either.mask).collect()) == [0, 1, 2]
+def test_bases_of_boxes_and_scales(spark):
+    df = riders(spark)
+    assert (r := estimates.proportion(df, BUS, "mon", True).first()).n == 15 and r.value == pytest.approx(9 / 15)
+    assert estimates.proportion(df, BUS, "wed", True).first().numerator == 0
+    top = estimates.top_box(df, BUS, "rating", 1).first()
+    assert top.n == sum(i % 5 < 3 for i in range(27)) and top.value == pytest.approx(sum(i % 5 == 2 for i in range(27)) / top.n)
+
+
+def test_or_needs_both_answers(spark):
+    """A rider whose ticket is unknown isn't selected by the other side of an "or", and doesn't count as not selected."""
+    either = BUS.where("mon", [True]) | BUS.where("ticket", ["pass"])
+    got = {r.rider: r for r in riders(spark).select("rider", either.mask.alias("m"), either.universe.alias("u")).collect()}
+    ticked = {i for i in range(27) if i % 3 == 0 or i % 9 in (1, 4)}
+    assert {i for i, r in got.items() if r.u} == {i for i in ticked if i < 20 and i % 3 != 2}
+    assert {i for i, r in got.items() if r.m} == {i for i in ticked if i < 20 and i % 3 != 2 and (i % 3 == 0 or i % 3 == 1)}
 
 
 def test_suppression_and_flags(spark):
@@ -60,9 +70,9 @@ def test_suppression_and_flags(spark):
 
 def test_unknown_value_and_overlap():
     with pytest.raises(ValueError, match="UnknownValue"):
-        TOY.where("age", ["ancient"])
+        BUS.where("ticket", ["yearly"])
     with pytest.raises(ValueError, match="GroupsOverlap"):
-        TOY.groups("age", {"a": ["young"], "b": ["young"]})
+        BUS.groups("ticket", {"a": ["pass"], "b": ["pass", "single"]})
 
 
 def test_trend_equals_row_level(spark):
@@ -112,4 +122,38 @@ def test_breslow_day(spark):
 
 
 def test_subset_keeps_siblings(spark):
-    assert TOY.subset(toy(spark), "respondent_id", ["x"]).columns == ["respondent_id", "x", "y"]
+    assert BUS.subset(riders(spark), "rider", ["tue", "ticket"]).columns == ["rider", "mon", "tue", "wed", "ticket"]
+
+
+def test_thresholds(spark):
+    """Few expected on one side: exact interval and test, which agree on what is clear; else Wilson and score."""
+    rows = spark.createDataFrame([("a", 40, 0), ("b", 40, 12), ("c", 400, 60), ("d", 9, 3), ("e", 30, 30)], "grp string, n long, k long")
+    out = {r.grp: r for r in contrasts.against(rows, 0.1, ">").collect()}
+    assert out["a"].test == "exact_binomial" and out["c"].test == "score_z" and out["d"].label == "unavailable" and out["d"].p is None
+    assert out["a"].hi == pytest.approx(1 - 0.025 ** (1 / 40) - 0.1, abs=1e-9) and out["e"].hi == pytest.approx(0.9)
+    for r in out.values():
+        assert r.p is None or (r.p < 0.05) == (not r.lo <= 0 <= r.hi)
+    assert out["b"].label == out["c"].label == "consistent"
+    with pytest.raises(ValueError, match="WrongThreshold"):
+        contrasts.against(rows, 1.0)
+    with pytest.raises(ValueError, match="WrongExpectation"):
+        contrasts.compare(rows, "higher")
+
+
+def test_labels(spark):
+    rows = [(0.1, 0.2, ">"), (0.1, 0.2, "<"), (0.1, 0.2, "!="), (-0.1, 0.2, "!="), (-0.2, -0.1, "<"), (None, None, ">"), (0.1, 0.2, None), (0.0, 0.2, ">")]
+    got = [r[0] for r in spark.createDataFrame(rows, "lo double, hi double, e string").select(stats.contrast_label(F.col("lo"), F.col("hi"), F.col("e"))).collect()]
+    assert got == ["consistent", "inconsistent", "consistent", "no_clear_difference", "consistent", "unavailable", "not_tested", "no_clear_difference"]
+    rows = [(1, 0.01, ">"), (-1, 0.01, ">"), (-1, 0.01, "!="), (None, 0.01, ">"), (1, 0.05, ">"), (1, None, ">"), (1, 0.01, None)]
+    got = [r[0] for r in spark.createDataFrame(rows, "d int, p double, e string").select(stats.holm_label(F.col("d"), F.col("p"), F.col("e"))).collect()]
+    assert got == ["consistent", "inconsistent", "consistent", "no_clear_difference", "no_clear_difference", "unavailable", "not_tested"]
+
+
+def test_pooled_odds(spark):
+    one = spark.createDataFrame([(30, 10, 15, 25), (40, 20, 22, 38), (3, 1, 2, 1)], "a int, b int, c int, d int")
+    r = contrasts.mantel_haenszel(one, ">").first()
+    gap = sum(a - (a + b) * (a + c) / (a + b + c + d) for a, b, c, d in [(30, 10, 15, 25), (40, 20, 22, 38)])
+    var = sum((a + b) * (c + d) * (a + c) * (b + d) / ((n := a + b + c + d) ** 2 * (n - 1)) for a, b, c, d in [(30, 10, 15, 25), (40, 20, 22, 38)])
+    assert (r.strata, r.dropped, r.label) == (2, 1, "consistent") and r.p == pytest.approx(math.erfc(abs(gap) / math.sqrt(var) / math.sqrt(2)))
+    none = contrasts.mantel_haenszel(spark.createDataFrame([(30, 0, 15, 25)], one.schema), ">").first()
+    assert none.odds_ratio is None and none.label == "unavailable" and none.p is None
