@@ -142,12 +142,15 @@ def rebuild(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def by_document(found: DataFrame) -> DataFrame:
-    """One row per document with a line: how many lines it has and how many were dropped, and their numbers."""
+    """One row per identifier with a line: how many lines it has, how many were dropped, and a hash of the dropped lines' numbers.
+
+    The hash (exclusive or of XXH64) has one size however many lines go, as rows without an identifier are one group here.
+    """
     dropped = F.col("dropped").isNotNull()
     return found.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n_lines"),
         F.count_if(F.col("dropped") == "exact").alias("n_exact"),
         F.count_if(F.col("dropped") == "near").alias("n_near"),
         F.sum(F.when(~dropped, F.col("chars")).otherwise(0)).cast("long").alias("kept_chars"),
-        F.array_join(F.array_sort(F.collect_list(F.when(dropped, F.col("line")))), ",").alias("dropped_lines"),
+        F.coalesce(F.bit_xor(F.when(dropped, F.xxhash64("line"))), F.lit(0)).cast("long").alias("dropped_hash"),
     )
