@@ -49,11 +49,12 @@ def distribution(df: DataFrame, study: Study, v: str, group: str) -> DataFrame:
 
 
 def rank_options(df: DataFrame, study: Study, block: str, by: dict[str, Filter], top: int | None = None) -> DataFrame:
-    """Checkbox options ranked by share inside each group: least rank for ties, suppressed last without a rank."""
-    each = [proportion(df, study, c, True, by).withColumn("option", F.lit(c)) for c in study.blocks[block]]
-    rows = each[0]
-    for e in each[1:]:
-        rows = rows.unionByName(e)
+    """Checkbox options ranked by share inside each group, from one scan: least rank for ties, suppressed last without a rank."""
+    options = study.blocks[block]
+    base = F.coalesce(study.base(options[0]), F.lit(False))  # the base of a block is that of each option
+    aggs = [a for i, g in enumerate(by.values()) for a in (F.count_if(base & g.mask).alias(f"n{i}"), *[F.count_if(base & F.coalesce(F.col(c), F.lit(False)) & g.mask).alias(f"k{i}_{j}") for j, c in enumerate(options)])]
+    cells = [F.struct(F.lit(g).alias("grp"), F.lit(c).alias("option"), F.col(f"n{i}").alias("n"), F.col(f"k{i}_{j}").alias("k")) for i, g in enumerate(by) for j, c in enumerate(options)]
+    rows = shares(df.agg(*aggs).select(F.inline(F.array(*cells))))
     rows = rows.withColumn("position", F.when(F.col("value").isNotNull(), F.rank().over(W.partitionBy("grp", F.col("value").isNull()).orderBy(F.desc("value")))))
     return rows if top is None else rows.where(F.row_number().over(W.partitionBy("grp").orderBy(F.col("position").asc_nulls_last(), "option")) <= top)
 

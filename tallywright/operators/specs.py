@@ -1,37 +1,151 @@
-"""Runs analyses that are given as rows of a table."""
+"""Runs analyses that are given as rows of a table: one scan for all estimates, tests on their counts."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import estimates
-from .filters import Study
+from tallywright.functions.stats import SUPPRESS, contrast_label
+from tallywright.sources.files import shared_folder
 
-COLUMNS = ["spec_id", "op", "variable", "grp", "n", "value", "error"]
+from . import contrasts, estimates
+from .filters import Filter, Study
 
+COLUMNS = "spec_id string, op string, variable string, grp string, other string, n long, value double, p double, label string, error string"
+#: Operations on respondents, on the counts of another spec, on pairs of variables, and notes without a number.
+ESTIMATES, TESTS, PAIRS, NOTES = ("share", "top_box", "mean", "sizes", "distribution", "rank"), ("compare", "threshold", "trend"), ("association", "adjusted"), ("subclaim", "gap", "proxy", "caveat")
 
-def run_specs(df: DataFrame, study: Study, specs: list[tuple]) -> DataFrame:
-    """(spec_id, op, variable, grp, n, value, error) of specs (spec_id, op, variable, value, grouping).
 
-    A spec with an unknown variable, value or operation gives one row with the error code; the others still run.
+def expanded(study: Study, spec: dict) -> list[tuple[str | None, Column, Column]]:
+    """(other, base, score) for each row of a spec and group: who counts, and the number whose mean is the value (null: none)."""
+    op, v = spec["op"], spec["variable"]
+    if op == "rank":
+        return [(c, study.base(c), F.coalesce(F.col(c), F.lit(False)).cast("double")) for c in study.blocks[v]]
+    if v not in study.values and v not in study.block_of:
+        raise ValueError(f"UnknownVariable: {v}")
+    if op == "share":
+        f = study.where(v, [spec.get("value", True)])
+        return [(None, f.universe, f.mask.cast("double"))]
+    if op == "distribution":
+        return [(x, study.base(v), (F.col(v) == x).cast("double")) for x in study.values[v]]
+    if op == "sizes":
+        return [(None, study.base(v), F.lit(None).cast("double"))]
+    if v not in study.scales:
+        raise ValueError(f"WrongAnswerType: {v} has no order")
+    best = F.col(v).isin(study.scales[v][-spec.get("value", 2) :]).cast("double") if op == "top_box" else estimates.score(study, v).cast("double")
+    return [(None, study.ordered_base(v), best)]
+
+
+def groups_of(study: Study, spec: dict) -> dict[str, Filter]:
+    by = spec.get("by")
+    if by is None:
+        return {estimates.ALL: Filter(F.lit(True), F.lit(True))}
+    if by not in study.values:
+        raise ValueError(f"UnknownVariable: {by}")
+    return study.groups(by)
+
+
+def sums(df: DataFrame, study: Study, specs: list[dict]) -> tuple[DataFrame | None, dict[str, str]]:
+    """(spec_id, grp, other, n, s, ss) of all estimate specs from one scan, written as it is small; and the errors by spec."""
+    aggs, rows, errors = [], [], {}
+    for spec in specs:
+        try:
+            among = study.tree(spec["among"]).mask if spec.get("among") else F.lit(True)
+            each = [(g, other, F.coalesce(base, F.lit(False)) & f.mask & among, y) for g, f in groups_of(study, spec).items() for other, base, y in expanded(study, spec)]
+        except (ValueError, KeyError) as e:
+            errors[spec["spec_id"]] = str(e).strip("'").split(":")[0] if isinstance(e, ValueError) else "UnknownVariable"
+            continue
+        for g, other, inside, y in each:
+            i = len(rows)
+            aggs += [F.count_if(inside).alias(f"n{i}"), F.sum(F.when(inside, y)).alias(f"s{i}"), F.sum(F.when(inside, y * y)).alias(f"q{i}")]
+            rows.append(F.struct(F.lit(spec["spec_id"]).alias("spec_id"), F.lit(g).alias("grp"), F.lit(other).cast("string").alias("other"), F.col(f"n{i}").alias("n"), F.col(f"s{i}").alias("s"), F.col(f"q{i}").alias("ss")))
+    if not rows:
+        return None, errors
+    path = shared_folder(df.sparkSession, "sums")
+    df.agg(*aggs).select(F.inline(F.array(*rows))).write.parquet(path)
+    return df.sparkSession.read.parquet(path), errors
+
+
+def row_of(df: DataFrame, spec: dict, error: str = "", **given: Column) -> DataFrame:
+    """df in the columns of results; what isn't given is null."""
+    known = {"spec_id": F.lit(spec["spec_id"]), "op": F.lit(spec["op"]), "variable": F.lit(spec.get("variable")), "error": F.lit(error)} | given
+    return df.select(*[(known.get(name) if name in known else F.lit(None)).cast(kind).alias(name) for name, kind in (c.split() for c in COLUMNS.split(", "))])
+
+
+def run_specs(df: DataFrame, study: Study, specs: list[dict]) -> DataFrame:
+    """One row (COLUMNS) for each spec, group and option.
+
+    A spec has spec_id and op. Estimates (share, top_box, mean, sizes, distribution, rank) have variable (for rank, a block), value,
+    by and among (a filter tree); compare (a, b, expect), threshold (value, expect) and trend (order, expect) are of another
+    spec; association (variable, by) and adjusted (variable, value, by, a, b, controls, expect) look at respondents; notes
+    (subclaim, gap, proxy, caveat) have a text, which becomes the label. A spec that can't be run is one row with its error; the
+    others still run. Bases under ten have no value. All estimates come from one scan of df, all associations from
+    another, and an adjusted comparison from one of its own; tests read the few rows of their estimate.
     """
+    spark = df.sparkSession
+    known = {s["spec_id"]: s for s in specs}
+    counted, errors = sums(df, study, [s for s in specs if s["op"] in ESTIMATES])
+    pairs = [s for s in specs if s["op"] == "association"]
+    one = spark.range(1)  # the base of rows without a table: notes and errors
     out = []
-    for spec_id, op, v, value, grouping in specs:
-        named = lambda x, s=(spec_id, op, v), e="": x.select(F.lit(s[0]).alias("spec_id"), F.lit(s[1]).alias("op"), F.lit(s[2]).alias("variable"), "grp", "n", "value", F.lit(e).alias("error"))
+    for spec in specs:
+        op, of = spec["op"], known.get(spec.get("of"))
+        if op in NOTES:
+            long = op == "caveat" and len(spec["text"]) > 200
+            out.append(row_of(one, spec, "CaveatTooLong" if long else "", label=F.lit(None if long else spec["text"])))
+            continue
+        error = errors.get(spec["spec_id"]) or (None if op in ESTIMATES + TESTS + PAIRS else "UnknownOperation")
+        if op in TESTS and (of is None or of["op"] not in ESTIMATES or of["spec_id"] in errors):
+            error = "UnknownEstimate"
         try:
-            for name in (v, grouping):
-                if name not in study.values and name not in study.block_of:
-                    raise ValueError(f"UnknownVariable: {name}")
-            if op == "share":
-                out.append(named(estimates.proportion(df, study, v, value, study.groups(grouping))))
-            elif op == "mean":
-                out.append(named(estimates.mean_scores(df, study, v, grouping).withColumnRenamed("mean", "value")))
-            else:
-                raise ValueError(f"UnknownOperation: {op}")
+            if error:
+                raise ValueError(error)
+            if op in ESTIMATES:
+                mine = counted.where(F.col("spec_id") == spec["spec_id"])
+                value = F.when(F.col("n") >= SUPPRESS, F.col("s") / F.nullif(F.col("n"), F.lit(0)))
+                out.append(row_of(mine, spec, grp=F.col("grp"), other=F.col("other"), n=F.col("n"), value=value))
+            elif op in TESTS:
+                out.append(test_of(counted.where(F.col("spec_id") == of["spec_id"]), spec, of))
+            elif op == "adjusted":
+                out.append(adjusted_of(df, study, spec))
         except ValueError as e:
-            empty = df.sparkSession.range(1).select(F.lit(None).cast("string").alias("grp"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("double").alias("value"))
-            out.append(named(empty, (spec_id, op, v), str(e).split(":")[0]))
+            out.append(row_of(one, spec, str(e).split(":")[0]))
+    if pairs:
+        out.append(associations_of(df, study, pairs))
     return reduce(DataFrame.unionByName, out)
+
+
+def test_of(mine: DataFrame, spec: dict, of: dict) -> DataFrame:
+    if spec["op"] == "trend":
+        expect = {None: None, "increasing": ">", "decreasing": "<", "any": "!="}[spec.get("expect")]
+        place = F.array_position(F.array(*map(F.lit, spec["order"])), F.col("grp"))
+        found = contrasts.trend(mine.where(place > 0).select((place - 1).alias("position"), "n", "s", "ss"))
+        return row_of(found, spec, n=F.col("n"), value=F.col("slope"), p=F.col("p"), label=contrast_label(F.col("lo"), F.col("hi"), F.lit(expect)))
+    if of["op"] not in ("share", "top_box"):
+        raise ValueError("WrongAnswerType: counts are needed")
+    shares = mine.select("grp", "n", F.coalesce(F.col("s"), F.lit(0.0)).cast("long").alias("k"))
+    if spec["op"] == "threshold":
+        found = contrasts.against(shares, spec["value"], spec.get("expect"))
+        return row_of(found, spec, grp=F.col("grp"), n=F.col("n"), value=F.col("value"), p=F.col("p"), label=F.col("label"))
+    found = contrasts.compare(shares, spec.get("expect"))
+    return row_of(found, spec, grp=F.col("a"), other=F.col("b"), n=F.col("na") + F.col("nb"), value=F.col("value"), p=F.col("p"), label=F.col("label"))
+
+
+def adjusted_of(df: DataFrame, study: Study, spec: dict) -> DataFrame:
+    if spec["variable"] in spec["controls"]:
+        raise ValueError("WrongControls: the outcome can't be a control")
+    f, groups = study.where(spec["variable"], [spec["value"]]), study.groups(spec["by"])
+    a, b = groups[spec["a"]].mask, groups[spec["b"]].mask
+    inside = f.universe & (a | b) & reduce(lambda x, y: x & y, [study.base(c) for c in spec["controls"]])
+    strata = df.where(inside).groupBy(F.struct(*spec["controls"]).alias("stratum")).agg(F.count_if(a & f.mask).alias("a"), F.count_if(a & ~f.mask).alias("b"), F.count_if(b & f.mask).alias("c"), F.count_if(b & ~f.mask).alias("d"))
+    found = contrasts.mantel_haenszel(strata, spec.get("expect"))
+    return row_of(found, spec, grp=F.lit(spec["a"]), other=F.lit(spec["b"]), n=F.col("strata"), value=F.col("odds_ratio"), p=F.col("p"), label=F.col("label"))
+
+
+def associations_of(df: DataFrame, study: Study, specs: list[dict]) -> DataFrame:
+    pairs = F.array(*[F.struct(F.lit(s["spec_id"]).alias("x"), F.lit(s["by"]).alias("y"), F.when(study.base(s["variable"]) & study.base(s["by"]), F.struct(F.col(s["variable"]).cast("string").alias("u"), F.col(s["by"]).cast("string").alias("v"))).alias("c")) for s in specs])
+    cells = df.select(F.inline(pairs)).where("c is not null").groupBy("x", "y", "c.u", "c.v").agg(F.count(F.lit(1)).alias("k"))
+    names = F.create_map(*[F.lit(x) for s in specs for x in (s["spec_id"], s["variable"])])
+    return row_of(contrasts.associations(cells), {"spec_id": None, "op": "association"}, spec_id=F.col("x"), variable=F.element_at(names, F.col("x")), other=F.col("y"), n=F.col("n"), value=F.col("v"), p=F.col("p"))

@@ -123,7 +123,7 @@ def tagged(spark, sf_dir):
     return o.select(F.col("o_orderkey").alias("id"), F.array(F.concat(F.lit("status="), "o_orderstatus"), F.concat(F.lit("priority="), "o_orderpriority")).alias("tags"))
 
 
-@query("a19_coverage", "WITH q AS (SELECT * FROM (VALUES " + ", ".join(f"('{r}', {n})" for r, n in NEEDS.items()) + ") t(requirement, minimum)), t AS (SELECT 'status=' || o_orderstatus AS s, 'priority=' || o_orderpriority AS p FROM orders) SELECT requirement, minimum::BIGINT AS minimum, count(s) AS attained, count(s) >= minimum AS met FROM q LEFT JOIN t ON len([x for x in string_split(requirement, '&') if x NOT IN (s, p)]) = 0 GROUP BY 1, 2")
+@query("a19_coverage", "WITH q AS (SELECT requirement, minimum::BIGINT AS minimum FROM (VALUES " + ", ".join(f"('{r}', {n})" for r, n in NEEDS.items()) + ") t(requirement, minimum)), t AS (SELECT 'status=' || o_orderstatus AS s, 'priority=' || o_orderpriority AS p FROM orders) SELECT requirement, minimum, count(s) AS attained, count(s) >= minimum AS met FROM q LEFT JOIN t ON len([x for x in string_split(requirement, '&') if x NOT IN (s, p)]) = 0 GROUP BY 1, 2")
 def coverage(spark, sf_dir):
     """How many rows meet each requirement, single tags and joint ones, against its minimum."""
     needs = spark.createDataFrame(list(NEEDS.items()), "requirement string, minimum long")

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tallywright.functions import stats
 from tallywright.operators import answers, contrasts, estimates, families
-from tallywright.operators.specs import run_specs
 from tallywright.sources import files
 
 from .catalogues import _LONG, answers_long
@@ -248,11 +247,6 @@ def accepted_view(spark, sf_dir):
     return spark.read.parquet(at)
 
 
-@query("u02_reference_run", SQL + f" SELECT 'q1' AS spec_id, 'share' AS op, 'balance' AS variable, region AS grp, count(*) FILTER ({_BB}) AS n, round(count(*) FILTER (balance = 'high') / count(*) FILTER ({_BB})::DOUBLE, 8) AS value, '' AS error FROM r WHERE region IS NOT NULL GROUP BY region")
-def reference_run(spark, sf_dir):
-    return rounded(run_specs(respondents(spark, sf_dir), ORDERS, [("q1", "share", "balance", "high", "region")]))
-
-
 # readers
 @query("io04_torn_lines", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def torn_lines(spark, sf_dir):

@@ -163,14 +163,3 @@ def mean_tests(spark, sf_dir):
     half = stats.q_t(F.col("na").cast("double") - 1) * F.col("sa") / F.sqrt("na")
     one = (F.col("ma") - 2.5) / (F.col("sa") / F.sqrt("na"))
     return rounded(pairs.withColumns({"p": stats.p_t("t", "df"), "a_lo": F.col("ma") - half, "a_hi": F.col("ma") + half, "p_a_is_2_5": stats.p_t(one, F.col("na").cast("double") - 1)}), 6)
-
-
-@query("u01_spec_runner", SQL + f""", s AS (SELECT 'q1' AS spec_id, 'share' AS op, 'balance' AS variable, segment AS grp, count(*) FILTER ({_BB}) AS n, (count(*) FILTER (balance = 'low'))::DOUBLE AS x FROM r WHERE segment IS NOT NULL GROUP BY segment
-UNION ALL SELECT 'q2', 'mean', 'priority', region, count({_SCORE}), avg({_SCORE}) FROM r WHERE region IS NOT NULL GROUP BY region) SELECT spec_id, op, variable, grp, n, round(CASE WHEN op = 'share' THEN x / n ELSE x END, 8) AS value, '' AS error FROM s UNION ALL SELECT 'q3', 'share', 'colour', NULL, NULL, NULL, 'UnknownVariable'""")
-def spec_runner(spark, sf_dir):
-    """Analyses given as rows are run in bulk; one that can't be run becomes a row with its error code."""
-    from tallywright.operators.specs import run_specs
-
-    specs = [("q1", "share", "balance", "low", "segment"), ("q2", "mean", "priority", None, "region"), ("q3", "share", "colour", "red", "segment")]
-    return rounded(run_specs(respondents(spark, sf_dir), ORDERS, specs))
-

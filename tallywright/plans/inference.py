@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallywright.functions import stats
 from tallywright.operators import contrasts, estimates
+from tallywright.operators.specs import run_specs
 
 from .details import _DEBT, debts
 from .estimation import _BB, _CNT, _SCORE, _THR, WHI, WLO, Z, rounded
@@ -239,3 +240,63 @@ def count_errors(spark, sf_dir):
     """Counts that can't be those of a sample (here: every fifth nation has more owing customers than customers) are named, not used."""
     broken = debts(spark, sf_dir).withColumn("k", F.when(F.col("nation") % 5 == 0, F.col("n") + 1).otherwise(F.col("k")))
     return broken.select("nation", F.when(stats.invalid_counts(F.col("k"), F.col("n")), "InvalidCounts").otherwise("").alias("error"))
+
+
+# analyses given as rows
+SPECS = [
+    {"spec_id": "n1", "op": "subclaim", "text": "Low balances differ."},
+    {"spec_id": "q1", "op": "share", "variable": "balance", "value": "low", "by": "segment"},
+    {"spec_id": "q2", "op": "mean", "variable": "priority", "by": "region"},
+    {"spec_id": "q3", "op": "top_box", "variable": "priority", "value": 2, "by": "segment", "among": {"eq": {"variable": "status", "value": "O"}}},
+    {"spec_id": "q4", "op": "sizes", "variable": "status", "by": "region"},
+    {"spec_id": "q5", "op": "distribution", "variable": "status"},
+    {"spec_id": "q6", "op": "rank", "variable": "returns", "by": "status"},
+    {"spec_id": "t1", "op": "compare", "of": "q1", "expect": "!="},
+    {"spec_id": "t2", "op": "threshold", "of": "q3", "value": 0.5, "expect": ">"},
+    {"spec_id": "t3", "op": "trend", "of": "q1", "order": ["AUTOMOBILE", "BUILDING", "FURNITURE"], "expect": "any"},
+    {"spec_id": "p1", "op": "association", "variable": "segment", "by": "status"},
+    {"spec_id": "p2", "op": "adjusted", "variable": "balance", "value": "low", "by": "segment", "a": "BUILDING", "b": "MACHINERY", "controls": ["region", "status"], "expect": ">"},
+    {"spec_id": "x1", "op": "share", "variable": "colour", "value": "red", "by": "segment"},
+    {"spec_id": "x2", "op": "share", "variable": "balance", "value": "huge"},
+    {"spec_id": "x3", "op": "median", "variable": "balance"},
+    {"spec_id": "x4", "op": "compare", "of": "x1"},
+    {"spec_id": "x5", "op": "mean", "variable": "segment"},
+    {"spec_id": "x6", "op": "threshold", "of": "q3", "value": 2.0},
+    {"spec_id": "n2", "op": "caveat", "text": "x" * 201},
+]
+_ROW = lambda **x: ", ".join(f"{x.get(name, 'NULL')}::{kind} AS {name}" for name, kind in [("spec_id", "VARCHAR"), ("op", "VARCHAR"), ("variable", "VARCHAR"), ("grp", "VARCHAR"), ("other", "VARCHAR"), ("n", "BIGINT"), ("value", "DOUBLE"), ("p", "DOUBLE"), ("label", "VARCHAR"), ("error", "VARCHAR")])
+_NOTE = lambda i, op, v="NULL", label="NULL", error="": f"SELECT {_ROW(spec_id=repr(i), op=repr(op), variable=v, label=label, error=repr(error))}"
+_Q1 = f"SELECT segment AS g, count(*) FILTER ({_BB}) AS n, count(*) FILTER (balance = 'low') AS k FROM r WHERE segment IS NOT NULL GROUP BY 1"
+_Q3 = "SELECT segment AS g, count(*) FILTER (priority <> '4-NOT SPECIFIED') AS n, count(*) FILTER (priority IN ('1-URGENT', '2-HIGH')) AS k FROM r WHERE segment IS NOT NULL AND status = 'O' GROUP BY 1"
+_DONE = "''"
+SPEC_SQL = SQL + ", " + _STRATA.removeprefix(SQL).strip().removeprefix(",").strip() + f""", c AS ({_Q1}), q3 AS ({_Q3}),
+i AS (SELECT a.g AS a, b.g AS b, a.n + b.n AS n, pa - pb AS value, pa - pb - sqrt(pow(pa - {WLO('ka', 'na')}, 2) + pow({WHI('kb', 'nb')} - pb, 2)) AS lo, pa - pb + sqrt(pow({WHI('ka', 'na')} - pa, 2) + pow(pb - {WLO('kb', 'nb')}, 2)) AS hi, (pa - pb) / sqrt((ka + kb) / (na + nb)::DOUBLE * (1 - (ka + kb) / (na + nb)::DOUBLE) * (1.0 / na + 1.0 / nb)) AS z
+ FROM (SELECT *, n AS na, k AS ka, k / n::DOUBLE AS pa FROM c) a JOIN (SELECT *, n AS nb, k AS kb, k / n::DOUBLE AS pb FROM c) b ON a.g < b.g),
+td AS (SELECT CASE g WHEN 'AUTOMOBILE' THEN 0 WHEN 'BUILDING' THEN 1 ELSE 2 END AS x, n, k FROM c WHERE g IN ('AUTOMOBILE', 'BUILDING', 'FURNITURE')), tm AS (SELECT sum(n)::DOUBLE AS n, sum(n * x) / sum(n)::DOUBLE AS mx, sum(k) / sum(n)::DOUBLE AS my FROM td),
+ts AS (SELECT sum(td.n * pow(x - mx, 2)) AS sxx, sum((x - mx) * k) AS sxy FROM td, tm), tf AS (SELECT max(tm.n)::BIGINT AS n, max(sxy / sxx) AS b, sqrt(sum(pow(x - mx, 2) * (k * pow(1 - my - sxy / sxx * (x - mx), 2) + (td.n - k) * pow(my + sxy / sxx * (x - mx), 2)) / pow(1 - (1 / tm.n + pow(x - mx, 2) / sxx), 2))) / max(sxx) AS se FROM td, tm, ts),
+ac AS (SELECT segment AS u, status AS v, count(*) AS k FROM r WHERE segment IS NOT NULL AND status IS NOT NULL GROUP BY 1, 2), ae AS (SELECT *, sum(k) OVER (PARTITION BY u) * sum(k) OVER (PARTITION BY v) / (sum(k) OVER ())::DOUBLE AS e FROM ac), aa AS (SELECT sum(k)::BIGINT AS n, sum(pow(k - e, 2) / e) AS chi2, ((count(DISTINCT u) - 1) * (count(DISTINCT v) - 1))::BIGINT AS df, least(count(DISTINCT u), count(DISTINCT v)) - 1 AS m FROM ae),
+mu AS (SELECT *, (a+b+c+d)::DOUBLE AS n FROM s WHERE a+b+c+d >= 10 AND a+b > 0 AND c+d > 0), mx AS (SELECT sum(a*d/n) AS r, sum(b*c/n) AS s, sum((a+d)/n*a*d/n) AS pr, sum((a+d)/n*b*c/n + (b+c)/n*a*d/n) AS ps, sum((b+c)/n*b*c/n) AS qs, sum(a - (a+b)*(a+c)/n) AS gap, sum((a+b)*(c+d)*(a+c)*(b+d)/(n*n*(n-1))) AS spread, count(*) AS strata FROM mu)
+{_NOTE('n1', 'subclaim', label="'Low balances differ.'")} UNION ALL {_NOTE('n2', 'caveat', error='CaveatTooLong')} UNION ALL {_NOTE('x1', 'share', "'colour'", error='UnknownVariable')} UNION ALL {_NOTE('x2', 'share', "'balance'", error='UnknownValue')} UNION ALL {_NOTE('x3', 'median', "'balance'", error='UnknownOperation')} UNION ALL {_NOTE('x4', 'compare', error='UnknownEstimate')} UNION ALL {_NOTE('x5', 'mean', "'segment'", error='WrongAnswerType')} UNION ALL {_NOTE('x6', 'threshold', error='WrongThreshold')}
+UNION ALL SELECT {_ROW(spec_id="'q1'", op="'share'", variable="'balance'", grp='g', n='n', value='round(k / n::DOUBLE, 8)', error=_DONE)} FROM c
+UNION ALL SELECT {_ROW(spec_id="'q2'", op="'mean'", variable="'priority'", grp='region', n=f'count({_SCORE})', value=f'round(avg({_SCORE}), 8)', error=_DONE)} FROM r WHERE region IS NOT NULL GROUP BY region
+UNION ALL SELECT {_ROW(spec_id="'q3'", op="'top_box'", variable="'priority'", grp='g', n='n', value='round(k / n::DOUBLE, 8)', error=_DONE)} FROM q3
+UNION ALL SELECT {_ROW(spec_id="'q4'", op="'sizes'", variable="'status'", grp='region', n='count(status)', error=_DONE)} FROM r WHERE region IS NOT NULL GROUP BY region
+UNION ALL SELECT {_ROW(spec_id="'q5'", op="'distribution'", variable="'status'", grp="'All observed respondents'", other='x', n='(SELECT count(status) FROM r)', value='round(count(*) / (SELECT count(status) FROM r)::DOUBLE, 8)', error=_DONE)} FROM (SELECT status AS x FROM r WHERE status IS NOT NULL) GROUP BY x
+UNION ALL SELECT {_ROW(spec_id="'q6'", op="'rank'", variable="'returns'", grp='status', other='o', n='count(*)', value='round(count(*) FILTER (v) / count(*)::DOUBLE, 8)', error=_DONE)} FROM (SELECT status, unnest(['ret_a', 'ret_n', 'ret_r']) AS o, unnest([ret_a, ret_n, ret_r]) AS v FROM r WHERE status IS NOT NULL AND (ret_a IS NOT NULL OR ret_n IS NOT NULL OR ret_r IS NOT NULL)) GROUP BY status, o
+UNION ALL SELECT {_ROW(spec_id="'t1'", op="'compare'", grp='a', other='b', n='n', value='round(value, 8)', p=f"round({sql_p('z')}, 5)", label=sql_label('lo', 'hi', "'!='").join('()'), error=_DONE)} FROM i
+UNION ALL SELECT {_ROW(spec_id="'t2'", op="'threshold'", grp='g', n='n', value='round(k / n::DOUBLE - 0.5, 8)', p=f"round({sql_p('((k / n::DOUBLE - 0.5) / sqrt(0.25 / n))')}, 5)", label=sql_label(f"({WLO('k', 'n')} - 0.5)", f"({WHI('k', 'n')} - 0.5)", "'>'").join('()'), error=_DONE)} FROM q3
+UNION ALL SELECT {_ROW(spec_id="'t3'", op="'trend'", n='n', value='round(b, 8)', p=f"round({sql_p('(b / se)')}, 5)", label=sql_label(f'(b - {Z} * se)', f'(b + {Z} * se)', "'!='").join('()'), error=_DONE)} FROM tf
+UNION ALL SELECT {_ROW(spec_id="'p1'", op="'association'", variable="'segment'", other="'status'", n='n', value='round(sqrt(chi2 / (n * m)), 8)', p=f"round({sql_chi2('chi2', 'df')}, 5)", error=_DONE)} FROM aa
+UNION ALL SELECT {_ROW(spec_id="'p2'", op="'adjusted'", variable="'balance'", grp="'BUILDING'", other="'MACHINERY'", n='strata', value='round(r / s, 8)', p=f"round({sql_p('(gap / sqrt(spread))')}, 5)", label=sql_label(f'(ln(r/s) - {Z} * {_SE})', f'(ln(r/s) + {Z} * {_SE})', "'>'").join('()'), error=_DONE)} FROM mx"""
+
+
+@query("u01_spec_runner", SPEC_SQL)
+def spec_runner(spark, sf_dir):
+    """Analyses given as rows are run in bulk, fourteen operations of them; one that can't be run becomes a row with its error code."""
+    return rounded(run_specs(respondents(spark, sf_dir), ORDERS, SPECS)).withColumn("p", F.round("p", 5))
+
+
+@query("u02_reference_run", f"SELECT spec_id, count(*) AS rows, max(error) AS error FROM ({SPEC_SQL}) GROUP BY 1")
+def reference_run(spark, sf_dir):
+    """The same program a second time, summed up by spec: what a program gives doesn't depend on the run."""
+    return run_specs(respondents(spark, sf_dir), ORDERS, SPECS[::-1]).groupBy("spec_id").agg(F.count(F.lit(1)).alias("rows"), F.max("error").alias("error"))
