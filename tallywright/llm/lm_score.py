@@ -134,7 +134,7 @@ def contexts(counts: DataFrame, least_share: float, least_count: int, evidence:
     gain = gain.groupBy("k", "ctx").agg((2 * F.sum(F.col("n") * F.log(F.col("n") * F.col("ut") / (F.col("total") * F.col("un"))))).alias("g"), F.first("total").alias("t"), F.first("kinds").alias("f"))
     passed = gain.where(F.col("g") > F.lit(evidence) * F.col("f") * F.log("t")).select("k", "ctx")
     kept = rows.join(passed.hint("merge"), ["k", "ctx"], "left_semi").unionByName(rows.where("k = 0"))
-    return kept.select(F.col("k").cast("byte").alias("k"), "ctx", F.col("next").cast("short").alias("next"), "n").toPandas()
+    return kept.select(F.col("k").cast("byte").alias("k"), "ctx", F.col("next").cast("short").alias("next"), "n").toArrow().to_pandas()  # Arrow: no object for each row on the driver
 
 
 class Model:
@@ -181,7 +181,7 @@ class Model:
                     n = ns[a:b]
                     shares[i] *= inertia / (n.sum() + inertia)
                     np.add.at(shares[i], nexts[a:b], n / (n.sum() + inertia))
-        self.logs = np.log10(shares)
+        self.logs = np.log10(shares, out=shares)
 
     def logs_of(self, parts: list[bytes]) -> np.ndarray:
         """log10 of the probability of each symbol of all parts, one after the other; rows of ROW bytes go through the automaton side by side."""
@@ -265,15 +265,14 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fo
         h = xxhash.xxh64_intdigest
 
         class Logs(dict):
-            def __missing__(self, word: bytes) -> tuple[float, int]:
-                c = count[h(word)]
-                found = self[word] = (math.log10(c + 0.5) - low, c > 0)
+            def __missing__(self, word: bytes) -> float:
+                found = self[word] = math.log10(count[h(word)] + 0.5) - low
                 return found
 
-        logs, out = Logs(), []
+        logs, unknown, out = Logs(), math.log10(0.5) - low, []
         for body in left["body"]:
-            each = np.array([logs[w] for w in [*body.split(), b"\n"]])
-            out.append((len(each), int(each[:, 1].sum()), math.fsum(each[:, 0])))
+            each = [*map(logs.__getitem__, body.split()), logs[b"\n"]]
+            out.append((len(each), len(each) - each.count(unknown), math.fsum(each)))
         tokens_, known_, base = zip(*out, strict=True)
         parts = [body + bytes([END]) for body in left["body"]]
         starts = np.cumsum([0, *map(len, parts[:-1])])
