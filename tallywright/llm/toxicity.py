@@ -132,7 +132,7 @@ def judge(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None
     lists = vocabularies(sample, names, folds, least_docs, least_chi2, most_features)
     vocab = sorted(set().union(*lists))
     known = F.array_intersect("f", F.array(*map(F.lit, vocab))) if vocab else F.array().cast("array<string>")
-    rows = sample.select("key", "fold", *names, known.alias("f")).orderBy("key").toPandas()  # at most `most` rows of chosen features
+    rows = sample.select("key", "fold", *names, known.alias("f")).orderBy("key").toArrow().to_pandas()  # at most `most` rows of chosen features
     place = {f: i for i, f in enumerate(vocab)}
     columns = [np.array(sorted(place[f] for f in fs), dtype="int64") for fs in rows["f"]]
     ys = rows[names].to_numpy(dtype=float).reshape(-1, len(names))
