@@ -101,17 +101,6 @@ def realised_claims(spark, sf_dir):
     return records(spark, sf_dir).select("record_id", F.forall(F.slice(F.split("input", " "), 1, 2), lambda w: F.contains(F.col("output"), w)).alias("realised"))
 
 
-@query("g38_planted_changes", REC + "SELECT * FROM (SELECT record_id, 'number' AS kind, CASE WHEN regexp_matches(output, '[0-9]') THEN regexp_replace(output, '[0-9]+', '17', 'g') END AS claim FROM rec UNION ALL SELECT record_id, 'negation', CASE WHEN contains(output, ' is ') THEN replace(output, ' is ', ' is not ') END FROM rec UNION ALL SELECT record_id, 'cut', CASE WHEN contains(output, '. ') THEN substr(output, strpos(output, '. ') + 2) END FROM rec) WHERE claim IS NOT NULL")
-def planted_changes(spark, sf_dir):
-    t = F.col("output")
-    kinds = {
-        "number": F.when(t.rlike("[0-9]"), F.regexp_replace(t, "[0-9]+", "17")),
-        "negation": F.when(t.contains(" is "), F.replace(t, F.lit(" is "), F.lit(" is not "))),
-        "cut": F.when(t.contains(". "), F.expr("substring(output, locate('. ', output) + 2)")),
-    }
-    return records(spark, sf_dir).select("record_id", F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("claim")) for k, c in kinds.items()]))).where("claim is not null")
-
-
 @query("g39_paraphrase_checks", REC + "SELECT record_id, 2 * length(output) BETWEEN length(input) AND 6 * length(input) AS length_ok, lower(trim(output)) <> lower(trim(input)) AS differs, len(list_distinct(regexp_extract_all(output, '[0-9]+'))) - len(list_intersect(list_distinct(regexp_extract_all(output, '[0-9]+')), list_distinct(regexp_extract_all(input, '[0-9]+')))) AS new_numbers FROM rec")
 def paraphrase_checks(spark, sf_dir):
     numbers = lambda c: F.regexp_extract_all(F.col(c), F.lit("[0-9]+"), F.lit(0))
@@ -131,13 +120,6 @@ FACTS = _CNT + ", f AS (SELECT 'finding' AS kind, a || CASE WHEN lo > 0 THEN ' i
 query("k01_facts", FACTS + "SELECT kind, text FROM f")(facts)
 
 
-@query("k04_checklist", FACTS + "SELECT item, part, text FROM f, (VALUES ('finding', 'E1', 'states'), ('finding', 'E2', 'cites'), ('suppressed', 'E3', 'leaves out')) x(k, item, part) WHERE kind = k")
-def checklist(spark, sf_dir):
-    item = lambda i, p: F.struct(F.lit(i).alias("item"), F.lit(p).alias("part"))
-    items = F.when(F.col("kind") == "finding", F.array(item("E1", "states"), item("E2", "cites"))).otherwise(F.array(item("E3", "leaves out")))
-    return facts(spark, sf_dir).select(F.inline(items), "text")
-
-
 @query("k25_metric_differences", "SELECT lang, count(*) AS n, round(avg(quality), 8) AS base, round(avg(1 - toxic), 8) AS adapted, round(avg(1 - toxic) - avg(quality), 8) AS difference FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL AND toxic IS NOT NULL GROUP BY 1")
 def metric_differences(spark, sf_dir):
     j = table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels"), "doc_id").where("quality is not null and toxic is not null")

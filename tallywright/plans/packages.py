@@ -76,16 +76,6 @@ def binding_faults(spark, sf_dir):
     return bound.groupBy("value").agg(F.count_distinct("label").alias("labels")).where("labels > 1")
 
 
-@query("c02_find_variables")
-def find_variables(spark, sf_dir):
-    """Brands whose name is like a query: contained gives 1, else a ratio from the edit distance, cut at 0.3; the five best for each query."""
-    cards = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("id")).agg(F.min("p_partkey").alias("ordinal"))
-    asks = table(spark, sf_dir, "part").select(F.lower(F.concat_ws(" ", "p_type")).alias("ask")).distinct()
-    near = 1 - F.levenshtein(F.lower("id"), F.col("ask")) / F.greatest(F.length("id"), F.length("ask"))
-    scored = asks.join(F.broadcast(cards), F.lit(True)).withColumn("score", F.when(F.contains(F.lower("id"), F.col("ask")), 1.0).otherwise(near)).where("score >= 0.3")  # brands: catalogue-sized
-    return rounded(scored.withColumn("place", F.row_number().over(W.partitionBy("ask").orderBy(F.desc("score"), "ordinal"))).where("place <= 5"))
-
-
 @query("c05_numeric_references", "SELECT p_brand AS id, row_number() OVER (ORDER BY min(p_partkey)) AS reference FROM part GROUP BY 1")
 def numeric_references(spark, sf_dir):
     cards = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("id")).agg(F.min("p_partkey").alias("ordinal"))

@@ -9,10 +9,10 @@ from tallywright.operators import audits, contrasts, estimates, families
 from tallywright.operators.numbering import numbered
 from tallywright.sources import files
 
-from .claims import FACTS, facts, planted_changes
+from .claims import FACTS, facts
 from .estimation import _CNT, rounded
 from .packages import OWN, REC, owners, records
-from .registry import ORACLES, query, table
+from .registry import query, table
 from .study import ORDERS, SQL, respondents
 
 
@@ -103,19 +103,6 @@ def calibration_gate(spark, sf_dir):
     return rounded(gate.withColumn("met", F.coalesce(F.col("rate") >= F.col("need"), F.lit(False))))
 
 
-_REJECT = "regexp_extract_all(claim, '[0-9]+')::VARCHAR <> regexp_extract_all(output, '[0-9]+')::VARCHAR OR length(claim) < length(output)"
-
-
-@query("k30_verifier_gate", REC + f", p AS ({ORACLES['g38_planted_changes'].removeprefix(REC)}) SELECT kind, count(*) AS n, count(*) FILTER ({_REJECT}) AS rejected, round(avg(({_REJECT})::INT), 8) AS rate FROM (SELECT * FROM p UNION ALL SELECT record_id, 'unchanged', output FROM rec) JOIN rec USING (record_id) GROUP BY 1")
-def verifier_gate(spark, sf_dir):
-    """How often a check of numbers and length rejects each planted change, and the unchanged answer."""
-    r = records(spark, sf_dir).select("record_id", "output")
-    tried = planted_changes(spark, sf_dir).unionByName(r.select("record_id", F.lit("unchanged").alias("kind"), F.col("output").alias("claim"))).join(r.hint("merge"), "record_id")
-    numbers = lambda c: F.regexp_extract_all(c, F.lit("[0-9]+"), F.lit(0))
-    no = (numbers("claim") != numbers("output")) | (F.length("claim") < F.length("output"))
-    return rounded(tried.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_if(no).alias("rejected"), F.avg(no.cast("int")).alias("rate")))
-
-
 @query("k33_combined_review", "SELECT source, count(*) AS n, count(*) FILTER (quality = 1) AS first_passed, count(*) FILTER (toxic = 0) AS second_passed, count(*) FILTER (quality = 1 AND toxic = 0) AS both_passed FROM documents JOIN labels USING (doc_id) GROUP BY 1")
 def combined_review(spark, sf_dir):
     j = table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels"), "doc_id")
