@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,9 +30,59 @@ def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.read.option("recursiveFileLookup", "true").schema(stream.withColumn("epoch", F.lit(0)).schema).parquet(out)
 
 
-def once(stream: DataFrame, key: str, ts: str, late: str = "40 days") -> DataFrame:
-    """Each key once, whatever its repeats within the watermark."""
-    return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
+def append_once(stream: DataFrame, key: str, target: str) -> DataFrame:
+    """Runs a stream over all that is there; target gets each key once, however late its repeats come and whoever runs again.
+
+    A batch's keys are looked up in what the other batches have written, so nothing has to be kept in state and no watermark
+    drops a late id. A batch that is repeated after a failure writes over its own folder. A new run with the same target skips
+    what is there.
+    """
+    spark = stream.sparkSession
+    log, run = shared_folder(spark, "once-log"), uuid.uuid4().hex
+    schema = stream.withColumn("run", F.lit("")).withColumn("epoch", F.lit(0)).schema
+
+    def done() -> DataFrame:
+        try:
+            return spark.read.schema(schema).parquet(target)
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return spark.createDataFrame([], schema)
+
+    def put(batch: DataFrame, epoch: int) -> None:
+        others = done().where((F.col("run") != run) | (F.col("epoch") != epoch)).select(key)
+        new = batch.dropDuplicates([key]).join(others.hint("merge"), key, "left_anti")
+        new.write.mode("overwrite").parquet(f"{target}/run={run}/epoch={epoch}")
+
+    stream.writeStream.option("checkpointLocation", log).foreachBatch(put).trigger(availableNow=True).start().awaitTermination()
+    return done()
+
+
+def stream_ledger(stream: DataFrame, request: str, ts: str, fingerprint: str, order: str) -> DataFrame:
+    """The ledger of a stream: each batch is merged into the state that the one before it wrote.
+
+    One row per request: the latest value and its time, the fingerprints seen, and whether there were several. A batch that is
+    repeated starts from the same state again.
+    """
+    spark = stream.sparkSession
+    at, log, last = shared_folder(spark, "ledger"), shared_folder(spark, "ledger-log"), [-1]
+    mine = lambda df: df.select(F.col(request).alias("request"), F.struct(F.col(ts).alias("ts"), F.col(order).alias("order")).alias("at"), "value", F.array(F.col(fingerprint)).alias("prints"))
+
+    def merged(rows: DataFrame) -> DataFrame:
+        seen = F.array_distinct(F.flatten(F.collect_set("prints")))  # the fingerprints of a request
+        return rows.groupBy("request").agg(F.max("at").alias("at"), F.max_by("value", "at").alias("value"), seen.alias("prints"))
+
+    def put(batch: DataFrame, epoch: int) -> None:
+        rows = mine(batch)
+        if last[0] >= 0:
+            rows = rows.unionByName(spark.read.parquet(f"{at}/epoch={last[0]}").select("request", "at", "value", "prints"))
+        merged(rows).write.mode("overwrite").parquet(f"{at}/epoch={epoch}")
+        last[0] = epoch
+
+    stream.writeStream.option("checkpointLocation", log).foreachBatch(put).trigger(availableNow=True).start().awaitTermination()
+    if last[0] < 0:
+        return merged(mine(spark.createDataFrame([], stream.schema))).select("request", "value", F.lit(False).alias("changed"))
+    return spark.read.parquet(f"{at}/epoch={last[0]}").select("request", "value", (F.size("prints") > 1).alias("changed"))
 
 
 def tallies(stream: DataFrame, ts: str, by: str, width: str = "1 day", late: str = "1 hour") -> DataFrame:
