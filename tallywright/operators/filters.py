@@ -25,7 +25,7 @@ class Filter:
         return Filter(self.mask & other.mask, self.universe & other.universe)
 
     def __or__(self, other: Filter) -> Filter:
-        """Complete cases only: the universe is the intersection, so it may shrink."""
+        """In either mask, among those of whom both sides are known."""
         return Filter(self.mask | other.mask, self.universe & other.universe)
 
 
