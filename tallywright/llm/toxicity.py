@@ -13,10 +13,14 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 WORD = re.compile(r"[^\W\d_]+")
+#: Lengths of the beginnings of words that are features beside the words: they stand for all endings and compounds.
+STEMS = (5, 6, 7)
+
 
 def features(text: str) -> set[str]:
-    """The words of a text in lower case."""
-    return set(WORD.findall(text.lower()))
+    """The words of a text in lower case, and the beginnings of longer words, marked with a star."""
+    words = set(WORD.findall(text.lower()))
+    return words | {f"{w[:k]}*" for w in words for k in STEMS if len(w) > k}
 
 
 def labelled(docs: DataFrame, labels: DataFrame, categories: dict[str, str], most: int, folds: int, id_col: str, text_col: str) -> DataFrame:
@@ -76,7 +80,9 @@ class Sparse:
         mine = use[self.row] & among[self.col]
         col, row = self.col[mine], self.row[mine]
         size = float(np.bincount(row, minlength=self.n).max(initial=0) + extra.shape[1] + 1)
-        rate, m = 1.0 / (0.25 * size * max(1, use.sum()) / 4 + ridge), use.astype(float)
+        m = use.astype(float)
+        # a step for each weight: the curvature is at most a quarter of the row size times the rows that have the feature
+        rate = 1.0 / (0.25 * size * np.concatenate((np.bincount(col, minlength=self.width), (extra**2).T @ m, [max(1.0, m.sum())])) + ridge)
         for k in range(steps):
             p = 1 / (1 + np.exp(-self.score(v, extra, col, row)))
             r = (p - y) * m
