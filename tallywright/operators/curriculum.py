@@ -5,11 +5,8 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .families import select_disjoint
-
 #: Calls that count towards each feature of a program, and the catalogue sizes that divide the levels. Fixed values.
 CALLS = {"n_subclaims": ["subclaim"], "n_filters": ["where", "eligible"], "n_groups": ["group"], "n_estimands": ["proportion", "top_box", "mean_score"], "n_comparisons": ["compare"], "n_gap_calls": ["not_measured", "proxy"]}
 FEW, MANY = 64, 256
@@ -88,44 +85,6 @@ def envelope(rows: DataFrame, features: list[str], inside: Column) -> DataFrame:
     return joined.groupBy("feature", "lo", "hi").agg(F.sum("k").alias("n"), F.sum(F.when(F.col("x").between(F.col("lo"), F.col("hi")), F.col("k")).otherwise(0)).alias("n_inside"))
 
 
-def select_covering(candidates: DataFrame, needs: dict[str, int], size: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """(chosen, shortages): at most size candidates of which no two share a core, that meet the needs as far as they can.
-
-    candidates: (id, cores, tags), both arrays; needs: the minimum for each requirement, one tag or several joined by &.
-    A candidate's worth is the sum of 1 / minimum over the requirements it has all tags of. A maximal set without shared
-    cores is taken, the worthier before the others (select_disjoint). Of these, each requirement, the scarcest first, takes
-    as many as it still lacks, by worth and seeded hash; what is left of size goes round the strata (the sorted tags), the
-    least filled first. Shortages: requirement, minimum, attained, for each that isn't met, and for the size.
-
-    One pass for each requirement, which are settings; ids are never collected.
-    """
-    spark = candidates.sparkSession
-    has = lambda r: F.forall(F.array(*map(F.lit, r.split("&"))), lambda t: F.array_contains("tags", t))
-    worth = reduce(lambda a, b: a + b, [F.when(has(r), 1.0 / n).otherwise(0.0) for r, n in needs.items()], F.lit(0.0))
-    order = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string")), 256)
-    scored = candidates.withColumns({"score": worth, "order": order, "stratum": F.array_join(F.array_sort("tags"), "|")})
-    free = select_disjoint(scored.select("id", "score", F.explode("cores").alias("core")))
-    pool = written(scored.join(free.hint("merge"), "id", "left_semi").withColumn("pick", F.lit(0)))
-    counts = pool.agg(*[F.count_if(has(r)).alias(f"r{i}") for i, r in enumerate(needs)]).first()
-    for r, n in sorted(needs.items(), key=lambda x: (counts[list(needs).index(x[0])] / x[1], x[0])):
-        taken = pool.agg(F.count_if((F.col("pick") > 0) & has(r)).alias("of_it"), F.count_if(F.col("pick") > 0).alias("all")).first()
-        lacks = min(n - taken["of_it"], size - taken["all"])
-        if lacks > 0:
-            new = pool.where((F.col("pick") == 0) & has(r)).orderBy(F.desc("score"), "order").limit(lacks).select("id")
-            pool = written(pool.join(new.withColumn("new", F.lit(1)).hint("merge"), "id", "left").withColumn("pick", F.greatest("pick", F.coalesce("new", F.lit(0)))).drop("new"))
-    taken = pool.where("pick > 0").count()
-    if taken < size:
-        held = pool.groupBy("stratum").agg(F.count_if(F.col("pick") > 0).alias("held"))
-        place = F.row_number().over(W.partitionBy("stratum").orderBy("order"))
-        new = pool.where("pick = 0").withColumn("place", place).join(held.hint("merge"), "stratum").orderBy(F.col("held") + F.col("place"), "order").limit(size - taken).select("id")
-        pool = written(pool.join(new.withColumn("new", F.lit(1)).hint("merge"), "id", "left").withColumn("pick", F.greatest("pick", F.coalesce("new", F.lit(0)))).drop("new"))
-    chosen = pool.where("pick > 0").select("id", "cores", "tags", "stratum")
-    asked = spark.createDataFrame([(r, n) for r, n in needs.items()], "requirement string, minimum long")
-    short = attained(chosen, asked).where("not met").drop("met")
-    whole = chosen.agg(F.lit("size").alias("requirement"), F.lit(size).cast("long").alias("minimum"), F.count(F.lit(1)).alias("attained")).where("attained < minimum")
-    return chosen, short.unionByName(whole)
-
-
 def token_batches(rows: DataFrame, window: str, key: list[str], budget: int, most: int) -> DataFrame:
     """(window, key, size, batch): inside each window, longest first, a batch grows while rows times width keep the budget, up to most rows.
 
@@ -146,12 +105,3 @@ def token_batches(rows: DataFrame, window: str, key: list[str], budget: int, mos
 
     kinds = dict(rows.dtypes)
     return rows.select(window, *key, "size").groupBy(window).applyInPandas(cut, ", ".join([f"{c} {kinds[c]}" for c in (window, *key, "size")] + ["batch int"]))
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again, so that the next step doesn't repeat it."""
-    from tallywright.sources.files import shared_folder
-
-    path = shared_folder(df.sparkSession, "curriculum")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

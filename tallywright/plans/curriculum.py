@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallywright.functions import stats
-from tallywright.operators import audits, curriculum, estimates, families, gates, validation
+from tallywright.operators import audits, curriculum, estimates, families, gates, selection, validation
 from tallywright.operators.numbering import numbered
 from tallywright.sources import files, studies
 
@@ -144,7 +144,7 @@ def disjoint_selection(spark, sf_dir):
     One row for each selected order, and one for each requirement that falls short.
     """
     parts = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set("l_partkey").alias("cores"))  # the lines of an order
-    chosen, short = curriculum.select_covering(tagged(spark, sf_dir).join(parts.hint("merge"), "id"), NEEDS, 300, 11)
+    chosen, short = selection.covering(tagged(spark, sf_dir).join(parts.hint("merge"), "id"), NEEDS, 300, 11)
     none = F.lit(None)
     return chosen.select("id", "stratum", none.cast("string").alias("requirement"), none.cast("long").alias("attained")).unionByName(short.select(none.cast("long").alias("id"), none.cast("string").alias("stratum"), "requirement", "attained"))
 

@@ -1,7 +1,10 @@
+import hashlib
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from tallywright.operators import answers, audits, curriculum, families, gates
+from tallywright.operators import answers, audits, curriculum, families, gates, selection
 from tallywright.operators.numbering import numbered
 from tallywright.plans import QUERIES
 from tallywright.sources import files, studies
@@ -54,19 +57,62 @@ def test_answers(spark):
     assert (q.a, q.b, q.c, q.d) == (True, False, "x = 1", "a ```b```")
 
 
-def test_covering_selection(spark):
-    rows = [(i, [i // 2, 100 + i], ["a" if i % 4 else "b", "x" if i < 10 else "y"]) for i in range(40)]
-    df = spark.createDataFrame(rows, "id int, cores array<int>, tags array<string>")
-    chosen, short = curriculum.select_covering(df, {"b": 4, "a&x": 3, "z": 2}, 12, 1)
+def greedy(rows, needs, size, seed):
+    """The selection one candidate at a time, by the rule of the docstring."""
+    order = {i: hashlib.sha256(f"{seed}:{i}".encode()).hexdigest() for i, _, _ in rows}
+    ok = lambda t, r: set(r.split("&")) <= set(t)
+    chosen, free, got = [], list(rows), dict.fromkeys(needs, 0)
+
+    def take(x):
+        nonlocal free
+        chosen.append(x)
+        free = [y for y in free if y is not x and not set(x[1]) & set(y[1])]
+        for r in needs:
+            got[r] += ok(x[2], r)
+
+    while len(chosen) < size and any(got[r] < n for r, n in needs.items()):
+        lacks = {r: n - got[r] for r, n in needs.items() if got[r] < n}
+        there = {r: [x for x in free if ok(x[2], r)] for r in lacks}
+        if any(len(there[r]) < n for r, n in lacks.items()):
+            break
+        r = min(lacks, key=lambda r: (len(there[r]) / lacks[r], r))
+        take(min(there[r], key=lambda x: (-sum(1.0 / needs[q] if ok(x[2], q) else 0.0 for q in lacks), order[x[0]])))
+    if all(got[r] >= n for r, n in needs.items()):
+        stratum = lambda x: "|".join(sorted(x[2]))
+        while free and len(chosen) < size:
+            s = min({stratum(x) for x in free}, key=lambda s: (sum(stratum(c) == s for c in chosen), s))
+            take(min((x for x in free if stratum(x) == s), key=lambda x: order[x[0]]))
+    short = {(r, n, got[r]) for r, n in needs.items() if got[r] < n} | ({("size", size, len(chosen))} if len(chosen) < size else set())
+    return [x[0] for x in chosen], short
+
+
+SELECTIONS = [
+    ([(1, [1, 2], ["x", "y"]), (2, [1], ["z"]), (3, [3], ["x", "y"])], {"x": 1, "y": 1, "z": 1}, 2, 1),  # z is scarcest: 2 and 3 meet all
+    ([(i, [i // 2, 100 + i], ["a" if i % 4 else "b", "x" if i < 10 else "y"]) for i in range(40)], {"b": 4, "a&x": 3, "z": 2}, 12, 1),
+    ([(i, [i // 2, 100 + i], ["a" if i % 4 else "b", "x" if i < 10 else "y"]) for i in range(40)], {"b": 1}, 50, 1),
+    ([(i, [] if i % 3 else [1], ["a"]) for i in range(12)], {"a": 2}, 9, 2),  # a core that a third share, and rows without any
+    *[([(i, random.Random(s * 99 + i).sample(range(25), 2), random.Random(s * 77 + i).sample("abcde", 2)) for i in range(60)], {"a": 3, "b&c": 1, "d": 3, "e": 2}, 11, s) for s in range(4)],
+]
+
+
+@pytest.mark.parametrize(("rows", "needs", "size", "seed"), SELECTIONS)
+def test_covering_selection(spark, rows, needs, size, seed, monkeypatch):
+    monkeypatch.setattr(selection, "REWRITE", 6)
+    df = spark.createDataFrame([(*r, 1, "o") for r in rows], "id int, cores array<int>, tags array<string>, held int, other string").repartition(3)
+    ids, want = greedy(rows, needs, size, seed)
+    chosen, short = selection.covering(df, needs, size, seed)
     got = chosen.collect()
+    assert [r.id for r in got] == ids and {tuple(r) for r in short.collect()} == want
     cores = [c for r in got for c in r.cores]
-    assert len(got) == 12 and len(cores) == len(set(cores))
-    assert sum("b" in r.tags for r in got) >= 4 and sum({"a", "x"} <= set(r.tags) for r in got) >= 3
-    assert [tuple(r) for r in short.collect()] == [("z", 2, 0)]
-    chosen, short = curriculum.select_covering(df, {"b": 1}, 50, 1)
-    assert chosen.count() == 20 and [tuple(r) for r in short.collect()] == [("size", 50, 20)]
-    strata = {r.stratum: r["count"] for r in curriculum.select_covering(df, {"z": 1}, 8, 3)[0].groupBy("stratum").count().collect()}
-    assert max(strata.values()) - min(strata.values()) <= 1
+    assert len(cores) == len(set(cores))
+
+
+def test_covering_selection_of_nothing(spark):
+    none = spark.createDataFrame([(1, None, None), (2, [None], ["a", None])], "id int, cores array<int>, tags array<string>")
+    chosen, short = selection.covering(none, {"a": 1}, 3, 0)
+    assert {r.id for r in chosen.collect()} == {1, 2} and [tuple(r) for r in short.collect()] == [("size", 3, 2)]
+    chosen, short = selection.covering(none.limit(0), {"a": 1}, 2, 0)
+    assert chosen.count() == 0 and {tuple(r) for r in short.collect()} == {("a", 1, 0), ("size", 2, 0)}
 
 
 def test_studies_on_disk(spark, tmp_path):
