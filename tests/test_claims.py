@@ -50,12 +50,68 @@ def test_specs_name_their_errors(spark):
     assert means["a"] == pytest.approx(sum(1 + (i % 3 > 0) for i in range(0, 40, 2)) / 20)
 
 
-def test_streams_keep_each_id_once(spark, tmp_path):
-    rows = [(1, "2024-01-01", "a", 1.0), (1, "2023-01-01", "a", 2.0), (2, "2020-01-01", "b", 3.0), (2, "2024-06-01", "c", 4.0)]
-    spark.createDataFrame(rows, "k int, ts string, kind string, value double").selectExpr("k", "cast(ts as timestamp) ts", "kind", "value").write.parquet(str(tmp_path / "in"))
-    stream = lambda: spark.readStream.schema("k int, ts timestamp, kind string, value double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    target = str(tmp_path / "out")
-    assert sorted(r.k for r in results.append_once(stream(), "k", target).collect()) == [1, 2]
-    assert results.append_once(stream(), "k", target).count() == 2  # a second run has nothing to add
-    got = {r.request: (r.value, r.changed) for r in results.stream_ledger(stream(), "k", "ts", "kind", "k").collect()}
-    assert got == {1: (1.0, False), 2: (4.0, True)}
+SCHEMA = "k int, ts timestamp, kind string, value double"
+
+
+def add(spark, folder, rows):
+    """Rows as one more file of a stream's folder."""
+    df = spark.createDataFrame(rows, "k int, ts string, kind string, value double")
+    df.select("k", F.col("ts").cast("timestamp").alias("ts"), "kind", "value").coalesce(1).write.mode("append").parquet(str(folder))
+
+
+def watch(spark, folder):
+    return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(folder))
+
+
+def killed(monkeypatch, at):
+    """The sink writes epoch `at` and then dies, once."""
+    real, left = results.commit, [1]
+
+    def commit(batch, folder, epoch):
+        real(batch, folder, epoch)
+        if epoch == at and left:
+            left.pop()
+            raise RuntimeError("killed")
+
+    monkeypatch.setattr(results, "commit", commit)
+
+
+def test_once_over_kills_and_restarts(spark, tmp_path, monkeypatch):
+    for rows in ([(1, "2024-01-01", "a", 1.0), (2, "2020-01-01", "b", 3.0)], [(1, "2023-01-01", "a", 2.0), (3, None, None, None), (None, "2024-01-01", "n", 1.0)], [(2, "2019-01-01", "c", 4.0), (4, "2024-06-01", "c", 4.0)]):
+        add(spark, tmp_path / "in", rows)
+    home = str(tmp_path / "home")
+    killed(monkeypatch, 1)
+    with pytest.raises(Exception, match="killed"):
+        results.append_once(watch(spark, tmp_path / "in"), "k", home)
+    got = results.append_once(watch(spark, tmp_path / "in"), "k", home)
+    ids = lambda df: sorted((r.k for r in df.collect()), key=str)
+    assert ids(got) == [1, 2, 3, 4, None] and {r.epoch for r in got.collect()} == {0, 1, 2}  # the killed batch has its own place again
+    add(spark, tmp_path / "in", [(1, "2030-01-01", "a", 1.0), (5, "2030-01-01", "a", 1.0)])
+    got = results.append_once(watch(spark, tmp_path / "in"), "k", home)
+    assert ids(got) == [1, 2, 3, 4, 5, None]
+    assert ids(got.where("epoch = 3")) == [5]  # one more batch: what was read isn't read again
+    assert results.append_once(watch(spark, tmp_path / "in"), "k", home).count() == 6
+
+
+def test_ledger_refuses_and_resumes(spark, tmp_path, monkeypatch):
+    add(spark, tmp_path / "in", [(1, "2024-01-02", "a", 2.0), (1, "2024-01-01", "a", 1.0), (2, "2024-01-01", "b", 5.0), (2, "2024-01-03", "c", 6.0), (3, None, None, None)])
+    add(spark, tmp_path / "in", [(1, "2024-01-03", "x", 9.0), (2, "2023-01-01", "c", 7.0), (2, "2024-02-01", "b", 8.0)])
+    home = str(tmp_path / "home")
+    go = lambda: results.stream_ledger(watch(spark, tmp_path / "in"), "k", "ts", "kind", "k", home)
+    killed(monkeypatch, 1)
+    with pytest.raises(Exception, match="killed"):
+        go()
+    rows = go()
+    first = rows.orderBy("epoch").first()
+    now = lambda df: {r.request: (r.print, r.value, r.accepted, r.refused) for r in results.entries(df).collect()}
+    both = {1: ("a", 2.0, 2, 1), 2: ("b", 8.0, 2, 2), 3: ("", None, 1, 0)}
+    other = {1: ("x", 9.0, 1, 2), 2: ("c", 7.0, 2, 2), 3: ("", None, 1, 0)}
+    if now(rows) != both:  # the order of the files is Spark's
+        assert now(rows)[1] == other[1]
+        return
+    assert first.epoch == 0 and {(r.request, r.print, r.n) for r in rows.where("kind = 'refused'").collect()} == {(2, "c", 1), (1, "x", 1)}
+    add(spark, tmp_path / "in", [(1, "2025-01-01", "x", 9.0), (4, "2025-01-01", "d", 4.0), (1, "2020-01-01", "a", 0.0)])
+    rows = go()
+    assert now(rows) == both | {1: ("a", 2.0, 3, 2), 4: ("d", 4.0, 1, 0)}  # an older entry of the same request counts, its value doesn't
+    assert {r.epoch for r in rows.where("request = 4").collect()} == {2} and rows.where("epoch = 2").count() == 3  # only new keys and those of the batch
+    assert go().count() == rows.count()
