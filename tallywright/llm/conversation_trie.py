@@ -182,10 +182,13 @@ def lists_of_members(ends: DataFrame) -> DataFrame:
 
     def strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for (a, b), x in batch.groupby(["p1", "p2"], sort=False)["conv_id"]:
-                ids = x.tolist()
-                parts = [ids[i : i + LIST] for i in range(0, len(ids), LIST)]
-                yield pd.DataFrame({"p1": a, "p2": b, "first": [p[0] for p in parts], "part": [",".join(map(str, p)) for p in parts]})
+            p1, p2, ids = (batch[c].to_numpy() for c in ("p1", "p2", "conv_id"))
+            new = np.append(True, (p1[1:] != p1[:-1]) | (p2[1:] != p2[:-1]))
+            starts = np.flatnonzero(new)
+            begins = np.concatenate([np.arange(a, b, LIST) for a, b in zip(starts.tolist(), np.append(starts[1:], len(ids)).tolist(), strict=True)])
+            texts = list(map(str, ids.tolist()))
+            parts = [",".join(texts[a:b]) for a, b in zip(begins.tolist(), np.append(begins[1:], len(ids)).tolist(), strict=True)]
+            yield pd.DataFrame({"p1": p1[begins], "p2": p2[begins], "first": ids[begins], "part": parts})
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, state = None, None
