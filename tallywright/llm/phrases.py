@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,15 +12,14 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: What ends a piece and what separates words: fixed values of the query's contract.
-ENDS, BLANKS = re.compile("[.,;:!?\n-\r]"), re.compile("[ \t]+")
+#: What ends a piece, and what separates words: fixed values of the query's contract. Ends become a byte that UTF-8 doesn't have.
+END = b"\xff"
+TABLE = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", END * 10 + b" ")
 #: Characters of text that are counted at once in a task; bits a frequent phrase has in the filter, and the most bits.
-BLOCK, PER_PHRASE, MOST_BITS = 8_000_000, 16, 1 << 30
+BLOCK, PER_PHRASE, MOST_BITS = 4_000_000, 16, 1 << 30
 #: Tasks that the phrases with one first word are dealt over.
 SALTS = 16
 
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
 
 def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Keys of phrases that are one word longer, for the filter only."""
@@ -33,85 +31,119 @@ def place(keys: np.ndarray, bits: int) -> np.ndarray:
     return ((keys * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(20)) % np.uint64(bits)
 
 
-def words_of(texts: list[str]) -> np.ndarray:
-    """The words of the texts one after another; None ends a piece."""
-    out: list[str | None] = []
-    for text in texts:
-        for piece in ENDS.split(text.translate(LOWER)):
-            found = [w for w in (piece.split(" ") if "\t" not in piece else BLANKS.split(piece)) if w]
-            if found:
-                out += found
-                out.append(None)
-    return np.array(out, dtype=object)
+def kept(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    at = place(keys, len(bits) * 8)
+    return (bits[(at >> np.uint64(3)).astype("int64")] >> (at & np.uint64(7)).astype("uint8") & 1).astype(bool)
+
+
+class Block:
+    """The words of some texts as numbers: codes (-1: the end of a piece), the words by code, and their keys."""
+
+    def __init__(self, texts: list[str], lang: str) -> None:
+        import xxhash
+
+        data = END.join(t.encode() for t in texts).lower().translate(TABLE).replace(END, b" " + END + b" ").split()  # bytes: only A-Z are lowered
+        self.codes, names = pd.factorize(np.array(data, dtype=object))
+        self.names = names.tolist()
+        salt = xxhash.xxh64_intdigest(lang, 7)
+        self.hashed = np.array([xxhash.xxh64_intdigest(w, 42) ^ salt for w in self.names], dtype="uint64")
+        if END in self.names:
+            self.codes[self.codes == self.names.index(END)] = -1
+
+    def words(self) -> tuple[list[list[str]], np.ndarray, np.ndarray]:
+        much = np.bincount(self.codes[self.codes >= 0], minlength=len(self.names))
+        some = np.flatnonzero(much)
+        return [[self.names[i].decode()] for i in some.tolist()], self.hashed[some], much[some]
+
+    def begins(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where phrases of n words begin, and their keys."""
+        at = np.flatnonzero(self.codes >= 0)
+        keys = self.hashed[self.codes[at]]
+        for k in range(1, n):
+            near = at + k < len(self.codes)
+            at, keys = at[near], keys[near]
+            near = self.codes[at + k] >= 0
+            at, keys = at[near], keys[near]
+            keys = mixed(keys, self.hashed[self.codes[at + k]])
+        return at, keys
+
+    def parted(self, n: int, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where phrases of n words begin whose first and last n - 1 words are both in the filter, and their keys."""
+        at, keys = self.begins(n - 1)
+        good = kept(keys, bits)
+        at, keys = at[good], keys[good]
+        begins = np.zeros(len(self.codes) + 1, dtype=bool)
+        begins[at] = True
+        both = begins[at + 1]
+        at, keys = at[both], keys[both]
+        return at, mixed(keys, self.hashed[self.codes[at + n - 1]])
+
+    def phrases(self, n: int, at: np.ndarray, keys: np.ndarray) -> tuple[list[list[str]], np.ndarray, np.ndarray]:
+        """The different phrases of n words at the places, sorted, with their keys and how often they occur."""
+        if not len(at):
+            return [], keys, at
+        rows = np.stack([self.codes[at + k] for k in range(n)])
+        order = np.lexsort(rows[::-1])
+        sorted_ = rows[:, order]
+        first = np.flatnonzero(np.append(True, (sorted_[:, 1:] != sorted_[:, :-1]).any(axis=0)))
+        much = np.diff(np.append(first, len(order)))
+        return [[self.names[c].decode() for c in p] for p in sorted_[:, first].T.tolist()], keys[order[first]], much
+
+
+def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, Block]]:
+    """The texts (lang, text) of a task, some at a time, by language."""
+    waiting: dict[str, list[str]] = {}
+    size = 0
+    for batch in batches:
+        for lang, text in zip(batch["lang"], batch["text"], strict=True):
+            waiting.setdefault(lang, []).append(text)
+            size += len(text)
+            if size > BLOCK:
+                for x, texts in waiting.items():
+                    yield x, Block(texts, x)
+                waiting, size = {}, 0
+    for x, texts in waiting.items():
+        yield x, Block(texts, x)
+
+
+def counted_keys(docs: DataFrame, n: int, may: np.ndarray) -> DataFrame:
+    """(key, f) of phrases of n words whose parts are in the filter: how often a key occurs, which is at least as often as each of its phrases."""
+    held = docs.sparkSession.sparkContext.broadcast(may)  # MOST_BITS at most
 
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, block in blocks(batches):
+            keys, much = np.unique(block.parted(n, held.value)[1], return_counts=True)
+            yield pd.DataFrame({"key": keys.view("int64"), "f": much})
 
-def counts(texts: list[str], n: int, lang: str, may: np.ndarray | None) -> tuple[list[list[str]], np.ndarray, np.ndarray]:
-    """Phrases of n words with how often they occur in the texts, and their keys; sorted, so that equal ones are neighbours.
+    return docs.mapInPandas(count, "key long, f long").groupBy("key").agg(F.sum("f").alias("f"))
 
-    may: bits at the places of all phrases of n - 1 words that are frequent (and of some others); a phrase with
-    another part can't be frequent and is left out.
-    """
-    import xxhash
-
-    words = words_of(texts)
-    codes, names = pd.factorize(words)  # -1: the end of a piece
-    if not len(names):
-        return [], np.zeros(0, "int64"), np.zeros(0, "uint64")
-    hashed = np.array([xxhash.xxh64_intdigest(w, 42) for w in names], dtype="uint64") ^ np.uint64(xxhash.xxh64_intdigest(lang, 7))
-    if n == 1:
-        return [[w] for w in names.tolist()], np.bincount(codes[codes >= 0], minlength=len(names)), hashed
-    at = np.flatnonzero(codes >= 0)  # where phrases of the length begin
-    keys = np.zeros(len(codes), dtype="uint64")
-    keys[at] = hashed[codes[at]]
-    for k in range(1, n - 1):
-        at = at[at + k < len(codes)]
-        at = at[codes[at + k] >= 0]
-        keys[at] = mixed(keys[at], hashed[codes[at + k]])
-    good = np.zeros(len(codes), dtype=bool)
-    spot = place(keys[at], len(may) * 8)
-    good[at] = may[(spot >> np.uint64(3)).astype("int64")] >> (spot & np.uint64(7)).astype("uint8") & 1
-    at = at[at + n - 1 < len(codes)]
-    at = at[good[at] & good[at + 1] & (codes[at + n - 1] >= 0)]
-    if not len(at):
-        return [], np.zeros(0, "int64"), np.zeros(0, "uint64")
-    rows = np.stack([codes[at + k] for k in range(n)])
-    order = np.lexsort(rows[::-1])
-    new = np.append(True, (rows[:, order][:, 1:] != rows[:, order][:, :-1]).any(axis=0))
-    first = np.flatnonzero(new)
-    some = order[first]
-    much = np.diff(np.append(first, len(order)))
-    parts = names[rows[:, some].T].tolist()
-    return parts, much, mixed(keys[at[some]], hashed[rows[n - 1, some]])
-
-
-def counted(docs: DataFrame, n: int, may: np.ndarray | None = None) -> DataFrame:
-    """(lang, words, key, f) of all phrases of n words that may be frequent; docs: (lang, text)."""
-    spark = docs.sparkSession
-    held = None if may is None else spark.sparkContext.broadcast(may)  # MOST_BITS at most
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = None if held is None else held.value
-        waiting: dict[str, list[str]] = {}
-        size = 0
+def counted(docs: DataFrame, own: int = 0, parted: int = 0, may: np.ndarray | None = None) -> DataFrame:
+    """(lang, words, key, f) of phrases that may be frequent; docs: (lang, text).
 
-        def flush() -> Iterator[pd.DataFrame]:
-            for lang, texts in waiting.items():
-                parts, much, keys = counts(texts, n, lang, bits)
-                for a in range(0, len(parts), 50_000):
-                    yield pd.DataFrame({"lang": lang, "words": parts[a : a + 50_000], "key": keys[a : a + 50_000].view("int64"), "f": much[a : a + 50_000]})
-            waiting.clear()
+    Those of `own` words whose key is in the filter, and those of `parted` words whose first and last parts are; without a
+    filter, all words.
+    """
+    held = None if may is None else docs.sparkSession.sparkContext.broadcast(may)  # MOST_BITS at most
+
+    def found(block: Block) -> Iterator[tuple]:
+        if held is None:
+            yield block.words()
+        if own:
+            at, keys = block.begins(own)
+            good = kept(keys, held.value)
+            yield block.phrases(own, at[good], keys[good])
+        if parted:
+            yield block.phrases(parted, *block.parted(parted, held.value))
 
-        for batch in batches:
-            for lang, text in zip(batch["lang"], batch["text"], strict=True):
-                waiting.setdefault(lang, []).append(text)
-                size += len(text)
-                if size > BLOCK:
-                    yield from flush()
-                    size = 0
-        yield from flush()
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for lang, block in blocks(batches):
+            for words, keys, much in found(block):
+                for a in range(0, len(words), 20_000):
+                    yield pd.DataFrame({"lang": lang, "words": words[a : a + 20_000], "key": keys[a : a + 20_000].view("int64"), "f": much[a : a + 20_000]})
 
-    found = docs.mapInPandas(count, "lang string, words array<string>, key long, f long")
-    return found.groupBy("lang", "words").agg(F.first("key").alias("key"), F.sum("f").alias("f"))
+    rows = docs.mapInPandas(count, "lang string, words array<string>, key long, f long")
+    return rows.groupBy("lang", "words").agg(F.first("key").alias("key"), F.sum("f").alias("f"))
 
 
 def filter_of(frequent: DataFrame) -> np.ndarray:
@@ -142,7 +174,7 @@ def filter_of(frequent: DataFrame) -> np.ndarray:
     return out
 
 
-def lockstep(stream: DataFrame, suffix: bool, least: int) -> DataFrame:
+def lockstep(stream: DataFrame, suffix: bool) -> DataFrame:
     """One pass over all orders in prefix order (in suffix order: the words reversed).
 
     Sorted so, a phrase comes right after its beginnings. The pass holds the counts of the current beginnings, and so gives
@@ -212,23 +244,28 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str | None =
     words. A phrase with a >= least is a candidate, and goes if a longer candidate around it has at least drop percent of its count. Ranks go by score, count, and
     the bytes of the phrase. Null text has no words, null language is "und"; rows that repeat count again. Other columns are ignored; no candidate gives an empty result.
 
-    Counting takes one pass over the texts for each length. A part of a frequent phrase is as frequent, so a pass counts
-    only phrases whose two parts are in the filter of the pass before. It sorts and adds up in blocks before anything is shuffled, so a
+    A pass over the texts counts words, the next one pairs by 64-bit keys only, whose two words are frequent. Keys that occur often enough make a
+    filter; the third pass counts the pairs that are in it, and the phrases of three words whose two parts are, by their words; and so on: a part of a frequent phrase is as
+    frequent. What a filter lets through wrongly is dropped by the exact count. Blocks are sorted and added up before anything is shuffled, so a
     word that is a third of all words has a row for each block. Only frequent phrases go on to the two merges.
     """
     lang: Column = F.coalesce(F.col(lang_col).cast("string"), F.lit("und")) if lang_col else F.lit("und")
     texts = docs.select(lang.alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    words = materialize(counted(texts, 1), "words")
+    words = materialize(counted(texts), "words")
     total = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    frequent = [words.where(F.col("f") >= least)]
-    for n in range(2, most_words + 1):
-        frequent.append(materialize(counted(texts, n, filter_of(frequent[-1])).where(F.col("f") >= least), f"phrases{n}"))
+    often = lambda df, name: materialize(df.where(F.col("f") >= least), name)
+    frequent = [often(words, "frequent")]
+    may = filter_of(often(counted_keys(texts, 2, filter_of(frequent[0])), "keys"))
+    found = often(counted(texts, 2, 3 if most_words > 2 else 0, may), "phrases3")
+    frequent += [found.where(F.size("words") == n) for n in range(2, min(3, most_words) + 1)]
+    for n in range(4, most_words + 1):
+        frequent.append(often(counted(texts, 0, n, filter_of(frequent[-1])), f"phrases{n}"))
     stream = frequent[0].select("lang", "words", "f")
     for x in frequent[1:]:
         stream = stream.unionByName(x.select("lang", "words", "f"))
     singles = frequent[0].select("lang", "words", "f", F.expr("CAST(array() AS array<bigint>)").alias("left"), F.lit(0).cast("long").alias("after"))
-    by_prefix = materialize(lockstep(stream, False, least).select("lang", "words", "f", F.col("parts").alias("left"), F.col("more").alias("after")), "prefix")
-    both = lockstep(by_prefix.unionByName(singles), True, least).select("lang", "words", "f", "left", F.col("parts").alias("right"), F.greatest("after", "more").alias("more"))
+    by_prefix = materialize(lockstep(stream, False).select("lang", "words", "f", F.col("parts").alias("left"), F.col("more").alias("after")), "prefix")
+    both = lockstep(by_prefix.unionByName(singles), True).select("lang", "words", "f", "left", F.col("parts").alias("right"), F.greatest("after", "more").alias("more"))
     found = materialize(scored(both, drop), "scored")
     by = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     some = found.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(64))).withColumn("k", F.row_number().over(W.partitionBy("lang", "salt").orderBy(*by))).where(F.col("k") <= top)

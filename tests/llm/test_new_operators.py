@@ -139,13 +139,18 @@ def test_collocations_of_nothing(spark):
     assert phrases.collocations(spark.createDataFrame([(1, "one two", None)], "doc_id int, text string, lang string")).count() == 0
 
 
-def test_the_filter_only_saves_work(monkeypatch):
-    """Each phrase whose two parts are in the filter is counted, and a full filter changes no count."""
-    texts = ["a b a b c. a b", "b c a b"]
-    full = np.full(512, 255, dtype="uint8")
-    parts, much, _ = phrases.counts(texts, 2, "en", full)
-    assert dict(zip(map(tuple, parts), much.tolist(), strict=True)) == {("a", "b"): 4, ("b", "a"): 1, ("b", "c"): 2, ("c", "a"): 1}
-    assert phrases.counts(texts, 2, "en", np.zeros(512, dtype="uint8"))[0] == []
+def test_the_filter_only_saves_work():
+    """Each phrase whose two parts are in the filter is counted, and a full filter leaves nothing out."""
+    block = phrases.Block(["a b A b c. a b", "b c a b"], "en")
+    full, none = np.full(512, 255, dtype="uint8"), np.zeros(512, dtype="uint8")
+    words, keys, much = block.phrases(2, *block.parted(2, full))
+    assert dict(zip(map(tuple, words), much.tolist(), strict=True)) == {("a", "b"): 4, ("b", "a"): 1, ("b", "c"): 2, ("c", "a"): 1}
+    assert set(keys.tolist()) == set(block.begins(2)[1].tolist()) and len(block.parted(3, none)[0]) == 0
+    only = none.copy()  # the words a and b
+    for k in block.hashed[[block.names.index(w) for w in (b"a", b"b")]]:
+        at = int(phrases.place(np.array([k], dtype="uint64"), 4096)[0])
+        only[at >> 3] |= 1 << (at & 7)
+    assert {tuple(w) for w in block.phrases(2, *block.parted(2, only))[0]} == {("a", "b"), ("b", "a")}
 
 
 # op13
