@@ -43,23 +43,23 @@ def has(requirement: str) -> Column:
     return F.forall(F.array(*map(F.lit, requirement.split("&"))), lambda t: F.array_contains("tags", t))
 
 
-def tightest(state: State, there: dict[str, int], lost: dict[str, int]) -> str | None:
-    """The requirement that is surely the scarcest, by what is there for each unit that it lacks, if at most `lost` of it is gone; names break ties.
-
-    "" if one can't be met any more; None if that hangs on what is gone.
-    """
-    lacks = state.lacking()
-    low = {r: there[r] - lost.get(r, 0) for r in lacks}
+def tightest(lacks: dict[str, int], there: dict[str, int]) -> str | None:
+    """The requirement with the least candidates for each unit that it lacks, by name if several; none if one can't be met any more."""
     if any(there[r] < n for r, n in lacks.items()):
-        return ""
-    if any(low[r] < n for r, n in lacks.items()):
         return None
-    first = min(lacks, key=lambda r: (there[r] / lacks[r], r))
-    others = [(low[r] / lacks[r], r) for r in lacks if r != first]
-    return first if not others or (there[first] / lacks[first], first) < min(others) or not any(lost.values()) else None
+    return min(lacks, key=lambda r: (there[r] / lacks[r], r))
+
 
+def excluded(free: DataFrame, cores: set, names: list[str], most: int) -> list[tuple[set, list[bool], int]] | None:
+    """What goes with the cores: (those of them that it has, the requirements it has all tags of, how many candidates), summed up; None if that is over `most` rows."""
+    listed = free.sparkSession.createDataFrame([(c,) for c in cores], f"core {dict(free.dtypes)['cores'][6:-1]}")
+    touched = free.select("id", F.array(*[has(r) for r in names]).alias("of"), F.explode("cores").alias("core")).join(listed.hint("broadcast"), "core")  # the cores of at most `ahead` rows
+    each = touched.groupBy("id", "of").agg(F.array_sort(F.collect_set("core")).alias("cores"))
+    rows = each.groupBy("cores", "of").agg(F.count(F.lit(1)).alias("n")).limit(most + 1).collect()
+    return None if len(rows) > most else [(set(r["cores"]), r["of"], r["n"]) for r in rows]
 
-def covering(candidates: DataFrame, needs: dict[str, int], size: int, seed: int, ahead: int = 512, ignored: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+
+def covering(candidates: DataFrame, needs: dict[str, int], size: int, seed: int, ahead: int = 512, most: int = 50_000, ignored: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(chosen, shortages): at most size candidates of which no two share a core, the scarcest requirement served first.
 
     candidates: (id, cores, tags), both arrays; needs: the minimum for each requirement, one tag or several joined by &. While a
@@ -69,66 +69,72 @@ def covering(candidates: DataFrame, needs: dict[str, int], size: int, seed: int,
     When all are met, the strata (the sorted tags without those that begin with one of `ignored`) take turns, the least filled first.
     Ties go by seeded hash. Null cores and tags are none; identifiers should be unique. Shortages: (requirement, minimum, attained) of each that isn't met, and of the size.
 
-    The pool stays distributed. A round counts what is left for each requirement (one aggregate) and brings the first `ahead` candidates of
-    the scarcest to the driver; as many of them are taken in turn as are surely what taking one at a time would take. How much a taken one
-    excludes is bounded by the counts of its cores, so the requirement served is known until those bounds overlap with another's; then
-    the next round counts again. Every round takes one at least. What is held is bounded by size and ahead.
+    The pool stays distributed. A round counts what is left for each requirement (one aggregate), brings the first candidates of each (`ahead` in
+    all) to the driver, and sums up what would go with their cores. So the driver knows all counts after each taking, and takes one after
+    another until a list is used up or a requirement is met. If the sums are over `most` rows, as with cores that very many share in
+    different ways, a round takes one. What the driver holds is bounded by size, ahead and most.
     """
     spark = candidates.sparkSession
     state, names = State(size, needs), list(needs)
-    order = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string")), 256)
     candidates = candidates.select("id", *[F.filter(F.coalesce(c, F.array().cast(t)), lambda x: x.isNotNull()).alias(c) for c, t in candidates.select("cores", "tags").dtypes])
+    order = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string")), 256)
     tags = F.array_sort(F.filter("tags", lambda t: ~reduce(lambda a, b: a | b, [F.startswith(t, F.lit(p)) for p in ignored], F.lit(False))))
+    kinds = dict(candidates.dtypes)
     whole = written(candidates.withColumns({"order": order, "stratum": F.array_join(tags, "|")}))
     since: set = set()
+    alone: list = []  # taken ones without a core, which nothing else takes out
 
     def pool() -> DataFrame:
-        nonlocal whole, since
-        free = whole.where(~F.arrays_overlap("cores", F.array(*map(F.lit, sorted(since, key=str))).cast(dict(whole.dtypes)["cores"]))) if since else whole
-        if taken_ids:
-            free = free.where(~F.col("id").isin(taken_ids))
-        if len(since) + len(taken_ids) > REWRITE:
-            whole, since = written(free), set()
-            taken_ids.clear()
-            return whole
+        nonlocal whole, since, alone
+        free = whole
+        if since:
+            free = free.where(~F.arrays_overlap("cores", F.array(*map(F.lit, sorted(since, key=str))).cast(kinds["cores"])))
+        if alone:
+            free = free.where(~F.col("id").isin(alone))
+        if len(since) + len(alone) > REWRITE:
+            free = whole = written(free)
+            since, alone = set(), []
         return free
 
-    taken_ids: list = []
-
     def take(row) -> None:
         state.take(row)
         since.update(row["cores"])
-        if not row["cores"]:  # nothing else takes it out
-            taken_ids.append(row["id"])
+        if not row["cores"]:
+            alone.append(row["id"])
 
     while len(state.chosen) < size and state.lacking():
-        free = pool()
+        free, lacks = pool(), state.lacking()
         there = dict(zip(names, free.agg(*[F.count_if(has(r)) for r in names]).first(), strict=True))
-        first = tightest(state, there, {})
-        if not first:
+        if not tightest(lacks, there):
             break
-        lacks = state.lacking()
         worth = reduce(lambda a, b: a + b, [F.when(has(r), 1.0 / needs[r]).otherwise(0.0) for r in lacks])
-        rows = free.where(has(first)).withColumn("worth", worth).orderBy(F.desc("worth"), "order").limit(min(ahead, 4 * lacks[first] + 4)).collect()
-        by_core: dict = {}
-        if len(rows) > 1:
-            listed = spark.createDataFrame([(c,) for c in {c for r in rows for c in r["cores"]}], f"core {dict(whole.dtypes)['cores'][6:-1]}")
-            each = free.select("tags", F.explode("cores").alias("core")).join(listed.hint("broadcast"), "core")  # the cores of at most `ahead` rows
-            by_core = {r["core"]: dict(zip(names, r[1:], strict=True)) for r in each.groupBy("core").agg(*[F.count_if(has(r)) for r in names]).collect()}
-        lost: dict[str, int] = {}
-        for i, row in enumerate(rows):
-            if state.cores & set(row["cores"]):
-                continue
-            if len(state.chosen) == size or i and (set(state.lacking()) != set(lacks) or tightest(state, there, lost) != first):
+        few = max(1, ahead // len(lacks))
+        lists: dict[str, list] = {r: [] for r in lacks}
+        firsts = [free.where(has(r)).select("*", F.lit(r).alias("asked"), worth.alias("worth")).orderBy(F.desc("worth"), "order").limit(min(few, 2 * n + 8)) for r, n in lacks.items()]
+        for row in sorted(reduce(DataFrame.unionByName, firsts).collect(), key=lambda r: (-r["worth"], r["order"])):
+            lists[row["asked"]].append(row)
+        gone = excluded(free, {c for x in lists.values() for r in x for c in r["cores"]}, names, most)
+        while len(state.chosen) < size and state.lacking().keys() == lacks.keys():
+            first = tightest(state.lacking(), there)
+            row = next((r for r in lists[first] if not state.cores & set(r["cores"]) and r["id"] not in alone), None) if first else None
+            if row is None:
                 break
             take(row)
-            for r in names:  # at least itself, at most all of its cores
-                mine = set(r.split("&")) <= set(row["tags"])
-                there[r] -= mine
-                lost[r] = lost.get(r, 0) + max(0, sum(by_core.get(c, {}).get(r, 0) for c in set(row["cores"])) - mine)
+            if gone is None:
+                break
+            mine, left = set(row["cores"]), []
+            for cores, of, n in gone:
+                if cores & mine:
+                    for r, yes in zip(names, of, strict=True):
+                        there[r] -= n * yes
+                else:
+                    left.append((cores, of, n))
+            gone = left
+            if not mine:
+                for r in names:
+                    there[r] -= set(r.split("&")) <= set(row["tags"])
     if not state.lacking():
         fill(state, pool, take)
-    kinds = dict(whole.dtypes)
     chosen = spark.createDataFrame(state.chosen, f"id {kinds['id']}, cores {kinds['cores']}, tags {kinds['tags']}, stratum string")
     asked = spark.createDataFrame(list(needs.items()), "requirement string, minimum long")
     short = attained(chosen, asked).where("not met").drop("met")
@@ -149,7 +155,7 @@ def fill(state: State, pool, take) -> None:
         strata = n.join(held.hint("broadcast"), "stratum", "left").select("stratum", "there", F.coalesce("held", F.lit(0)).alias("held")).orderBy("held", "stratum").limit(left).collect()  # as many as are still wanted
         if not strata:
             return
-        few = min(1000, -(-left // len(strata)) + 2)
+        few = min(1000, 16 * (-(-left // len(strata)) + 1))
         names = free.sparkSession.createDataFrame([(r["stratum"],) for r in strata], "stratum string")
         firsts = free.join(names.hint("broadcast"), "stratum").withColumn("k", F.row_number().over(W.partitionBy("stratum").orderBy("order"))).where(F.col("k") <= few)
         lists: dict[str, list] = {r["stratum"]: [] for r in strata}

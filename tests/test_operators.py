@@ -95,12 +95,13 @@ SELECTIONS = [
 ]
 
 
+@pytest.mark.parametrize("most", [50_000, 3])
 @pytest.mark.parametrize(("rows", "needs", "size", "seed"), SELECTIONS)
-def test_covering_selection(spark, rows, needs, size, seed, monkeypatch):
+def test_covering_selection(spark, rows, needs, size, seed, most, monkeypatch):
     monkeypatch.setattr(selection, "REWRITE", 6)
     df = spark.createDataFrame([(*r, 1, "o") for r in rows], "id int, cores array<int>, tags array<string>, held int, other string").repartition(3)
     ids, want = greedy(rows, needs, size, seed)
-    chosen, short = selection.covering(df, needs, size, seed)
+    chosen, short = selection.covering(df, needs, size, seed, ahead=16, most=most)
     got = chosen.collect()
     assert [r.id for r in got] == ids and {tuple(r) for r in short.collect()} == want
     cores = [c for r in got for c in r.cores]
