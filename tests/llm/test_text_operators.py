@@ -4,6 +4,7 @@ import hashlib
 import random
 import zlib
 from collections import defaultdict
+from itertools import combinations
 
 import pytest
 
@@ -175,15 +176,49 @@ def test_near_copies_are_all_found(spark, docs, empty):
     assert sets.count() == len(make()) and sets.where("kept").count() < len(make()) and simhash_dedup.near_copies(empty).count() == 0
 
 
-def test_large_buckets_are_dealt_out(spark, monkeypatch):
+def test_recall_in_each_band_of_similarity(spark):
+    """150 pairs a band, of 13 to 150 words, with words changed here and there, in one passage, or added at an end."""
+    rng = random.Random(12)
+    sets = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    bands, texts = {(0.8, 0.85): [], (0.85, 0.9): [], (0.9, 1.0): []}, []
+    while min(map(len, bands.values())) < 150:
+        n = rng.choice([13, 16, 30, 45, 60, 100, 150])
+        base = [f"w{rng.randrange(10**9)}" for _ in range(n)]
+        new, k, at = list(base), rng.randint(1, max(1, n // 9)), rng.randrange(n)
+        how = rng.randrange(3)
+        for i in {0: [rng.randrange(n) for _ in range(max(1, k // 4))], 1: range(at, min(n, at + k)), 2: []}[how]:
+            new[i] = f"x{rng.randrange(10**9)}"
+        if how == 2:
+            new += [f"x{rng.randrange(10**9)}" for _ in range(k)]
+        a, b = sets(base), sets(new)
+        j = len(a & b) / len(a | b)
+        for (lo, hi), held in bands.items():
+            if lo <= j < hi and len(held) < 150:
+                held.append(len(texts))
+                texts += [base, new]
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    of = {r.doc_id: r.component_id for r in simhash_dedup.near_copies(d).collect()}
+    for held in bands.values():
+        assert sum(of[i] == of[i + 1] for i in held) >= 0.9 * len(held)
+
+
+def test_masks_of_symbols():
+    ms = simhash_dedup.symbol_masks()
+    assert ms.shape == (63, 16) and ms.sum(axis=1).min() >= 6
+    for unlike in combinations(range(16), 5):  # some mask keeps none of them
+        assert (ms[:, unlike].sum(axis=1) == 0).any()
+
+
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_large_buckets_are_dealt_out(spark, monkeypatch, few):
     base = [f"w{i}" for i in range(120)]
     texts = [" ".join([*base[:k], f"x{k}", *base[k + 1 :]]) for k in range(60)] + [" ".join(f"y{k}{i}" for i in range(30)) for k in range(30)]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     want = {r.doc_id: r.component_id for r in simhash_dedup.near_copies(d).collect()}
     real = simhash_dedup.buckets
-    monkeypatch.setattr(simhash_dedup, "buckets", lambda c, r: real(c, r, bucket=16))
+    monkeypatch.setattr(simhash_dedup, "buckets", lambda c: real(c, bucket=16, few=few))
     pairs = simhash_dedup.block_pairs
-    monkeypatch.setattr(simhash_dedup, "block_pairs", lambda s, r: pairs(s, r, block=8))
+    monkeypatch.setattr(simhash_dedup, "block_pairs", lambda s: pairs(s, block=8))
     assert {r.doc_id: r.component_id for r in simhash_dedup.near_copies(d).collect()} == want == {i: 0 if i < 60 else i for i in range(90)}
 
 
