@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,8 +16,8 @@ from .common import materialize
 #: What ends a piece, and what separates words: fixed values of the query's contract. Ends become a byte that UTF-8 doesn't have.
 END = b"\xff"
 TABLE = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", END * 10 + b" ")
-#: Characters of text that are counted at once in a task; bits a frequent phrase has in the filter, and the most bits.
-BLOCK, PER_PHRASE, MOST_BITS = 4_000_000, 16, 1 << 30
+#: Bytes of text that are counted at once in a task; bits a frequent phrase has in the filter, and the most bits.
+BLOCK, PER_PHRASE, MOST_BITS = 1_500_000, 16, 1 << 30
 #: Tasks that the phrases with one first word are dealt over.
 SALTS = 16
 
@@ -39,10 +40,10 @@ def kept(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
 class Block:
     """The words of some texts as numbers: codes (-1: the end of a piece), the words by code, and their keys."""
 
-    def __init__(self, texts: list[str], lang: str) -> None:
+    def __init__(self, texts: list[bytes], lang: str) -> None:
         import xxhash
 
-        data = END.join(t.encode() for t in texts).lower().translate(TABLE).replace(END, b" " + END + b" ").split()  # bytes: only A-Z are lowered
+        data = END.join(texts).lower().translate(TABLE).replace(END, b" " + END + b" ").split()  # bytes: only A-Z are lowered
         self.codes, names = pd.factorize(np.array(data, dtype=object))
         self.names = names.tolist()
         salt = xxhash.xxh64_intdigest(lang, 7)
@@ -90,32 +91,35 @@ class Block:
         return [[self.names[c].decode() for c in p] for p in sorted_[:, first].T.tolist()], keys[order[first]], much
 
 
-def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, Block]]:
-    """The texts (lang, text) of a task, some at a time, by language."""
-    waiting: dict[str, list[str]] = {}
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Block]]:
+    """The texts (lang, text as bytes) of a task, some at a time, by language."""
+    waiting: dict[str, list[bytes]] = {}
     size = 0
     for batch in batches:
-        for lang, text in zip(batch["lang"], batch["text"], strict=True):
+        langs = batch.column("lang").to_pylist()
+        texts = batch.column("text")
+        for i, lang in enumerate(langs):
+            text = texts[i].as_py()
             waiting.setdefault(lang, []).append(text)
             size += len(text)
             if size > BLOCK:
-                for x, texts in waiting.items():
-                    yield x, Block(texts, x)
-                waiting, size = {}, 0
-    for x, texts in waiting.items():
-        yield x, Block(texts, x)
+                for x in list(waiting):
+                    yield x, Block(waiting.pop(x), x)
+                size = 0
+    for x in list(waiting):
+        yield x, Block(waiting.pop(x), x)
 
 
 def counted_keys(docs: DataFrame, n: int, may: np.ndarray) -> DataFrame:
     """(key, f) of phrases of n words whose parts are in the filter: how often a key occurs, which is at least as often as each of its phrases."""
     held = docs.sparkSession.sparkContext.broadcast(may)  # MOST_BITS at most
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, block in blocks(batches):
             keys, much = np.unique(block.parted(n, held.value)[1], return_counts=True)
-            yield pd.DataFrame({"key": keys.view("int64"), "f": much})
+            yield pa.record_batch({"key": keys.view("int64"), "f": much})
 
-    return docs.mapInPandas(count, "key long, f long").groupBy("key").agg(F.sum("f").alias("f"))
+    return docs.mapInArrow(count, "key long, f long").groupBy("key").agg(F.sum("f").alias("f"))
 
 
 def counted(docs: DataFrame, own: int = 0, parted: int = 0, may: np.ndarray | None = None) -> DataFrame:
@@ -136,13 +140,13 @@ def counted(docs: DataFrame, own: int = 0, parted: int = 0, may: np.ndarray | No
         if parted:
             yield block.phrases(parted, *block.parted(parted, held.value))
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, block in blocks(batches):
             for words, keys, much in found(block):
-                for a in range(0, len(words), 20_000):
-                    yield pd.DataFrame({"lang": lang, "words": words[a : a + 20_000], "key": keys[a : a + 20_000].view("int64"), "f": much[a : a + 20_000]})
+                if len(words):
+                    yield pa.record_batch({"lang": pa.array([lang] * len(words), pa.string()), "words": pa.array(words, pa.list_(pa.string())), "key": keys.view("int64"), "f": much.astype("int64")})
 
-    rows = docs.mapInPandas(count, "lang string, words array<string>, key long, f long")
+    rows = docs.mapInArrow(count, "lang string, words array<string>, key long, f long")
     return rows.groupBy("lang", "words").agg(F.first("key").alias("key"), F.sum("f").alias("f"))
 
 
@@ -250,7 +254,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str | None =
     word that is a third of all words has a row for each block. Only frequent phrases go on to the two merges.
     """
     lang: Column = F.coalesce(F.col(lang_col).cast("string"), F.lit("und")) if lang_col else F.lit("und")
-    texts = docs.select(lang.alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = docs.select(lang.alias("lang"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     words = materialize(counted(texts), "words")
     total = words.groupBy("lang").agg(F.sum("f").alias("n"))
     often = lambda df, name: materialize(df.where(F.col("f") >= least), name)

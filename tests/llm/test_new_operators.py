@@ -141,7 +141,7 @@ def test_collocations_of_nothing(spark):
 
 def test_the_filter_only_saves_work():
     """Each phrase whose two parts are in the filter is counted, and a full filter leaves nothing out."""
-    block = phrases.Block(["a b A b c. a b", "b c a b"], "en")
+    block = phrases.Block([b"a b A b c. a b", b"b c a b"], "en")
     full, none = np.full(512, 255, dtype="uint8"), np.zeros(512, dtype="uint8")
     words, keys, much = block.phrases(2, *block.parted(2, full))
     assert dict(zip(map(tuple, words), much.tolist(), strict=True)) == {("a", "b"): 4, ("b", "a"): 1, ("b", "c"): 2, ("c", "a"): 1}
