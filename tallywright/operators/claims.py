@@ -5,15 +5,19 @@ from __future__ import annotations
 import difflib
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+
+from tallywright.sources.files import written
 
 #: The directions of labels, and words that claims are changed by. Fixed values.
 DIRECTIONS = {"consistent": "supports", "inconsistent": "contradicts", "no_clear_difference": "inconclusive", "unavailable": "unavailable"}
 TURNED = [("more often", "less often"), ("More than half", "Fewer than half"), ("more than half", "fewer than half")]
 CAUSE, LIMITS = " This is because they differ in what they read.", "(?i)\\brestrict|\\bonly among|\\bamong people"
+#: Classes of characters whose counts bound a likeness.
+LETTERS = 64
 #: What only has to be left out, so that there is nothing to quote.
 ABSENT = ("E5_no_verdict", "E7_suppression")
 
@@ -72,29 +76,75 @@ def expectations(findings: DataFrame, gaps: DataFrame, hidden: DataFrame, causal
     return out.withColumn("quote_required", ~F.col("type").isin(*ABSENT))
 
 
-@F.pandas_udf(DoubleType())
-def likeness(ask: pd.Series, text: pd.Series) -> pd.Series:
-    """1 where a text contains what is asked for, else the ratio of matching blocks; case is folded."""
+def likeness(ask: str, text: str) -> float:
+    """1 where a text contains what is asked for, else the ratio of matching blocks; both are folded."""
+    return 1.0 if ask in text else difflib.SequenceMatcher(None, ask, text).ratio()
+
 
-    def one(a: str, b: str) -> float:
-        a, b = a.casefold(), b.casefold()
-        return 1.0 if a in b else difflib.SequenceMatcher(None, a, b).ratio()
+def letters(texts: list[str]) -> np.ndarray:
+    """How often each text has a character, for each of LETTERS classes of characters."""
+    out = np.zeros((len(texts), LETTERS), dtype="int32")
+    for i, t in enumerate(texts):
+        out[i] = np.bincount(np.frombuffer(t.encode("utf-32-le"), dtype="<u4") % LETTERS, minlength=LETTERS)
+    return out
 
-    return pd.Series([None if a is None or b is None else one(a, b) for a, b in zip(ask, text, strict=True)], dtype="float64")
 
+def best_of_block(asks: list[str], texts: list[str], cards: list[list], k: int, least: float) -> list[tuple]:
+    """(ask, id, ordinal, score) of the k cards that are most like each query, of those of the texts.
 
-def find_variables(asks: DataFrame, cards: DataFrame, k: int = 10, least: float = 0.3, section: str | None = None) -> DataFrame:
+    Matching blocks are characters of both, so their share is at most that of the characters that both have. Texts are scored from
+    the greatest such bound down, until it is below `least` or the k-th best card so far.
+    """
+    folded, named = [t.casefold() for t in texts], [a.casefold() for a in asks]
+    have, size = letters(folded), np.array([len(t) for t in folded])
+    out = []
+    for ask, x, own in zip(asks, named, letters(named), strict=True):
+        common = np.minimum(have, own).sum(axis=1)
+        bound = np.where(common >= len(x), 1.0, 2.0 * common / np.maximum(size + len(x), 1))
+        found: dict = {}
+        kth = least
+        for i in np.argsort(-bound, kind="stable").tolist():
+            if bound[i] < kth:
+                break
+            score = likeness(x, folded[i])
+            if score < kth:
+                continue
+            for ordinal, card in cards[i]:
+                found[ordinal, card] = max(found.get((ordinal, card), 0.0), score)
+            if len(found) >= k:
+                kth = max(least, sorted(found.values(), reverse=True)[k - 1])
+        out += [(ask, card, ordinal, score) for (ordinal, card), score in sorted(found.items(), key=lambda f: (-f[1], f[0][0]))[:k]]
+    return out
+
+
+def find_variables(asks: DataFrame, cards: DataFrame, k: int = 10, least: float = 0.3, section: str | None = None, block: int = 2000) -> DataFrame:
     """(ask, id, score, place): the k cards most like each query, by the best of their texts; catalogue order breaks ties.
 
-    asks: (ask); cards: (id, ordinal, label, block, values, section), a catalogue, which is broadcast: every query is compared
-    with every card of the section, or of all.
+    asks: (ask); cards: (id, ordinal, label, block, values, section), of the section, or all. Null queries and texts are passed over.
+    Equal texts are scored once, for the k first cards that have them. Queries and texts are dealt into blocks, and each pair of blocks is one
+    task's work: the bound on the score leaves few texts of a block to be scored. (At a least score of 0.3 an index of characters or
+    q-grams would list nearly every text.)
     """
     from pyspark.sql import Window as W
 
     if k < 1:
         raise ValueError("WrongSearch: k must be a positive whole number")
-    texts = cards.where(F.col("section") == section) if section is not None else cards
-    texts = texts.select("id", "ordinal", F.explode(F.array_distinct(F.concat(F.array("id", "label", "block"), "values"))).alias("text"))
-    scored = asks.distinct().join(F.broadcast(texts)).select("ask", "id", "ordinal", likeness("ask", "text").alias("score"))
-    best = scored.groupBy("ask", "id", "ordinal").agg(F.max("score").alias("score")).where(F.col("score") >= least)
-    return best.withColumn("place", F.row_number().over(W.partitionBy("ask").orderBy(F.desc("score"), "ordinal"))).where(F.col("place") <= k).select("ask", "id", "score", "place")
+    held = cards.where(F.col("section") == section) if section is not None else cards
+    texts = held.select("id", "ordinal", F.explode(F.array_distinct(F.concat(F.array("id", "label", "block"), F.coalesce("values", F.array().cast("array<string>"))))).alias("text")).where("text is not null").distinct()
+    first = texts.withColumn("nth", F.row_number().over(W.partitionBy("text").orderBy("ordinal", "id"))).where(F.col("nth") <= k)
+    lists = written(first.groupBy("text").agg(F.array_sort(F.collect_list(F.struct("ordinal", "id"))).alias("cards")))  # k cards at most
+    asked = written(asks.select("ask").where("ask is not null").distinct())
+    rows, columns = (max(1, -(-df.count() // block)) for df in (asked, lists))
+    place = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.withColumn("i", place("ask", rows)).withColumn("j", every(columns))
+    right = lists.withColumn("j", place("text", columns)).withColumn("i", every(rows))
+
+    def best(a: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        found = best_of_block(a["ask"].tolist(), t["text"].tolist(), [[(c["ordinal"], c["id"]) for c in x] for x in t["cards"]], k, least)
+        return pd.DataFrame(found, columns=["ask", "id", "ordinal", "score"])
+
+    kinds = dict(cards.dtypes)
+    scored = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(best, f"ask string, id {kinds['id']}, ordinal {kinds['ordinal']}, score double")
+    each = scored.groupBy("ask", "id", "ordinal").agg(F.max("score").alias("score"))
+    return each.withColumn("place", F.row_number().over(W.partitionBy("ask").orderBy(F.desc("score"), "ordinal"))).where(F.col("place") <= k).select("ask", "id", "score", "place")

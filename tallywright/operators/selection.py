@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallywright.sources.files import shared_folder
+from tallywright.sources.files import written
 
 from .curriculum import attained
 
@@ -176,10 +176,3 @@ def fill(state: State, pool, take) -> None:
             seen[s] += 1
             if not state.cores & set(row["cores"]):
                 take(row)
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again, so that the next round doesn't repeat it."""
-    path = shared_folder(df.sparkSession, "selection")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

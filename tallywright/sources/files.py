@@ -21,6 +21,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str = "step") -> DataFrame:
+    """df written to the shared folder and read again, so that what follows doesn't repeat it and knows its size."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines with blank lines skipped; no file gives no rows."""
     try:

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,6 +52,28 @@ def test_specs_name_their_errors(spark):
     assert means["a"] == pytest.approx(sum(1 + (i % 3 > 0) for i in range(0, 40, 2)) / 20)
 
 
+@pytest.mark.parametrize("block", [2000, 7])
+def test_search_by_bound_equals_all_pairs(spark, block):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("aabcdeßéX ") for _ in range(rng.randint(0, 12)))
+    cards = [(f"q{i}", i, word(), rng.choice(["same", word()]), [word() for _ in range(rng.randint(0, 4))] if i % 9 else None, rng.choice("st")) for i in range(60)]
+    asks = [word() for _ in range(40)] + ["", "same", "SAME", "ss", "nothing like it"]
+    df = spark.createDataFrame(cards, "id string, ordinal int, label string, block string, values array<string>, section string")
+    for k, section in ((3, None), (10, "s")):
+        want = set()
+        for ask in set(asks):
+            best = []
+            for i, at, label, blk, values, sec in cards:
+                if section in (None, sec):
+                    score = max(claims.likeness(ask.casefold(), t.casefold()) for t in (i, label, blk, *(values or [])))
+                    if score >= 0.3:
+                        best.append((-score, at, i))
+            want |= {(ask, i, -s, n) for n, (s, _, i) in enumerate(sorted(best)[:k], 1)}
+        got = claims.find_variables(spark.createDataFrame([(a,) for a in [*asks, None, "same"]], "ask string"), df, k=k, section=section, block=block)
+        assert {tuple(r) for r in got.collect()} == want
+    assert claims.find_variables(df.select(F.col("id").alias("ask")).limit(0), df).count() == 0
+
+
 SCHEMA = "k int, ts timestamp, kind string, value double"
 
 
