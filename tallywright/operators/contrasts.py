@@ -9,14 +9,30 @@ from pyspark.sql import functions as F
 from tallywright.functions.stats import SUPPRESS, Z, check_expectation, cohens_h, contrast_label, holm, holm_label, newcombe, p_chi2, p_normal, pooled_z, threshold_test, two_shares_test
 
 
-def compare(counted: DataFrame, expect: str | None = None) -> DataFrame:
+def expected(expect: str | None | Column) -> Column:
+    """What is expected, as a column; a plain value is checked."""
+    if isinstance(expect, Column):
+        return expect
+    check_expectation(expect)
+    return F.lit(expect)
+
+
+def beside(df: DataFrame, sums: DataFrame, by: list[str]) -> DataFrame:
+    """Each row of df with the sums of its key; without a key, with the one row there is."""
+    return df.join(sums.hint("merge"), by) if by else df.crossJoin(F.broadcast(sums))
+
+
+def compare(counted: DataFrame, expect: str | None | Column = None, by: list[str] | None = None) -> DataFrame:
     """Every pair a < b of the groups of (grp, n, k): difference a - b, interval, z, p and its method, effect and label.
 
-    A pair with a base under ten has none of these, and the label "unavailable" if something was expected of it.
+    A pair with a base under ten has none of these, and the label "unavailable" if something was expected of it. by: columns of counted inside which
+    groups are paired.
     """
-    check_expectation(expect)
-    a, b = counted.toDF("a", "na", "ka"), counted.toDF("b", "nb", "kb")
-    pairs = a.join(F.broadcast(b), F.col("a") < F.col("b"))  # a row for each group of an estimate, which its codebook bounds
+    by = by or []
+    label = expected(expect)
+    side = lambda x: counted.select(*by, F.col("grp").alias(x), F.col("n").alias(f"n{x}"), F.col("k").alias(f"k{x}"))
+    # a row for each group of an estimate, which its codebook bounds
+    pairs = side("a").join(side("b").hint("merge"), by).where("a < b") if by else side("a").join(F.broadcast(side("b")), F.col("a") < F.col("b"))
     shown = (F.col("na") >= SUPPRESS) & (F.col("nb") >= SUPPRESS)
     ka, na, kb, nb = (F.col(c) for c in ("ka", "na", "kb", "nb"))
     pa, pb = ka / F.nullif(na, F.lit(0)), kb / F.nullif(nb, F.lit(0))
@@ -24,19 +40,21 @@ def compare(counted: DataFrame, expect: str | None = None) -> DataFrame:
     p, method = two_shares_test(*[F.when(shown, x) for x in (ka, na, kb, nb)])
     out = {"value": pa - pb, "lo": lo, "hi": hi, "z": pooled_z(ka, na, kb, nb), "h": cohens_h(pa, pb), "p": p, "test": method}
     pairs = pairs.withColumns({c: F.when(shown, x) for c, x in out.items()})
-    return pairs.withColumn("label", contrast_label(F.col("lo"), F.col("hi"), F.lit(expect)))
+    return pairs.withColumn("label", contrast_label(F.col("lo"), F.col("hi"), label))
 
 
-def against(counted: DataFrame, threshold: float, expect: str | None = None) -> DataFrame:
+def against(counted: DataFrame, threshold: float | Column, expect: str | None | Column = None) -> DataFrame:
     """Each group of (grp, n, k) against a share: value, lo, hi (all less the threshold), p, test, label."""
-    check_expectation(expect)
-    if not 0 < threshold < 1:
-        raise ValueError("WrongThreshold: a share strictly between 0 and 1")
+    label = expected(expect)
+    if not isinstance(threshold, Column):
+        if not 0 < threshold < 1:
+            raise ValueError("WrongThreshold: a share strictly between 0 and 1")
+        threshold = F.lit(float(threshold))
     shown = F.col("n") >= SUPPRESS
-    lo, hi, p, test = threshold_test(F.when(shown, F.col("k")), F.when(shown, F.col("n")), F.lit(float(threshold)))
+    lo, hi, p, test = threshold_test(F.when(shown, F.col("k")), F.when(shown, F.col("n")), threshold)
     out = {"value": F.col("k") / F.col("n") - threshold, "lo": lo, "hi": hi, "p": p, "test": test}
     found = counted.withColumns({c: F.when(shown, x) for c, x in out.items()})
-    return found.withColumn("label", contrast_label(F.col("lo"), F.col("hi"), F.lit(expect)))
+    return found.withColumn("label", contrast_label(F.col("lo"), F.col("hi"), label))
 
 
 def pack(contrasts: DataFrame, pack: list[str], key: list[str]) -> DataFrame:
@@ -101,28 +119,26 @@ def spearman(cells: DataFrame) -> DataFrame:
     return one.select("n", ((F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")) / F.sqrt((F.col("sxx") - F.col("sx") ** 2 / F.col("n")) * (F.col("syy") - F.col("sy") ** 2 / F.col("n")))).alias("rho"))
 
 
-def trend(sums: DataFrame) -> DataFrame:
-    """Slope over positions with its HC3 error, interval and p, exactly, from (position, n, s, ss) with sums of y and y squared."""
-    x, n = F.col("position"), F.col("n")
-    tot = sums.agg(F.sum("n").alias("all_n"), (F.sum(n * x) / F.sum("n")).alias("mx"), (F.sum("s") / F.sum("n")).alias("my"))
-    j = sums.crossJoin(F.broadcast(tot))  # one row
-    sxx = j.agg(F.sum(n * (x - F.col("mx")) ** 2).alias("sxx"), F.sum((x - F.col("mx")) * F.col("s")).alias("sxy"))
-    j = j.crossJoin(F.broadcast(sxx)).withColumn("slope", F.col("sxy") / F.col("sxx"))
+def trend(sums: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Slope over positions with its HC3 error, interval and p, exactly, from (position, n, s, ss) with sums of y and y squared; by: a slope for each key."""
+    by, x, n = by or [], F.col("position"), F.col("n")
+    j = beside(sums, sums.groupBy(*by).agg(F.sum("n").alias("all_n"), (F.sum(n * x) / F.sum("n")).alias("mx"), (F.sum("s") / F.sum("n")).alias("my")), by)
+    j = beside(j, j.groupBy(*by).agg(F.sum(n * (x - F.col("mx")) ** 2).alias("sxx"), F.sum((x - F.col("mx")) * F.col("s")).alias("sxy")), by).withColumn("slope", F.col("sxy") / F.col("sxx"))
     fit = F.col("my") + F.col("slope") * (x - F.col("mx"))
     resid2 = F.col("ss") - 2 * fit * F.col("s") + n * fit * fit
     leverage = 1 / F.col("all_n") + (x - F.col("mx")) ** 2 / F.col("sxx")
     meat = F.sum((x - F.col("mx")) ** 2 * resid2 / (1 - leverage) ** 2)
-    found = j.agg(F.max("all_n").alias("n"), F.max("slope").alias("slope"), (F.sqrt(meat) / F.max("sxx")).alias("se"))
+    found = j.groupBy(*by).agg(F.max("all_n").alias("n"), F.max("slope").alias("slope"), (F.sqrt(meat) / F.max("sxx")).alias("se"))
     return found.withColumns({"lo": F.col("slope") - Z * F.col("se"), "hi": F.col("slope") + Z * F.col("se"), "p": p_normal(F.col("slope") / F.nullif(F.col("se"), F.lit(0.0)))})
 
 
-def mantel_haenszel(strata: DataFrame, expect: str | None = None) -> DataFrame:
+def mantel_haenszel(strata: DataFrame, expect: str | None | Column = None, by: list[str] | None = None) -> DataFrame:
     """The pooled odds ratio of 2x2 strata (a, b, c, d): interval, p (Cochran-Mantel-Haenszel), label, and the crude ratio.
 
     Strata with an empty side or under ten respondents are dropped and counted; sparse tells of an expected cell under five
-    in a stratum that is used. A pooled ratio of zero or infinity has no interval and the label "unavailable".
+    in a stratum that is used. A pooled ratio of zero or infinity has no interval and the label "unavailable". by: a ratio for each key.
     """
-    check_expectation(expect)
+    by, wanted = by or [], expected(expect)
     a, b, c, d = map(F.col, "abcd")
     n = a + b + c + d
     used = (n >= SUPPRESS) & (a + b > 0) & (c + d > 0)
@@ -131,14 +147,14 @@ def mantel_haenszel(strata: DataFrame, expect: str | None = None) -> DataFrame:
     only = lambda x: F.sum(F.when(used, x))
     spread = (a + b) * (c + d) * (a + c) * (b + d) / (n * n * (n - 1))
     thin = F.least(a + b, c + d) * F.least(a + c, b + d) / n < 5
-    one = strata.agg(only(r).alias("r"), only(s).alias("s"), only(p * r).alias("pr"), only(p * s + q * r).alias("ps"), only(q * s).alias("qs"), only(a - (a + b) * (a + c) / n).alias("gap"), only(spread).alias("spread"), F.count_if(used).alias("strata"), F.count_if(~used).alias("dropped"), F.bool_or(used & thin).alias("sparse"), *[only(F.col(x)).alias(x) for x in "abcd"])
+    one = strata.groupBy(*by).agg(only(r).alias("r"), only(s).alias("s"), only(p * r).alias("pr"), only(p * s + q * r).alias("ps"), only(q * s).alias("qs"), only(a - (a + b) * (a + c) / n).alias("gap"), only(spread).alias("spread"), F.count_if(used).alias("strata"), F.count_if(~used).alias("dropped"), F.bool_or(used & thin).alias("sparse"), *[only(F.col(x)).alias(x) for x in "abcd"])
     one = one.withColumn("odds", F.when(F.col("r") > 0, F.col("r") / F.nullif(F.col("s"), F.lit(0.0))))
     some_r, some_s = F.nullif(F.col("r"), F.lit(0.0)), F.nullif(F.col("s"), F.lit(0.0))
     se = F.sqrt(F.col("pr") / (2 * some_r * some_r) + F.col("ps") / (2 * some_r * some_s) + F.col("qs") / (2 * some_s * some_s))
     lo, hi = F.ln("odds") - Z * se, F.ln("odds") + Z * se
     cmh = F.when(F.col("odds").isNotNull(), F.col("gap") / F.nullif(F.sqrt("spread"), F.lit(0.0)))  # its square is the statistic
     crude = F.col("a") * F.col("d") / F.nullif(F.col("b") * F.col("c"), F.lit(0))
-    return one.select("strata", "dropped", "sparse", F.col("odds").alias("odds_ratio"), F.exp(lo).alias("lo"), F.exp(hi).alias("hi"), p_normal(cmh).alias("p"), contrast_label(lo, hi, F.lit(expect)).alias("label"), crude.alias("crude"))
+    return one.select(*by, "strata", "dropped", "sparse", F.col("odds").alias("odds_ratio"), F.exp(lo).alias("lo"), F.exp(hi).alias("hi"), p_normal(cmh).alias("p"), contrast_label(lo, hi, wanted).alias("label"), crude.alias("crude"))
 
 
 def breslow_day(strata: DataFrame) -> DataFrame:

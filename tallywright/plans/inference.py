@@ -256,6 +256,12 @@ SPECS = [
     {"spec_id": "t3", "op": "trend", "of": "q1", "order": ["AUTOMOBILE", "BUILDING", "FURNITURE"], "expect": "any"},
     {"spec_id": "p1", "op": "association", "variable": "segment", "by": "status"},
     {"spec_id": "p2", "op": "adjusted", "variable": "balance", "value": "low", "by": "segment", "a": "BUILDING", "b": "MACHINERY", "controls": ["region", "status"], "expect": ">"},
+    {"spec_id": "d1", "op": "describe", "variable": "balance"},
+    {"spec_id": "v1", "op": "values", "variable": "priority"},
+    {"spec_id": "f1", "op": "find_variables", "text": "Segment", "k": 1},
+    {"spec_id": "x7", "op": "values", "variable": "colour"},
+    {"spec_id": "x8", "op": "find_variables", "text": "Segment", "k": 0},
+    {"spec_id": "x9", "op": "compare", "of": "q1", "expect": "higher"},
     {"spec_id": "x1", "op": "share", "variable": "colour", "value": "red", "by": "segment"},
     {"spec_id": "x2", "op": "share", "variable": "balance", "value": "huge"},
     {"spec_id": "x3", "op": "median", "variable": "balance"},
@@ -276,7 +282,10 @@ td AS (SELECT CASE g WHEN 'AUTOMOBILE' THEN 0 WHEN 'BUILDING' THEN 1 ELSE 2 END
 ts AS (SELECT sum(td.n * pow(x - mx, 2)) AS sxx, sum((x - mx) * k) AS sxy FROM td, tm), tf AS (SELECT max(tm.n)::BIGINT AS n, max(sxy / sxx) AS b, sqrt(sum(pow(x - mx, 2) * (k * pow(1 - my - sxy / sxx * (x - mx), 2) + (td.n - k) * pow(my + sxy / sxx * (x - mx), 2)) / pow(1 - (1 / tm.n + pow(x - mx, 2) / sxx), 2))) / max(sxx) AS se FROM td, tm, ts),
 ac AS (SELECT segment AS u, status AS v, count(*) AS k FROM r WHERE segment IS NOT NULL AND status IS NOT NULL GROUP BY 1, 2), ae AS (SELECT *, sum(k) OVER (PARTITION BY u) * sum(k) OVER (PARTITION BY v) / (sum(k) OVER ())::DOUBLE AS e FROM ac), aa AS (SELECT sum(k)::BIGINT AS n, sum(pow(k - e, 2) / e) AS chi2, ((count(DISTINCT u) - 1) * (count(DISTINCT v) - 1))::BIGINT AS df, least(count(DISTINCT u), count(DISTINCT v)) - 1 AS m FROM ae),
 mu AS (SELECT *, (a+b+c+d)::DOUBLE AS n FROM s WHERE a+b+c+d >= 10 AND a+b > 0 AND c+d > 0), mx AS (SELECT sum(a*d/n) AS r, sum(b*c/n) AS s, sum((a+d)/n*a*d/n) AS pr, sum((a+d)/n*b*c/n + (b+c)/n*a*d/n) AS ps, sum((b+c)/n*b*c/n) AS qs, sum(a - (a+b)*(a+c)/n) AS gap, sum((a+b)*(c+d)*(a+c)*(b+d)/(n*n*(n-1))) AS spread, count(*) AS strata FROM mu)
-{_NOTE('n1', 'subclaim', label="'Low balances differ.'")} UNION ALL {_NOTE('n2', 'caveat', error='CaveatTooLong')} UNION ALL {_NOTE('x1', 'share', "'colour'", error='UnknownVariable')} UNION ALL {_NOTE('x2', 'share', "'balance'", error='UnknownValue')} UNION ALL {_NOTE('x3', 'median', "'balance'", error='UnknownOperation')} UNION ALL {_NOTE('x4', 'compare', error='UnknownEstimate')} UNION ALL {_NOTE('x5', 'mean', "'segment'", error='WrongAnswerType')} UNION ALL {_NOTE('x6', 'threshold', error='WrongThreshold')}
+{_NOTE('n1', 'subclaim', label="'Low balances differ.'")} UNION ALL {_NOTE('n2', 'caveat', error='CaveatTooLong')} UNION ALL {_NOTE('x1', 'share', "'colour'", error='UnknownVariable')} UNION ALL {_NOTE('x2', 'share', "'balance'", error='UnknownValue')} UNION ALL {_NOTE('x3', 'median', "'balance'", error='UnknownOperation')} UNION ALL {_NOTE('x4', 'compare', error='UnknownEstimate')} UNION ALL {_NOTE('x5', 'mean', "'segment'", error='WrongAnswerType')} UNION ALL {_NOTE('x6', 'threshold', error='WrongThreshold')} UNION ALL {_NOTE('x7', 'values', "'colour'", error='UnknownVariable')} UNION ALL {_NOTE('x8', 'find_variables', error='WrongSearch')} UNION ALL {_NOTE('x9', 'compare', error='WrongExpectation')}
+UNION ALL SELECT {_ROW(spec_id="'d1'", op="'describe'", variable="'balance'", grp="'All observed respondents'", other="'recorded'", n='count(balance)', error=_DONE)} FROM r UNION ALL SELECT {_ROW(spec_id="'d1'", op="'describe'", variable="'balance'", grp="'All observed respondents'", other="'observed'", n=f'count(*) FILTER ({_BB})', error=_DONE)} FROM r
+UNION ALL SELECT {_ROW(spec_id="'v1'", op="'values'", variable="'priority'", other='x', n='i', error=_DONE)} FROM (VALUES (1, '5-LOW'), (2, '3-MEDIUM'), (3, '2-HIGH'), (4, '1-URGENT'), (5, '4-NOT SPECIFIED')) t(i, x)
+UNION ALL SELECT {_ROW(spec_id="'f1'", op="'find_variables'", other="'segment'", n='1', value='1.0', error=_DONE)}
 UNION ALL SELECT {_ROW(spec_id="'q1'", op="'share'", variable="'balance'", grp='g', n='n', value='round(k / n::DOUBLE, 8)', error=_DONE)} FROM c
 UNION ALL SELECT {_ROW(spec_id="'q2'", op="'mean'", variable="'priority'", grp='region', n=f'count({_SCORE})', value=f'round(avg({_SCORE}), 8)', error=_DONE)} FROM r WHERE region IS NOT NULL GROUP BY region
 UNION ALL SELECT {_ROW(spec_id="'q3'", op="'top_box'", variable="'priority'", grp='g', n='n', value='round(k / n::DOUBLE, 8)', error=_DONE)} FROM q3
@@ -292,7 +301,7 @@ UNION ALL SELECT {_ROW(spec_id="'p2'", op="'adjusted'", variable="'balance'", gr
 
 @query("u01_spec_runner", SPEC_SQL)
 def spec_runner(spark, sf_dir):
-    """Analyses given as rows are run in bulk, fourteen operations of them; one that can't be run becomes a row with its error code."""
+    """Analyses given as rows are run in bulk, all operations of a program; one that can't be run becomes a row with its error code."""
     return rounded(run_specs(respondents(spark, sf_dir), ORDERS, SPECS)).withColumn("p", F.round("p", 5))
 
 
