@@ -69,3 +69,37 @@ def benchmark_faults(items: DataFrame, texts: DataFrame, answers: DataFrame, mar
         one = faults.agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("faults")).where("faults > 0")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def lexical(rows: DataFrame, held_out: list[str], labels: int = 3, least: int = 20, over: float = 0.1) -> DataFrame:
+    """One row (status, train, test, accuracy, baseline, flagged): how well words alone tell the labels of texts whose groups weren't learnt from.
+
+    rows: (id, text, label, grp), ids being unique; rows without a label or group are left out. Multinomial naive Bayes with add-one smoothing over lower-case words of letters,
+    digits and _, learnt on the groups that aren't held out; words that weren't learnt don't count, and labels tie by name. The baseline is the most frequent learnt label (by
+    name if several). Without exactly so many learnt labels, or with fewer tests than `least`, the status is insufficient_coverage and there is no figure. flagged:
+    more than `over` above the baseline.
+
+    Word counts are summed before the shuffle; a word's weights are an array with a place for each label, joined to the words of the tested texts.
+    """
+    rows = rows.where("label is not null and grp is not null").withColumn("test", F.col("grp").isin(held_out))
+    docs = rows.where("not test").groupBy("label").agg(F.count(F.lit(1)).alias("docs"))
+    found = F.filter(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[\\p{L}\\p{N}_]+"), F.lit(0)), lambda w: w != "")
+    words = rows.select("id", "label", "test", F.explode(found).alias("w")).groupBy("id", "label", "test", "w").agg(F.count(F.lit(1)).alias("k"))
+    learnt = words.where("not test").groupBy("label", "w").agg(F.sum("k").alias("k"))
+    sums = learnt.groupBy("label").agg(F.sum("k").alias("total"))
+    size = learnt.agg(F.count_distinct("w").alias("v"))
+    # one row for each label, then one row
+    model = docs.join(sums.hint("merge"), "label", "left").crossJoin(F.broadcast(size)).agg(F.array_sort(F.collect_list(F.struct("label", "docs", F.coalesce("total", F.lit(0)).alias("total")))).alias("labels"), F.max("v").alias("v"), F.sum("docs").alias("train"))
+    by_word = learnt.groupBy("w").agg(F.map_from_entries(F.collect_list(F.struct("label", "k"))).alias("ks"))  # an entry for each label
+    weigh = F.transform("labels", lambda x: F.ln((F.coalesce(F.try_element_at("ks", x["label"]), F.lit(0)) + 1) / (x["total"] + F.col("v"))))
+    weights = by_word.crossJoin(F.broadcast(model)).select("w", weigh.alias("weights"))
+    scored = words.where("test").join(weights.hint("merge"), "w").select("id", F.posexplode(F.transform("weights", lambda x: x * F.col("k"))).alias("place", "s")).groupBy("id", "place").agg(F.sum("s").alias("s"))
+    best = scored.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("place", "s"))).alias("s"))
+    tested = rows.where("test").select("id", "label").join(best.hint("merge"), "id", "left").crossJoin(F.broadcast(model))
+    scores = F.transform("labels", lambda x, i: F.struct((-(F.ln(x["docs"] / F.col("train")) + F.coalesce(F.try_element_at("s", i), F.lit(0.0)))).alias("m"), x["label"].alias("label")))
+    common = F.array_min(F.transform("labels", lambda x: F.struct((-x["docs"]).alias("m"), x["label"].alias("label"))))["label"]
+    judged = tested.select((F.array_min(scores)["label"] == F.col("label")).cast("int").alias("right"), (common == F.col("label")).cast("int").alias("usual"))
+    sizes = rows.agg(F.count_if(~F.col("test")).alias("train"), F.count_if("test").alias("test"), F.count_distinct(F.when(~F.col("test"), F.col("label"))).alias("n"))
+    one = sizes.crossJoin(F.broadcast(judged.agg(F.avg("right").alias("accuracy"), F.avg("usual").alias("baseline"))))
+    enough = (F.col("n") == labels) & (F.col("test") >= least)
+    return one.select(F.when(enough, "completed").otherwise("insufficient_coverage").alias("status"), "train", "test", F.when(enough, F.col("accuracy")).alias("accuracy"), F.when(enough, F.col("baseline")).alias("baseline"), F.when(enough, F.col("accuracy") > F.col("baseline") + over).alias("flagged"))

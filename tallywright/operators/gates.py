@@ -35,3 +35,36 @@ def older_contracts(counted: DataFrame, skip: str | None = None) -> DataFrame:
     either = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), (-F.col("sign")).alias("sign")))
     named = F.when(F.col("a") == skip, F.lit(None)).otherwise(F.col("a")) if skip else F.col("a")
     return either.select("a", "b", F.coalesce(named.isNotNull() & (F.col("sign") > 0), F.lit(False)).alias("matched"))
+
+
+def verifier_gate(jobs: DataFrame, calls: DataFrame, verdicts: DataFrame, needs: dict[str, float], kinds: list[str]) -> DataFrame:
+    """(measure, n, hits, rate, need, met): whether a verifier may be relied on, from its verdicts on claims that are untouched or changed.
+
+    jobs: (id, record_id, kind, run), kind "original" or a kind of change; calls: (id, error), the latest call of each job last by its row
+    is enough, an error being text; verdicts: (id, item, passed), a row for each item of a checklist. A claim is accepted if its call has no error and
+    it has items and all passed. acceptance: first runs of originals; self_agreement: items of an original that both runs have, judged alike;
+    rejection of each kind; calls: jobs that have one without an error, all of which must. needs: acceptance, self_agreement, rejection. A kind without a job is untested and fails nothing (met is null); "gate" is
+    met if all others are.
+    """
+    each = verdicts.groupBy("id").agg(F.bool_and(F.coalesce("passed", F.lit(False))).alias("all_passed"))
+    called = calls.groupBy("id").agg(F.bool_or(F.coalesce("error", F.lit("")) != "").alias("failed"))
+    judged = jobs.join(called.hint("merge"), "id", "left").join(each.hint("merge"), "id", "left")
+    judged = judged.withColumns({"answered": ~F.coalesce("failed", F.lit(True)), "accepted": ~F.coalesce("failed", F.lit(True)) & F.coalesce("all_passed", F.lit(False))})
+    original = F.col("kind") == "original"
+    row = lambda name, n, hits, need: F.struct(F.lit(name).alias("measure"), n.alias("n"), hits.alias("hits"), F.lit(float(need)).alias("need"))
+    sums = judged.agg(
+        F.array(
+            row("calls", F.count(F.lit(1)), F.count_if("answered"), 1.0),
+            row("acceptance", F.count_if(original & (F.col("run") == 1)), F.count_if(original & (F.col("run") == 1) & F.col("accepted")), needs["acceptance"]),
+            *[row(f"rejection:{k}", F.count_if(F.col("kind") == k), F.count_if((F.col("kind") == k) & ~F.col("accepted")), needs["rejection"]) for k in kinds],
+        ).alias("rows")
+    ).select(F.inline("rows"))
+    items = verdicts.join(judged.where(original & F.col("answered")).select("id", "record_id", "run").hint("merge"), "id")
+    twice = items.groupBy("record_id", "item").agg(F.max(F.when(F.col("run") == 1, F.col("passed").cast("int"))).alias("a"), F.max(F.when(F.col("run") == 2, F.col("passed").cast("int"))).alias("b")).where("a is not null and b is not null")
+    agree = twice.agg(row("self_agreement", F.count(F.lit(1)), F.count_if(F.col("a") == F.col("b")), needs["self_agreement"]).alias("x")).select("x.*")
+    rates = sums.unionByName(agree).withColumn("rate", F.col("hits") / F.nullif("n", F.lit(0)))
+    tested = F.when(F.startswith("measure", F.lit("rejection:")) & (F.col("n") == 0), F.lit(None)).otherwise(F.coalesce(F.col("rate") >= F.col("need"), F.lit(False)))
+    rates = rates.withColumn("met", tested.cast("boolean"))
+    whole = rates.agg(F.lit("gate").alias("measure"), F.count("met").alias("n"), F.count_if("met").alias("hits"), F.lit(1.0).alias("need"))
+    whole = whole.withColumn("rate", F.col("hits") / F.nullif("n", F.lit(0))).withColumn("met", F.col("n") == F.col("hits"))
+    return rates.unionByName(whole).select("measure", "n", "hits", "rate", "need", "met")
