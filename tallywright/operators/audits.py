@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -27,29 +27,37 @@ def misaligned(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
     return joined.where(~F.col("left").eqNullSafe(F.col("right")))
 
 
-def passages_in(texts: DataFrame, passages: DataFrame, words: int = 5, broadcast_rows: int = 200_000) -> DataFrame:
+def letters_from(starts: Column, n: int) -> Column:
+    return F.transform(starts, lambda i: F.substring("text", i, F.lit(n)))
+
+
+def passages_in(texts: DataFrame, passages: DataFrame, words: int = 5, letters: int = 12, broadcast_rows: int = 200_000) -> DataFrame:
     """(id, passage_id) of texts (id, text) that contain a passage (passage_id, passage), of any length.
 
     Where a passage of words + 2 or more words is in a text, its words but the first and last stand there whole: windows of
-    the text meet by hash the passage's second to (words + 1)th word, and contains() decides. A shorter passage is searched
-    in every text, all of them in one pass. Up to broadcast_rows keys are broadcast, so that only windows that meet one are shuffled;
+    the text meet by hash the passage's second to (words + 1)th word, and contains() decides. A shorter passage is met by its first
+    `letters` characters (all of them if it is shorter) among the text's windows of so many characters; only lengths that occur are made. Up to broadcast_rows keys are broadcast, so that only windows that meet one are shuffled;
     beyond that, windows and keys are joined by hash. An empty passage is in every text; null texts and passages are in none.
     """
     split = passages.where(F.col("passage").isNotNull()).withColumn("w", F.split("passage", " "))
-    long = split.where(F.size("w") >= words + 2).select("passage_id", F.xxhash64(F.slice("w", 2, words)).alias("h"))
-    short = split.where(F.size("w") < words + 2).select("passage_id", "passage")
+    is_long = F.size("w") >= words + 2
+    long = split.where(is_long).select("passage_id", F.xxhash64(F.slice("w", 2, words)).alias("h"))
+    short = split.where(~is_long).select("passage_id", F.substring("passage", 1, letters).alias("h"))
     how = lambda df: "broadcast" if df.count() <= broadcast_rows else "merge"
     hashes = lambda w: F.when(F.size(w) >= words, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - words + 1), lambda i: F.xxhash64(F.slice(w, i, words)))))
     # the outer transform splits a text once; a plain column would be split anew for each window
     windows = texts.select("id", F.explode(F.transform(F.array(F.split("text", " ")), hashes)).alias("hs")).select("id", F.explode("hs").alias("h"))
-    pairs = windows.join(long.hint(how(long)), "h").select("id", "passage_id").distinct()
-    found = pairs.join(passages.hint(how(passages)), "passage_id").join(texts.hint("merge"), "id").where(F.contains("text", "passage")).select("id", "passage_id")
-    if short.isEmpty():
-        return found
-    # the short ones are arrays of at most broadcast_rows, which every text is searched for
-    parts = short.withColumn("part", F.pmod(F.xxhash64("passage_id"), F.lit(-(-short.count() // broadcast_rows)))).groupBy("part").agg(F.collect_list(F.struct("passage_id", "passage")).alias("ps"))
-    each = texts.join(F.broadcast(parts)).select("id", F.explode(F.filter("ps", lambda p: F.contains(F.col("text"), p["passage"]))).alias("p"))
-    return found.unionByName(each.select("id", "p.passage_id"))
+    pairs = windows.join(long.hint(how(long)), "h").select("id", "passage_id")
+    lengths = sorted(r[0] for r in short.select(F.length("h")).distinct().collect())  # at most `letters` + 1 numbers
+    for n in lengths:
+        if n:
+            starts = F.when(F.length("text") >= n, F.sequence(F.lit(1), F.length("text") - n + 1))
+            windows = texts.select("id", F.explode(F.array_distinct(letters_from(starts, n))).alias("h"))
+        else:
+            windows = texts.where(F.col("text").isNotNull()).select("id", F.lit("").alias("h"))
+        own = short.where(F.length("h") == n)
+        pairs = pairs.unionByName(windows.join(own.hint(how(own)), "h").select("id", "passage_id"))
+    return pairs.distinct().join(passages.hint(how(passages)), "passage_id").join(texts.hint("merge"), "id").where(F.contains("text", "passage")).select("id", "passage_id")
 
 
 def benchmark_faults(items: DataFrame, texts: DataFrame, answers: DataFrame, markers: list[str]) -> DataFrame:

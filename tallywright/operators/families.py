@@ -44,10 +44,15 @@ def quotas(df: DataFrame, stratum: str, size: int) -> DataFrame:
     return each.select(stratum, (F.col("whole") + (place <= left).cast("int")).alias("quota"))
 
 
-def take_by_hash(df: DataFrame, stratum: str, key: str, seed: int, limit: Column) -> DataFrame:
-    """The first rows of each stratum in the order of the seeded hash of their keys."""
-    place = F.row_number().over(W.partitionBy(stratum).orderBy(F.sha2(F.concat_ws(":", F.lit(seed), F.col(key)), 256)))
-    return df.withColumn("place", place).where(F.col("place") <= limit).drop("place")
+def take_by_hash(df: DataFrame, stratum: str, key: str, seed: int, limit: Column, salts: int = 64) -> DataFrame:
+    """The first rows of each stratum in the order of the seeded hash of their keys.
+
+    Each of `salts` parts of a stratum is cut to the limit before the parts meet, so a stratum with most of all rows is no single task.
+    """
+    by = F.sha2(F.concat_ws(":", F.lit(seed), F.col(key)), 256)
+    part = F.pmod(F.xxhash64(F.col(key)), F.lit(salts))
+    some = df.withColumns({"_by": by, "_limit": limit, "_part": part}).withColumn("_place", F.row_number().over(W.partitionBy(stratum, "_part").orderBy("_by"))).where(F.col("_place") <= F.col("_limit"))
+    return some.withColumn("_place", F.row_number().over(W.partitionBy(stratum).orderBy("_by"))).where(F.col("_place") <= F.col("_limit")).drop("_by", "_limit", "_part", "_place")
 
 
 def select_disjoint(candidates: DataFrame, most_rounds: int = 1000) -> DataFrame:

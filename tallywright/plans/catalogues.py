@@ -140,7 +140,7 @@ def executed_families(spark, sf_dir):
     bases = W.partitionBy("variable")  # answers of a codebook
     counts = counts.withColumns({"na": F.sum("ka").over(bases), "nb": F.sum("kb").over(bases)})
     chosen = family_inventory(spark, sf_dir).where("kind = 'difference' and grouping_variable = 'segment'")
-    found = chosen.join(counts, ["variable", "answer"]).withColumn("expected", families.fixed_direction(F.col("core")))
+    found = chosen.join(counts.hint("merge"), ["variable", "answer"]).withColumn("expected", families.fixed_direction(F.col("core")))
     up = F.col("ka") / F.col("na") > F.col("kb") / F.col("nb")
     outcome = F.when((F.col("na") < 10) | (F.col("nb") < 10), "suppressed").when(up == (F.col("expected") == "higher"), "as_expected").otherwise("against")
     return found.select("core", "variable", "answer", "ka", "na", "kb", "nb", "expected", outcome.alias("outcome"))

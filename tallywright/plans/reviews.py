@@ -82,8 +82,8 @@ def contract_match(spark, sf_dir):
     """Required comparisons, found by the respondents of both sides rather than by labels; a reversed pair needs the reversed direction."""
     who = respondents(spark, sf_dir).where(ORDERS.base("segment")).groupBy(F.col("segment").alias("grp")).agg(F.struct(F.count(F.lit(1)), estimates.fingerprint(F.col("respondent_id"))).alias("who"))
     x, y = who.toDF("a", "wa"), who.toDF("b", "wb")
-    required = x.join(y, F.col("a") != F.col("b")).withColumn("direction", F.lit("higher"))  # one row for each group
-    found = segment_pairs(spark, sf_dir).select("a", "b", F.when(F.col("value") > 0, "higher").when(F.col("value") < 0, "lower").alias("direction")).join(x, "a").join(y, "b")
+    required = x.join(F.broadcast(y), F.col("a") != F.col("b")).withColumn("direction", F.lit("higher"))  # one row for each group of the codebook
+    found = segment_pairs(spark, sf_dir).select("a", "b", F.when(F.col("value") > 0, "higher").when(F.col("value") < 0, "lower").alias("direction")).join(x.hint("merge"), "a").join(y.hint("merge"), "b")
     turned = F.when(F.col("direction") == "higher", "lower").when(F.col("direction") == "lower", "higher")
     either = found.select("wa", "wb", "direction").unionByName(found.select(F.col("wb").alias("wa"), F.col("wa").alias("wb"), turned.alias("direction"))).distinct()
     return required.join(either.withColumn("hit", F.lit(True)).hint("merge"), ["wa", "wb", "direction"], "left").select("a", "b", F.coalesce("hit", F.lit(False)).alias("matched"))

@@ -57,6 +57,18 @@ def test_answers(spark):
     assert (q.a, q.b, q.c, q.d) == (True, False, "x = 1", "a ```b```")
 
 
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_passages_of_any_length(spark, most):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abé") for _ in range(rng.randint(1, 3)))
+    texts = [(i, " ".join(word() for _ in range(rng.randint(0, 40)))) for i in range(40)] + [(90, None), (91, ""), (92, "x  y"), (93, "long " * 3000)]
+    whole = [t for _, t in texts if t]
+    passages = [(i, t[a : a + rng.randint(1, 60)]) for i in range(60) for t in [rng.choice(whole)] for a in [rng.randrange(len(t))]] + [(100, ""), (101, None), (102, "not there"), (103, " "), (104, "bathe cats and dogs in the sea"), (103, "ab")]
+    got = audits.passages_in(spark.createDataFrame(texts, "id int, text string"), spark.createDataFrame(passages, "passage_id int, passage string"), broadcast_rows=most)
+    found = [tuple(r) for r in got.distinct().collect()]
+    assert set(found) == {(i, p) for i, t in texts for p, x in passages if t is not None and x is not None and x in t}
+
+
 def greedy(rows, needs, size, seed):
     """The selection one candidate at a time, by the rule of the docstring."""
     order = {i: hashlib.sha256(f"{seed}:{i}".encode()).hexdigest() for i, _, _ in rows}
