@@ -20,6 +20,8 @@ CHUNK = 1 << 14
 BUCKET = 4096
 #: Symbols of a set of shingles, of which covering masks keep some.
 SYMBOLS = 16
+#: Nodes with neighbouring numbers of which one stands for the others in the first comparison.
+NEAR = 64
 
 
 def simhash(hashes: np.ndarray) -> int:
@@ -175,8 +177,18 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return rows.join(by_run.hint("merge"), ["run", "fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def table_keys(symbols_: np.ndarray, ms: np.ndarray) -> np.ndarray:
+    """The bucket of each row of symbols in each table: a sum over the symbols that the mask keeps, and the table."""
+    x = symbols_ * np.arange(1, 2 * SYMBOLS, 2, dtype="uint64") @ ms.T + np.arange(len(ms), dtype="uint64") * np.uint64(0x9E3779B97F4A7C15)
+    return (x ^ (x >> np.uint64(29))).view("int64")
+
+
 def buckets(classes: DataFrame, bucket: int = BUCKET, few: int = 100_000) -> DataFrame:
-    """(key, node, before, after, block): what shares a bucket with another node, in any table.
+    """(key, node, beside, block): what shares a bucket with another node, in any table.
+
+    beside: the node that this one is compared with first. Of NEAR nodes with neighbouring numbers that is the first one in the bucket, and for that one the
+    node before it (null for the first of all); so a group that meets in many buckets gives few different pairs, and each
+    bucket's are a tree over its nodes.
 
     A bucket that is surely large, by a count of one node in 64, is dealt into blocks, so no task has to sort it all.
     This changes which task does the work, never the pairs that are compared.
@@ -185,9 +197,7 @@ def buckets(classes: DataFrame, bucket: int = BUCKET, few: int = 100_000) -> Dat
 
     @F.pandas_udf("array<long>")
     def keys(held: pd.Series) -> pd.Series:
-        x = np.frombuffer(b"".join(held), dtype="<u8").reshape(len(held), SYMBOLS)
-        x = x * np.arange(1, 2 * SYMBOLS, 2, dtype="uint64") @ ms.T + np.arange(len(ms), dtype="uint64") * np.uint64(0x9E3779B97F4A7C15)
-        return pd.Series(list((x ^ (x >> np.uint64(29))).view("int64")))
+        return pd.Series(list(table_keys(np.frombuffer(b"".join(held), dtype="<u8").reshape(len(held), SYMBOLS), ms)))
 
     rows = classes.select("node", F.explode(keys("symbols")).alias("key"))
     large = materialize(rows.where(F.pmod(F.xxhash64("node"), F.lit(64)) == 0).groupBy("key").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") * 64 >= bucket).select("key", F.ceil(F.col("k") * 64 * 2 / bucket).cast("int").alias("g")), "large-buckets")
@@ -199,23 +209,63 @@ def buckets(classes: DataFrame, bucket: int = BUCKET, few: int = 100_000) -> Dat
         rows = rows.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(3)), F.lit(16)).cast("int")).join(salts.hint("merge"), ["key", "salt"], "left").drop("salt")
     rows = rows.withColumn("block", F.coalesce(F.pmod(F.xxhash64("node", F.lit(1)), F.col("g")).cast("int"), F.lit(-1))).drop("g")
     by = W.partitionBy("key", "block").orderBy("node")
-    return rows.withColumn("before", F.lag("node").over(by)).withColumn("after", F.lead("node").over(by)).where("before is not null or after is not null or block >= 0")
+    rows = rows.withColumn("before", F.lag("node").over(by)).withColumn("after", F.lead("node").over(by))
+    first = F.col("before").isNull() | (F.floor(F.col("before") / NEAR) != F.floor(F.col("node") / NEAR))
+    rows = rows.withColumn("first", F.last(F.when(first, F.col("node")), ignorenulls=True).over(by.rowsBetween(W.unboundedPreceding, 0)))
+    beside = F.when(F.col("first") == F.col("node"), F.col("before")).otherwise(F.col("first"))
+    return rows.where("before is not null or after is not null or block >= 0").select("key", "node", beside.alias("beside"), "block")
+
+
+def first_tables() -> np.ndarray:
+    """For each set of equal symbols, as bits, the first mask whose symbols are all equal; -1 for none."""
+    masks_ = (symbol_masks() << np.arange(SYMBOLS, dtype="uint64")).sum(axis=1).astype("int64")
+    equal = np.arange(1 << SYMBOLS, dtype="int64")
+    out = np.full(len(equal), -1, dtype="int64")
+    for t in range(len(masks_))[::-1]:
+        out[equal & masks_[t] == masks_[t]] = t
+    return out
 
 
-def block_pairs(shared: DataFrame, block: int = BUCKET // 4) -> DataFrame:
-    """All pairs (u, v) of rows (key, node, component) of one bucket but two components.
+def block_pairs(shared: DataFrame, classes: DataFrame, least: float, block: int = BUCKET // 4, small: int = 64) -> DataFrame:
+    """Candidate pairs (u, v) of rows (key, node, component) of one bucket but two components.
 
-    A bucket of more than a block of nodes is dealt into blocks, and each pair of blocks is a key of its own.
+    A bucket of up to `small` nodes gives all its pairs. A larger one is dealt into blocks, and each pair of blocks is compared in one task: only pairs
+    come out whose sizes and parities allow the similarity, and only from the first table that they share. No pair of that similarity is left out.
     """
-    open_ = shared.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    salts = shared.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(4)).cast("int"))
-    groups = open_.select("key", F.ceil(F.col("k") / F.lit(block)).cast("int").alias("g"), F.explode(F.array(*map(F.lit, range(4)))).alias("salt"))
-    rows = salts.join(groups.hint("merge"), ["key", "salt"]).withColumn("i", F.pmod(F.xxhash64("node", F.lit(2)), F.col("g")).cast("int"))
-    # the block pair (i, j), i <= j, has the rows of both blocks
-    dealt = materialize(rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).select("key", "node", "component", "i", F.least("i", "o").alias("p"), F.greatest("i", "o").alias("q")), "blocks")
-    a, b = (dealt.select("key", "p", "q", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "component", "i")]) for x in "ab")
-    both = a.join(b.hint("merge"), ["key", "p", "q"]).where("node_a < node_b and component_a != component_b and (p = q or i_a != i_b)")
-    return both.select(F.col("node_a").alias("u"), F.col("node_b").alias("v"))
+    open_ = materialize(shared.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key", "k"), "open")
+    few = shared.join(open_.where(F.col("k") <= small).hint("merge"), "key").select("key", "node", "component")
+    a, b = (few.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "component")]) for x in "ab")
+    pairs = a.join(b.hint("merge"), "key").where("node_a < node_b and component_a <> component_b").select(F.col("node_a").alias("u"), F.col("node_b").alias("v"))
+    many = open_.where(F.col("k") > small)
+    if many.isEmpty():
+        return pairs
+    salts = F.explode(F.array(*map(F.lit, range(4))))
+    groups = many.select("key", F.ceil(F.col("k") / F.lit(block)).cast("int").alias("g"), salts.alias("salt"))
+    rows = shared.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(4)).cast("int")).join(groups.hint("merge"), ["key", "salt"])
+    rows = rows.withColumn("i", F.pmod(F.xxhash64("node", F.lit(2)), F.col("g")).cast("int"))
+    marked = materialize(rows.select("key", "node", "component", "g", "i").join(classes.select("node", "n", "bits", "symbols").hint("merge"), "node"), "marked-buckets")
+    # the pair of blocks (p, q), p <= q, has the rows of both
+    dealt = marked.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).select("key", "node", "component", "n", "bits", "symbols", "i", F.least("i", "o").alias("p"), F.greatest("i", "o").alias("q"))
+    first, ms = first_tables(), symbol_masks()
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        node, component, n, i = (rows[c].to_numpy() for c in ("node", "component", "n", "i"))
+        bits, held = (np.frombuffer(b"".join(rows[c]), dtype="<u8").reshape(len(rows), -1) for c in ("bits", "symbols"))
+        table = int(np.flatnonzero(table_keys(held[:1], ms)[0] == rows["key"].iloc[0])[0])
+        apart, powers = rows["p"].iloc[0] != rows["q"].iloc[0], 1 << np.arange(SYMBOLS)
+        u, v = [], []
+        for at in np.flatnonzero(i == rows["p"].iloc[0]).tolist():
+            other = np.flatnonzero((component != component[at]) & ((i != i[at]) if apart else (node > node[at])))
+            size = n[other] + n[at]
+            other = other[np.minimum(n[other], n[at]) + 1e-9 >= least * np.maximum(n[other], n[at])]
+            size = n[other] + n[at]
+            other = other[np.bitwise_count(bits[other] ^ bits[at]).sum(axis=1) <= size * (1 - least) / (1 + least) + 1e-9]
+            other = other[first[(held[other] == held[at]) @ powers] == table]
+            u.append(np.full(len(other), node[at]))
+            v.append(node[other])
+        return pd.DataFrame({"u": np.concatenate(u) if u else [], "v": np.concatenate(v) if v else []}, dtype="int64")
+
+    return pairs.unionByName(dealt.groupBy("key", "p", "q").applyInPandas(compare, "u long, v long"))
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -228,7 +278,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     identifier and text are one document. Null, empty and blank text is one set. An empty table gives an empty result; other
     columns are ignored.
 
-    Equal sets are one class. Neighbours in each bucket are compared first; what they join isn't compared
+    Equal sets are one class. A tree over each bucket is compared first; what it joins isn't compared
     pair by pair, as its component is known, so a large group of near copies costs few comparisons.
     """
 
@@ -244,11 +294,11 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = local.groupBy("digest").agg(F.min("first").alias("first"), F.first("m").alias("m"))
     classes = numbered(classes.select("digest", "first", F.col("first.key").alias("key"), "m.*"), "node", "classes")
     shared = materialize(buckets(classes), "shared")
-    beside = shared.where("before is not null").select(F.col("before").alias("u"), F.col("node").alias("v"))
+    beside = shared.where("beside is not null").select(F.col("beside").alias("u"), F.col("node").alias("v"))
     edges = similar(beside, classes, texts, shingle, similarity)
     known = materialize(connected_components(edges), "known")
     placed = shared.select("key", "node").join(known.hint("merge"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    more = similar(block_pairs(materialize(placed, "placed")), classes, texts, shingle, similarity)
+    more = similar(block_pairs(materialize(placed, "placed"), classes, similarity), classes, texts, shingle, similarity)
     found = classes.join(connected_components(edges.unionByName(more)).hint("merge"), "node", "left").select("digest", "first", F.coalesce("component", "node").alias("component"))
     found = materialize(found, "found")
     named = found.join(found.groupBy("component").agg(F.min("first").alias("stays")).hint("merge"), "component").select("digest", "stays")

@@ -202,6 +202,24 @@ def test_recall_in_each_band_of_similarity(spark):
         assert sum(of[i] == of[i + 1] for i in held) >= 0.9 * len(held)
 
 
+@pytest.mark.parametrize("small", [4, 1000])
+def test_a_large_group_of_loose_copies(spark, monkeypatch, small):
+    """Variants of one text of which some are near copies and most are not: large buckets are compared in tasks, and the result is that of all pairs."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(90)]
+    texts = []
+    for _ in range(140):
+        new = list(base)
+        for i in rng.sample(range(90), rng.choice([1, 2, 3])):
+            new[i] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(new))
+    pairs = simhash_dedup.block_pairs
+    monkeypatch.setattr(simhash_dedup, "block_pairs", lambda s, c, x: pairs(s, c, x, block=16, small=small))
+    got = {r.doc_id: r.component_id for r in simhash_dedup.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+    group = jaccard_groups(texts, 0.8)
+    assert [got[i] for i in range(len(texts))] == group and len(set(group)) > 3
+
+
 def test_masks_of_symbols():
     ms = simhash_dedup.symbol_masks()
     assert ms.shape == (63, 16) and ms.sum(axis=1).min() >= 6
@@ -218,7 +236,7 @@ def test_large_buckets_are_dealt_out(spark, monkeypatch, few):
     real = simhash_dedup.buckets
     monkeypatch.setattr(simhash_dedup, "buckets", lambda c: real(c, bucket=16, few=few))
     pairs = simhash_dedup.block_pairs
-    monkeypatch.setattr(simhash_dedup, "block_pairs", lambda s: pairs(s, block=8))
+    monkeypatch.setattr(simhash_dedup, "block_pairs", lambda s, c, x: pairs(s, c, x, block=8, small=4))
     assert {r.doc_id: r.component_id for r in simhash_dedup.near_copies(d).collect()} == want == {i: 0 if i < 60 else i for i in range(90)}
 
 
