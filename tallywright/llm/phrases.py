@@ -17,7 +17,7 @@ from .common import materialize
 END = b"\xff"
 TABLE = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", END * 10 + b" ")
 #: Bytes of text that are counted at once in a task; bits a frequent phrase has in the filter, and the most bits.
-BLOCK, PER_PHRASE, MOST_BITS = 1_500_000, 16, 1 << 30
+BLOCK, PER_PHRASE, MOST_BITS = 3_000_000, 16, 1 << 30
 #: Tasks that the phrases with one first word are dealt over.
 SALTS = 16
 
@@ -43,9 +43,12 @@ class Block:
     def __init__(self, texts: list[bytes], lang: str) -> None:
         import xxhash
 
-        data = END.join(texts).lower().translate(TABLE).replace(END, b" " + END + b" ").split()  # bytes: only A-Z are lowered
-        self.codes, names = pd.factorize(np.array(data, dtype=object))
-        self.names = names.tolist()
+        data = np.frombuffer(END.join(texts).lower().translate(TABLE), dtype="uint8")  # bytes: only A-Z are lowered
+        space, end = data == 0x20, data == END[0]
+        begins = ~space & (end | np.append(True, (space | end)[:-1])[: len(data)])  # an end is a word of its own
+        offsets = np.append((np.cumsum(~space, dtype="int32") - 1)[begins], np.count_nonzero(~space)).astype("int32")
+        words = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data[~space])]).dictionary_encode()
+        self.codes, self.names = words.indices.to_numpy().astype("int64"), words.dictionary.to_numpy(zero_copy_only=False).tolist()
         salt = xxhash.xxh64_intdigest(lang, 7)
         self.hashed = np.array([xxhash.xxh64_intdigest(w, 42) ^ salt for w in self.names], dtype="uint64")
         if END in self.names:
