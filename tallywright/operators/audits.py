@@ -111,3 +111,31 @@ def lexical(rows: DataFrame, held_out: list[str], labels: int = 3, least: int =
     one = sizes.crossJoin(F.broadcast(judged.agg(F.avg("right").alias("accuracy"), F.avg("usual").alias("baseline"))))
     enough = (F.col("n") == labels) & (F.col("test") >= least)
     return one.select(F.when(enough, "completed").otherwise("insufficient_coverage").alias("status"), "train", "test", F.when(enough, F.col("accuracy")).alias("accuracy"), F.when(enough, F.col("baseline")).alias("baseline"), F.when(enough, F.col("accuracy") > F.col("baseline") + over).alias("flagged"))
+
+
+def plan_faults(frozen: DataFrame, owned: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(fault, key) of a frozen plan (key, owner) against owners computed anew (key, owner), and against the sizes it states (owner, size).
+
+    other_owner, unknown (the plan has a key that isn't there), missing (it lacks one), repeated (it has one twice), other_size (the key is the owner's name). No row is a pass.
+    """
+    mine = frozen.groupBy(F.col("key").cast("string").alias("key")).agg(F.min("owner").alias("planned"), F.count(F.lit(1)).alias("n"))
+    both = mine.join(owned.select(F.col("key").cast("string").alias("key"), "owner").hint("merge"), "key", "full_outer")
+    fault = F.when(F.col("owner").isNull(), "unknown").when(F.col("planned").isNull(), "missing").when(F.col("n") > 1, "repeated").when(F.col("planned") != F.col("owner"), "other_owner")
+    counted = frozen.groupBy("owner").agg(F.count(F.lit(1)).alias("n")).join(sizes.hint("merge"), "owner", "full_outer").where(~F.col("n").eqNullSafe(F.col("size")))
+    return both.select(fault.alias("fault"), "key").where("fault is not null").unionByName(counted.select(F.lit("other_size").alias("fault"), F.col("owner").alias("key")))
+
+
+def reference_faults(executed: DataFrame, reference: DataFrame, key: list[str], numbers: list[str], names: list[str], tolerance: float = 1e-12) -> DataFrame:
+    """(key columns, fault) of executed evidence that differs from an independent calculation.
+
+    fault: only_executed, only_reference, or the first of numbers that differs by more than the tolerance (also a null against a number), or of names that isn't equal.
+    """
+    a = executed.select(*key, *[F.col(c).alias(f"a_{c}") for c in numbers + names], F.lit(True).alias("in_a"))
+    b = reference.select(*key, *[F.col(c).alias(f"b_{c}") for c in numbers + names], F.lit(True).alias("in_b"))
+    fault = F.when(F.col("in_b").isNull(), "only_executed").when(F.col("in_a").isNull(), "only_reference")
+    for c in numbers:
+        x, y = F.col(f"a_{c}"), F.col(f"b_{c}")
+        fault = fault.when(~x.eqNullSafe(y) & ~F.coalesce(F.abs(x - y) <= tolerance, F.lit(False)), c)
+    for c in names:
+        fault = fault.when(~F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}")), c)
+    return a.join(b.hint("merge"), key, "full_outer").select(*key, fault.alias("fault")).where("fault is not null")

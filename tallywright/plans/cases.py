@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallywright.operators import audits, cases, families, gates
+from tallywright.operators import answers, audits, cases, families, gates
 
 from .estimation import rounded
 from .meaning import _CLAIM, PLANTED, planted
+from .packages import OWN, owners
 from .registry import query, table
 from .study import respondents
 
@@ -150,3 +151,42 @@ def sealed_estimates(spark, sf_dir):
     foreign = cases.sealed(made.where(kind == 2), "s2", "pack", "nation", ["n", "k"])
     handed = own.where(kind > 2).unionByName(changed).unionByName(forged).unionByName(foreign)
     return cases.unsealed(handed, own, "s1", "pack", "nation", ["n", "k"]).select("nation", "verdict")
+
+
+@query(
+    "j12_changed_plan",
+    f"WITH f AS ({OWN}), o AS (SELECT o_orderkey AS k, CASE WHEN ('0x' || substr(h, 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0 < 0.8 THEN 'train' WHEN ('0x' || substr(h, 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0 < 0.9 THEN 'validation' ELSE 'test' END AS owner FROM f) SELECT CASE WHEN k % 97 = 0 THEN 'missing' WHEN k % 53 = 0 THEN 'repeated' ELSE 'other_owner' END AS fault, k::VARCHAR AS key FROM o WHERE k % 97 = 0 OR k % 53 = 0 OR (k % 89 = 0 AND owner <> 'test') UNION ALL SELECT 'unknown', 'x' || k FROM o WHERE k % 211 = 0 AND k % 97 <> 0 UNION ALL SELECT 'other_size', unnest(['train', 'validation', 'test'])",
+)
+def changed_plan(spark, sf_dir):
+    """A frozen plan of the orders in which some owners were changed, and some keys left out, repeated or made up, with sizes of nought."""
+    now = owners(spark, sf_dir).select(F.col("o_orderkey").alias("key"), "owner")
+    key = F.col("key")
+    kept = now.where(key % 97 != 0)
+    frozen = kept.withColumn("owner", F.when((key % 89 == 0) & (key % 53 != 0), "test").otherwise(F.col("owner"))).withColumn("key", key.cast("string"))
+    frozen = frozen.unionByName(kept.where(key % 53 == 0).withColumn("key", key.cast("string"))).unionByName(kept.where(key % 211 == 0).withColumn("key", F.concat(F.lit("x"), key)))
+    sizes = spark.createDataFrame([("train", 0), ("validation", 0), ("test", 0)], "owner string, size long")
+    return audits.plan_faults(frozen, now, sizes)
+
+
+@query(
+    "j18_reference_faults",
+    "WITH c AS (SELECT c_nationkey AS nation, c_mktsegment AS segment FROM customer GROUP BY 1, 2) SELECT nation, segment, CASE WHEN segment = 'FURNITURE' AND nation % 4 = 1 THEN 'only_reference' WHEN segment = 'BUILDING' AND nation % 4 = 0 THEN 'k' WHEN segment = 'BUILDING' AND nation % 4 = 2 THEN 'share' WHEN segment = 'MACHINERY' AND nation % 4 = 3 THEN 'direction' END AS fault FROM c WHERE fault IS NOT NULL",
+)
+def reference_faults(spark, sf_dir):
+    """Counts, shares and directions of each nation and segment against an independent calculation; some of the first were changed or left out."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment"), (F.col("c_acctbal") < 0).alias("owes"))
+    way = F.when(F.col("share") > 0.1, "higher").otherwise("lower")
+    reference = c.groupBy("nation", "segment").agg(F.sum(F.col("owes").cast("long")).alias("k"), F.avg(F.col("owes").cast("double")).alias("share")).withColumn("direction", way)
+    made = c.groupBy("nation", "segment").agg(F.count_if("owes").alias("k"), (F.count_if("owes") / F.count(F.lit(1))).alias("share")).withColumn("direction", way)
+    at = lambda s, r: (F.col("segment") == s) & (F.col("nation") % 4 == r)
+    changed = made.where(~at("FURNITURE", 1)).withColumns({"k": F.when(at("BUILDING", 0), F.col("k") + 1).otherwise(F.col("k")), "share": F.when(at("BUILDING", 2), F.col("share") + 1e-9).otherwise(F.col("share")), "direction": F.when(at("MACHINERY", 3), "none").otherwise(F.col("direction"))})
+    return audits.reference_faults(changed, reference, ["nation", "segment"], ["k", "share"], ["direction"])
+
+
+@query("k08_answer_tokens")
+def answer_tokens(spark, sf_dir):
+    """Numbers of every text by the rule of written answers: how many, with a unit, with a comparator, and the least and greatest of them."""
+    found = answers.tokens(F.coalesce("text", F.lit("")))
+    t = table(spark, sf_dir, "documents").select("doc_id", F.transform(F.array(found), lambda x: x)[0].alias("t"))
+    numbers = F.transform("t", lambda x: x["number"].cast("double"))
+    return t.select("doc_id", F.size("t").cast("long").alias("n"), F.size(F.filter("t", lambda x: x["unit"] != "")).cast("long").alias("n_unit"), F.size(F.filter("t", lambda x: x["cmp"] != "")).cast("long").alias("n_cmp"), F.array_min(numbers).alias("lo"), F.array_max(numbers).alias("hi"))
