@@ -148,3 +148,43 @@ def find_variables(asks: DataFrame, cards: DataFrame, k: int = 10, least: float
     scored = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(best, f"ask string, id {kinds['id']}, ordinal {kinds['ordinal']}, score double")
     each = scored.groupBy("ask", "id", "ordinal").agg(F.max("score").alias("score"))
     return each.withColumn("place", F.row_number().over(W.partitionBy("ask").orderBy(F.desc("score"), "ordinal"))).where(F.col("place") <= k).select("ask", "id", "score", "place")
+
+
+def meaning_checks(claims: DataFrame, parts: DataFrame, gaps: DataFrame, proxies: DataFrame) -> DataFrame:
+    """(claim_id, item, statement, quote_required): what a paraphrase of each claim must keep, part by part.
+
+    claims: (claim_id, causal); parts: (claim_id, place, measure, kind, a, b, direction, population), kind threshold (of a alone) or difference; gaps: (claim_id, place, concept);
+    proxies: (claim_id, place, concept, variables). A part gives its measure, its groups, its direction, and its population if it has one; each gap and proxy is kept as it was said;
+    a cause is kept or must be absent; and nothing is added. What has to be absent needs no quote.
+    """
+    item = lambda name, statement, quote=True: F.struct(name.alias("item"), statement.alias("statement"), F.lit(quote).alias("quote_required"))
+    at = lambda kind, name: F.concat(F.lit(kind), F.col("place").cast("string"), F.lit(name))
+    say = lambda *words: F.concat(*[F.lit(w) if w.startswith(" ") or w.endswith(" ") or w.endswith(".") else F.col(w) for w in words])
+    threshold = F.col("kind") == "threshold"
+    of_part = F.array(
+        item(at("P", "_measure"), say("The part measures: ", "measure", ".")),
+        item(at("P", "_groups"), F.when(threshold, say("It is about ", "a", ".")).otherwise(say("It compares ", "a", " with ", "b", "."))),
+        item(at("P", "_direction"), F.when(threshold, say("It says ", "direction", " half of them.")).otherwise(say("It says that ", "a", " do it ", "direction", " ", "b", "."))),
+        F.when(F.coalesce("population", F.lit("")) != "", item(at("P", "_population"), say("It is only about ", "population", "."))),
+    )
+    rows = lambda df, items: df.select("claim_id", F.inline(F.filter(items, lambda x: x.isNotNull())))
+    out = rows(parts, of_part)
+    out = out.unionByName(rows(gaps, F.array(item(at("G", ""), say("What is said of ", "concept", " stays as it is said.")))))
+    out = out.unionByName(rows(proxies, F.array(item(at("X", ""), F.concat(F.array_join("variables", ", "), F.lit(" stand for "), F.col("concept"), F.lit("."))))))
+    causal = F.coalesce("causal", F.lit(False))
+    whole = F.array(F.when(causal, item(F.lit("W_causal"), F.lit("The cause is kept as it is said."))).otherwise(item(F.lit("W_causal"), F.lit("No cause is named."), False)), item(F.lit("W_extra"), F.lit("Nothing is added."), False))
+    return out.unionByName(rows(claims, whole))
+
+
+def numerical_requirements(results: DataFrame, estimates: DataFrame, wanted: DataFrame, cases: DataFrame) -> DataFrame:
+    """(case_id, id, kind, groups): the results of a case whose numbers an answer has to give.
+
+    results: (case_id, id, kind, variable, operation), of which estimates and contrasts count; estimates: (case_id, id, grp, n, value); wanted: (case_id, grp), the groups that a case asks for, no row meaning
+    all; cases: (case_id, asked), whether numbers are asked for at all. An estimate keeps the groups that are wanted, in order, and goes without any; a contrast stands by itself (groups null).
+    """
+    open_ = results.join(cases.where("asked").select("case_id").hint("merge"), "case_id", "left_semi")
+    picky = wanted.select("case_id").distinct().withColumn("picky", F.lit(True))
+    rows = estimates.join(picky.hint("merge"), "case_id", "left").join(wanted.distinct().withColumn("hit", F.lit(True)).hint("merge"), ["case_id", "grp"], "left").where("picky is null or hit")
+    kept = rows.groupBy("case_id", "id").agg(F.array_sort(F.collect_set("grp")).alias("groups"))  # the groups of an estimate
+    found = open_.where("kind = 'estimate'").join(kept.hint("merge"), ["case_id", "id"]).select("case_id", "id", "kind", "groups")
+    return found.unionByName(open_.where("kind = 'contrast'").select("case_id", "id", "kind", F.lit(None).cast("array<string>").alias("groups")))

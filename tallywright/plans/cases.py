@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallywright.operators import answers, audits, cases, families, gates
+from tallywright.operators import answers, audits, cases, claims, families, gates
 
 from .estimation import rounded
 from .meaning import _CLAIM, PLANTED, planted
@@ -190,3 +190,42 @@ def answer_tokens(spark, sf_dir):
     t = table(spark, sf_dir, "documents").select("doc_id", F.transform(F.array(found), lambda x: x)[0].alias("t"))
     numbers = F.transform("t", lambda x: x["number"].cast("double"))
     return t.select("doc_id", F.size("t").cast("long").alias("n"), F.size(F.filter("t", lambda x: x["unit"] != "")).cast("long").alias("n_unit"), F.size(F.filter("t", lambda x: x["cmp"] != "")).cast("long").alias("n_cmp"), F.array_min(numbers).alias("lo"), F.array_max(numbers).alias("hi"))
+
+
+@query(
+    "g40_claim_checks",
+    """WITH c AS (SELECT c_custkey AS k, c_mktsegment AS s, c_nationkey AS n FROM customer), p AS (SELECT k, 1 AS place, 'difference' AS kind, s, n FROM c UNION ALL SELECT k, 2, 'threshold', s, n FROM c WHERE k % 2 = 0)
+    SELECT k AS claim_id, 'P' || place || '_measure' AS item, 'The part measures: owing.' AS statement, true AS quote_required FROM p
+    UNION ALL SELECT k, 'P' || place || '_groups', CASE kind WHEN 'threshold' THEN 'It is about ' || s || '.' ELSE 'It compares ' || s || ' with OTHER.' END, true FROM p
+    UNION ALL SELECT k, 'P' || place || '_direction', CASE kind WHEN 'threshold' THEN 'It says more than half of them.' ELSE 'It says that ' || s || ' do it more often than OTHER.' END, true FROM p
+    UNION ALL SELECT k, 'P' || place || '_population', 'It is only about nation ' || n || '.', true FROM p WHERE k % 3 = 0
+    UNION ALL SELECT k, 'G1', 'What is said of causal effect stays as it is said.', true FROM c WHERE k % 4 = 0 UNION ALL SELECT k, 'X1', 'q1, q2 stand for buying.', true FROM c WHERE k % 6 = 0
+    UNION ALL SELECT k, 'W_causal', CASE WHEN k % 5 = 0 THEN 'The cause is kept as it is said.' ELSE 'No cause is named.' END, k % 5 = 0 FROM c UNION ALL SELECT k, 'W_extra', 'Nothing is added.', false FROM c""",
+)
+def claim_checks(spark, sf_dir):
+    """What paraphrases of the customers' claims must keep, from their parts, gaps and proxies."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("claim_id"), F.col("c_mktsegment").alias("a"), F.concat(F.lit("nation "), "c_nationkey").alias("population"))
+    k = F.col("claim_id")
+    part = lambda df, place, kind, direction: df.select("claim_id", F.lit(place).alias("place"), F.lit("owing").alias("measure"), F.lit(kind).alias("kind"), "a", F.lit("OTHER").alias("b"), F.lit(direction).alias("direction"), F.when(k % 3 == 0, F.col("population")).alias("population"))
+    parts = part(c, 1, "difference", "more often than").unionByName(part(c.where(k % 2 == 0), 2, "threshold", "more than"))
+    gaps = c.where(k % 4 == 0).select("claim_id", F.lit(1).alias("place"), F.lit("causal effect").alias("concept"))
+    proxies = c.where(k % 6 == 0).select("claim_id", F.lit(1).alias("place"), F.lit("buying").alias("concept"), F.array(F.lit("q1"), F.lit("q2")).alias("variables"))
+    return claims.meaning_checks(c.select("claim_id", (k % 5 == 0).alias("causal")), parts, gaps, proxies)
+
+
+@query(
+    "g42_numerical_rows",
+    """WITH e AS (SELECT c_nationkey AS n, c_mktsegment AS s FROM customer GROUP BY 1, 2), k AS (SELECT * FROM e WHERE n % 2 = 1 OR (n % 6 <> 0 AND s IN ('BUILDING', 'MACHINERY')))
+    SELECT n AS case_id, 'e1' AS id, 'estimate' AS kind, string_agg(s, ',' ORDER BY s) AS groups FROM k WHERE n % 5 <> 0 GROUP BY 1 UNION ALL SELECT DISTINCT n, 'c1', 'contrast', NULL FROM e WHERE n % 5 <> 0 AND n % 3 <> 0""",
+)
+def numerical_rows(spark, sf_dir):
+    """The results of each nation whose numbers are asked for: even nations ask for two segments, some for one that there isn't, every fifth for none."""
+    e = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("case_id"), F.col("c_mktsegment").alias("grp")).agg(F.count(F.lit(1)).alias("n"), F.avg("c_acctbal").alias("value")).withColumn("id", F.lit("e1"))
+    n = F.col("case_id")
+    case = e.select("case_id").distinct()
+    of = lambda df, i, kind: df.select("case_id", F.lit(i).alias("id"), F.lit(kind).alias("kind"), F.lit("owing").alias("variable"), F.lit("share").alias("operation"))
+    results = of(case, "e1", "estimate").unionByName(of(case.where(n % 3 != 0), "c1", "contrast")).unionByName(of(case, "g1", "gap"))
+    asked = F.when(n % 6 == 0, F.array(F.lit("NOBODY"))).otherwise(F.array(F.lit("BUILDING"), F.lit("MACHINERY")))
+    wanted = case.where(n % 2 == 0).select("case_id", F.explode(asked).alias("grp"))
+    found = claims.numerical_requirements(results, e, wanted, case.select("case_id", (n % 5 != 0).alias("asked")))
+    return found.select("case_id", "id", "kind", F.array_join("groups", ",").alias("groups"))
