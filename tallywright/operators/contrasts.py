@@ -139,7 +139,7 @@ def mantel_haenszel(strata: DataFrame, expect: str | None | Column = None, by: l
     in a stratum that is used. A pooled ratio of zero or infinity has no interval and the label "unavailable". by: a ratio for each key.
     """
     by, wanted = by or [], expected(expect)
-    a, b, c, d = map(F.col, "abcd")
+    a, b, c, d = (F.col(x).cast("double") for x in "abcd")  # products of four counts leave 64 bits
     n = a + b + c + d
     used = (n >= SUPPRESS) & (a + b > 0) & (c + d > 0)
     r, s = a * d / n, b * c / n
@@ -147,13 +147,13 @@ def mantel_haenszel(strata: DataFrame, expect: str | None | Column = None, by: l
     only = lambda x: F.sum(F.when(used, x))
     spread = (a + b) * (c + d) * (a + c) * (b + d) / (n * n * (n - 1))
     thin = F.least(a + b, c + d) * F.least(a + c, b + d) / n < 5
-    one = strata.groupBy(*by).agg(only(r).alias("r"), only(s).alias("s"), only(p * r).alias("pr"), only(p * s + q * r).alias("ps"), only(q * s).alias("qs"), only(a - (a + b) * (a + c) / n).alias("gap"), only(spread).alias("spread"), F.count_if(used).alias("strata"), F.count_if(~used).alias("dropped"), F.bool_or(used & thin).alias("sparse"), *[only(F.col(x)).alias(x) for x in "abcd"])
+    one = strata.groupBy(*by).agg(only(r).alias("r"), only(s).alias("s"), only(p * r).alias("pr"), only(p * s + q * r).alias("ps"), only(q * s).alias("qs"), only(a - (a + b) * (a + c) / n).alias("gap"), only(spread).alias("spread"), F.count_if(used).alias("strata"), F.count_if(~used).alias("dropped"), F.bool_or(used & thin).alias("sparse"), *[only(x).alias(name) for name, x in zip("abcd", (a, b, c, d), strict=True)])
     one = one.withColumn("odds", F.when(F.col("r") > 0, F.col("r") / F.nullif(F.col("s"), F.lit(0.0))))
     some_r, some_s = F.nullif(F.col("r"), F.lit(0.0)), F.nullif(F.col("s"), F.lit(0.0))
     se = F.sqrt(F.col("pr") / (2 * some_r * some_r) + F.col("ps") / (2 * some_r * some_s) + F.col("qs") / (2 * some_s * some_s))
     lo, hi = F.ln("odds") - Z * se, F.ln("odds") + Z * se
     cmh = F.when(F.col("odds").isNotNull(), F.col("gap") / F.nullif(F.sqrt("spread"), F.lit(0.0)))  # its square is the statistic
-    crude = F.col("a") * F.col("d") / F.nullif(F.col("b") * F.col("c"), F.lit(0))
+    crude = F.col("a") * F.col("d") / F.nullif(F.col("b") * F.col("c"), F.lit(0.0))
     return one.select(*by, "strata", "dropped", "sparse", F.col("odds").alias("odds_ratio"), F.exp(lo).alias("lo"), F.exp(hi).alias("hi"), p_normal(cmh).alias("p"), contrast_label(lo, hi, wanted).alias("label"), crude.alias("crude"))
 
 
@@ -162,7 +162,7 @@ def breslow_day(strata: DataFrame) -> DataFrame:
 
     Each stratum's first cell is expected from its margins and the pooled odds ratio. Strata with an empty margin or under ten respondents are left out.
     """
-    a, b, c, d = map(F.col, "abcd")
+    a, b, c, d = (F.col(x).cast("double") for x in "abcd")
     n = a + b + c + d
     used = strata.where((n >= 10) & (a + b > 0) & (c + d > 0) & (a + c > 0) & (b + d > 0))
     pooled = used.agg((F.sum(a * d / n) / F.sum(b * c / n)).alias("r"))

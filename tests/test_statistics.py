@@ -157,3 +157,12 @@ def test_pooled_odds(spark):
     assert (r.strata, r.dropped, r.label) == (2, 1, "consistent") and r.p == pytest.approx(math.erfc(abs(gap) / math.sqrt(var) / math.sqrt(2)))
     none = contrasts.mantel_haenszel(spark.createDataFrame([(30, 0, 15, 25)], one.schema), ">").first()
     assert none.odds_ratio is None and none.label == "unavailable" and none.p is None
+
+
+def test_pooled_odds_of_large_strata(spark):
+    big = 3_000_000_000
+    one = spark.createDataFrame([(3 * big, big, 2 * big, big), (2 * big, big, big, 2 * big)], "a long, b long, c long, d long")
+    small = spark.createDataFrame([(3000, 1000, 2000, 1000), (2000, 1000, 1000, 2000)], one.schema)
+    large, few = (contrasts.mantel_haenszel(x, "!=").first() for x in (one, small))
+    assert large.odds_ratio == pytest.approx(few.odds_ratio) and large.crude == pytest.approx(few.crude) == 5 * 3 / (2 * 3)
+    assert contrasts.breslow_day(one).first().statistic == pytest.approx(contrasts.breslow_day(small).first().statistic * big / 1000)
