@@ -166,3 +166,9 @@ def test_pooled_odds_of_large_strata(spark):
     large, few = (contrasts.mantel_haenszel(x, "!=").first() for x in (one, small))
     assert large.odds_ratio == pytest.approx(few.odds_ratio) and large.crude == pytest.approx(few.crude) == 5 * 3 / (2 * 3)
     assert contrasts.breslow_day(one).first().statistic == pytest.approx(contrasts.breslow_day(small).first().statistic * big / 1000)
+
+
+def test_pooled_odds_of_large_strata_by_spec(spark):
+    one = spark.createDataFrame([("p1", ">", 90_000, 30_000, 60_000, 30_000), ("p2", "<", 30_000, 90_000, 60_000, 30_000)], "spec_id string, expect string, a long, b long, c long, d long")
+    found = {r.spec_id: r for r in contrasts.mantel_haenszel(one, F.col("expect"), ["spec_id", "expect"]).collect()}
+    assert found["p1"].odds_ratio == pytest.approx(1.5) and found["p2"].odds_ratio == pytest.approx(1 / 6) and {r.label for r in found.values()} == {"consistent"}
