@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallywright.sources.files import written
+
 
 def split_leaks(rows: DataFrame, kinds: dict[str, str], split: str = "split") -> DataFrame:
     """(kind, key, splits) of identities that occur in more than one split."""
@@ -79,7 +81,7 @@ def benchmark_faults(items: DataFrame, texts: DataFrame, answers: DataFrame, mar
     return out
 
 
-def lexical(rows: DataFrame, held_out: list[str], labels: int = 3, least: int = 20, over: float = 0.1) -> DataFrame:
+def lexical(rows: DataFrame, held_out: list[str], labels: int = 3, least: int = 20, over: float = 0.1, broadcast_rows: int = 200_000) -> DataFrame:
     """One row (status, train, test, accuracy, baseline, flagged): how well words alone tell the labels of texts whose groups weren't learnt from.
 
     rows: (id, text, label, grp), ids being unique; rows without a label or group are left out. Multinomial naive Bayes with add-one smoothing over lower-case words of letters,
@@ -87,7 +89,8 @@ def lexical(rows: DataFrame, held_out: list[str], labels: int = 3, least: int =
     name if several). Without exactly so many learnt labels, or with fewer tests than `least`, the status is insufficient_coverage and there is no figure. flagged:
     more than `over` above the baseline.
 
-    Word counts are summed before the shuffle; a word's weights are an array with a place for each label, joined to the words of the tested texts.
+    Word counts are summed before the shuffle; a word's weights are an array with a place for each label, joined to the words of the tested texts:
+    up to broadcast_rows words are broadcast. Rows that are dealt by id stay where they are, so the deal bounds what a task holds.
     """
     rows = rows.where("label is not null and grp is not null").withColumn("test", F.col("grp").isin(held_out))
     docs = rows.where("not test").groupBy("label").agg(F.count(F.lit(1)).alias("docs"))
@@ -100,8 +103,9 @@ def lexical(rows: DataFrame, held_out: list[str], labels: int = 3, least: int =
     model = docs.join(sums.hint("merge"), "label", "left").crossJoin(F.broadcast(size)).agg(F.array_sort(F.collect_list(F.struct("label", "docs", F.coalesce("total", F.lit(0)).alias("total")))).alias("labels"), F.max("v").alias("v"), F.sum("docs").alias("train"))
     by_word = learnt.groupBy("w").agg(F.map_from_entries(F.collect_list(F.struct("label", "k"))).alias("ks"))  # an entry for each label
     weigh = F.transform("labels", lambda x: F.ln((F.coalesce(F.try_element_at("ks", x["label"]), F.lit(0)) + 1) / (x["total"] + F.col("v"))))
-    weights = by_word.crossJoin(F.broadcast(model)).select("w", weigh.alias("weights"))
-    scored = words.where("test").join(weights.hint("merge"), "w").select("id", F.posexplode(F.transform("weights", lambda x: x * F.col("k"))).alias("place", "s")).groupBy("id", "place").agg(F.sum("s").alias("s"))
+    weights = written(by_word.crossJoin(F.broadcast(model)).select("w", weigh.alias("weights")), "weights")
+    how = "broadcast" if weights.count() <= broadcast_rows else "merge"
+    scored = words.where("test").join(weights.hint(how), "w").select("id", F.posexplode(F.transform("weights", lambda x: x * F.col("k"))).alias("place", "s")).groupBy("id", "place").agg(F.sum("s").alias("s"))
     best = scored.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("place", "s"))).alias("s"))
     tested = rows.where("test").select("id", "label").join(best.hint("merge"), "id", "left").crossJoin(F.broadcast(model))
     scores = F.transform("labels", lambda x, i: F.struct((-(F.ln(x["docs"] / F.col("train")) + F.coalesce(F.try_element_at("s", i), F.lit(0.0)))).alias("m"), x["label"].alias("label")))

@@ -13,6 +13,8 @@ from .packages import OWN, owners
 from .registry import query, table
 from .study import respondents
 
+#: Labelled documents of one task.
+PART = 4096
 _ANALYSES = "a AS (SELECT 'p' || p_partkey AS core, p_type AS card, p_brand AS block, p_brand AS grouping, (p_size % 2)::VARCHAR AS groups, CASE WHEN p_size % 3 = 0 THEN 'support' WHEN p_size % 3 = 1 THEN 'contradict' ELSE 'inconclusive' END AS label, p_size % 4 = 0 AS threshold, p_size > 5 AS tested, p_size % 7 <> 0 AS stable FROM part)"
 _D = lambda *parts: "sha256('[\"' || " + " || '\", \"' || ".join(parts) + " || '\"]')"
 
@@ -132,7 +134,8 @@ def grouped_audit(spark, sf_dir):
     sources = sorted(r[0] for r in docs.where("source is not null").select("source").distinct().collect())  # names of sources, a setting of the corpus
     label = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").otherwise("poor")
     labels = table(spark, sf_dir, "labels").where("quality is not null and toxic is not null")
-    rows = docs.join(labels.hint("merge"), "doc_id").select(F.col("doc_id").alias("id"), "text", label.alias("label"), F.col("source").alias("grp"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), labels.count() // PART + 1)  # a task has so many documents, however many there are
+    rows = docs.repartition(parts, "doc_id").join(labels.repartition(parts, "doc_id").hint("merge"), "doc_id").select(F.col("doc_id").alias("id"), "text", label.alias("label"), F.col("source").alias("grp"))
     return rounded(audits.lexical(rows, sources[: -(-len(sources) // 2)]))
 
 
