@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallywright.operators import answers, audits, cases, claims, families, gates
+from tallywright.sources.files import written
 
 from .estimation import rounded
 from .meaning import _CLAIM, PLANTED, planted
@@ -110,6 +111,7 @@ def gate_summary(spark, sf_dir):
     """The gate of a verifier that looks at length, causes and capitals, on claims of customers and seven planted changes; second runs of originals fail or flip at times."""
     original = table(spark, sf_dir, "customer").select("c_custkey", F.expr(_CLAIM).alias("claim")).select("c_custkey", F.lit("original").alias("kind"), F.col("claim").alias("changed"), "claim", F.explode(F.array(F.lit(1), F.lit(2))).alias("run"))
     jobs = planted(spark, sf_dir).select("c_custkey", "kind", "changed", "claim", F.lit(1).alias("run")).unionByName(original).withColumn("id", F.concat_ws(":", "c_custkey", "kind", "run"))
+    jobs = written(jobs, "jobs")
     again = (F.col("kind") == "original") & (F.col("run") == 2)
     calls = jobs.select("id", F.when(again & (F.col("c_custkey") % 40 == 0), "Timeout").alias("error"))
     capitals = lambda c: F.array_sort(F.regexp_extract_all(c, F.lit("[A-Z]+"), F.lit(0)))
