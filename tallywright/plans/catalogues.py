@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import unicodedata
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,6 +19,8 @@ from .packages import OWN, REC, family_inventory, numeric_references, records
 from .registry import query, table
 from .study import ORDERS, SQL, respondents
 
+#: Texts that a Python worker folds at a time.
+FOLDED = 256
 NAMES = ["status", "priority", "segment", "region", "balance", "ret_a", "ret_n", "ret_r"]
 _LONG = " UNION ALL ".join(f"SELECT '{v}' AS variable, {v}::VARCHAR AS v, {'(ret_a IS NOT NULL OR ret_n IS NOT NULL OR ret_r IS NOT NULL)' if v in ORDERS.block_of else v + f' IS NOT NULL AND {v} <> ' + repr(REFUSAL)} AS base FROM r" for v in NAMES)
 
@@ -76,12 +81,16 @@ def described_variables(spark, sf_dir):
 @query("c10_normal_text")
 def normal_text(spark, sf_dir):
     """Texts in NFKC, case-folded, as word tokens joined by a space; null is empty."""
-    @F.pandas_udf("string")
-    def folded(t: pd.Series) -> pd.Series:
-        return t.str.normalize("NFKC").str.casefold()
 
-    text = folded(F.coalesce("text", F.lit("")))
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.regexp_extract_all(text, F.lit(r"(?U)\w+"), F.lit(0)), " ").alias("text"))
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, FOLDED):  # of a batch of Arrow only so many texts are Python's at a time
+                some = batch.slice(at, FOLDED)
+                texts = [unicodedata.normalize("NFKC", t).casefold() for t in some.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return docs.mapInArrow(folded, docs.schema).select("doc_id", F.array_join(F.regexp_extract_all("text", F.lit(r"(?U)\w+"), F.lit(0)), " ").alias("text"))
 
 
 @query("c13_routed_blocks", "WITH n AS (SELECT string_agg(DISTINCT p_brand, '; ' ORDER BY p_brand) AS note FROM part WHERE p_size = 50) SELECT p_brand, coalesce(contains(any_value(note), p_brand || ';'), false) OR bool_or(p_type = 'PROMO' AND p_size = 1) AS routed FROM part LEFT JOIN n ON true GROUP BY 1")

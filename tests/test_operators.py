@@ -200,3 +200,10 @@ def test_numbering(spark):
 def test_normal_text(spark, tmp_path):
     spark.createDataFrame([(1, "Ｆull ﬁt, STRASSE ß"), (2, None), (3, "")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert {r.doc_id: r.text for r in QUERIES["c10_normal_text"](spark, str(tmp_path)).collect()} == {1: "full fit strasse ss", 2: "", 3: ""}
+
+
+def test_normal_text_streams_in_small_steps(spark, tmp_path):
+    spark.createDataFrame([(i, "ﬁt ＡＢ é " * (i % 3)) for i in range(700)] + [(None, None)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    found = QUERIES["c10_normal_text"](spark, str(tmp_path))
+    assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r.doc_id, r.text) for r in found.collect()} == {(i, " ".join(["fit ab é"] * (i % 3))) for i in range(700)} | {(None, "")}
