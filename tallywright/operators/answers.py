@@ -26,16 +26,24 @@ def sentences(answer: Column) -> Column:
     return F.filter(F.transform(F.split(F.regexp_replace(answer, r"([.!?])\s+", "$1\n"), "\n"), F.trim), lambda x: x != "")
 
 
+def once(value: Column, use) -> Column:
+    """use(value) with value computed once, however often the lambda names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def tokens(sentence: Column) -> Column:
     """(cmp, number, unit) of each number of a sentence; cited ids and confidence levels are left out.
 
     The first number of a range takes the unit that is written behind the second.
     """
-    text = F.regexp_replace(F.regexp_replace(sentence, CITED, " "), LEVEL, " $1")
+    # each pass over a long sentence is made once, and only where there is what it looks for
+    text = once(sentence, lambda s: F.when(F.contains(s, F.lit(".r")), F.regexp_replace(s, CITED, " ")).otherwise(s))
+    text = once(text, lambda s: F.when(F.contains(s, F.lit("95")), F.regexp_replace(s, LEVEL, " $1")).otherwise(s))
     text = F.regexp_replace(text, RANGE, "$1$5 $2$3$5")
-    part = lambda i: F.regexp_extract_all(text, F.lit(TOKEN), F.lit(i))
-    each = F.arrays_zip(part(1).alias("cmp"), part(2).alias("number"), part(3).alias("unit"))
-    return F.transform(each, lambda x: F.struct(F.trim(x["cmp"]).alias("cmp"), F.regexp_replace(F.regexp_replace(x["number"], ",", ""), "−", "-").alias("number"), F.lower(x["unit"]).alias("unit")))
+    part = lambda x, i: F.regexp_extract(x, TOKEN, i)
+    each = F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda x: F.struct(F.trim(part(x, 1)).alias("cmp"), F.translate(F.replace(part(x, 2), F.lit(","), F.lit("")), "−", "-").alias("number"), F.lower(part(x, 3)).alias("unit")))
+    none = F.array().cast("array<struct<cmp:string,number:string,unit:string>>")
+    return F.when(~sentence.rlike("[0-9]"), none).otherwise(each)
 
 
 def label_numbers(text: Column) -> Column:

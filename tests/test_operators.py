@@ -207,3 +207,12 @@ def test_normal_text_streams_in_small_steps(spark, tmp_path):
     found = QUERIES["c10_normal_text"](spark, str(tmp_path))
     assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
     assert {(r.doc_id, r.text) for r in found.collect()} == {(i, " ".join(["fit ab é"] * (i % 3))) for i in range(700)} | {(None, "")}
+
+
+def test_numbers_take_one_pass(spark):
+    said = ["", None, "no number", "5 percentage", "2 to 3% of .r5 x1.r2", "<= 1,000 points and 95% CI", "95 % confidence, 7 to 8 pp", "−3.5e-2 percent"]
+    found = spark.createDataFrame([(i, x) for i, x in enumerate(said)], "i int, s string").select("i", answers.tokens(F.col("s")).alias("t"))
+    assert found._jdf.queryExecution().analyzed().toString().count("regexp_extract_all") == 1
+    got = {r.i: r.t and [tuple(x) for x in r.t] for r in found.collect()}
+    assert got[0] == [] and got[1] is None and got[2] == [] and got[3] == [("", "5", "")] and got[4] == [("", "2", "%"), ("", "3", "%"), ("", "5", "")]
+    assert got[5] == [("<=", "1000", "points")] and got[6] == [("", "7", "pp"), ("", "8", "pp")] and got[7] == [("", "-3.5e-2", "percent")]
