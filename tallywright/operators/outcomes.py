@@ -81,9 +81,13 @@ def review_summary(judged: DataFrame, by: str) -> DataFrame:
 def criterion_failures(cases: DataFrame, items: DataFrame, checks: DataFrame, by: str) -> DataFrame:
     """(by, kind, name, n, failed): criteria by type over valid judgements, and checks by name over all cases; items also have a type."""
     passed = F.coalesce("passed", F.lit(False))
-    long = items.select("id", F.lit("criterion").alias("kind"), F.col("type").alias("name"), passed.alias("ok")).unionByName(checks.select("id", F.lit("check").alias("kind"), F.col("check").alias("name"), passed.alias("ok")))
-    joined = long.join(cases.select("id", by, F.coalesce("valid", F.lit(False)).alias("valid")).hint("merge"), "id").where("valid or kind = 'check'")
-    return joined.groupBy(by, "kind", "name").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("ok")).alias("failed"))
+
+    def counted(rows: DataFrame, kind: str, name: str, of: DataFrame) -> DataFrame:
+        # joined on their own, in the order of their cases if they come so: a union would be sorted once more, with wider rows
+        joined = rows.select("id", F.col(name).alias("name"), passed.alias("ok")).join(of.select("id", by).hint("merge"), "id")
+        return joined.groupBy(by, F.lit(kind).alias("kind"), "name").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("ok")).alias("failed"))
+
+    return counted(items, "criterion", "type", cases.where("valid")).unionByName(counted(checks, "check", "check", cases))
 
 
 def paired(base: DataFrame, other: DataFrame, settings: DataFrame) -> tuple[DataFrame, DataFrame]:

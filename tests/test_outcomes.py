@@ -107,3 +107,13 @@ def test_best_checkpoints(spark):
     got = {tuple(r) for r in outcomes.best_checkpoints(spark.createDataFrame(rows, "run string, tag string, step int, loss double, eligible boolean"), "run").collect()}
     assert got == {("a", "t2", 2, 0.5), ("b", None, None, None)}
     assert outcomes.best_checkpoints(spark.createDataFrame(rows, "run string, tag string, step int, loss double, eligible boolean").where(F.lit(False)), "run").count() == 0
+
+
+def test_criteria_join_without_a_union_below(spark):
+    cases = spark.createDataFrame([(1, "a", True), (2, "a", False), (3, "b", None)], "id int, variant string, valid boolean")
+    items = spark.createDataFrame([(1, "x", False), (1, "x", True), (2, "x", False), (3, "x", True), (9, "x", True), (1, None, None)], "id int, type string, passed boolean")
+    checks = spark.createDataFrame([(1, "numbers", True), (2, "numbers", False), (3, "numbers", None)], "id int, check string, passed boolean")
+    found = outcomes.criterion_failures(cases, items, checks, "variant")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Union") < plan.index("Join") and plan.count("Union") == 1
+    assert {tuple(r) for r in found.collect()} == {("a", "criterion", "x", 2, 1), ("a", "criterion", None, 1, 1), ("a", "check", "numbers", 2, 1), ("b", "check", "numbers", 1, 1)}
