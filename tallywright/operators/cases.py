@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .answers import once
 from .families import digest, take_by_hash
 
 #: The patterns of blueprints: outcomes besides the main one, population, threshold, who is compared, gaps. Fixed names.
@@ -135,26 +136,37 @@ def contracts(components: DataFrame, bindings: DataFrame, relations: DataFrame,
     components: (case_id, id, text, estimand, scope, limitation); bindings: (case_id, component, variable, operation, groups, threshold, expect);
     relations: (case_id, place, id, kind, members), members being components or earlier relations; contrasts: (case_id, component, estimate, value, label);
     estimates: (case_id, estimate, grp, n, value). The analysis contract asks for each binding and names the limitation of each component that has one; the synthesis
-    contract has for each component its contrast with the estimates of the groups that its binding asks for, or its limitation. Each part of a case is
-    one row before they are joined by case; a case without components has no contract.
+    contract has for each component its contrast with the estimates of the groups that its binding asks for, or its limitation. The parts of a case meet
+    in one row, by one exchange, and are put together there; a case without components has no contract.
     """
-    lists = lambda df, name, *cols: df.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name)).hint("merge")  # noqa: E731  the parts of a case
-    bound = bindings.select("case_id", "component", "variable", "operation", "groups", "threshold", "expect")
-    asked = estimates.join(contrasts.select("case_id", "component", "estimate").hint("merge"), ["case_id", "estimate"]).join(bound.select("case_id", "component", "groups").hint("merge"), ["case_id", "component"]).where(F.array_contains("groups", F.col("grp")))
-    shown = asked.groupBy("case_id", "component").agg(F.array_sort(F.collect_list(F.struct("grp", "n", "value"))).alias("estimates"))
-    said = contrasts.join(shown.hint("merge"), ["case_id", "component"], "left").select("case_id", "component", F.struct("estimate", "value", "label").alias("contrast"), "estimates")
-    each = components.join(said.withColumnRenamed("component", "id").hint("merge"), ["case_id", "id"], "left")
-    findings = each.select("case_id", F.col("id").alias("component"), "contrast", "estimates", F.when(F.col("contrast").isNull(), F.col("limitation")).alias("limitation"))
-    whole = components.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("id", "text", "estimand", "scope", "limitation"))).alias("components"))
-    whole = whole.join(lists(bound, "required", "component", "variable", "operation", "groups", "threshold", "expect"), "case_id", "left").join(lists(relations, "relations", "place", "id", "kind", "members"), "case_id", "left")
-    listed = findings.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("component", F.struct("contrast", "estimates", "limitation").alias("x")))).alias("found"))  # ordered by component
-    whole = whole.join(listed.hint("merge"), "case_id")
-    related = F.coalesce("relations", F.array().cast(f"array<{RELATION}>"))
-    depth = relation_depth(related)
+    kinds = {
+        "components": (components, ["id", "text", "estimand", "scope", "limitation"]),
+        "required": (bindings, ["component", "variable", "operation", "groups", "threshold", "expect"]),
+        "relations": (relations, ["place", "id", "kind", "members"]),
+        "contrasts": (contrasts, ["component", "estimate", "value", "label"]),
+        "measured": (estimates, ["estimate", "grp", "n", "value"]),
+    }
+    none = {k: F.lit(None).cast(df.select(F.struct(*cols).alias("x")).schema["x"].dataType) for k, (df, cols) in kinds.items()}
+    parts = [df.where("case_id is not null").select("case_id", *[(F.struct(*cols) if x == k else none[x]).alias(x) for x in kinds]) for k, (df, cols) in kinds.items()]
+    # what a row isn't is null, which no list takes up
+    whole = reduce(DataFrame.unionByName, parts).groupBy("case_id").agg(*[F.array_sort(F.collect_list(k)).alias(k) for k in kinds]).where(F.size("components") > 0)
+
+    def estimates_of(c: Column, own: Column) -> Column:
+        asked = F.flatten(F.transform(F.filter("required", lambda b: b["component"] == c["id"]), lambda b: F.array_distinct(F.coalesce(b["groups"], F.array().cast("array<string>")))))
+        times = lambda e, asked: F.size(F.filter(asked, lambda g: g == e["grp"]))  # noqa: E731  once for each binding
+        each = lambda t, asked: F.transform(F.filter("measured", lambda e: e["estimate"] == t["estimate"]), lambda e: F.array_repeat(F.struct(e["grp"].alias("grp"), e["n"].alias("n"), e["value"].alias("value")), times(e, asked)))
+        return once(asked, lambda asked: F.array_sort(F.flatten(F.transform(own, lambda t: F.flatten(each(t, asked))))))
+
+    def findings(c: Column) -> Column:
+        row = lambda contrast, seen, limitation: F.struct(c["id"].alias("component"), contrast.alias("contrast"), F.when(F.size(seen) > 0, seen).alias("estimates"), limitation.alias("limitation"))
+        own = F.transform(F.filter("contrasts", lambda t: t["component"] == c["id"]), lambda t: F.struct(t["estimate"].alias("estimate"), t["value"].alias("value"), t["label"].alias("label")))
+        said = lambda own: once(estimates_of(c, own), lambda seen: F.when(F.size(own) > 0, F.transform(own, lambda t: row(t, seen, F.lit(None).cast("string")))).otherwise(F.array(row(F.get(own, F.lit(0)), seen, c["limitation"]))))
+        return once(own, said)
+
     gaps = F.transform(F.filter("components", lambda c: c["limitation"].isNotNull()), lambda c: F.struct(c["id"].alias("component"), c["limitation"].alias("reason")))
-    found = F.transform("found", lambda f: F.struct(f["component"].alias("component"), f["x"]["contrast"].alias("contrast"), f["x"]["estimates"].alias("estimates"), f["x"]["limitation"].alias("limitation")))
-    analysis = F.struct(F.lit("analysis").alias("level"), "components", related.alias("relations"), depth.alias("relation_depth"), F.coalesce("required", F.array().cast("array<struct<component:string,variable:string,operation:string,groups:array<string>,threshold:double,expect:string>>")).alias("required"), gaps.alias("gaps"))
-    synthesis = F.struct(F.lit("synthesis").alias("level"), related.alias("relations"), depth.alias("relation_depth"), found.alias("findings"))
+    whole = whole.withColumns({"depth": relation_depth(F.col("relations")), "gaps": gaps, "found": F.array_sort(F.flatten(F.transform("components", findings)))})
+    analysis = F.struct(F.lit("analysis").alias("level"), "components", "relations", F.col("depth").alias("relation_depth"), "required", "gaps")
+    synthesis = F.struct(F.lit("synthesis").alias("level"), "relations", F.col("depth").alias("relation_depth"), F.col("found").alias("findings"))
     return whole.select("case_id", F.to_json(analysis).alias("analysis"), F.to_json(synthesis).alias("synthesis"))
 
 

@@ -67,6 +67,11 @@ def study_blueprints(spark, sf_dir):
     return found.select("study", "place", "pattern", "family", F.size("analyses").alias("n_analyses"), F.array_join(F.transform("analyses", lambda a: a["expect"]), "").alias("expects"), F.array_join("gaps", ",").alias("gaps"), "proxy", "claim")
 
 
+#: The fields of both contracts that the counts need; a parser skips the others.
+_ANALYSIS_READ = "components array<struct<id:string>>, required array<struct<component:string>>, gaps array<struct<component:string>>"
+_SYNTHESIS_READ = "relation_depth int, findings array<struct<contrast:struct<estimate:string>,estimates:array<struct<grp:string>>,limitation:string>>"
+
+
 @query(
     "g28_case_contracts",
     """WITH l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity, l_extendedprice) AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem)
@@ -84,7 +89,7 @@ def case_contracts(spark, sf_dir):
     contrasts = lines.where(bound).select("case_id", cid.alias("component"), F.concat(F.lit("e"), "i").alias("estimate"), F.col("q").alias("value"), F.lit("consistent").alias("label"))
     estimates = lines.where(bound).select("case_id", F.concat(F.lit("e"), "i").alias("estimate"), F.explode(F.array(F.lit("high"), F.lit("low"))).alias("grp"), F.lit(10).cast("long").alias("n"), F.col("q").alias("value"))
     made = cases.contracts(components, bindings, relations, contrasts, estimates)
-    back = made.select("case_id", F.from_json("analysis", cases.ANALYSIS_CONTRACT).alias("a"), F.from_json("synthesis", cases.SYNTHESIS_CONTRACT).alias("s"))
+    back = made.select("case_id", F.from_json("analysis", _ANALYSIS_READ).alias("a"), F.from_json("synthesis", _SYNTHESIS_READ).alias("s"))
     found = "s.findings"
     # of the two estimates of a contrast only that of the group asked for is shown
     return back.select("case_id", F.size("a.components").cast("long").alias("components"), F.size("a.required").cast("long").alias("required"), F.size("a.gaps").cast("long").alias("gaps"), F.col("s.relation_depth").cast("long").alias("relation_depth"), F.size(F.filter(found, lambda f: f["contrast"].isNotNull())).cast("long").alias("contrasts"), F.aggregate(found, F.lit(0), lambda n, f: n + F.coalesce(F.size(f["estimates"]), F.lit(0))).cast("long").alias("estimates"), F.size(F.filter(found, lambda f: f["limitation"].isNotNull())).cast("long").alias("limited"))
