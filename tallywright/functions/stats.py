@@ -81,9 +81,13 @@ def least_expected(ka: Column, na: Column, kb: Column, nb: Column) -> Column:
 
 
 def two_shares_test(ka: Column, na: Column, kb: Column, nb: Column) -> tuple[Column, Column]:
-    """p and its method: the pooled z, or Fisher's exact test if an expected cell is under five."""
+    """p and its method: the pooled z, or Fisher's exact test if an expected cell is under five.
+
+    A Python function runs on all rows, whatever condition stands before it, so others come to it as null: a sparse table of n
+    respondents has at most sqrt(5 n) alternatives, any other as many as respondents.
+    """
     sparse = least_expected(ka, na, kb, nb) < 5
-    p = F.when(sparse, p_fisher(ka, na - ka, kb, nb - kb)).otherwise(p_normal(pooled_z(ka, na, kb, nb)))
+    p = F.when(sparse, p_fisher(*[F.when(sparse, x) for x in (ka, na - ka, kb, nb - kb)])).otherwise(p_normal(pooled_z(ka, na, kb, nb)))
     return p, F.when(sparse, "fisher_exact").otherwise("pooled_z")
 
 
@@ -93,10 +97,11 @@ def threshold_test(k: Column, n: Column, t: Column) -> tuple[Column, Column, Col
     The interval and the p are of one family, so the interval leaves 0 out exactly where p is under 0.05.
     """
     exact = F.least(n * t, n * (1 - t)) < 5
-    (wlo, whi), both = wilson(k, n), clopper_pearson(k, n)
+    ke, ne = F.when(exact, k), F.when(exact, n)  # the exact functions run on all rows
+    (wlo, whi), both = wilson(k, n), clopper_pearson(ke, ne)
     z = (k / n - t) / F.sqrt(t * (1 - t) / n)
     pick = lambda x, y: F.when(exact, x).otherwise(y)
-    return pick(both["lo"], wlo) - t, pick(both["hi"], whi) - t, pick(p_binomial(k, n, t), p_normal(z)), pick(F.lit("exact_binomial"), F.lit("score_z"))
+    return pick(both["lo"], wlo) - t, pick(both["hi"], whi) - t, pick(p_binomial(ke, ne, t), p_normal(z)), pick(F.lit("exact_binomial"), F.lit("score_z"))
 
 
 def holm(p: Column, pack: list[str], key: list[str]) -> Column:

@@ -172,3 +172,17 @@ def test_pooled_odds_of_large_strata_by_spec(spark):
     one = spark.createDataFrame([("p1", ">", 90_000, 30_000, 60_000, 30_000), ("p2", "<", 30_000, 90_000, 60_000, 30_000)], "spec_id string, expect string, a long, b long, c long, d long")
     found = {r.spec_id: r for r in contrasts.mantel_haenszel(one, F.col("expect"), ["spec_id", "expect"]).collect()}
     assert found["p1"].odds_ratio == pytest.approx(1.5) and found["p2"].odds_ratio == pytest.approx(1 / 6) and {r.label for r in found.values()} == {"consistent"}
+
+
+def test_large_counts_take_no_exact_test(spark):
+    from time import monotonic
+
+    rows = spark.createDataFrame([("a", 40_000_000, 15_000_000), ("b", 40_000_000, 15_002_000), ("c", 40, 1)], "grp string, n long, k long")
+    compared, held = contrasts.compare(rows, ">"), contrasts.against(rows, 0.4, "<")
+    spark.createDataFrame([("a", 40, 1), ("b", 40, 2)], "grp string, n long, k long").transform(contrasts.compare).collect()  # workers are there
+    begun = monotonic()
+    found = {(r.a, r.b): r for r in compared.collect()}
+    assert monotonic() - begun < 15  # the exact test of the first pair alone has thirty million tables
+    assert {k: r.test for k, r in found.items()} == {("a", "b"): "pooled_z", ("a", "c"): "pooled_z", ("b", "c"): "pooled_z"}
+    assert found["a", "b"].p == pytest.approx(math.erfc(abs(found["a", "b"].z) / math.sqrt(2)))
+    assert {r.grp: r.test for r in held.collect()} == dict.fromkeys("abc", "score_z")
