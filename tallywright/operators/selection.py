@@ -14,7 +14,7 @@ from tallywright.sources.files import written
 from .curriculum import attained
 
 #: Cores taken since the pool was written last, from which on it is written again without what they exclude.
-REWRITE = 64
+REWRITE = 2048
 
 
 @dataclass
@@ -40,7 +40,7 @@ class State:
 
 
 def has(requirement: str) -> Column:
-    return F.forall(F.array(*map(F.lit, requirement.split("&"))), lambda t: F.array_contains("tags", t))
+    return reduce(lambda a, b: a & b, [F.array_contains("tags", t) for t in requirement.split("&")])
 
 
 def tightest(lacks: dict[str, int], there: dict[str, int]) -> str | None:
@@ -50,15 +50,31 @@ def tightest(lacks: dict[str, int], there: dict[str, int]) -> str | None:
     return min(lacks, key=lambda r: (there[r] / lacks[r], r))
 
 
-def excluded(free: DataFrame, cores: set, names: list[str], most: int) -> list[tuple[set, list[bool], int]] | None:
-    """What goes with the cores: (those of them that it has, the requirements it has all tags of, how many candidates), summed up; None if that is over `most` rows."""
+def excluded(free: DataFrame, cores: set, most: int) -> list[tuple[set, str, int]] | None:
+    """What goes with the cores: (those of them that it has, its kind, how many candidates), summed up; None if that is over `most` rows."""
     listed = free.sparkSession.createDataFrame([(c,) for c in cores], f"core {dict(free.dtypes)['cores'][6:-1]}")
-    touched = free.select("id", F.array(*[has(r) for r in names]).alias("of"), F.explode("cores").alias("core")).join(listed.hint("broadcast"), "core")  # the cores of at most `ahead` rows
+    touched = free.select("id", "of", F.explode("cores").alias("core")).join(listed.hint("broadcast"), "core")  # the cores of at most `ahead` rows
     each = touched.groupBy("id", "of").agg(F.array_sort(F.collect_set("core")).alias("cores"))
     rows = each.groupBy("cores", "of").agg(F.count(F.lit(1)).alias("n")).limit(most + 1).collect()
     return None if len(rows) > most else [(set(r["cores"]), r["of"], r["n"]) for r in rows]
 
 
+def firsts(free: DataFrame, by: str, there: dict[str, int], few: dict[str, int], wide: int) -> dict[str, list]:
+    """The first rows by hash of each value of `by` in there (value: how many rows), few of it at most, perhaps less.
+
+    Hashes are spread evenly, so the first ones are below a bound that the number of rows tells, and only those below it are sorted.
+    What is below a bound comes before all else whatever the bound, so a list that it makes short is still the beginning of the order. wide: 1,
+    or more after a round whose lists were of no use.
+    """
+    share = {x: wide * (2 * few[x] + 64) / n for x, n in there.items()}
+    bounds = free.sparkSession.createDataFrame([(x, "g" if y >= 1 else f"{int(y * 2**60):015x}", few[x]) for x, y in share.items()], f"{by} string, below string, few int")
+    near = free.join(bounds.hint("broadcast"), by).where(F.col("order") < F.col("below")).withColumn("k", F.row_number().over(W.partitionBy(by).orderBy("order"))).where("k <= few")
+    lists: dict[str, list] = {x: [] for x in there}
+    for r in near.orderBy(by, "k").collect():
+        lists[r[by]].append(r)
+    return lists
+
+
 def covering(candidates: DataFrame, needs: dict[str, int], size: int, seed: int, ahead: int = 512, most: int = 50_000, ignored: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(chosen, shortages): at most size candidates of which no two share a core, the scarcest requirement served first.
 
@@ -69,10 +85,10 @@ def covering(candidates: DataFrame, needs: dict[str, int], size: int, seed: int,
     When all are met, the strata (the sorted tags without those that begin with one of `ignored`) take turns, the least filled first.
     Ties go by seeded hash. Null cores and tags are none; identifiers should be unique. Shortages: (requirement, minimum, attained) of each that isn't met, and of the size.
 
-    The pool stays distributed. A round counts what is left for each requirement (one aggregate), brings the first candidates of each (`ahead` in
-    all) to the driver, and sums up what would go with their cores. So the driver knows all counts after each taking, and takes one after
-    another until a list is used up or a requirement is met. If the sums are over `most` rows, as with cores that very many share in
-    different ways, a round takes one. What the driver holds is bounded by size, ahead and most.
+    The pool stays distributed. Candidates are of a kind if they have the same of the requirements. A round counts each kind (one aggregate),
+    brings the first candidates by hash of each that is wanted (`ahead` in all, or one of each) to the driver, and sums up what would go with their cores. So the
+    driver knows all counts after each taking, and takes one after another, also when a requirement is met, until the list of a kind is used up. If the sums are over `most` rows, as with
+    cores that very many share in different ways, or the kinds are, a round takes one. What the driver holds is bounded by size, ahead and most.
     """
     spark = candidates.sparkSession
     state, names = State(size, needs), list(needs)
@@ -80,7 +96,8 @@ def covering(candidates: DataFrame, needs: dict[str, int], size: int, seed: int,
     order = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string")), 256)
     tags = F.array_sort(F.filter("tags", lambda t: ~reduce(lambda a, b: a | b, [F.startswith(t, F.lit(p)) for p in ignored], F.lit(False))))
     kinds = dict(candidates.dtypes)
-    whole = written(candidates.withColumns({"order": order, "stratum": F.array_join(tags, "|")}))
+    kind = F.concat(F.lit(""), *[F.when(has(r), "1").otherwise("0") for r in names])
+    whole = written(candidates.withColumns({"of": kind, "stratum": F.array_join(tags, "|")}))
     since: set = set()
     alone: list = []  # taken ones without a core, which nothing else takes out
 
@@ -88,13 +105,14 @@ def covering(candidates: DataFrame, needs: dict[str, int], size: int, seed: int,
         nonlocal whole, since, alone
         free = whole
         if since:
-            free = free.where(~F.arrays_overlap("cores", F.array(*map(F.lit, sorted(since, key=str))).cast(kinds["cores"])))
+            gone = list(since)
+            free = free.where(~F.exists("cores", lambda c: c.isin(gone)))
         if alone:
             free = free.where(~F.col("id").isin(alone))
         if len(since) + len(alone) > REWRITE:
             free = whole = written(free)
             since, alone = set(), []
-        return free
+        return free.withColumn("order", order)
 
     def take(row) -> None:
         state.take(row)
@@ -102,37 +120,51 @@ def covering(candidates: DataFrame, needs: dict[str, int], size: int, seed: int,
         if not row["cores"]:
             alone.append(row["id"])
 
-    while len(state.chosen) < size and state.lacking():
-        free, lacks = pool(), state.lacking()
-        there = dict(zip(names, free.agg(*[F.count_if(has(r)) for r in names]).first(), strict=True))
-        if not tightest(lacks, there):
-            break
-        worth = reduce(lambda a, b: a + b, [F.when(has(r), 1.0 / needs[r]).otherwise(0.0) for r in lacks])
-        few = max(1, ahead // len(lacks))
-        lists: dict[str, list] = {r: [] for r in lacks}
-        firsts = [free.where(has(r)).select("*", F.lit(r).alias("asked"), worth.alias("worth")).orderBy(F.desc("worth"), "order").limit(min(few, 2 * n + 8)) for r, n in lacks.items()]
-        for row in sorted(reduce(DataFrame.unionByName, firsts).collect(), key=lambda r: (-r["worth"], r["order"])):
-            lists[row["asked"]].append(row)
-        gone = excluded(free, {c for x in lists.values() for r in x for c in r["cores"]}, names, most)
-        while len(state.chosen) < size and state.lacking().keys() == lacks.keys():
-            first = tightest(state.lacking(), there)
-            row = next((r for r in lists[first] if not state.cores & set(r["cores"]) and r["id"] not in alone), None) if first else None
-            if row is None:
+    def worth(of: str) -> float:
+        return sum(1.0 / needs[r] if of[names.index(r)] == "1" else 0.0 for r in state.lacking())
+
+    wide, open_ = 1, True
+    while open_ and len(state.chosen) < size and state.lacking():
+        free, before = pool(), len(state.chosen)
+        left = {r["of"]: r["n"] for r in free.groupBy("of").agg(F.count(F.lit(1)).alias("n")).limit(most + 1).collect()}
+        if len(left) > most:
+            row = scarcest(free, state)
+            open_ = row is not None
+            if row:
+                take(row)
+            continue
+        lacks = state.lacking()
+        wanted = {of: n for of, n in left.items() if worth(of)}
+        few = {of: min(max(1, ahead // len(wanted)), 2 * sum(n for r, n in lacks.items() if of[names.index(r)] == "1") + 8) for of in wanted}
+        lists = firsts(free, "of", wanted, few, wide) if wanted else {}
+        gone = excluded(free, {c for x in lists.values() for r in x for c in r["cores"]}, most)
+        while len(state.chosen) < size and (lacks := state.lacking()):
+            first = tightest(lacks, {r: sum(n for of, n in left.items() if of[i] == "1") for i, r in enumerate(names)})
+            if first is None:
+                open_ = False
                 break
+            able = [of for of, n in left.items() if n and of[names.index(first)] == "1"]
+            most_worth = max(map(worth, able))
+            best = [of for of in able if worth(of) == most_worth]
+            for of in best:
+                lists[of] = [r for r in lists[of] if not state.cores & set(r["cores"])]
+            if not all(lists[of] for of in best):
+                break  # a row that isn't here may come first
+            row = min((lists[of][0] for of in best), key=lambda r: r["order"])
+            lists[row["of"]].remove(row)
             take(row)
             if gone is None:
                 break
-            mine, left = set(row["cores"]), []
+            mine, rest = set(row["cores"]), []
             for cores, of, n in gone:
                 if cores & mine:
-                    for r, yes in zip(names, of, strict=True):
-                        there[r] -= n * yes
+                    left[of] -= n
                 else:
-                    left.append((cores, of, n))
-            gone = left
+                    rest.append((cores, of, n))
+            gone = rest
             if not mine:
-                for r in names:
-                    there[r] -= set(r.split("&")) <= set(row["tags"])
+                left[row["of"]] -= 1
+        wide = 1 if len(state.chosen) > before else 64 * wide
     if not state.lacking():
         fill(state, pool, take)
     chosen = spark.createDataFrame(state.chosen, f"id {kinds['id']}, cores {kinds['cores']}, tags {kinds['tags']}, stratum string")
@@ -142,11 +174,22 @@ def covering(candidates: DataFrame, needs: dict[str, int], size: int, seed: int,
     return chosen, short.unionByName(all_)
 
 
+def scarcest(free: DataFrame, state: State):
+    """The next candidate of the scarcest requirement, by two scans; none if a requirement can't be met any more."""
+    lacks = state.lacking()
+    there = dict(zip(lacks, free.agg(*[F.count_if(has(r)) for r in lacks]).first(), strict=True))
+    if not (first := tightest(lacks, there)):
+        return None
+    worth = reduce(lambda a, b: a + b, [F.when(has(r), 1.0 / state.needs[r]).otherwise(0.0) for r in lacks])
+    return free.where(has(first)).orderBy(worth.desc(), "order").first()
+
+
 def fill(state: State, pool, take) -> None:
     """Takes from the strata in turn until the size is reached or nothing is left: the least filled, then the first by name; in a stratum the first by hash.
 
     A round brings the first few candidates of the least filled strata; it ends where the next of a stratum isn't known.
     """
+    wide = 1
     while len(state.chosen) < state.size:
         left = state.size - len(state.chosen)
         free = pool()
@@ -156,12 +199,8 @@ def fill(state: State, pool, take) -> None:
         if not strata:
             return
         few = min(1000, 16 * (-(-left // len(strata)) + 1))
-        names = free.sparkSession.createDataFrame([(r["stratum"],) for r in strata], "stratum string")
-        firsts = free.join(names.hint("broadcast"), "stratum").withColumn("k", F.row_number().over(W.partitionBy("stratum").orderBy("order"))).where(F.col("k") <= few)
-        lists: dict[str, list] = {r["stratum"]: [] for r in strata}
-        for r in firsts.orderBy("stratum", "k").collect():
-            lists[r["stratum"]].append(r)
         there = {r["stratum"]: r["there"] for r in strata}
+        lists = firsts(free, "stratum", there, dict.fromkeys(there, few), wide)
         cut = len(strata) == left  # there may be other strata, as filled as the last one or more
         last = (strata[-1]["held"], strata[-1]["stratum"])
         seen = dict.fromkeys(lists, 0)
@@ -176,3 +215,4 @@ def fill(state: State, pool, take) -> None:
             seen[s] += 1
             if not state.cores & set(row["cores"]):
                 take(row)
+        wide = 1 if state.size - len(state.chosen) < left else 64 * wide

@@ -120,6 +120,34 @@ def test_covering_selection(spark, rows, needs, size, seed, most, monkeypatch):
     assert len(cores) == len(set(cores))
 
 
+def many(n):
+    return [(i, [i % 997, 1000 + i // 3], ["a" if i % 4 else "b", "x" if i % 10 < 7 else "y", "z" if i % 50 == 3 else "w"]) for i in range(n)]
+
+
+@pytest.mark.parametrize("ahead", [512, 16])
+def test_covering_selection_takes_few_scans(spark, ahead, monkeypatch):
+    rows, needs, calls = many(2000), {"b": 9, "a&x": 12, "z": 4, "y": 14}, []
+    for name in ("written", "excluded"):
+        monkeypatch.setattr(selection, name, lambda *a, f=getattr(selection, name), name=name: calls.append(name) or f(*a))
+    ids, want = greedy(rows, needs, 60, 3)
+    chosen, short = selection.covering(spark.createDataFrame(rows, "id int, cores array<int>, tags array<string>"), needs, 60, 3, ahead)
+    assert [r.id for r in chosen.collect()] == ids and {tuple(r) for r in short.collect()} == want
+    assert calls.count("written") == 1 and (calls.count("excluded") == 1 or ahead < 512)  # over a hundred cores are taken, and four requirements met
+
+
+def test_covering_selection_looks_further_if_lists_are_empty(spark, monkeypatch):
+    rows, needs, wides = many(300), {"b": 2, "z": 1}, []
+
+    def firsts(free, by, there, few, wide, real=selection.firsts):
+        wides.append(wide)
+        return real(free, by, there, few, wide) if wide > 1 else {x: [] for x in there}
+
+    monkeypatch.setattr(selection, "firsts", firsts)
+    df = spark.createDataFrame(rows, "id int, cores array<int>, tags array<string>")
+    chosen, _ = selection.covering(df, needs, 6, 3)
+    assert [r.id for r in chosen.collect()] == greedy(rows, needs, 6, 3)[0] and set(wides) == {1, 64}
+
+
 def test_covering_selection_of_nothing(spark):
     none = spark.createDataFrame([(1, None, None), (2, [None], ["a", None])], "id int, cores array<int>, tags array<string>")
     chosen, short = selection.covering(none, {"a": 1}, 3, 0)
